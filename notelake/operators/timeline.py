@@ -187,7 +187,7 @@ def anchor_times(
     track = Window.partitionBy(*keys).orderBy("_s")
     leave = f"aggregate(ts, e, (a, x) -> if({step('a', 'x')}, x, a))"
     entries = (
-        f"transform(concat(filter(ts, y -> y > first and y <= first + {tol}), "
+        f"transform(concat(filter(ts, y -> y <= first + {tol}), "
         f"slice(filter(ts, y -> y > first + {tol}), 1, 1)), e -> struct(e, {leave} as x))"
     )
     ends = ends.select(
@@ -202,7 +202,7 @@ def anchor_times(
     chain = ends.filter("linked or onward").groupBy(*keys, "run").agg(
         F.array_sort(F.collect_list(F.struct("_s", "linked", "entries", "x0"))).alias("chain")
     )
-    enter = "element_at(filter(s.entries, n -> " + step("acc.a", "n.e") + "), 1).x"
+    enter = "try_element_at(filter(s.entries, n -> " + step("acc.a", "n.e") + "), 1).x"
     follow = (
         "aggregate(chain, struct(cast(null as bigint) as a, array(cast(null as bigint)) as seen), (acc, s) -> "
         f"if(s.linked, struct(coalesce({enter}, acc.a) as a, concat(acc.seen, array(acc.a)) as seen), "
@@ -263,7 +263,7 @@ def drift_runs(
     chain = ends.filter("linked or onward").groupBy(*keys, "chain_s").agg(
         F.array_sort(F.collect_list(F.struct("_s", "linked", "entries", "x0"))).alias("chain")
     )
-    hit = "element_at(filter(s.entries, n -> n.e = acc.a), 1).x"
+    hit = "try_element_at(filter(s.entries, n -> n.e = acc.a), 1).x"
     follow = (
         f"aggregate(chain, struct({null} as a, {null} as r, array(struct({null} as a, {null} as r)) as seen), (acc, s) -> "
         f"if(s.linked, struct(coalesce({hit}.a, s.x0.a) as a, "

@@ -120,7 +120,7 @@ def vote_frames(
     w = method_weight(F.col("method"), weights) * F.col("confidence")
     rows = candidates.withColumn("ord", order).filter("ord > 0").withColumn("w", w)
     per = rows.groupBy("track_id", "frame").agg(
-        F.array_sort(F.collect_list(F.struct("ord", "midi", "frequency", "confidence", "w"))).alias("cs")
+        F.array_sort(F.collect_list(F.struct("ord", F.col("midi").cast("int").alias("midi"), "frequency", "confidence", "w"))).alias("cs")
     )
     # the midi numbers that opened a group, in order of opening
     heads = (
@@ -184,7 +184,7 @@ def detector_stats(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("track_id", "method").agg(
         F.count("*").alias("n"), F.min("frequency").alias("min_hz"), F.max("frequency").alias("max_hz"),
         F.avg("frequency").alias("mean_hz"), F.avg("confidence").alias("mean_conf"),
-        (F.count("*") / ((F.max("t_us") - F.min("t_us")) / 1e6)).alias("rate"),
+        F.try_divide(F.count("*"), (F.max("t_us") - F.min("t_us")) / 1e6).alias("rate"),
     )
 
 
