@@ -322,3 +322,25 @@ def range_join(
     for c in (*keys, "_b"):
         on = on & (lb[c] == renamed[f"_r_{c}"])
     return lb.join(renamed, on, how).drop("_b", *[f"_r_{c}" for c in (*keys, "_b")])
+
+
+def group_quantile(
+    df: DataFrame, keys: Sequence[str], value: str, q: float = 0.5, width: float = 1_000_000, name: str = "quantile"
+) -> DataFrame:
+    """Exact interpolated quantile per group for groups of any size.
+
+    Works on the histogram of distinct values with a running count, so no group is sorted or held in one task.
+    """
+    keys = list(keys)
+    hist = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    hist = hist.withColumn("_s", F.floor(F.col("_v") / F.lit(width)).cast("bigint"))
+    hist = running(hist, ["_v"], keys=keys, _upto=Run("sum", F.col("_n")))
+    total = hist.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    at = (F.col("_total") - 1) * q
+    low, high = F.floor(at), F.ceil(at)
+    below = F.col("_upto") - F.col("_n")
+    holds = lambda rank: (below <= rank) & (rank < F.col("_upto"))
+    return hist.join(total, keys).filter(holds(low) | holds(high)).groupBy(*keys).agg(
+        F.max(F.when(holds(low), F.col("_v"))).alias("_lo"), F.max(F.when(holds(high), F.col("_v"))).alias("_hi"),
+        F.first(at - low).alias("_f"),
+    ).select(*keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).cast("double").alias(name))
