@@ -1,4 +1,4 @@
 """Checked queries over the test tables; importing a module registers its queries."""
 
-from notelake.plans import evaluate, segment, tabs, theory, voting, windows  # noqa: F401
+from notelake.plans import evaluate, joins, segment, tabs, theory, voting, windows  # noqa: F401
 from notelake.plans.registry import ORACLE, QUERIES  # noqa: F401

@@ -6,12 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelake.operators.timeline import row_index
+from notelake.session import checkpointed
 
 EPOCH_US = 1_704_067_200_000_000  # 2024-01-01 UTC
 DAY_US = 86_400_000_000
 METHODS = {"click": "pyin", "view": "cqt", "error": "hps", "signup": "yin", "purchase": "piptrack"}
 
 
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Frame and bin tables are stored once per application, as a corpus would hold them: they need a row number."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        _STORED[key] = checkpointed(build())
+    return _STORED[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -58,6 +70,10 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, sf_dir, "frames", lambda: _frames(spark, sf_dir))
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _events(spark, sf_dir).selectExpr(
         "user_id as track_id", "event_id", "e_us", "value",
         "cast((1 + event_id % 100) / 100 as double) as confidence", f"{_method()} as method",
@@ -71,7 +87,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").selectExpr("cast(label as bigint) as track_id", "vec_id", "embedding")
-    return row_index(vectors, ["vec_id"], width=4096, name="frame")
+    return _stored(spark, sf_dir, "spectrum", lambda: row_index(vectors, ["vec_id"], width=4096, name="frame"))
 
 
 def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,8 +109,8 @@ def notes_big(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_extendedprice",
     )
     order = ["start_us", "l_orderkey", "l_linenumber", "l_extendedprice"]
-    rows = row_index(rows, order, name="note_id")
-    return rows.select("track_id", "note_id", "start_us", "dur_us", "midi")
+    return _stored(spark, sf_dir, "notes_big", lambda: row_index(rows, order, name="note_id").select(
+        "track_id", "note_id", "start_us", "dur_us", "midi"))
 
 
 # ---------------------------------------------------------------------------------------------------------------
