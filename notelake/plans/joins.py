@@ -82,7 +82,7 @@ register(
 register(
     "pitch_at_onset_vote", lambda spark, sf: jn.pitch_at_onset(_framed(spark, sf), src.frames(spark, sf), True), "onset_id midi confidence~", "notes frames",
     _ON + f""", _b AS (SELECT o.onset_id, dur_us, leg, f.midi, avg(f.confidence) AS c, count(*) AS n, min(frame) AS seen FROM _on o
-               JOIN frames f ON f.track_id = o.track_id AND f.frame BETWEEN fr AND fr + 4 AND f.midi > 0 GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY onset_id ORDER BY n DESC, seen) = 1),
+               JOIN frames f ON f.track_id = o.track_id AND f.frame BETWEEN fr AND fr + 4 AND f.midi > 0 GROUP BY o.onset_id, dur_us, leg, f.midi QUALIFY row_number() OVER (PARTITION BY o.onset_id ORDER BY count(*) DESC, min(frame)) = 1),
     result AS (SELECT onset_id, midi, c AS confidence FROM _b WHERE {_CUT})""",
 )
 register(

@@ -1,7 +1,7 @@
 """Registry of the checked queries: a DataFrame plan and, where one can be written, its SQL twin.
 
 Output columns are declared once for both sides: ``name`` is a bigint, ``name~`` a double rounded to 6 places
-(after adding 1e-9, so that means ending in an exact half round alike in both engines),
+(after adding 1.37e-9, so that means ending in an exact half round alike in both engines),
 ``name$`` a string and ``name!`` a boolean.
 """
 
@@ -23,14 +23,14 @@ def _column(spec: str) -> Column:
     name, mark = (spec[:-1], spec[-1]) if spec[-1] in "~$!" else (spec, "")
     c = F.col(name)
     if mark == "~":
-        return (F.round(c.cast("double") + F.lit(1e-9), 6) + F.lit(0.0)).alias(name)
+        return (F.round(c.cast("double") + F.lit(1.37e-9), 6) + F.lit(0.0)).alias(name)
     return c.cast({"$": "string", "!": "boolean", "": "bigint"}[mark]).alias(name)
 
 
 def _sql_column(spec: str) -> str:
     name, mark = (spec[:-1], spec[-1]) if spec[-1] in "~$!" else (spec, "")
     if mark == "~":
-        return f"round(CAST({name} AS DOUBLE) + 1e-9, 6) + 0.0 AS {name}"
+        return f"round(CAST({name} AS DOUBLE) + 1.37e-9, 6) + 0.0 AS {name}"
     return f"CAST({name} AS {dict([('$', 'VARCHAR'), ('!', 'BOOLEAN'), ('', 'BIGINT')])[mark]}) AS {name}"
 
 
