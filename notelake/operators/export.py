@@ -25,24 +25,23 @@ def measures(tracks: DataFrame, tempo: int, per_bar: int = 4) -> DataFrame:
 
 def timeline(notes: DataFrame, chords: DataFrame, beat_rows: DataFrame, measure_rows: DataFrame) -> DataFrame:
     """All events of a track as rows (t_us, prio, type, data); order by (track_id, t_us, prio, ord)."""
-    def event(df, t, kind, ord_, **data):
-        pairs = [x for k, v in data.items() for x in (F.lit(k), v.cast("string"))]
-        return df.select("track_id", F.col(t).cast("bigint").alias("t_us"), F.lit(0 if kind == "measure" else 1).alias("prio"), F.lit(kind).alias("type"),
-                         F.col(ord_).cast("bigint").alias("ord"), F.create_map(*pairs).alias("data"))
-
-    n = notes.withColumn("end_us", F.col("start_us") + F.col("dur_us"))
-    c = chords.withColumn("end_us", F.col("start_us") + F.col("dur_us"))
-    on = event(n, "start_us", "note_on", "note_id", note_id=F.col("note_id"), string=F.col("string"), fret=F.col("fret"), midi=F.col("midi"))
-    off = event(n, "end_us", "note_off", "note_id", note_id=F.col("note_id"))
-    tech = event(n.filter("technique is not null"), "start_us", "technique", "note_id", note_id=F.col("note_id"), technique=F.col("technique"))
-    begin = event(c, "start_us", "chord_start", "start_us", name=F.col("name"))
-    end = event(c, "end_us", "chord_end", "start_us", name=F.col("name"))
-    beat = event(beat_rows, "t_us", "beat", "t_us", beat=F.col("beat"), measure=F.col("measure"), downbeat=F.col("is_downbeat"))
-    bar = event(measure_rows, "start_us", "measure", "measure", number=F.col("measure"), beats=F.col("beats"))
-    out = on
-    for df in (off, tech, begin, end, beat, bar):
-        out = out.unionByName(df)
-    return out
+    def event(t, kind: str, ord_, **data):
+        pairs = [x for k, v in data.items() for x in (F.lit(k), F.col(v).cast("string"))]
+        return F.struct(t.cast("bigint").alias("t_us"), F.lit(0 if kind == "measure" else 1).alias("prio"), F.lit(kind).alias("type"),
+                        F.col(ord_).cast("bigint").alias("ord"), F.create_map(*pairs).alias("data"))
+
+    def rows(df, *events):
+        """All events of a table in one pass; those without a time are left out."""
+        return df.select("track_id", F.inline(F.array(*events))).filter("t_us is not null")
+
+    start, end = F.col("start_us"), F.col("start_us") + F.col("dur_us")
+    from_notes = rows(
+        notes, event(start, "note_on", "note_id", note_id="note_id", string="string", fret="fret", midi="midi"), event(end, "note_off", "note_id", note_id="note_id"),
+        event(F.when(F.col("technique").isNotNull(), start), "technique", "note_id", note_id="note_id", technique="technique"))
+    from_chords = rows(chords, event(start, "chord_start", "start_us", name="name"), event(end, "chord_end", "start_us", name="name"))
+    from_beats = rows(beat_rows, event(F.col("t_us"), "beat", "t_us", beat="beat", measure="measure", downbeat="is_downbeat"))
+    from_bars = rows(measure_rows, event(start, "measure", "measure", number="measure", beats="beats"))
+    return from_notes.unionByName(from_chords).unionByName(from_beats).unionByName(from_bars)
 
 
 def tab_grid(tabs: DataFrame, slot_us: int = 125_000, per_line: int = 16) -> DataFrame:

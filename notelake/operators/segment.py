@@ -16,20 +16,20 @@ HOP_US = 23_220
 
 def mark_groups(
     rows: DataFrame, order: Sequence[str], starts: Column, width: int = SLICE_US, keys: Sequence[str] = TRACK,
-    name: str = "grp",
+    name: str = "grp", drop: Sequence[str] = (),
 ) -> DataFrame:
     """Name every row by the first row of its group, given the condition that starts a group."""
     mark = F.when(starts, F.struct(*[F.col(c) for c in order]))
-    return running(rows, order, width, keys, **{name: Run("last", mark)})
+    return running(rows, order, width, keys, drop, **{name: Run("last", mark)})
 
 
 def phrases(notes: DataFrame, gap_us: int = 300_000, min_size: int = 3, width: int = SLICE_US) -> DataFrame:
     """Notes split where the silence after the previous note exceeds ``gap_us``; phrases of ``min_size`` and more."""
     order = ["start_us", "note_id"]
-    rows = notes.withColumn("end_us", F.col("start_us") + F.col("dur_us"))
+    rows = notes.select("track_id", "note_id", "start_us", (F.col("start_us") + F.col("dur_us")).alias("end_us"))
     rows = running(rows, order, width, prev=previous("end_us"))
     far = F.col("prev").isNull() | (F.col("start_us") - F.col("prev.end_us") > gap_us)
-    rows = mark_groups(rows, order, far, width)
+    rows = mark_groups(rows, order, far, width, drop=["prev"])
     return rows.groupBy("track_id", "grp").agg(
         F.count("*").alias("n"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us")
     ).filter(F.col("n") >= min_size).select("track_id", F.col("grp.note_id").alias("first_id"), "n", "start_us", "end_us")
@@ -45,16 +45,15 @@ def frame_runs(
     for c in same:
         go_on = go_on & (F.col(c) == F.lag(c).over(w))
     rows = rows.withColumn("_go", F.coalesce(go_on, F.lit(False))).filter("_own").drop("_own")
-    return running(
-        rows, ["frame"], width, keys, run_frame=Run("last", F.when(~F.col("_go"), F.col("frame")))
-    ).drop("_go")
+    return running(rows, ["frame"], width, keys, drop=["_go"], run_frame=Run("last", F.when(~F.col("_go"), F.col("frame"))))
 
 
 def frames_to_notes_exact(
     frames: DataFrame, min_frames: int = 1, end_at_next: bool = True, hop_us: int = HOP_US, width: int = BLOCK_ROWS
 ) -> DataFrame:
     """Equal-pitch voiced runs as notes; the end is the next frame, or the last frame of the run."""
-    rows = frame_runs(frames.filter("is_voiced and midi > 0"), ["midi"], width=width)
+    voiced = frames.filter("is_voiced and midi > 0").select("track_id", "frame", "midi", "t_us", "confidence")
+    rows = frame_runs(voiced, ["midi"], width=width)
     return rows.groupBy("track_id", "run_frame", "midi").agg(
         F.min("t_us").alias("start_us"),
         (F.max("t_us") - F.min("t_us") + (hop_us if end_at_next else 0)).alias("dur_us"),
@@ -88,7 +87,7 @@ def voiced_regions(frames: DataFrame, min_conf: float = 0.3, min_frames: int = 2
 
 def merge_same_pitch(notes: DataFrame, gap_us: int = 30_000, width: int = SLICE_US) -> DataFrame:
     """Same-pitch notes that overlap or follow within ``gap_us`` become one: end and confidence are the maxima."""
-    rows = notes.withColumn("end_us", F.col("start_us") + F.col("dur_us"))
+    rows = notes.select("track_id", "midi", "note_id", "start_us", (F.col("start_us") + F.col("dur_us")).alias("end_us"), "confidence")
     keys = ["track_id", "midi"]
     rows = interval_groups(rows, "start_us", "end_us", "note_id", gap_us, keys, width)
     return rows.groupBy(*keys, "grp_t", "grp_id").agg(
@@ -149,7 +148,7 @@ def mark_legato_runs(notes: DataFrame, gap_us: int = 100_000, width: int = SLICE
     go_on = (F.col("start_us") - F.col("prev.end_us") < gap_us) & step.between(1, 7)
     rows = rows.withColumn("starts", ~F.coalesce(go_on, F.lit(False)))
     rows = rows.withColumn("interval", F.when(~F.col("starts"), F.col("midi") - F.col("prev.midi")))
-    return mark_groups(rows, order, F.col("starts"), width, name="run")
+    return mark_groups(rows, order, F.col("starts"), width, name="run", drop=["prev"])
 
 
 def legato_runs(notes: DataFrame, gap_us: int = 100_000, min_notes: int = 4, width: int = SLICE_US) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,37 +38,34 @@ def literal_table(names: str, rows: Sequence[Sequence]) -> Column:
     return F.expr("array(" + ", ".join("struct(" + ", ".join(f"{cell(v)} as {c}" for c, v in zip(cols, r)) + ")" for r in rows) + ")")
 
 
-def _profiles() -> Column:
-    return literal_table("root mode ord p", [
-        (root, mode, 2 * root + m, [float(profile[(pc - root) % 12]) for pc in range(12)])
-        for root in range(12)
-        for m, (mode, profile) in enumerate([("major", MAJOR_PROFILE), ("minor", MINOR_PROFILE)])
-    ])
-
-
-def key_of(hist: Column) -> Column:
-    """Best correlated key as struct(root, mode, confidence); C major at 0 for a constant histogram."""
-    total = F.aggregate(hist, F.lit(0.0), lambda a, x: a + x)
-    h = F.transform(hist, lambda x: x / total)
-
-    def corr(p: Column) -> Column:
-        dot = F.aggregate(F.zip_with(h, p, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-        hh = F.aggregate(h, F.lit(0.0), lambda a, x: a + x * x)
-        sp = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
-        pp = F.aggregate(p, F.lit(0.0), lambda a, x: a + x * x)
-        return (12 * dot - sp) / F.sqrt((12 * hh - 1) * (12 * pp - sp * sp))
-
-    scored = F.transform(_profiles(), lambda k: F.struct(corr(k["p"]).alias("c"), (-k["ord"]).alias("o"), k["root"].alias("root"), k["mode"].alias("mode")))
-    best = F.array_max(scored)
-    flat = (total <= 0) | (F.array_max(hist) - F.array_min(hist) <= 0)
+def with_key(df: DataFrame, hist: str = "hist", name: str = "k") -> DataFrame:
+    """Add the best correlated key as struct(root, mode, confidence); C major at 0 for a constant histogram.
+
+    Correlation with a fixed profile needs one weighted sum of the twelve values; the other sums are shared by all
+    24 profiles. Plain expressions, so they compile.
+    """
+    at = [f"{hist}[{pc}]" for pc in range(12)]
+    rows = df.withColumn("_sum", F.expr(" + ".join(at))).withColumn("_sq", F.expr(" + ".join(f"{x} * {x}" for x in at)))
+    rows = rows.withColumn("_spread", F.sqrt(12 * F.col("_sq") - F.col("_sum") * F.col("_sum")))
+    keys = []
+    for root in range(12):
+        for m, (mode, profile) in enumerate([("major", MAJOR_PROFILE), ("minor", MINOR_PROFILE)]):
+            dot = " + ".join(f"{at[(root + i) % 12]} * {float(p)!r}D" for i, p in enumerate(profile))
+            s1, s2 = sum(profile), sum(p * p for p in profile)
+            corr = f"(12 * ({dot}) - _sum * {s1!r}D) / (_spread * {math.sqrt(12 * s2 - s1 * s1)!r}D)"
+            keys.append(f"struct({corr} as c, {-(2 * root + m)} as o, {root} as root, '{mode}' as mode)")
+    rows = rows.withColumn("_varies", F.expr(f"_sum > 0 and array_max({hist}) > array_min({hist})"))
+    best = F.expr(f"case when _varies then greatest({', '.join(keys)}) end")
+    rows = rows.withColumn("_best", best)
     none = F.struct(F.lit(0).alias("root"), F.lit("major").alias("mode"), F.lit(0.0).alias("confidence"))
-    return F.when(flat, none).otherwise(F.struct(best["root"].alias("root"), best["mode"].alias("mode"), best["c"].alias("confidence")))
+    key = F.struct(F.col("_best.root").alias("root"), F.col("_best.mode").alias("mode"), F.col("_best.c").alias("confidence"))
+    return rows.withColumn(name, F.when(F.col("_varies"), key).otherwise(none)).drop("_sum", "_sq", "_spread", "_varies", "_best")
 
 
 def detect_key(notes: DataFrame, weight: Column | None = None, min_notes: int = 0) -> DataFrame:
     """Key per track; below ``min_notes`` the first note decides: A, E and D suggest minor, anything else C major."""
     hist = histogram(notes, F.col("dur_us") if weight is None else weight)
-    out = hist.withColumn("k", key_of(F.col("hist")))
+    out = with_key(hist)
     if min_notes:
         first = notes.groupBy("track_id").agg(F.min_by(pitch_class("midi"), F.struct("start_us", "note_id")).alias("pc"))
         minor = F.col("pc").isin(9, 4, 2)

@@ -77,10 +77,12 @@ def _over(kind: str, expr: Column, window) -> Column:
 
 
 def running(
-    df: DataFrame, order: Sequence[str], width: int = SLICE_US, keys: Sequence[str] = TRACK, **runs: Run
+    df: DataFrame, order: Sequence[str], width: int = SLICE_US, keys: Sequence[str] = TRACK, drop: Sequence[str] = (), **runs: Run
 ) -> DataFrame:
     """Running values along each track in ``order`` (first entry is the slicing axis). Adds one column per run.
 
+    ``drop`` names columns needed for the runs only.
+
     Reuses ``_s`` when the rows are sliced already, so no further shuffle of the rows is needed.
     """
     keys = list(keys)
@@ -89,6 +91,13 @@ def running(
         df = sliced(df, order[0], width)
     for name, run in runs.items():
         df = df.withColumn(f"_x_{name}", run.expr)
+    df = df.drop(*drop)
+    # one shuffle serves both the rows and the summaries: the summary names every column and both sides ask for a
+    # known track and place, so neither is pruned or filtered differently and the exchange is reused
+    for c in part:
+        df = df.filter(F.col(c).isNotNull())
+    df = df.repartition(*part)
+    whole = F.bit_xor(F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind])).alias("_rows")
 
     local, totals, carries = df, [], []
     for name, run in runs.items():
@@ -107,9 +116,9 @@ def running(
         before = slices.rowsBetween(Window.unboundedPreceding, -1)
         carries.append(_over(run.kind, F.col(f"_t_{name}"), before).alias(f"_c_{name}"))
 
-    carry = df.groupBy(*part).agg(*totals).select(*part, *carries)
+    carry = df.groupBy(*part).agg(*totals, whole).filter("_rows is not null").select(*part, *carries)
     out = local.join(carry, part, "left")
-    drop = ["_s"]
+    gone = ["_s"]
     for name, run in runs.items():
         here, there = F.col(f"_l_{name}"), F.col(f"_c_{name}")
         if run.kind == "sum":
@@ -119,8 +128,8 @@ def running(
         else:
             both = F.coalesce(here, there)
         out = out.withColumn(name, both)
-        drop += [f"_x_{name}", f"_l_{name}", f"_c_{name}"]
-    return out.drop(*drop)
+        gone += [f"_x_{name}", f"_l_{name}", f"_c_{name}"]
+    return out.drop(*gone)
 
 
 def row_index(
@@ -153,10 +162,10 @@ def group_gap(
     far = gap >= tol if strict else gap > tol
     rows = rows.withColumn("_start", F.coalesce(far, F.lit(True))).filter("_own").drop("_own")
     rows = running(
-        rows, [t, id], width, keys,
+        rows, [t, id], width, keys, drop=["_start"],
         _g=Run("last", F.when(F.col("_start"), F.struct(F.col(t).alias("t"), F.col(id).alias("id")))),
     )
-    return rows.withColumn("grp_t", F.col("_g.t")).withColumn("grp_id", F.col("_g.id")).drop("_g", "_start")
+    return rows.withColumn("grp_t", F.col("_g.t")).withColumn("grp_id", F.col("_g.id")).drop("_g")
 
 
 def anchor_times(
@@ -174,32 +183,32 @@ def anchor_times(
     keys = list(keys)
     width = max(width, 2 * tol + 1)
     part = [*keys, "_s"]
-    new = f"x - a >= {tol}" if strict else f"x - a > {tol}"
-    new = f"({new})"
 
     def step(a: str, x: str) -> str:
-        return new.replace("x", x).replace(" a ", f" {a} ")
+        return f"({x} - {a} {'>=' if strict else '>'} {tol})"
 
     pieces = sliced(df.select(*keys, F.col(t).alias("_t")), "_t", width).groupBy(*part).agg(
         F.array_sort(F.collect_set("_t")).alias("ts")
     )
-    ends = pieces.select(*part, "ts", F.expr("ts[0]").alias("first"), F.expr("element_at(ts, -1)").alias("last"))
+    ends = pieces.select(*part, F.expr("ts[0]").alias("first"), F.expr("element_at(ts, -1)").alias("last"))
     track = Window.partitionBy(*keys).orderBy("_s")
-    leave = f"aggregate(ts, e, (a, x) -> if({step('a', 'x')}, x, a))"
+    apart = step("_before", "first")
+    ends = ends.withColumn("_before", F.lag("last").over(track))
+    ends = ends.withColumn("linked", F.expr(f"not coalesce({apart}, true)")).drop("_before", "last")
+    ends = ends.withColumn("run", F.last(F.when(~F.col("linked"), F.col("_s")), True).over(track))
+    ends = ends.withColumn("onward", F.coalesce(F.lead("linked").over(track), F.lit(False)))
+    # only slices that touch a neighbour need a table of exits
+    ends = pieces.join(ends.filter("linked or onward"), part)
+    leave = f"aggregate(ts, {{e}}, (a, x) -> if({step('a', 'x')}, x, a))"
     entries = (
         f"transform(concat(filter(ts, y -> y <= first + {tol}), "
-        f"slice(filter(ts, y -> y > first + {tol}), 1, 1)), e -> struct(e, {leave} as x))"
+        f"slice(filter(ts, y -> y > first + {tol}), 1, 1)), e -> struct(e, {leave.format(e='e')} as x))"
     )
     ends = ends.select(
-        *part, "first", "last", F.expr(entries).alias("entries"), F.expr(leave.replace("ts, e,", "ts, first,")).alias("x0")
+        *keys, "_s", "run", "linked", F.expr(f"if(linked, {entries}, null)").alias("entries"),
+        F.expr(f"if(linked, null, {leave.format(e='first')})").alias("x0"),
     )
-    ends = ends.withColumn(
-        "linked", F.expr(f"not coalesce({step('lag(last) over w', 'first')}, true)".replace(
-            "over w", f"over (partition by {', '.join(keys)} order by _s)"))
-    )
-    ends = ends.withColumn("run", F.last(F.when(~F.col("linked"), F.col("_s")), True).over(track))
-    ends = ends.withColumn("onward", F.coalesce(F.lead("linked").over(track), F.lit(False)))
-    chain = ends.filter("linked or onward").groupBy(*keys, "run").agg(
+    chain = ends.groupBy(*keys, "run").agg(
         F.array_sort(F.collect_list(F.struct("_s", "linked", "entries", "x0"))).alias("chain")
     )
     enter = "try_element_at(filter(s.entries, n -> " + step("acc.a", "n.e") + "), 1).x"
@@ -297,8 +306,8 @@ def interval_groups(
     rows = running(df, [start, id], width, keys, _e=Run("max", F.col(end), inclusive=False))
     near = F.col(start) <= F.col("_e") + gap if touching else F.col(start) < F.col("_e") + gap
     mark = F.when(~F.coalesce(near, F.lit(False)), F.struct(F.col(start).alias("t"), F.col(id).alias("id")))
-    rows = running(rows, [start, id], width, keys, _g=Run("last", mark))
-    return rows.withColumn("grp_t", F.col("_g.t")).withColumn("grp_id", F.col("_g.id")).drop("_g", "_e")
+    rows = running(rows, [start, id], width, keys, drop=["_e"], _g=Run("last", mark))
+    return rows.withColumn("grp_t", F.col("_g.t")).withColumn("grp_id", F.col("_g.id")).drop("_g")
 
 
 def range_join(

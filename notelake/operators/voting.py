@@ -86,7 +86,7 @@ def consensus(
 def merge_consensus(rows: DataFrame, gap_us: int = 30_000, width: int = SLICE_US) -> DataFrame:
     """Same-pitch consensus notes that touch become one; confidence and frequency are vote-weighted means."""
     keys = ["track_id", "midi"]
-    rows = rows.withColumn("cid", F.col("anchor_t") * 128 + F.col("base_midi"))
+    rows = rows.withColumn("cid", F.col("anchor_t") * 128 + F.col("base_midi")).drop("anchor_t", "base_midi")
     rows = interval_groups(rows, "start_us", "end_us", "cid", gap_us, keys, width)
     v = F.sum("votes")
     return rows.groupBy(*keys, "grp_t", "grp_id").agg(
@@ -103,9 +103,8 @@ def ensemble_notes(
     min_conf: float = 0.5, min_dur_us: int = 50_000, weights: Mapping[str, float] | None = None, width: int = SLICE_US,
 ) -> DataFrame:
     """Candidates of all detectors to final notes: group, cluster, vote, merge, filter."""
-    merged = merge_consensus(
-        consensus(pitch_clusters(candidates, tol_us, tol_cents, weights, width), min_votes, min_score), tol_us, width
-    )
+    voted = consensus(pitch_clusters(candidates, tol_us, tol_cents, weights, width), min_votes, min_score)
+    merged = merge_consensus(voted, tol_us, width)
     return merged.filter((F.col("confidence") >= min_conf) & (F.col("end_us") - F.col("start_us") >= min_dur_us))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from notelake.functions.dims import METHOD_WEIGHTS
 from notelake.functions.scalars import pitch_class
-from notelake.operators.theory import key_of
+from notelake.operators.theory import with_key
 from notelake.session import checkpoint_dir
 
 
@@ -67,7 +67,7 @@ def stream_pitch_histogram(notes: DataFrame, window: str = "10 seconds", delay:
     pc = pitch_class("midi")
     sums = F.array(*[F.coalesce(F.sum(F.when(pc == i, F.col("weight"))), F.lit(0)).cast("double") for i in range(12)])
     rows = notes.withWatermark("ts", delay).groupBy("track_id", F.window("ts", window).alias("w")).agg(sums.alias("hist"))
-    rows = rows.withColumn("k", key_of(F.col("hist")))
+    rows = with_key(rows)
     return rows.select("track_id", F.col("w.start").alias("w_start"), "hist", "k.root", "k.mode", "k.confidence")
 
 
