@@ -287,11 +287,11 @@ def peak_pick(
     peaks = checkpointed(peaks.withColumn("kept", F.lit(False)))
     rank = F.struct(value, order)
     while True:
-        rows = halo(peaks, order, max(width, distance), before=distance - 1, after=distance - 1)
+        # twice the reach: a neighbour in reach must itself see all its neighbours
+        rows = halo(peaks, order, max(width, distance), before=2 * (distance - 1), after=2 * (distance - 1))
         near = Window.partitionBy(*keys, "_s").orderBy(order).rangeBetween(-(distance - 1), distance - 1)
         rows = rows.withColumn("best", F.max(rank).over(near)).withColumn("wins", rank == F.col("best"))
         rows = rows.withColumn("beaten", F.max(F.when(F.col("wins"), rank)).over(near) > rank)
-        # beaten only by a settled winner in reach; halo rows decide for their own slice
         state = rows.filter("_own and not coalesce(beaten, false)").select(*keys, order, value, F.col("wins").alias("kept"))
         peaks = checkpointed(state)
         if peaks.filter("not kept").isEmpty():
