@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from notelake.functions.genres import RUN_SCALES
 from notelake.operators.positions import fold_to_range
 from notelake.operators.timeline import (
     BLOCK_ROWS, SLICE_US, Run, drift_runs, group_anchored, range_join, running, slice_of,
@@ -174,3 +175,22 @@ def pitch_between_onsets(onsets: DataFrame, frames: DataFrame, width: int = BLOC
 
 def with_frame(onsets: DataFrame, hop_us: int = HOP_US) -> DataFrame:
     return onsets.withColumn("onset_frame", F.floor(F.col("t_us") / hop_us).cast("bigint"))
+
+
+def fill_scale_gaps(rows: DataFrame, scales: DataFrame, frames: DataFrame, hop_us: int = HOP_US) -> DataFrame:
+    """Scale notes missing between pitch neighbours of a run, where the frame at their expected time sounds within a semitone.
+
+    ``rows``: notes with (track_id, first_id of the run, start_us, end_us, midi); ``scales``: (track_id, first_id, scale, root).
+    """
+    w = Window.partitionBy("track_id", "first_id").orderBy("midi", "start_us", "end_us")
+    pairs = rows.select("track_id", "first_id", "midi", "start_us", "end_us", *[F.lead(c).over(w).alias(f"n_{c}") for c in ("midi", "start_us", "end_us")])
+    pairs = pairs.withColumn("gap", F.col("n_midi") - F.col("midi")).filter("gap > 2").join(scales, ["track_id", "first_id"])
+    steps = F.create_map(*[x for name, s in RUN_SCALES.items() for x in (F.lit(name), F.array(*[F.lit(i) for i in s]))])
+    want = pairs.withColumn("off", F.explode(F.sequence(F.lit(1), F.col("gap") - 1))).withColumn("want", F.col("midi") + F.col("off"))
+    want = want.filter(F.array_contains(F.try_element_at(steps, F.col("scale")), F.pmod(F.col("want") - F.col("root"), F.lit(12)).cast("int")))
+    at = F.col("end_us") + (F.col("n_start_us") - F.col("end_us")) * (F.col("off") / F.col("gap"))
+    want = want.withColumn("at_us", at).withColumn("stop_us", F.col("at_us") + (F.col("n_end_us") - F.col("n_start_us")) / F.col("gap"))
+    want = want.withColumn("frame", F.floor(F.col("at_us") / hop_us).cast("bigint"))
+    heard = frames.filter("midi > 0").select("track_id", "frame", F.col("midi").alias("f_midi"), F.col("confidence").alias("f_conf"))
+    return want.join(heard, ["track_id", "frame"]).filter(F.abs(F.col("f_midi") - F.col("want")) <= 1).select(
+        "track_id", "first_id", F.col("want").alias("midi"), F.col("at_us").alias("start_us"), F.col("stop_us").alias("end_us"), (F.col("f_conf") * 0.7).alias("confidence"))

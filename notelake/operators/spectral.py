@@ -254,6 +254,20 @@ def power_chord(tones: DataFrame, spec: DataFrame, low_hz: float = 65.0, hz_step
     return rows.select("track_id", "frame", "hz", (strong | below).alias("is_power"), F.when(~strong & below, hz / 1.5).otherwise(hz).alias("root_hz"))
 
 
+def intermod_products(
+    tones: DataFrame, spec: DataFrame, n_harmonics: int = 8, threshold: float = 0.3, low_hz: float = 65.0, high_hz: float = 1200.0, hz_step: float = 175.0
+) -> DataFrame:
+    """Sums and differences of strong harmonics that are themselves present; pairs of at most ``n_harmonics`` per frame."""
+    rows = tones.join(spec, ["track_id", "frame"]).withColumn("top", F.array_max("mags"))
+    steps = F.sequence(F.lit(1), F.lit(n_harmonics))
+    rows = rows.withColumn("strong", F.filter(steps, lambda h: _energy(F.col("mags"), F.col("hz") * h, hz_step) / F.col("top") > threshold))
+    pairs = F.flatten(F.transform("strong", lambda a: F.flatten(F.transform(
+        F.filter("strong", lambda b: b > a), lambda b: F.array(F.col("hz") * a + F.col("hz") * b, F.abs(F.col("hz") * a - F.col("hz") * b))))))
+    there = lambda f: F.get("mags", F.floor(f / hz_step).cast("int")) > threshold * F.col("top")
+    ok = F.filter(pairs, lambda f: f.between(low_hz, high_hz) & (F.floor(f / hz_step) > 0) & F.coalesce(there(f), F.lit(False)))
+    return rows.select("track_id", "frame", F.array_distinct(F.transform(ok, lambda f: F.round(f, 6))).alias("products"))
+
+
 def combine_odf(odf: DataFrame, threshold: float = 0.3, attack_threshold: float = 0.2) -> DataFrame:
     """Four onset curves blended 0.3/0.2/0.35/0.15, rescaled per track, with the methods above 80 % of their threshold."""
     blend = F.col("flux") * 0.3 + F.col("hfc") * 0.2 + F.col("attack") * 0.35 + F.col("energy") * 0.15

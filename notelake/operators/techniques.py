@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,3 +119,29 @@ def best_technique(notes: DataFrame, detections: DataFrame) -> DataFrame:
         F.max(F.when(F.col("detected"), F.col("confidence"))).alias("top"), F.max("confidence").alias("most"))
     return notes.join(best, ["track_id", "note_id"], "left").select(
         "track_id", "note_id", F.coalesce("found", F.lit("normal")).alias("technique"), F.coalesce("top", 1 - F.coalesce("most", F.lit(0.0))).alias("confidence"))
+
+
+def bends(curves: DataFrame, least: float = 0.3) -> DataFrame:
+    """Notes whose smoothed pitch rises ``least`` semitones and more above its start, with the top after the first tenth.
+
+    ``curves``: (track_id, note_id, frame, pitch, fret), voiced frames only. The curve is smoothed by a Gaussian of one
+    frame, mirrored at its ends; a note's frames are few, so they are held as an array.
+    """
+    raw = [math.exp(-0.5 * k * k) for k in range(-4, 5)]
+    weights = [x / sum(raw) for x in raw]
+    rows = curves.groupBy("track_id", "note_id", "fret").agg(F.array_sort(F.collect_list(F.struct("frame", "pitch"))).alias("c")).select(
+        "track_id", "note_id", "fret", F.col("c.pitch").alias("x")).filter(F.size("x") >= 3)
+    n = F.size("x")
+
+    def mirrored(i: Column) -> Column:
+        m = F.pmod(i, 2 * n)
+        return F.get("x", F.when(m >= n, 2 * n - 1 - m).otherwise(m))
+
+    smooth = F.transform(F.sequence(F.lit(0), n - 1), lambda i: sum((mirrored(i + k - 4) * w for k, w in enumerate(weights)), F.lit(0.0)))
+    rows = rows.withColumn("s", smooth)
+    # the first top to 9 places, so sums taken in another order do not decide between equals
+    s9 = F.transform("s", lambda v: F.round(v, 9))
+    bend = F.array_max("s") - F.get("s", F.lit(0))
+    rows = rows.withColumn("bend", bend).withColumn("top", F.array_position(s9, F.array_max(s9)) - 1)
+    return rows.filter((F.col("bend") >= least) & (F.col("top") > n * 0.1)).select(
+        "track_id", "note_id", "bend", (F.col("fret") + F.bround("bend")).cast("int").alias("target_fret"), F.least(F.lit(1.0), F.col("bend") / 2).alias("confidence"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from notelake.functions.dims import ONSET_WEIGHTS, method_weight
-from notelake.operators.timeline import SLICE_US, TRACK, group_anchored, interval_groups
+from notelake.operators.timeline import SLICE_US, TRACK, Run, group_anchored, interval_groups, running
 
 HOP_US = 23_220
 
@@ -196,3 +196,44 @@ def method_sets(notes: DataFrame, a: str, b: str) -> DataFrame:
     only_a = of(a).exceptAll(of(b)).withColumn("side", F.lit(a))
     only_b = of(b).exceptAll(of(a)).withColumn("side", F.lit(b))
     return both.unionByName(only_a).unionByName(only_b)
+
+
+def merge_frame_candidates(candidates: DataFrame, tol: float = 1.0) -> DataFrame:
+    """Voiced candidates of a frame in groups within ``tol`` semitones of the group's lowest: confidence-weighted pitch.
+
+    A frame holds one candidate per detector, so its list is short.
+    """
+    per = candidates.groupBy("track_id", "frame").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("midi").cast("double").alias("m"), "method", "frequency", "confidence"))).alias("cs"))
+    heads = (
+        "aggregate(cs, cast(array() as array<double>), (acc, c) -> "
+        f"if(size(acc) > 0 and abs(c.m - element_at(acc, -1)) <= {tol}, acc, concat(acc, array(c.m))))"
+    )
+    rows = per.withColumn("heads", F.expr(heads))
+    rows = rows.select("track_id", "frame", F.expr("inline(transform(cs, c -> struct(c, size(filter(heads, h -> h <= c.m)) as g)))"))
+    w = F.sum("c.confidence")
+    return rows.groupBy("track_id", "frame", "g").agg(
+        F.count("*").alias("n"), (F.sum(F.col("c.frequency") * F.col("c.confidence")) / w).alias("frequency"),
+        (F.sum(F.col("c.m") * F.col("c.confidence")) / w).alias("midi"), F.max("c.confidence").alias("confidence"))
+
+
+def combine_contours(contours: DataFrame, weights: Mapping[str, float] | None = None, width: int = SLICE_US) -> DataFrame:
+    """(track_id, method, t_us, pitch, confidence) of several models resampled to the longest one's times and averaged.
+
+    Between its own points a model is read off the straight line, outside them its end values hold.
+    """
+    keys = ["track_id", "method"]
+    stats = contours.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("confidence").alias("c"))
+    longest = stats.groupBy("track_id").agg(F.min_by("method", F.struct(-F.col("n"), F.col("method"))).alias("method"))
+    times = contours.join(longest, keys, "left_semi").select("track_id", "t_us")
+    asked = times.join(stats.select(*keys), "track_id").select(*keys, "t_us", F.lit(1).alias("side"), F.lit(None).cast("double").alias("pitch"), F.lit(None).cast("double").alias("confidence"))
+    rows = asked.unionByName(contours.select(*keys, "t_us", F.lit(0).alias("side"), "pitch", "confidence"))
+    point = F.when(F.col("side") == 0, F.struct("t_us", "pitch", "confidence"))
+    rows = running(rows, ["t_us", "side"], width, keys, a=Run("last", point), b=Run("last", point, inclusive=False, reverse=True)).filter("side = 1")
+    t = (F.col("t_us") - F.col("a.t_us")) / (F.col("b.t_us") - F.col("a.t_us"))
+    line = lambda c: F.when(F.col("a").isNull(), F.col(f"b.{c}")).when(F.col("b").isNull(), F.col(f"a.{c}")).otherwise(
+        F.col(f"a.{c}") + (F.col(f"b.{c}") - F.col(f"a.{c}")) * t)
+    rows = rows.select(*keys, "t_us", line("pitch").alias("p"), line("confidence").alias("q")).join(stats, keys)
+    w = method_weight(F.col("method"), weights or {"-": 1.0}) * F.col("c")
+    return rows.groupBy("track_id", "t_us").agg(
+        (F.sum(F.col("p") * w * F.col("q")) / (F.sum(F.col("q") * w) + 1e-8)).alias("pitch"), (F.sum(F.col("q") * w) / F.sum(w)).alias("confidence"))
