@@ -26,9 +26,11 @@ def fold_islands(rows: DataFrame, item: Sequence, state: str, fold: str, last: s
     """
     keys = ["track_id", "grp_t", "grp_id"]
     pieces = sliced(rows, "start_us", width).groupBy(*keys, "_s").agg(F.array_sort(F.collect_list(F.struct(*item))).alias("xs"))
-    island = Window.partitionBy(*keys).orderBy("_s")  # slices of one island
-    pieces = pieces.withColumn("_r", F.row_number().over(island)).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
     pieces = checkpointed(pieces)
+    # number the slices of each island without carrying their rows along
+    island = Window.partitionBy(*keys)
+    places = pieces.select(*keys, "_s").withColumn("_r", F.row_number().over(island.orderBy("_s"))).withColumn("_n", F.count("*").over(island))
+    pieces = pieces.join(places, [*keys, "_s"])
     rounds = pieces.agg(F.max("_r")).first()[0] or 0
     done, left = [], None
     for r in range(1, max(rounds, 1) + 1):

@@ -112,8 +112,9 @@ def assign_positions(
     chosen = "if(size(x.opts) = 1, x.opts[0], " + f"transform(array({ranked}), b -> struct(b.string as string, b.fret as fret))[0])"
     leave = f"aggregate(ns, {{init}}, (acc, x) -> {chosen})"
     track = Window.partitionBy("track_id").orderBy("_s")
-    ends = pieces.select(*part, "ns", F.expr("element_at(ns, -1).opts").alias("last_opts"))
-    ends = ends.withColumn("enter", F.lag("last_opts").over(track))
+    # possible entries are the last note's options of the slice before; only those travel along the track
+    enter = pieces.select(*part, F.expr("element_at(ns, -1).opts").alias("last_opts")).withColumn("enter", F.lag("last_opts").over(track))
+    ends = pieces.join(enter.select(*part, "enter"), part)
     ends = ends.select(
         *part, F.expr(f"transform(enter, e -> struct(e, {leave.format(init='e')} as x))").alias("entries"),
         F.when(F.col("enter").isNull(), F.expr(leave.format(init=none))).alias("x0"),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from notelake.functions.dims import ONSET_WEIGHTS, method_weight
-from notelake.operators.timeline import SLICE_US, TRACK, Run, group_anchored, interval_groups, running
+from notelake.operators.timeline import SLICE_US, TRACK, Run, group_anchored, group_gap, interval_groups, running
 
 HOP_US = 23_220
 
@@ -237,3 +237,50 @@ def combine_contours(contours: DataFrame, weights: Mapping[str, float] | None =
     w = method_weight(F.col("method"), weights or {"-": 1.0}) * F.col("c")
     return rows.groupBy("track_id", "t_us").agg(
         (F.sum(F.col("p") * w * F.col("q")) / (F.sum(F.col("q") * w) + 1e-8)).alias("pitch"), (F.sum(F.col("q") * w) / F.sum(w)).alias("confidence"))
+
+
+# Base weight of each analysis resolution, and its factor in fast and slow passages.
+RESOLUTION_WEIGHTS = {"ultra_fast": 1.2, "fast": 1.0, "medium": 0.9, "slow": 0.8}
+FAST_FACTORS = {"ultra_fast": 1.5, "fast": 1.5, "medium": 0.8, "slow": 0.5}
+SLOW_FACTORS = {"ultra_fast": 0.7, "fast": 0.7, "medium": 1.2, "slow": 1.5}
+
+
+def fuse_resolutions(
+    pitches: DataFrame, density: DataFrame, tol_us: int = 30_000, min_dur_us: int = 30_000, min_conf: float = 0.3, width: int = SLICE_US
+) -> DataFrame:
+    """Pitches of several resolutions to notes: each is weighted by the density class of its time, groups by gap vote
+    one pitch, and equal pitches in a row are one note.
+
+    ``pitches``: (track_id, cand_id, t_us, midi, confidence, resolution); ``density``: (track_id, t_us, is_fast, is_slow),
+    read at the first entry not before a pitch, or the last one. A note's confidence halves the past at each step, as
+    ``c = (c + next) / 2`` does, written as a weighted sum by position.
+    """
+    kind = F.struct("is_fast", "is_slow")
+    marks = density.select("track_id", "t_us", F.lit(1).alias("side"), F.lit(0).cast("bigint").alias("cand_id"), kind.alias("kind"))
+    # at equal times the entry comes after the pitch, so "next entry" includes it
+    rows = pitches.select("track_id", "t_us", F.lit(0).alias("side"), "cand_id", F.lit(None).cast("struct<is_fast: boolean, is_slow: boolean>").alias("kind"), "midi", "confidence", "resolution")
+    rows = rows.unionByName(marks, allowMissingColumns=True)
+    rows = running(rows, ["t_us", "side", "cand_id"], width, after=Run("last", F.col("kind"), False, True), before=Run("last", F.col("kind"), False))
+    rows = rows.filter("side = 0").withColumn("at", F.coalesce("after", "before")).drop("after", "before", "kind", "side")
+    base = method_weight(F.col("resolution"), RESOLUTION_WEIGHTS)
+    fast = method_weight(F.col("resolution"), FAST_FACTORS | {"-": 0.5})
+    slow = method_weight(F.col("resolution"), SLOW_FACTORS | {"-": 0.7})
+    w = base * F.when(F.col("at.is_fast"), fast).when(F.col("at.is_slow"), slow).otherwise(1.0)
+    rows = group_gap(rows.withColumn("w", w).select("track_id", "t_us", "cand_id", "midi", "confidence", "w"), tol_us, "t_us", "cand_id", width)
+    keys = ["track_id", "grp_t", "grp_id"]
+    votes = rows.groupBy(*keys, "midi").agg(
+        F.sum(F.col("w") * F.col("confidence")).alias("vote"), F.avg("confidence").alias("c"), F.min(F.struct("t_us", "cand_id")).alias("seen"),
+        F.sum("t_us").alias("t"), F.count("*").alias("n"))
+    # votes are compared to 9 places, then the pitch heard first wins
+    group = votes.groupBy(*keys).agg(
+        F.min_by(F.struct("midi", "c"), F.struct(-F.round("vote", 9), F.col("seen"))).alias("b"), (F.sum("t") / F.sum("n")).alias("t_us"))
+    line = group.select("track_id", "grp_t", "grp_id", "t_us", "b.midi", "b.c")
+    line = running(line, ["grp_t", "grp_id"], width, prev=Run("last", F.struct("midi"), False), pos=Run("sum", F.lit(1).cast("bigint")))
+    change = F.col("prev").isNull() | (F.col("prev.midi") != F.col("midi"))
+    line = running(line, ["grp_t", "grp_id"], width, drop=["prev"], head=Run("last", F.when(change, F.col("pos"))))
+    notes = line.groupBy("track_id", "head").agg(F.max("pos").alias("last"))
+    line = line.join(notes, ["track_id", "head"])
+    share = F.pow(F.lit(0.5), F.col("last") - F.col("pos") + F.when(F.col("pos") == F.col("head"), 0).otherwise(1))
+    out = line.groupBy("track_id", "head").agg(
+        F.first("midi").alias("midi"), F.min("t_us").alias("start_us"), F.max("t_us").alias("end_us"), F.sum(F.col("c") * share).alias("confidence"), F.count("*").alias("n"))
+    return out.filter((F.col("end_us") - F.col("start_us") >= min_dur_us) & (F.col("confidence") >= min_conf)).drop("head")

@@ -193,3 +193,33 @@ register(
     _r AS (SELECT track_id, frame, count(*) AS n, sum(f) AS total FROM _q GROUP BY ALL),
     result AS (SELECT track_id, frame, coalesce(n, 0) AS n, coalesce(total, 0) AS total FROM _ms LEFT JOIN _r USING (track_id, frame))""",
 )
+
+_RES = ["ultra_fast", "fast", "medium", "slow"]
+
+
+def _resolutions(spark, sf):
+    c = src.candidates(spark, sf)
+    p = c.filter("cand_id % 5 <> 0").select("track_id", "cand_id", "t_us", F.expr("cast(60 + (cand_id div 7) % 2 as int)").alias("midi"), "confidence",
+                                            F.element_at(F.array(*[F.lit(r) for r in _RES]), F.expr("cast(cand_id % 4 + 1 as int)")).alias("resolution"))
+    d = c.filter("cand_id % 5 = 0").groupBy("track_id", "t_us").agg((F.min("cand_id") % 3 == 0).alias("is_fast"), (F.min("cand_id") % 3 == 1).alias("is_slow"))
+    return p, d
+
+
+register(
+    "fuse_resolutions", lambda spark, sf: vote.fuse_resolutions(*_resolutions(spark, sf), tol_us=2_000, min_dur_us=1_000, min_conf=0.2, width=100_000),
+    "track_id midi start_us~ end_us~ confidence~ n", "candidates",
+    f"""_p AS (SELECT track_id, cand_id, t_us, 60 + (cand_id // 7) % 2 AS midi, confidence, cand_id % 4 AS r FROM candidates WHERE cand_id % 5 <> 0),
+    _d AS (SELECT track_id, t_us, min(cand_id) % 3 AS k FROM candidates WHERE cand_id % 5 = 0 GROUP BY ALL),
+    _a AS (SELECT p.*, d.k AS ka FROM _p p ASOF LEFT JOIN _d d ON p.track_id = d.track_id AND p.t_us <= d.t_us),
+    _b AS (SELECT a.*, coalesce(ka, d.k) AS k FROM _a a ASOF LEFT JOIN _d d ON a.track_id = d.track_id AND a.t_us >= d.t_us),
+    _w AS (SELECT *, [1.2e0, 1.0e0, 0.9e0, 0.8e0][r + 1] * CASE k WHEN 0 THEN [1.5e0, 1.5e0, 0.8e0, 0.5e0][r + 1] WHEN 1 THEN [0.7e0, 0.7e0, 1.2e0, 1.5e0][r + 1] ELSE 1 END AS w,
+             coalesce(t_us - lag(t_us) OVER (PARTITION BY track_id ORDER BY t_us, cand_id) > 2000, true) AS s FROM _b),
+    _g AS (SELECT *, sum(s::INT) OVER (PARTITION BY track_id ORDER BY t_us, cand_id) AS g FROM _w),
+    _v AS (SELECT track_id, g, midi, sum(w * confidence) AS vote, avg(confidence) AS c, min((t_us, cand_id)) AS seen, sum(t_us) AS t, count(*) AS n FROM _g GROUP BY ALL),
+    _l AS (SELECT track_id, g, arg_min(midi, (-round(vote, 9), seen)) AS midi, arg_min(c, (-round(vote, 9), seen)) AS c, sum(t) / sum(n) AS t FROM _v GROUP BY track_id, g),
+    _c AS (SELECT *, coalesce(midi <> lag(midi) OVER (PARTITION BY track_id ORDER BY g), true) AS s FROM _l),
+    _h AS (SELECT *, sum(s::INT) OVER (PARTITION BY track_id ORDER BY g) AS h FROM _c),
+    _k AS (SELECT *, row_number() OVER (PARTITION BY track_id, h ORDER BY g) AS i, count(*) OVER (PARTITION BY track_id, h) AS m FROM _h),
+    _n AS (SELECT track_id, h, any_value(midi) AS midi, min(t) AS start_us, max(t) AS end_us, sum(c * pow(0.5, m - i + CASE WHEN i = 1 THEN 0 ELSE 1 END)) AS confidence, count(*) AS n FROM _k GROUP BY track_id, h),
+    result AS (SELECT * FROM _n WHERE end_us - start_us >= 1000 AND confidence >= 0.2)""",
+)
