@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notelake.operators.timeline import (
-    BLOCK_ROWS, SLICE_US, TRACK, Run, drift_runs, halo, interval_groups, previous, row_index, running, slice_window,
+    BLOCK_ROWS, SLICE_US, TRACK, Run, drift_runs, halo, interval_groups, previous, running, slice_window,
 )
+from notelake.session import checkpointed
 
 HOP_US = 23_220
 
@@ -179,29 +180,40 @@ def three_per_string(notes: DataFrame, gap_us: int = 100_000, min_notes: int = 4
     return runs.select("track_id", F.col("run.note_id").alias("first_id"), "n", "threes", "groups", yes.alias("is_3nps"))
 
 
-def tremolo_sections(
-    notes: DataFrame, gap_us: int = 80_000, max_dur_us: int = 150_000, min_rate: float = 8.0, width: int = SLICE_US
+def tremolo_notes(
+    notes: DataFrame, gap_us: int = 80_000, max_dur_us: int = 150_000, min_rate: float = 8.0, width: int = SLICE_US, skip: Column | None = None
 ) -> DataFrame:
-    """Rapid repetitions within a semitone of the section's first pitch: one row per note of a section."""
+    """Notes in rapid repetitions within a semitone of the section's first pitch, with the section's rate.
+
+    Notes under ``skip`` take no part and end a section.
+    """
     order = ["start_us", "note_id"]
-    rows = notes.withColumn("end_us", F.col("start_us") + F.col("dur_us"))
+    rows = notes.select("track_id", "note_id", "start_us", "dur_us", "midi", (F.col("start_us") + F.col("dur_us")).alias("end_us"),
+                        (F.lit(False) if skip is None else skip).alias("skip"))
     rows = running(rows, order, width, prev=previous("end_us", "dur_us"), rn=Run("sum", F.lit(1).cast("bigint")))
     cut = (F.col("start_us") - F.col("prev.end_us") > gap_us) | (F.col("prev.dur_us") > max_dur_us)
-    rows = rows.withColumn("cut", F.coalesce(cut, F.lit(False)).cast("bigint"))
+    rows = rows.withColumn("cut", F.coalesce(cut, F.lit(False)).cast("bigint")).drop("prev")
     rows = running(rows, order, width, cuts=Run("sum", F.col("cut")))
-    # a cut skips one number, so it reads as a gap between frames
-    rows = rows.withColumn("frame", F.col("rn") + F.col("cuts"))
+    # a cut skips one number and a note left out leaves a hole: both read as a gap between frames
+    rows = rows.withColumn("frame", F.col("rn") + F.col("cuts")).filter("not skip").drop("rn", "cuts", "cut", "skip")
+    rows = checkpointed(rows)  # read three times below
     rows = rows.join(drift_runs(rows, 1), ["track_id", "frame"])
-    sections = rows.groupBy("track_id", "run_frame").agg(
-        F.count("*").alias("n"), F.min_by("midi", "frame").alias("base_midi"), F.min("start_us").alias("start_us"),
-        F.max_by("end_us", "frame").alias("end_us"),
-        F.min_by("note_id", "frame").alias("first_id"),
-    )
-    rate = F.col("n") / ((F.col("end_us") - F.col("start_us")) / 1e6)
-    return sections.filter((F.col("n") >= 3) & (F.col("end_us") > F.col("start_us"))).withColumn("rate", rate).filter(
-        F.col("rate") >= min_rate
-    ).select("track_id", "first_id", "n", "base_midi", "start_us", "end_us", "rate",
-             F.least(F.lit(1.0), F.col("rate") / 15).alias("confidence"))
+    keys = ["track_id", "run_frame"]
+    sections = rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.min_by("midi", "frame").alias("base_midi"), F.min("start_us").alias("from_us"),
+        F.max_by("end_us", "frame").alias("to_us"), F.min_by("note_id", "frame").alias("first_id"))
+    sections = sections.filter((F.col("n") >= 3) & (F.col("to_us") > F.col("from_us"))).withColumn(
+        "rate", F.col("n") / ((F.col("to_us") - F.col("from_us")) / 1e6)).filter(F.col("rate") >= min_rate)
+    return rows.select(*keys, "note_id").join(sections, keys)
+
+
+def tremolo_sections(
+    notes: DataFrame, gap_us: int = 80_000, max_dur_us: int = 150_000, min_rate: float = 8.0, width: int = SLICE_US
+) -> DataFrame:
+    """One row per tremolo section."""
+    rows = tremolo_notes(notes, gap_us, max_dur_us, min_rate, width).filter("note_id = first_id")
+    return rows.select("track_id", "first_id", "n", "base_midi", F.col("from_us").alias("start_us"), F.col("to_us").alias("end_us"), "rate",
+                       F.least(F.lit(1.0), F.col("rate") / 15).alias("confidence"))
 
 
 def poly_frames_to_notes(

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notelake.functions.dims import NUM_FRETS, tuning_notes
+from notelake.operators.segment import tremolo_notes
 from notelake.operators.timeline import SLICE_US, following, halo, previous, running
+from notelake.session import checkpointed
 
 ORDER = ["start_us", "note_id"]
 
@@ -145,3 +147,32 @@ def bends(curves: DataFrame, least: float = 0.3) -> DataFrame:
     rows = rows.withColumn("bend", bend).withColumn("top", F.array_position(s9, F.array_max(s9)) - 1)
     return rows.filter((F.col("bend") >= least) & (F.col("top") > n * 0.1)).select(
         "track_id", "note_id", "bend", (F.col("fret") + F.bround("bend")).cast("int").alias("target_fret"), F.least(F.lit(1.0), F.col("bend") / 2).alias("confidence"))
+
+
+def annotate_techniques(
+    tabs: DataFrame, bend_rows: DataFrame, min_fret: int = 10, min_interval: int = 7, width: int = SLICE_US
+) -> DataFrame:
+    """One technique per note, by precedence: hammer or pull, bend, slide, tremolo on notes still free; a tap may
+    replace a hammer or pull.
+
+    ``tabs`` carry string, fret, is_legato, end_pitch and attack_strength; ``bend_rows`` come from ``bends``.
+    """
+    keys = ["track_id", "note_id"]
+    named = lambda df, n: df.select(*keys, F.struct("technique", "target_fret", "confidence").alias(n))
+    bent = bend_rows.select(*keys, F.lit("bend").alias("technique"), "target_fret", "confidence")
+    rows = tabs
+    for df, n in ((hammer_pull(tabs, width=width), "t1"), (bent, "t2"), (slides(tabs, width=width), "t3")):
+        rows = rows.join(named(df, n), keys, "left")
+    rows = checkpointed(rows.withColumn("t", F.coalesce("t1", "t2", "t3")).drop("t1", "t2", "t3"))
+    shake = tremolo_notes(rows, width=width, skip=F.col("t").isNotNull()).select(
+        *keys, F.struct(F.lit("tremolo").alias("technique"), F.lit(None).cast("int").alias("target_fret"), F.least(F.lit(1.0), F.col("rate") / 15).alias("confidence")).alias("t4"))
+    rows = rows.join(shake, keys, "left").withColumn("t", F.coalesce("t", "t4")).drop("t4")
+    rows = running(rows, ORDER, width, prev=previous("midi"), nxt=following("midi", "fret"))
+    soft = (F.col("attack_strength") < 0.5) | F.col("is_legato")
+    down = (F.col("midi") - F.col("nxt.midi")) >= min_interval
+    up = F.coalesce((F.col("midi") - F.col("prev.midi")) >= min_interval, F.lit(False))
+    free = F.col("t").isNull() | F.col("t.technique").isin("hammer_on", "pull_off")
+    tap = F.col("nxt").isNotNull() & free & (F.col("fret") >= min_fret) & soft & (down | up)
+    tapped = F.struct(F.lit("tap").alias("technique"), F.col("nxt.fret").alias("target_fret"), F.when(F.col("is_legato"), 0.8).otherwise(0.6).alias("confidence"))
+    rows = rows.withColumn("t", F.when(F.coalesce(tap, F.lit(False)), tapped).otherwise(F.col("t")))
+    return rows.select(*keys, F.coalesce("t.technique", F.lit("none")).alias("technique"), "t.target_fret", F.coalesce("t.confidence", F.lit(0.0)).alias("confidence"))

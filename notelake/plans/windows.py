@@ -248,3 +248,32 @@ register(
     """_c AS (SELECT track_id, midi, count(*) AS n FROM notes GROUP BY ALL),
        result AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY n DESC, midi) AS rank FROM _c) WHERE rank <= 10)""",
 )
+
+
+def _annotated_all(spark, sf):
+    tabs = _tabs(spark, sf)
+    bent = tabs.filter("note_id % 13 = 0").select("track_id", "note_id", (F.col("fret") + 2).alias("target_fret"), F.lit(0.5).alias("confidence"))
+    return tq.annotate_techniques(tabs.withColumn("midi", F.expr("55 + midi % 16")), bent, width=NOTE_SLICE)
+
+
+register(
+    "annotate_techniques", lambda spark, sf: _annotated_all(spark, sf).withColumn("target_fret", F.coalesce("target_fret", F.lit(-1))), "note_id technique$ target_fret confidence~", "notes",
+    _TAB.replace("FROM tabs)", "FROM (SELECT * REPLACE (55 + midi % 16 AS midi), midi AS midi0 FROM tabs))").replace("THEN midi + (note_id % 5 - 1)", "THEN midi0 + (note_id % 5 - 1)") + """,
+    _t3 AS (SELECT *, CASE WHEN nl AND gap <= 150000 AND d > 0 THEN 'hammer_on' WHEN nl AND gap <= 150000 AND d < 0 THEN 'pull_off' WHEN note_id % 13 = 0 THEN 'bend'
+        WHEN ns = string AND gap <= 80000 AND abs(d) BETWEEN 2 AND 12 AND NOT nl AND CASE WHEN ep IS NULL THEN dur_us < 200000 WHEN d > 0 THEN ep BETWEEN midi AND nm + 0.5 ELSE ep BETWEEN nm - 0.5 AND midi END
+        THEN CASE WHEN d > 0 THEN 'slide_up' ELSE 'slide_down' END END AS t FROM tn),
+    _o AS (SELECT *, start_us + dur_us AS end_us, row_number() OVER (PARTITION BY track_id ORDER BY start_us, note_id) AS rn FROM _t3),
+    _g AS (SELECT track_id, rn, midi AS a, rn AS g, end_us, dur_us, t FROM _o WHERE rn = 1
+           UNION ALL SELECT o.track_id, o.rn, CASE WHEN b THEN o.midi ELSE x.a END, CASE WHEN b THEN o.rn ELSE x.g END, o.end_us, o.dur_us, o.t
+           FROM _g x JOIN _o o ON o.track_id = x.track_id AND o.rn = x.rn + 1,
+                LATERAL (SELECT o.t IS NOT NULL OR x.t IS NOT NULL OR abs(o.midi - x.a) > 1 OR o.start_us - x.end_us > 80000 OR x.dur_us > 150000 AS b)),
+    _r AS (SELECT o.track_id, x.g, count(*) / ((arg_max(o.end_us, o.rn) - min(o.start_us)) / 1e6) AS rate FROM _o o JOIN _g x ON o.track_id = x.track_id AND o.rn = x.rn
+           GROUP BY o.track_id, x.g HAVING count(*) >= 3 AND arg_max(o.end_us, o.rn) > min(o.start_us)),
+    _t4 AS (SELECT o.*, CASE WHEN o.t IS NULL AND rate >= 8 THEN 'tremolo' ELSE o.t END AS t4, rate FROM _o o JOIN _g x USING (track_id, rn) LEFT JOIN _r ON _r.track_id = o.track_id AND _r.g = x.g),
+    _t5 AS (SELECT *, coalesce((t4 IS NULL OR t4 IN ('hammer_on', 'pull_off')) AND nm IS NOT NULL AND fret >= 10 AND (att < 0.5 OR leg)
+              AND (midi - nm >= 7 OR coalesce(midi - lag(midi) OVER (PARTITION BY track_id ORDER BY start_us, note_id) >= 7, false)), false) AS tap FROM _t4),
+    result AS (SELECT note_id, CASE WHEN tap THEN 'tap' ELSE coalesce(t4, 'none') END AS technique,
+        CASE WHEN tap THEN nf WHEN t4 IN ('hammer_on', 'pull_off', 'slide_up', 'slide_down') THEN nf WHEN t4 = 'bend' THEN fret + 2 ELSE -1 END AS target_fret,
+        CASE WHEN tap THEN CASE WHEN leg THEN 0.8 ELSE 0.6 END WHEN t4 IN ('hammer_on', 'pull_off') THEN CASE WHEN ns = string THEN 0.9 ELSE 0.7 END WHEN t4 = 'bend' THEN 0.5
+             WHEN t4 IN ('slide_up', 'slide_down') THEN 0.8 WHEN t4 = 'tremolo' THEN least(1.0, rate / 15) ELSE 0 END AS confidence FROM _t5)""", recursive=True,
+)
