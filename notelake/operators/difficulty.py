@@ -78,8 +78,8 @@ def window_scores(tabs: DataFrame, window_us: int = 2_000_000, width: int = SLIC
 
 def difficult_passages(windows: DataFrame, top: int = 10, width: int = SLICE_US) -> DataFrame:
     """Overlapping hard windows as passages; the ``top`` hardest per track, earlier first among equals."""
-    rows = interval_groups(windows.withColumn("id", F.lit(0)), "start_us", "end_us", "id", 0, TRACK, width, touching=False)
-    rows = checkpointed(rows)  # a few rows per minute of music, read twice below
+    # hard windows are few: a row or two per second of music at most, read several times below
+    rows = interval_groups(checkpointed(windows).withColumn("id", F.lit(0)), "start_us", "end_us", "id", 0, TRACK, width, touching=False)
     passages = rows.groupBy("track_id", "grp_t").agg(F.max("end_us").alias("end_us"), F.max("score").alias("score"), F.count("*").alias("n_windows"))
     rank = F.row_number().over(Window.partitionBy("track_id").orderBy(F.desc("score"), "grp_t"))
     best = passages.withColumn("rank", rank).filter(F.col("rank") <= top)

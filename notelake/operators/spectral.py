@@ -286,7 +286,7 @@ def peak_pick(
     round settles every local winner at once.
     """
     keys = list(keys)
-    rows = halo(curve.select(*keys, order, value), order, width, before=1)
+    rows = halo(checkpointed(curve.select(*keys, order, value)), order, width, before=1)
     w = slice_window(keys, order)
     rows = rows.withColumn("new", F.coalesce((F.col(value) != F.lag(value).over(w)) | (F.col(order) != F.lag(order).over(w) + 1), F.lit(True)))
     rows = rows.filter("_own").drop("_s", "_own")

@@ -12,7 +12,7 @@ from notelake.functions.dims import CHORDS, MAJOR_PROFILE, MINOR_PROFILE, OPEN_S
 from notelake.functions.genres import GENRE_SCALES, GENRES, RUN_SCALES, Genre
 from notelake.functions.scalars import pc_name, pitch_class
 from notelake.operators.timeline import (
-    SLICE_US, Run, following, group_anchored, group_quantile, halo, previous, range_join, row_index, running, slice_window,
+    SLICE_US, following, group_anchored, group_quantile, halo, previous, range_join, row_index, running, slice_window,
 )
 
 LOW, HIGH = 40, 88

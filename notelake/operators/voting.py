@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from notelake.functions.dims import ONSET_WEIGHTS, method_weight
 from notelake.operators.timeline import SLICE_US, TRACK, Run, group_anchored, group_gap, interval_groups, running
+from notelake.session import checkpointed
 
 HOP_US = 23_220
 
@@ -104,7 +105,8 @@ def ensemble_notes(
 ) -> DataFrame:
     """Candidates of all detectors to final notes: group, cluster, vote, merge, filter."""
     voted = consensus(pitch_clusters(candidates, tol_us, tol_cents, weights, width), min_votes, min_score)
-    merged = merge_consensus(voted, tol_us, width)
+    # voted rows are a small part of the candidates, and the merge looks at them several times
+    merged = merge_consensus(checkpointed(voted), tol_us, width)
     return merged.filter((F.col("confidence") >= min_conf) & (F.col("end_us") - F.col("start_us") >= min_dur_us))
 
 

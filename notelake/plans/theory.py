@@ -11,7 +11,7 @@ from notelake.operators import positions as pos
 from notelake.operators import segment as seg
 from notelake.operators import theory as th
 from notelake.plans.registry import anchored_sql, register
-from notelake.plans.segment import _LEGATO, CAND_SLICE, FRAME_SLICE, NOTE_SLICE
+from notelake.plans.segment import _LEGATO, CAND_SLICE, NOTE_SLICE
 from notelake.sources import adapters as src
 
 

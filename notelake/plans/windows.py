@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from notelake.functions.dims import TUNINGS
 from notelake.operators import export as ex
 from notelake.operators import techniques as tq
 from notelake.operators import windows as win
 from notelake.plans.registry import anchored_sql, register
-from notelake.plans.segment import CAND_SLICE, FRAME_SLICE, NOTE_SLICE
-from notelake.plans.tabs import BASIC, STATIC, _basic, _static
+from notelake.plans.segment import FRAME_SLICE, NOTE_SLICE
+from notelake.plans.tabs import STATIC, _static
 from notelake.plans.theory import CHORDS_SQL, _chords
 from notelake.operators import positions as pos
 from notelake.sources import adapters as src
