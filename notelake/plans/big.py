@@ -8,7 +8,8 @@ from notelake.operators import difficulty as dif
 from notelake.operators import joins as jn
 from notelake.operators import segment as seg
 from notelake.operators import theory as th
-from notelake.plans.registry import register
+from notelake.plans.registry import anchored_sql, register
+from notelake.plans.theory import key_sql
 from notelake.sources import adapters as src
 
 _NOTES = """_nb AS (SELECT l_partkey AS track_id, (date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) % 500) * 20000 AS start_us,
@@ -41,8 +42,9 @@ register(
                FROM _l WHERE d IS NOT NULL GROUP BY ALL)""",
 )
 register(
-    "big_detect_key", lambda spark, sf: th.detect_key(_big(spark, sf)).withColumn("confidence", F.round("confidence", 4)), "track_id n_notes confidence~", "",
-    None,
+    "big_detect_key", lambda spark, sf: th.detect_key(_big(spark, sf)), "track_id n_notes confidence~", "",
+    _NOTES + "," + key_sql("nb", "dur_us") + """, _c AS (SELECT track_id, count(*) AS n_notes FROM nb GROUP BY ALL),
+    result AS (SELECT track_id, n_notes, confidence FROM _key JOIN _c USING (track_id))""",
 )
 register(
     "big_speed", lambda spark, sf: dif.speed(_big(spark, sf)), "track_id max_nps~ avg_nps~", "",
@@ -50,5 +52,8 @@ register(
     result AS (SELECT track_id, coalesce(max(1e6 / g) FILTER (g >= 20000), 0) AS max_nps, coalesce(avg(1e6 / g) FILTER (g >= 20000), 0) AS avg_nps FROM _g GROUP BY ALL)""",
 )
 register(
-    "big_drop_harmonics", lambda spark, sf: jn.drop_harmonics(_big(spark, sf), 500_000), "track_id note_id",
+    "big_drop_harmonics", lambda spark, sf: jn.drop_harmonics(_big(spark, sf), 500_000), "track_id note_id", "",
+    _NOTES + "," + anchored_sql("nb", 500_000, "start_us", "note_id", strict=True) + """,
+    result AS (SELECT track_id, note_id FROM grouped g WHERE NOT EXISTS (SELECT 1 FROM grouped o WHERE o.track_id = g.track_id AND o.anchor_t = g.anchor_t
+               AND g.midi - o.midi IN (12, 19, 24, 28, 31)))""", recursive=True,
 )
