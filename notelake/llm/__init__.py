@@ -1 +1,8 @@
 """Operators for preparing large text corpora for training; nothing else in the library imports this subpackage."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this subpackage travel to the executors by value, so these need not have the library installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notelake.session import checkpoint_dir
+
 HOT_SHARE = 1000
 #: Words and white space of the shingle and size contracts: ASCII white space only.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,6 +25,43 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared checkpoint folder, deleted like those of ``stored``."""
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared checkpoint folder and read back.
+
+    This cuts the lineage like a checkpoint, but later plans know the real size and read only the columns they need, which
+    matters for tables that rounds of joins are built on. The folders are deleted when the program ends, or by ``drop_stored``.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, "stored")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stored() -> None:
+    """Delete what ``stored`` has written so far; results that still read it must have been used."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        try:
+            jvm = spark._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        except (Py4JError, OSError, AttributeError):
+            return  # the session has ended before
+
+
+atexit.register(drop_stored)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the rows of an Arrow batch of this session, so that batches of long texts stay small."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

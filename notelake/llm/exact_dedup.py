@@ -37,8 +37,16 @@ def _position(digest: str, k: int, bits: int) -> Column:
 def repeated_positions(digests: DataFrame, bits: int) -> DataFrame:
     """Pass 1: the blocks (block, bitmap) of positions that at least two rows hit; at most ``bits / 8`` bytes in all."""
     hits = digests.select(F.explode(F.array(*[_position("digest", k, bits) for k in range(HASHES)])).alias("position"))
-    twice = hits.groupBy("position").count().filter("count > 1")
-    return twice.groupBy(F.bitmap_bucket_number("position").alias("block")).agg(
+    return _blocks(hits.groupBy("position").count().filter("count > 1"))
+
+
+def positions_of(digests: DataFrame, bits: int) -> DataFrame:
+    """The blocks of an ordinary Bloom filter that holds all ``digest`` values; the same bound on its size."""
+    return _blocks(digests.select(F.explode(F.array(*[_position("digest", k, bits) for k in range(HASHES)])).alias("position")))
+
+
+def _blocks(positions: DataFrame) -> DataFrame:
+    return positions.groupBy(F.bitmap_bucket_number("position").alias("block")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("position")).alias("bitmap")
     )
 

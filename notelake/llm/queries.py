@@ -8,8 +8,8 @@ from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.llm import exact_dedup, mixing, packing
-from notelake.llm.common import table
+from notelake.llm import chat, exact_dedup, maxscore, mixing, near_dedup, packing, warc
+from notelake.llm.common import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,6 +31,32 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), 1024)
 
 
+@query("op2_prefix_target_chat", """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))),
+formatted AS (
+  SELECT *, role = 'assistant' AS reply, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, role DESC, text DESC) = 1 AS final,
+         sum(16 + length(replace(replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'), ':', '\:'))
+             + length(replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>')))
+           OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS chars
+  FROM turns),
+joined AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+         coalesce(string_agg(CASE WHEN reply THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS loss,
+         sum(CASE WHEN reply OR final THEN chars ELSE 0 END) AS formatted_chars, count(*) FILTER (WHERE reply OR final) AS n_examples
+  FROM formatted GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
+       CAST(formatted_chars AS BIGINT) AS formatted_chars, n_examples
+FROM joined""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    strange = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", strange), (-7, 1, "assistant", strange)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.read_back(chat.examples(turns))
+
+
 @query("op5_exact_dedup", """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
        sha256(coalesce(text, '')) AS text_sha256
@@ -43,3 +69,34 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(mixing.sized(table(spark, sf_dir, "documents")), (3, 1, 2), 1.5, 2.0)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "times")
+
+
+@query("op6_warc_round_trip", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + list_sum(list_transform(range(0, 5), b ->
+         ((strpos('0123456789abcdef', substr(h, CAST(1 + (5 * i + b) // 4 AS INTEGER), 1)) - 1) >> CAST(3 - (5 * i + b) % 4 AS INTEGER)) % 2
+         * CAST(2 ** (4 - b) AS BIGINT))) AS INTEGER), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = scratch(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), target)
+    return warc.read(spark, target).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op7_maxscore_search", """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.x AS DOUBLE[]), CAST(c.x AS DOUBLE[])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.nearest(table(spark, sf_dir, "embeddings"), 5, 50, 256.0)
+
+
+@query("op10_near_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), 4, 80).select("doc_id", "n_shingles", "component_id", "kept")
