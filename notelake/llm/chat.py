@@ -29,7 +29,7 @@ TARGETS = 64
 BATCH_CHARS = 4_000_000
 
 _ESCAPED = re.compile(r"\\(\\|###|</turn>|:)")
-_TURN = re.compile(r"### ((?:[^\\:]|\\.)*+): ((?:[^\\<]|\\.|<(?!/turn>))*+) </turn>\n", re.DOTALL)
+_TURN = re.compile(r"### ((?:[^\\:]|\\.)*+): ((?:[^\\<]|\\.|<(?!/turn>))*+)</turn>\n", re.DOTALL)
 
 
 def escape(text: str) -> str:
@@ -51,9 +51,9 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     """(role, text) of every turn; anything but a whole sequence of turns is an error."""
     turns, at = [], 0
     for match in _TURN.finditer(formatted):
-        if match.start() != at:
+        if match.start() != at or not match[2].endswith(" "):
             break
-        turns.append((unescape(match[1]), unescape(match[2])))
+        turns.append((unescape(match[1]), unescape(match[2].removesuffix(" "))))
         at = match.end()
     if at != len(formatted):
         raise ValueError("not a formatted conversation")

@@ -37,7 +37,7 @@ def check(spark, rows, target, **options):
 
 
 def test_given_pages_roll_and_repeat(spark, tmp_path):
-    rows = duckdb.sql("select page_id, url, html from '/root/testdata/sf0.001/pages.parquet'").fetchall()
+    rows = duckdb.sql("select page_id, url, html from '/root/testdata/sf0.01/pages.parquet'").fetchall()
     rows += [(i + 10_000, u, h) for i, u, h in rows[::3]]
     files = []
     for run in ("a", "b"):
