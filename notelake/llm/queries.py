@@ -8,9 +8,10 @@ from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.llm import chat, exact_dedup, maxscore, mixing, near_dedup, packing, warc
-from notelake.llm.common import scratch, table
+from notelake.llm import chat, exact_dedup, maxscore, mixing, near_dedup, packing, rollups, warc
+from notelake.llm.common import scratch, stored, table
 
+TOKENIZERS = {"byte_bpe_50k": path("byte_bpe_50k.json")}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -31,7 +32,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), 1024)
 
 
-@query("op2_prefix_target_chat", """
+@query("op2_prefix_target_chat", r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))),
@@ -57,6 +58,30 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.examples(turns))
 
 
+@query("op4_token_rollups")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after three batches: all documents enter; those labelled toxic leave; texts with blanks at an end are trimmed and counted anew.
+
+    The first batch is sent twice, which changes nothing.
+    """
+    blank = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    docs = docs.withColumn("trimmed", F.regexp_replace("text", blank, ""))
+    counted = rollups.token_counts(docs.drop("trimmed"), TOKENIZERS)
+    counted = stored(counted)
+    toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
+    anew = rollups.token_counts(docs.filter("trimmed != text").select("doc_id", "source", "lang", F.col("trimmed").alias("text")), TOKENIZERS)
+    anew = anew.join(toxic, "doc_id", "left_anti")
+    rollup = rollups.Rollup(spark, scratch(spark, "rollup"))
+    for batch in ("load", "load"):
+        rollup.commit(batch, rollups.inserts(counted))
+    rollup.commit("toxic", rollups.deletes(counted.join(toxic, "doc_id", "left_semi")))
+    old = counted.select("doc_id", "version", rollups.image().alias("before"))
+    rollup.commit("trimmed", anew.select("doc_id", "version", rollups.image().alias("after")).join(old, ["doc_id", "version"]).select("before", "after"))
+    rollup.compact()
+    return rollup.totals()
+
+
 @query("op5_exact_dedup", """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
        sha256(coalesce(text, '')) AS text_sha256
