@@ -8,7 +8,7 @@ from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.llm import chat, exact_dedup, maxscore, mixing, near_dedup, packing, rollups, warc
+from notelake.llm import chat, exact_dedup, langid, maxscore, mixing, near_dedup, packing, pii, rollups, warc
 from notelake.llm.common import scratch, stored, table
 
 TOKENIZERS = {"byte_bpe_50k": path("byte_bpe_50k.json")}
@@ -38,7 +38,7 @@ WITH turns AS (
   UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))),
 formatted AS (
   SELECT *, role = 'assistant' AS reply, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, role DESC, text DESC) = 1 AS final,
-         sum(16 + length(replace(replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'), ':', '\:'))
+         sum(15 + length(replace(replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'), ':', '\:'))
              + length(replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>')))
            OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS chars
   FROM turns),
@@ -58,6 +58,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.examples(turns))
 
 
+@query("op3_language_crf")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs.select("doc_id", "text"), langid.train(docs))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 @query("op4_token_rollups")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after three batches: all documents enter; those labelled toxic leave; texts with blanks at an end are trimmed and counted anew.
@@ -122,6 +129,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.nearest(table(spark, sf_dir, "embeddings"), 5, 50, 256.0)
 
 
+@query("op9_pii_boosting")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.find(table(spark, sf_dir, "documents")))
+
+
 @query("op10_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), 4, 80).select("doc_id", "n_shingles", "component_id", "kept")
