@@ -1,7 +1,6 @@
 """Fixed musical values and the small dimension tables built from them.
 
-Every table here has a fixed number of rows (the largest, the snap table, has 12 roots x 13 scales x 12 pitch
-classes), so a broadcast of any of them stays below a few hundred kilobytes whatever the size of the corpus.
+Every table here has a fixed number of rows, so a broadcast of any of them stays small whatever the size of the corpus.
 """
 
 from __future__ import annotations
@@ -115,8 +114,12 @@ def lookup(values: Mapping[str, float], key: Column, default: float | None = Non
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
+#: Weights of detectors that users have registered; they go before the fixed ones.
+REGISTERED_WEIGHTS: dict[str, float] = {}
+
+
 def method_weight(method: Column, weights: Mapping[str, float] | None = None) -> Column:
-    return lookup(weights or METHOD_WEIGHTS, method, 1.0)
+    return lookup(weights or {**METHOD_WEIGHTS, **REGISTERED_WEIGHTS}, method, 1.0)
 
 
 def tuning_notes(tuning: str | Sequence[int] = "standard") -> list[int]:
@@ -135,19 +138,7 @@ def tuning_notes(tuning: str | Sequence[int] = "standard") -> list[int]:
     return list(notes)
 
 
-def dim_tuning(spark: SparkSession) -> DataFrame:
-    rows = [(name, s, m) for name, notes in TUNINGS.items() for s, m in enumerate(notes)]
-    return spark.createDataFrame(rows, "tuning string, string int, open_midi int")
-
-
-def dim_scale(spark: SparkSession) -> DataFrame:
-    rows = [(name, i) for name, steps in SCALES.items() for i in steps]
-    return spark.createDataFrame(rows, "scale string, step int")
-
 
-def dim_chord(spark: SparkSession) -> DataFrame:
-    rows = [(name, i, steps) for i, (name, steps) in enumerate(CHORDS)]
-    return spark.createDataFrame(rows, "suffix string, ord int, steps array<int>")
 
 
 def dim_shape(spark: SparkSession) -> DataFrame:
@@ -158,14 +149,3 @@ def dim_shape(spark: SparkSession) -> DataFrame:
         if f != "x"
     ]
     return spark.createDataFrame(rows, "shape string, ord int, string int, fret int")
-
-
-def dim_profile(spark: SparkSession) -> DataFrame:
-    """24 rotated key profiles: (root, mode, mode_ord, pc, profile)."""
-    rows = [
-        (root, mode, m, (root + i) % 12, float(p))
-        for root in range(12)
-        for m, (mode, profile) in enumerate([("major", MAJOR_PROFILE), ("minor", MINOR_PROFILE)])
-        for i, p in enumerate(profile)
-    ]
-    return spark.createDataFrame(rows, "root int, mode string, mode_ord int, pc int, profile double")

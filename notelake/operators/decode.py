@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from notelake.operators.segment import mark_groups
 from notelake.operators.theory import HIGH, LOW
 from notelake.operators.timeline import BLOCK_ROWS, SLICE_US, Run, row_index, running
+from notelake.session import checkpointed
 
 STATES = np.arange(LOW, HIGH + 1)
 
@@ -27,55 +30,149 @@ def _emission(hz: np.ndarray, conf: np.ndarray, std: float = 25.0, octave: float
     return np.log(np.where(hz[:, None] > 0, np.maximum(p, 1e-10), 1e-10))
 
 
-def viterbi(log_prior: np.ndarray, log_trans: np.ndarray, log_emit: np.ndarray) -> tuple[np.ndarray, float]:
-    """Best state per row of ``log_emit`` and its log probability; the lowest state wins ties."""
-    n = len(log_emit)
+def _steps(v: np.ndarray, log_trans: np.ndarray, log_emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best predecessor of every state at each row (the lowest wins ties), and the scores after the last; ``v`` are those before the first."""
     back = np.zeros(log_emit.shape, dtype=np.int64)
-    v = log_prior + log_emit[0]
-    for t in range(1, n):
+    for t, emit in enumerate(log_emit):
         scores = v[:, None] + log_trans
         back[t] = scores.argmax(axis=0)
-        v = scores[back[t], np.arange(len(v))] + log_emit[t]
-    path = np.empty(n, dtype=np.int64)
-    path[-1] = v.argmax()
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t][path[t]]
-    return path, float(v.max())
+        v = scores[back[t], np.arange(len(v))] + emit
+    return back, v
+
+
+def _trace(back: np.ndarray, last: int) -> np.ndarray:
+    """States at every row, before the first row up to the last, of the path that ends in ``last``."""
+    path = np.empty(len(back) + 1, dtype=np.int64)
+    path[-1] = last
+    for t in range(len(back) - 1, -1, -1):
+        path[t] = back[t][path[t + 1]]
+    return path
+
+
+def viterbi(log_prior: np.ndarray, log_trans: np.ndarray, log_emit: np.ndarray) -> tuple[np.ndarray, float]:
+    """Best state per row of ``log_emit`` and its log probability; the lowest state wins ties."""
+    back, v = _steps(log_prior + log_emit[0], log_trans, log_emit[1:])
+    return _trace(back, int(v.argmax())), float(v.max())
+
+
+def _table(log_trans: np.ndarray, log_emit: np.ndarray) -> np.ndarray:
+    """Best score from each state before the rows to each state at their end."""
+    table = log_trans + log_emit[0]
+    for emit in log_emit[1:]:
+        table = (table[:, :, None] + log_trans[None, :, :]).max(axis=1) + emit
+    return table
+
+
+def _chained(rows: DataFrame, fold, schema: str, ascending: bool) -> DataFrame:
+    """``fold`` over the slices of each path in order, streaming: one slice summary in memory at a time."""
+    placed = rows.repartition("track_id", "first").sortWithinPartitions("track_id", "first", F.col("s") if ascending else F.col("s").desc())
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                if (row.track_id, row.first) != key:
+                    key, state = (row.track_id, row.first), None
+                given, state = fold(state, row)
+                out.append((row.track_id, row.first, row.s, given))
+            yield pd.DataFrame(out, columns=["track_id", "first", "s", "value"])
+
+    return placed.mapInPandas(stream, schema)
 
 
 def decode_hmm(
-    frames: DataFrame, priors: DataFrame, transitions: DataFrame, max_gap: int = 10, longest: int = 20_000, width: int = BLOCK_ROWS
+    frames: DataFrame, priors: DataFrame, transitions: DataFrame, max_gap: int | None = None, width: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Decoded pitch per voiced frame (track_id, frame, hz, confidence): a path over MIDI 40-88.
-
-    Stretches without a pitch longer than ``max_gap`` frames cut the track, and the notes after a cut start from the
-    prior again; that bounds the rows of one task. A stretch that goes on without such a pause is cut every ``longest``
-    frames as well (about eight minutes). ``transitions`` has 49 x 49 rows and goes to the tasks as one array.
+    """Decoded pitch per voiced frame (track_id, frame, hz, confidence): one path over MIDI 40-88 for each track.
+
+    ``first`` is the frame at which the path starts. With ``max_gap``, pauses longer than that many frames start a new path from
+    the prior; by default a track is one path. A long path is cut into slices of ``width`` frames that are worked on side by
+    side and give the path of one plain pass: each slice is summed up as a table from every state before it to every state at
+    its end; the tables are chained in order to the scores that enter each slice; with these a slice knows where each exit state
+    comes from; chained backwards this gives every slice its exit state, from which it is traced. ``transitions`` has 49 x 49
+    rows and goes to the tasks as one array.
     """
     t = np.full((len(STATES), len(STATES)), 1e-10)
     for row in transitions.filter(F.col("a").between(LOW, HIGH) & F.col("b").between(LOW, HIGH)).select("a", "b", "p").collect():
         t[row.a - LOW, row.b - LOW] = max(row.p, 1e-10)
     log_trans = np.log(t)
 
-    rows = running(frames.filter("hz > 0").select("track_id", "frame", "hz", "confidence"), ["frame"], width, prev=Run("last", F.col("frame"), inclusive=False))
-    cut = F.col("prev").isNull() | (F.col("frame") - F.col("prev") > max_gap)
-    rows = mark_groups(rows, ["frame"], cut, width, name="part", drop=["prev"])
-    start = F.col("part.frame")
-    rows = rows.withColumn("first", start + F.floor((F.col("frame") - start) / longest).cast("bigint") * longest).drop("part")
+    voiced = frames.filter("hz > 0").select("track_id", "frame", "hz", "confidence")
+    if max_gap is None:
+        rows = voiced.join(voiced.groupBy("track_id").agg(F.min("frame").alias("first")), "track_id")
+    else:
+        rows = running(voiced, ["frame"], width, prev=Run("last", F.col("frame"), inclusive=False))
+        cut = F.col("prev").isNull() | (F.col("frame") - F.col("prev") > max_gap)
+        rows = mark_groups(rows, ["frame"], cut, width, name="part", drop=["prev"])
+        rows = rows.withColumn("first", F.col("part.frame")).drop("part")
+    rows = checkpointed(rows.withColumn("s", F.floor(F.col("frame") / width).cast("bigint")).select("track_id", "first", "s", "frame", "hz", "confidence"))
+    path = ["track_id", "first"]
+    ends = rows.groupBy(*path).agg(F.min("s").alias("s_first"), F.max("s").alias("s_last"))
     prior = priors.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("midi", "p"))).alias("ps")).select("track_id", F.col("ps.p").alias("prior"))
-    rows = rows.join(prior, "track_id")
+    slices = rows.join(ends.join(prior, "track_id"), path)
+    key = [*path, "s"]
 
-    def decode(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        log_prior = np.log(np.maximum(np.asarray(pdf["prior"].iloc[0], dtype=float), 1e-10))
-        path, total = viterbi(log_prior, log_trans, _emission(pdf["hz"].to_numpy(), pdf["confidence"].to_numpy()))
-        return pd.DataFrame({"track_id": pdf["track_id"], "frame": pdf["frame"], "first": pdf["first"], "midi": path + LOW, "log_p": total})
+    def emission(pdf: pd.DataFrame) -> np.ndarray:
+        return _emission(pdf["hz"].to_numpy(), pdf["confidence"].to_numpy())
 
-    return rows.groupBy("track_id", "first").applyInPandas(decode, "track_id long, frame long, first long, midi int, log_p double")
+    def start(pdf: pd.DataFrame) -> np.ndarray:
+        return np.log(np.maximum(np.asarray(pdf["prior"].iloc[0], dtype=float), 1e-10))
+
+    def lead(pdf: pd.DataFrame) -> tuple[pd.DataFrame, bool]:
+        pdf = pdf.sort_values("frame")
+        return pdf, bool(pdf["s"].iloc[0] == pdf["s_first"].iloc[0])
+
+    def inside(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Predecessors from the second row on (from the first in later slices), and the final scores."""
+        emit = emission(pdf)
+        if pdf["s"].iloc[0] == pdf["s_first"].iloc[0]:
+            return _steps(start(pdf) + emit[0], log_trans, emit[1:])
+        return _steps(np.asarray(pdf["value"].iloc[0], dtype=float), log_trans, emit)
+
+    def tabulate(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, is_first = lead(pdf)
+        if pdf["s"].iloc[0] == pdf["s_last"].iloc[0]:
+            table = np.empty(0)  # nothing follows
+        else:
+            table = inside(pdf)[1] if is_first else _table(log_trans, emission(pdf)).ravel()
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in key}, "table": [table]})
+
+    def forward(state, row):
+        table = np.asarray(row.table, dtype=float)
+        if not len(table):
+            return state, None
+        return state, table if state is None else (state[:, None] + table.reshape(len(STATES), -1)).max(axis=0)
+
+    tables = slices.groupBy(*key).applyInPandas(tabulate, "track_id long, first long, s long, table array<double>")
+    entering = checkpointed(_chained(tables, forward, "track_id long, first long, s long, value array<double>", True))
+    known = slices.join(entering, key)
+
+    def origins(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, _ = lead(pdf)
+        back, v = inside(pdf)
+        came = np.arange(len(STATES))
+        for step in back[::-1]:
+            came = step[came]
+        final = pdf["s"].iloc[0] == pdf["s_last"].iloc[0]
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in key}, "came": [came], "best": [int(v.argmax()) if final else -1], "log_p": [float(v.max()) if final else None]})
+
+    found = checkpointed(known.groupBy(*key).applyInPandas(origins, "track_id long, first long, s long, came array<int>, best int, log_p double"))
+    leaving = _chained(found, lambda state, row: ((row.best if state is None else state), int(row.came[row.best if state is None else state])),
+                       "track_id long, first long, s long, value int", False).withColumnRenamed("value", "leaves")
+    total = found.filter(F.col("log_p").isNotNull()).select(*path, "log_p")
+
+    def trace(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, is_first = lead(pdf)
+        states = _trace(inside(pdf)[0], int(pdf["leaves"].iloc[0]))
+        return pd.DataFrame({"track_id": pdf["track_id"], "frame": pdf["frame"], "first": pdf["first"], "midi": (states if is_first else states[1:]) + LOW})
+
+    traced = known.join(leaving, key).groupBy(*key).applyInPandas(trace, "track_id long, frame long, first long, midi int")
+    return traced.join(total, path).select("track_id", "frame", "first", "midi", "log_p")
 
 
 def refine_notes(
-    notes: DataFrame, priors: DataFrame, transitions: DataFrame, max_gap: int = 1_000_000, width: int = SLICE_US
+    notes: DataFrame, priors: DataFrame, transitions: DataFrame, max_gap: int | None = None, width: int = SLICE_US
 ) -> DataFrame:
     """Notes (track_id, note_id, start_us, midi, hz, confidence) decoded again as observations; ``changed`` marks other pitches."""
     rows = row_index(notes, ["start_us", "note_id"], width, name="frame")

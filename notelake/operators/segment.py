@@ -234,9 +234,14 @@ def poly_frames_to_notes(
 
 
 def coalesce_detectors(primary: DataFrame, secondary: DataFrame, low_hz: float = 75.0, high_hz: float = 1400.0) -> DataFrame:
-    """Per frame: a confident primary pitch, else an in-range secondary one at 0.5, else the weak primary."""
+    """Per frame: a confident primary pitch, else an in-range secondary one at 0.5, else the weak primary.
+
+    Frames up to the last one that both detectors have reached count; a hole in the secondary leaves the primary. A track
+    without any secondary frame has none in common.
+    """
     s = secondary.select("track_id", "frame", F.col("frequency").alias("f2"))
-    rows = primary.join(s, ["track_id", "frame"])
+    last = s.groupBy("track_id").agg(F.max("frame").alias("_last"))
+    rows = primary.join(s, ["track_id", "frame"], "left").join(last, "track_id").filter(F.col("frame") <= F.col("_last"))
     sure = (F.col("frequency") > 0) & (F.col("confidence") > 0.5)
     fall_back = (F.col("f2") > 0) & F.col("f2").between(low_hz, high_hz)
     weak = F.col("frequency") > 0

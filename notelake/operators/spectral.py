@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notelake.operators.segment import mark_groups
-from notelake.operators.timeline import BLOCK_ROWS, following, group_quantile, halo, previous, running, slice_window
+from notelake.operators.timeline import BLOCK_ROWS, Run, following, group_quantile, halo, previous, running, slice_window
 from notelake.session import checkpointed
 
 EPS = 1e-10
@@ -111,7 +111,8 @@ def _before(rows: DataFrame, width: int, **cols: str) -> DataFrame:
 
 def spectral_flux(spec: DataFrame, width: int = BLOCK_ROWS, low_bin: int = 0, high_bin: int | None = None) -> DataFrame:
     """Rise over the previous frame summed over bins, scaled per track."""
-    m = F.col("mags") if high_bin is None and not low_bin else F.slice("mags", low_bin + 1, (high_bin or 10_000) - low_bin)
+    top = F.size("mags") if high_bin is None else F.lit(high_bin)
+    m = F.slice("mags", F.lit(low_bin + 1), F.greatest(top - low_bin, F.lit(0)))
     rows = _before(spec.select("track_id", "frame", m.alias("mags")), width, prev="mags")
     rise = _sum(F.zip_with("mags", "prev", lambda a, b: F.greatest(F.lit(0.0), a - b)))
     return track_scaled(rows.select("track_id", "frame", rise.alias("flux")), "flux")
@@ -452,9 +453,14 @@ def distortion_features(bins: DataFrame, samples: DataFrame, flatness: DataFrame
 
 
 def before_after_quality(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Counts, mean confidence and pitch stability of two runs, and the pitches gained and lost."""
+    """Counts, mean confidence and pitch stability of two runs (track_id, start_us, note_id, midi), and the pitches gained and lost.
+
+    Stability is the deviation of the steps from note to note, for tracks of more than ten notes; others have 0.
+    """
     def stats(df: DataFrame, p: str) -> DataFrame:
-        return df.groupBy("track_id").agg(F.count("*").alias(f"{p}_n"), F.avg("confidence").alias(f"{p}_conf"), F.stddev_pop("midi").alias(f"{p}_spread"))
+        rows = running(df.select("track_id", "start_us", "note_id", "midi", "confidence"), ["start_us", "note_id"], prev=Run("last", F.col("midi"), inclusive=False))
+        spread = F.when(F.count("*") > 10, F.stddev_pop(F.col("midi") - F.col("prev")))
+        return rows.groupBy("track_id").agg(F.count("*").alias(f"{p}_n"), F.avg("confidence").alias(f"{p}_conf"), spread.alias(f"{p}_spread"))
 
     a, b = before.select("track_id", "midi"), after.select("track_id", "midi")
     count = lambda df, name: df.groupBy("track_id").agg(F.count("*").alias(name))

@@ -49,7 +49,7 @@ register(
 
 
 def _onsets(spark, sf):
-    n = src.notes(spark, sf).filter("note_id % 2 = 0")
+    n = src.notes(spark, sf)
     return n.select("track_id", F.col("note_id").alias("onset_id"), F.col("start_us").alias("t_us"), "midi", "confidence", "dur_us", F.expr("note_id % 6 = 0").alias("is_legato"))
 
 
@@ -59,7 +59,7 @@ def _details(spark, sf):
 
 
 register(
-    "onset_detail_near", lambda spark, sf: jn.onset_detail_near(_onsets(spark, sf), _details(spark, sf)), "onset_id detail_id strength~ near_legato!", "notes",
+    "onset_detail_near", lambda spark, sf: jn.onset_detail_near(_onsets(spark, sf).filter("onset_id % 2 = 0"), _details(spark, sf)), "onset_id detail_id strength~ near_legato!", "notes",
     """result AS (SELECT o.note_id AS onset_id, arg_min(d.note_id, (d.start_us, d.note_id)) AS detail_id, arg_min(d.confidence, (d.start_us, d.note_id)) AS strength,
        bool_or(d.note_id % 3 = 0) AS near_legato FROM notes o JOIN notes d ON o.track_id = d.track_id AND abs(d.start_us - o.start_us) <= 50000
        WHERE o.note_id % 2 = 0 AND d.note_id % 2 = 1 GROUP BY ALL)""",
@@ -71,7 +71,7 @@ def _framed(spark, sf):
     return jn.with_frame(_onsets(spark, sf).withColumn("t_us", F.expr("t_us div 4")))
 
 
-_ON = "_on AS (SELECT track_id, note_id AS onset_id, start_us // 4 AS t_us, start_us // 4 // 23220 AS fr, midi, confidence, dur_us, note_id % 6 = 0 AS leg FROM notes WHERE note_id % 2 = 0)"
+_ON = "_on AS (SELECT track_id, note_id AS onset_id, start_us // 4 AS t_us, start_us // 4 // 23220 AS fr, midi, confidence, dur_us, note_id % 6 = 0 AS leg FROM notes)"
 _CUT = "c >= CASE WHEN leg THEN 0.3e0 * 0.6e0 ELSE 0.3e0 END AND dur_us >= CASE WHEN leg THEN 50000 * 0.7 ELSE 50000 END AND midi BETWEEN 36 AND 90"
 register(
     "pitch_at_onset", lambda spark, sf: jn.pitch_at_onset(_framed(spark, sf), src.frames(spark, sf)), "onset_id midi confidence~", "notes frames",
@@ -127,9 +127,9 @@ register(
 )
 register(
     "sustained_uncovered",
-    lambda spark, sf: jn.sustained_uncovered(src.notes(spark, sf).filter("note_id % 9 = 0").withColumn("start_us", F.expr("start_us div 4")), src.frames(spark, sf), 0.1, width=FRAME_SLICE),
+    lambda spark, sf: jn.sustained_uncovered(src.notes(spark, sf).withColumn("start_us", F.expr("start_us div 4")).withColumn("dur_us", F.expr("dur_us div 9")), src.frames(spark, sf), 0.1, width=FRAME_SLICE),
     "track_id run_frame midi n_frames confidence~ dur_us", "notes frames",
-    """_cv AS (SELECT track_id, start_us // 4 AS a, start_us // 4 + dur_us AS b FROM notes WHERE note_id % 9 = 0),
+    """_cv AS (SELECT track_id, start_us // 4 AS a, start_us // 4 + dur_us // 9 AS b FROM notes),
     _fr AS (SELECT * FROM frames f WHERE midi > 0 AND confidence >= 0.1 AND NOT EXISTS (SELECT 1 FROM _cv c WHERE c.track_id = f.track_id AND f.t_us >= a AND f.t_us < b)),
     _o AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY frame) AS rn FROM _fr),
     _g AS (SELECT track_id, rn, frame, midi AS a, frame AS r FROM _o WHERE rn = 1
@@ -144,7 +144,7 @@ register(
                WHERE (least(r + n_frames, last) - r) * 23220 >= 50000)""", recursive=True,
 )
 register(
-    "pitch_between_onsets", lambda spark, sf: jn.pitch_between_onsets(src.frames(spark, sf).filter("event_id % 6 = 0"), src.frames(spark, sf), FRAME_SLICE),
+    "pitch_between_onsets", lambda spark, sf: jn.pitch_between_onsets(src.onset_frames(spark, sf), src.frames(spark, sf), FRAME_SLICE),
     "track_id onset midi confidence~ n_frames", "frames",
     """_s AS (SELECT *, max(CASE WHEN event_id % 6 = 0 THEN frame END) OVER (PARTITION BY track_id ORDER BY frame) AS onset FROM frames),
        result AS (SELECT track_id, onset, floor(median(midi) FILTER (midi > 0)) AS midi, avg(confidence) AS confidence, count(*) AS n_frames FROM _s WHERE onset IS NOT NULL

@@ -70,10 +70,10 @@ for _name, _next in (("frames_to_notes_exact", True), ("frames_to_notes_exact_la
 
 register(
     "frames_to_notes_drift",
-    lambda spark, sf: seg.frames_to_notes_drift(src.frames(spark, sf).filter("event_id % 23 <> 0"), 1, 40_000, FRAME_SLICE),
+    lambda spark, sf: seg.frames_to_notes_drift(src.frames(spark, sf), 1, 40_000, FRAME_SLICE),
     "track_id run_frame midi start_us dur_us n_frames confidence~", "frames",
     """_o AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY frame) AS rn FROM frames
-              WHERE is_voiced AND midi > 0 AND event_id % 23 <> 0),
+              WHERE is_voiced AND midi > 0),
        _g AS (SELECT track_id, rn, frame, midi AS a, frame AS r FROM _o WHERE rn = 1
               UNION ALL
               SELECT o.track_id, o.rn, o.frame,
@@ -149,10 +149,10 @@ register(
 register(
     "merge_overlapping",
     lambda spark, sf: seg.merge_overlapping(
-        src.notes(spark, sf).filter("midi < 60").selectExpr("track_id", "note_id as id", "start_us", "start_us + dur_us as end_us",
+        src.notes(spark, sf).selectExpr("track_id", "note_id as id", "start_us", "start_us + dur_us as end_us",
                                                           "confidence as score", "method as reason"), NOTE_SLICE),
     "track_id start_us end_us score~ n reason$", "notes",
-    """_i AS (SELECT track_id, note_id, start_us, start_us + dur_us AS end_us, confidence, method FROM notes WHERE midi < 60),
+    """_i AS (SELECT track_id, note_id, start_us, start_us + dur_us AS end_us, confidence, method FROM notes),
        _f AS (SELECT *, max(end_us) OVER (PARTITION BY track_id ORDER BY start_us, note_id
                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM _i),
        _n AS (SELECT *, sum(CASE WHEN start_us < e THEN 0 ELSE 1 END) OVER (PARTITION BY track_id ORDER BY start_us, note_id) AS g FROM _f),
@@ -240,8 +240,10 @@ register(
     lambda spark, sf: seg.coalesce_detectors(*_primary(spark, sf)),
     "track_id frame frequency~ confidence~", "frames",
     """_p AS (SELECT *, CASE WHEN is_voiced THEN 440.0 * pow(2.0, (midi - 69) / 12.0) ELSE 0 END AS f1 FROM frames),
-       _j AS (SELECT *, CASE WHEN f1 > 0 AND confidence > 0.5 THEN 1 WHEN f1 * 2.5 > 0 AND f1 * 2.5 BETWEEN 75 AND 1400 THEN 2
-                     WHEN f1 > 0 THEN 3 ELSE 4 END AS c FROM _p WHERE event_id % 3 <> 0),
+       _l AS (SELECT track_id, max(frame) AS last FROM _p WHERE event_id % 3 <> 0 GROUP BY track_id),
+       _j AS (SELECT *, CASE WHEN f1 > 0 AND confidence > 0.5 THEN 1
+                     WHEN event_id % 3 <> 0 AND f1 * 2.5 > 0 AND f1 * 2.5 BETWEEN 75 AND 1400 THEN 2
+                     WHEN f1 > 0 THEN 3 ELSE 4 END AS c FROM _p JOIN _l USING (track_id) WHERE frame <= last),
        result AS (SELECT track_id, frame, CASE c WHEN 1 THEN f1 WHEN 2 THEN f1 * 2.5 WHEN 3 THEN f1 ELSE 0 END AS frequency,
                   CASE c WHEN 1 THEN confidence WHEN 2 THEN 0.5 WHEN 3 THEN greatest(0.3, confidence) ELSE 0 END AS confidence FROM _j)""",
 )
@@ -259,10 +261,10 @@ register(
 
 
 def _heads(spark, sf):
-    b = src.bins(spark, sf).filter("bin < 60").withColumn("string", F.expr("bin div 10"))
+    b = src.bins(spark, sf).withColumn("string", F.expr("least(bin div 10, 5)"))
     n = b.groupBy("track_id").agg((F.max("frame") + 1).alias("n_frames"))
     heads = b.groupBy("track_id", "frame", "string").agg(
-        F.max(F.col("mag") * 2).alias("onset"), F.max_by(F.expr("bin % 10"), F.expr("struct(mag, -bin)")).alias("fret_class"))
+        F.max(F.col("mag") * 2).alias("onset"), F.max_by(F.expr("bin - 10 * string"), F.expr("struct(mag, -bin)")).alias("fret_class"))
     return heads.join(n, "track_id").withColumn("open_midi", F.expr("element_at(array(40, 45, 50, 55, 59, 64), cast(string as int) + 1)"))
 
 
@@ -270,8 +272,8 @@ register(
     "string_head_to_notes",
     lambda spark, sf: seg.string_head_to_notes(_heads(spark, sf), width=FRAME_SLICE),
     "track_id string midi start_us dur_us confidence~", "bins",
-    """_h AS (SELECT track_id, frame, bin // 10 AS string, max(mag * 2) AS onset, arg_max(bin % 10, (mag, -bin)) AS c FROM bins
-              WHERE bin < 60 GROUP BY ALL),
+    """_h AS (SELECT track_id, frame, least(bin // 10, 5) AS string, max(mag * 2) AS onset, arg_max(bin - 10 * least(bin // 10, 5), (mag, -bin)) AS c FROM bins
+              GROUP BY ALL),
        _n AS (SELECT track_id, max(frame) + 1 AS nf FROM bins GROUP BY ALL),
        _l AS (SELECT _h.*, nf, lead(frame) OVER (PARTITION BY track_id, string ORDER BY frame) AS nx FROM _h JOIN _n USING (track_id) WHERE onset > 0.5),
        result AS (SELECT track_id, string, [40, 45, 50, 55, 59, 64][string + 1] + c - 1 AS midi, frame * 23220 AS start_us,

@@ -81,7 +81,7 @@ register(
 )
 register(
     "backtrack_onset",
-    lambda spark, sf: sec.backtrack_onset(src.frames(spark, sf).filter("event_id % 6 = 0").select("track_id", F.col("event_id").alias("onset_id"), (F.col("t_us") + 7000).alias("t_us")),
+    lambda spark, sf: sec.backtrack_onset(src.onset_frames(spark, sf).select("track_id", F.col("event_id").alias("onset_id"), (F.col("t_us") + 7000).alias("t_us")),
                                           src.frames(spark, sf).select("track_id", "t_us", F.col("confidence").alias("rms"))),
     "onset_id t_us back_us", "frames",
     """result AS (SELECT o.event_id AS onset_id, o.t_us + 7000 AS t_us, arg_min(f.t_us, (f.confidence, f.t_us)) AS back_us FROM frames o JOIN frames f

@@ -13,7 +13,7 @@ STEP = 175
 
 
 def _spec(spark, sf):
-    return src._stored(spark, sf, "spectra", lambda: sp.spectra(src.bins(spark, sf)))
+    return sp.spectra(src.bins(spark, sf))
 
 
 def _bands_sql(a, b, close=False):
@@ -187,7 +187,7 @@ register(
 )
 register(
     "transient_strength",
-    lambda spark, sf: sp.transient_strength(src.samples(spark, sf), src.samples(spark, sf).filter("idx % 50 = 0").select("track_id", "idx"), 32, 1024), "track_id idx strength~", "samples",
+    lambda spark, sf: sp.transient_strength(src.samples(spark, sf), src.onset_samples(spark, sf), 32, 1024), "track_id idx strength~", "samples",
     """_w AS (SELECT track_id, idx, sqrt(avg(x * x) OVER (PARTITION BY track_id ORDER BY idx ROWS BETWEEN 32 PRECEDING AND 1 PRECEDING)) AS b,
                   sqrt(avg(x * x) OVER (PARTITION BY track_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND 31 FOLLOWING)) AS a FROM samples),
     result AS (SELECT track_id, idx, CASE WHEN coalesce(b, 0) > 0 THEN least(a / b, 10) / 10 ELSE least(a * 100, 1) END AS strength FROM _w WHERE idx % 50 = 0)""",
@@ -230,8 +230,9 @@ register(
 register(
     "before_after_quality", lambda spark, sf: sp.before_after_quality(src.notes(spark, sf).filter("method = 'pyin'"), src.notes(spark, sf).filter("method = 'cqt'")),
     "track_id before_n before_conf~ before_spread~ after_n after_conf~ after_spread~ gained lost common", "notes",
-    """_a AS (SELECT track_id, count(*) AS before_n, avg(confidence) AS before_conf, stddev_pop(midi) AS before_spread FROM notes WHERE method = 'pyin' GROUP BY ALL),
-    _b AS (SELECT track_id, count(*) AS after_n, avg(confidence) AS after_conf, stddev_pop(midi) AS after_spread FROM notes WHERE method = 'cqt' GROUP BY ALL),
+    """_d AS (SELECT *, midi - lag(midi) OVER (PARTITION BY track_id, method ORDER BY start_us, note_id) AS step FROM notes),
+    _a AS (SELECT track_id, count(*) AS before_n, avg(confidence) AS before_conf, CASE WHEN count(*) > 10 THEN stddev_pop(step) END AS before_spread FROM _d WHERE method = 'pyin' GROUP BY ALL),
+    _b AS (SELECT track_id, count(*) AS after_n, avg(confidence) AS after_conf, CASE WHEN count(*) > 10 THEN stddev_pop(step) END AS after_spread FROM _d WHERE method = 'cqt' GROUP BY ALL),
     _s AS (SELECT track_id, midi, bool_or(method = 'pyin') AS p, bool_or(method = 'cqt') AS c FROM notes GROUP BY ALL),
     _c AS (SELECT track_id, count(*) FILTER (c AND NOT p) AS gained, count(*) FILTER (p AND NOT c) AS lost, count(*) FILTER (p AND c) AS common FROM _s GROUP BY ALL),
     result AS (SELECT track_id, coalesce(before_n, 0) AS before_n, coalesce(before_conf, 0) AS before_conf, coalesce(before_spread, 0) AS before_spread, coalesce(after_n, 0) AS after_n,

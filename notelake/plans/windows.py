@@ -63,7 +63,7 @@ register(
 )
 register(
     "note_density",
-    lambda spark, sf: win.note_density(src.frames(spark, sf), src.frames(spark, sf).filter("event_id % 6 = 0"), 20, width=FRAME_SLICE),
+    lambda spark, sf: win.note_density(src.frames(spark, sf), src.onset_frames(spark, sf), 20, width=FRAME_SLICE),
     "track_id frame density~ is_fast! is_slow!", "frames",
     """_n AS (SELECT track_id, max(frame) + 1 AS n FROM frames GROUP BY ALL),
        _d AS (SELECT f.track_id, f.frame, n, sum((event_id % 6 = 0)::INT) OVER (PARTITION BY f.track_id ORDER BY f.frame ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING)

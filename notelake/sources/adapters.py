@@ -13,17 +13,6 @@ DAY_US = 86_400_000_000
 METHODS = {"click": "pyin", "view": "cqt", "error": "hps", "signup": "yin", "purchase": "piptrack"}
 
 
-_STORED: dict[tuple[str, str, str], DataFrame] = {}
-
-
-def _stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """Frame and bin tables are stored once per application, as a corpus would hold them: they need a row number."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _STORED:
-        _STORED[key] = checkpointed(build())
-    return _STORED[key]
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -70,7 +59,7 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stored(spark, sf_dir, "frames", lambda: _frames(spark, sf_dir))
+    return checkpointed(_frames(spark, sf_dir))
 
 
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,9 +74,19 @@ def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def onset_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The onsets that go with ``frames``: one event in six."""
+    return frames(spark, sf_dir).filter("event_id % 6 = 0")
+
+
+def onset_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The onsets that go with ``samples``: every fiftieth place."""
+    return samples(spark, sf_dir).filter("idx % 50 = 0").select("track_id", "idx")
+
+
 def _spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").selectExpr("cast(label as bigint) as track_id", "vec_id", "embedding")
-    return _stored(spark, sf_dir, "spectrum", lambda: row_index(vectors, ["vec_id"], width=4096, name="frame"))
+    return checkpointed(row_index(vectors, ["vec_id"], width=4096, name="frame"))
 
 
 def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,8 +108,7 @@ def notes_big(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_extendedprice",
     )
     order = ["start_us", "l_orderkey", "l_linenumber", "l_extendedprice"]
-    return _stored(spark, sf_dir, "notes_big", lambda: row_index(rows, order, name="note_id").select(
-        "track_id", "note_id", "start_us", "dur_us", "midi"))
+    return checkpointed(row_index(rows, order, name="note_id").select("track_id", "note_id", "start_us", "dur_us", "midi"))
 
 
 # ---------------------------------------------------------------------------------------------------------------

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notelake.functions.dims import REGISTERED_WEIGHTS
+
 TRUTH_SCHEMA = (
     "name string, sample_rate int, duration double, notes array<struct<midi_note int, note_name string, frequency_hz double, "
     "start_time double, end_time double, duration double, velocity double, string int, fret int>>"
@@ -62,7 +64,6 @@ def plan_cases(cases: DataFrame, methods: Sequence[str], present: DataFrame) ->
 
 
 DETECTORS: dict[str, Callable[[pd.DataFrame], pd.DataFrame]] = {}
-WEIGHTS: dict[str, float] = {}
 
 
 def register_detector(name: str, fn: Callable[[pd.DataFrame], pd.DataFrame]) -> None:
@@ -71,8 +72,8 @@ def register_detector(name: str, fn: Callable[[pd.DataFrame], pd.DataFrame]) ->
 
 
 def register_weights(weights: dict[str, float]) -> None:
-    """Weights of user detectors; a method without one counts 1.0."""
-    WEIGHTS.update(weights)
+    """Weights of user detectors in every vote that has no table of its own; a method without one counts 1.0."""
+    REGISTERED_WEIGHTS.update(weights)
 
 
 def run_detectors(frames: DataFrame, names: Sequence[str] | None = None) -> DataFrame:

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from notelake.operators.export import timeline
 
-PART_US = 600_000_000
-
 
 def write_results(results: DataFrame, summary: DataFrame, path: str, run_id: str) -> None:
     """Detailed results and summary of one run, each partitioned by run; a rerun of the same run replaces it."""
@@ -24,15 +22,15 @@ def latest_results(spark: SparkSession, path: str, name: str = "summary") -> Dat
 
 
 def sync_documents(
-    tabs: DataFrame, chords: DataFrame, beat_rows: DataFrame, measure_rows: DataFrame, tempo: int, part_us: int = PART_US
+    tabs: DataFrame, chords: DataFrame, beat_rows: DataFrame, measure_rows: DataFrame, tempo: int, part_us: int | None = None
 ) -> DataFrame:
     """Playback documents as (track_id, part, document): metadata, notes, chords, beats, measures, events in time order.
 
-    A recording up to ``part_us`` long is one document; longer ones continue in further parts, so no document holds
-    an unbounded stretch of a track.
+    One document holds a whole recording. ``part_us`` cuts long ones into parts of that length instead, so that no
+    document holds an unbounded stretch. A track without tabs but with chords, beats or measures has a document without notes.
     """
     s = lambda c, d=3: F.round(F.col(c) / 1e6, d)
-    part = lambda c: F.floor(F.col(c) / part_us).cast("bigint").alias("part")
+    part = lambda c: (F.floor(F.col(c) / part_us) if part_us else F.lit(0)).cast("bigint").alias("part")
 
     def before(a: Column, b: Column) -> Column:
         ka, kb = F.struct(a["_t"], a["_o"]), F.struct(b["_t"], b["_o"])
@@ -54,7 +52,7 @@ def sync_documents(
     for df in (chord, beat, bars, events):
         out = out.join(df, ["track_id", "part"], "full")
     drop = lambda col: F.transform(col, lambda x: x.dropFields("_t", "_o"))
-    out = out.join(span, "track_id")
+    out = out.join(span, "track_id", "left").fillna(0, ["total_notes"])
     document = F.struct(
         F.lit("1.0").alias("version"),
         F.struct(F.col("track_id"), s("dur").alias("duration"), F.lit(tempo).alias("tempo"), F.lit("4/4").alias("time_signature"), "total_notes",

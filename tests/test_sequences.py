@@ -99,3 +99,21 @@ def test_decoder_mends_an_octave_error(spark):
     notes = df.select("track_id", F.col("frame").alias("note_id"), (F.col("frame") * 1000).alias("start_us"), F.expr("if(hz > 500, 81, 69)").alias("midi"), "hz", "confidence")
     changed = [r.note_id for r in dec.refine_notes(notes, priors, model).filter("changed").collect()]
     assert changed == [5]
+
+
+def test_decoder_slices_equal_one_plain_pass(spark):
+    rng = np.random.default_rng(5)
+    n = 3000
+    rows = [(1, int(f), float(440 * 2 ** (rng.normal(0, 1))), float(rng.random())) for f in range(n)]  # no pause at all
+    prior = rng.random(49)
+    trans = rng.random((49, 49)) ** 4
+    trans /= trans.sum(axis=1, keepdims=True)
+    df = spark.createDataFrame(rows, "track_id long, frame long, hz double, confidence double")
+    priors = spark.createDataFrame([(1, m + 40, float(p)) for m, p in enumerate(prior)], "track_id long, midi int, p double")
+    model = spark.createDataFrame([(a + 40, b + 40, float(trans[a, b])) for a in range(49) for b in range(49)], "a int, b int, p double")
+    emit = dec._emission(np.array([r[2] for r in rows]), np.array([r[3] for r in rows]))
+    path, total = dec.viterbi(np.log(prior), np.log(np.maximum(trans, 1e-10)), emit)
+    for width in (370, 5000):
+        got = sorted(dec.decode_hmm(df, priors, model, width=width).collect(), key=lambda r: r.frame)
+        assert [r.midi - 40 for r in got] == path.tolist()
+        assert {r.first for r in got} == {0} and got[0].log_p == pytest.approx(total)
