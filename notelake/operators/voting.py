@@ -175,14 +175,16 @@ def bin_consensus(notes: DataFrame, cell_us: int = 50_000) -> DataFrame:
     rows = notes.withColumn("cell", F.floor(F.col("start_us") / cell_us).cast("bigint"))
     return rows.groupBy("track_id", "midi", "cell").agg(
         F.count("*").alias("n"), F.avg("start_us").alias("start_us"), F.avg(F.col("start_us") + F.col("dur_us")).alias("end_us"),
-        F.avg("confidence").alias("c"),
-    ).select("track_id", "midi", "cell", "n", "start_us", "end_us",
+        F.avg("confidence").alias("c"), F.avg("frequency").alias("frequency"), F.max("level").alias("level"),
+    ).select("track_id", "midi", "cell", "n", "start_us", "end_us", "frequency", "level",
              F.least(F.lit(1.0), F.col("c") * (1 + 0.2 * (F.col("n") - 1))).alias("confidence"))
 
 
 def detector_stats(candidates: DataFrame) -> DataFrame:
-    """Per track and method: counts, frequency range and mean confidence."""
+    """Per track and method: counts, share with a pitch, frequency range, mean confidence, rate, and mean length where ``dur_us`` is given."""
+    extra = [F.avg("dur_us").alias("mean_dur_us")] if "dur_us" in candidates.columns else []
     return candidates.groupBy("track_id", "method").agg(
+        *extra, F.avg((F.coalesce(F.col("frequency"), F.lit(0.0)) > 0).cast("double")).alias("voiced"),
         F.count("*").alias("n"), F.min("frequency").alias("min_hz"), F.max("frequency").alias("max_hz"),
         F.avg("frequency").alias("mean_hz"), F.avg("confidence").alias("mean_conf"),
         F.try_divide(F.count("*"), (F.max("t_us") - F.min("t_us")) / 1e6).alias("rate"),

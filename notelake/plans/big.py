@@ -12,7 +12,7 @@ from notelake.plans.registry import anchored_sql, register
 from notelake.plans.theory import key_sql
 from notelake.sources import adapters as src
 
-_NOTES = """_nb AS (SELECT l_partkey AS track_id, (date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) % 500) * 20000 AS start_us,
+_NOTES = """_nb AS (SELECT l_partkey AS track_id, (date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) % 500) * 500000 AS start_us,
        CAST(10000 + l_quantity * 4000 AS BIGINT) AS dur_us, 40 + CAST(floor(l_extendedprice) AS BIGINT) % 49 AS midi, l_orderkey, l_linenumber, l_extendedprice FROM lineitem),
     nb AS (SELECT track_id, start_us, dur_us, midi, row_number() OVER (PARTITION BY track_id ORDER BY start_us, l_orderkey, l_linenumber, l_extendedprice) - 1 AS note_id FROM _nb)"""
 

@@ -158,18 +158,20 @@ register(
                QUALIFY row_number() OVER (PARTITION BY track_id, frame ORDER BY swap DESC, n DESC, o) = 1)""",
 )
 register(
-    "bin_consensus", lambda spark, sf: vote.bin_consensus(src.notes_dense(spark, sf).withColumn("midi", F.expr("midi % 5 + 60"))),
-    "track_id midi cell n start_us~ end_us~ confidence~", "notes_dense",
+    "bin_consensus", lambda spark, sf: vote.bin_consensus(src.notes_dense(spark, sf).withColumn("midi", F.expr("midi % 5 + 60")).withColumn(
+        "frequency", F.expr("cast(400 + note_id % 50 as double)")).withColumn("level", F.expr("cast(note_id % 90 as double)"))),
+    "track_id midi cell n start_us~ end_us~ frequency~ level~ confidence~", "notes_dense",
     """_c AS (SELECT track_id, midi % 5 + 60 AS midi, start_us // 50000 AS cell, count(*) AS n, avg(start_us) AS start_us,
-                  avg(start_us + dur_us) AS end_us, avg(confidence) AS c FROM notes_dense GROUP BY 1, 2, 3),
+                  avg(start_us + dur_us) AS end_us, avg(confidence) AS c, avg(400 + note_id % 50) AS frequency, max(note_id % 90) AS level FROM notes_dense GROUP BY 1, 2, 3),
        result AS (SELECT *, least(1.0, c * (1 + 0.2 * (n - 1))) AS confidence FROM _c)""",
 )
 register(
-    "detector_stats", lambda spark, sf: vote.detector_stats(src.candidates(spark, sf)),
-    "track_id method$ n min_hz~ max_hz~ mean_hz~ mean_conf~ rate~", "candidates",
-    """result AS (SELECT track_id, method, count(*) AS n, min(frequency) AS min_hz, max(frequency) AS max_hz, avg(frequency) AS mean_hz,
+    "detector_stats", lambda spark, sf: vote.detector_stats(src.candidates(spark, sf).withColumn("dur_us", F.expr("10000 + cand_id % 7000")).withColumn("frequency", F.expr("if(cand_id % 17 = 0, 0D, frequency)"))),
+    "track_id method$ n voiced~ mean_dur_us~ min_hz~ max_hz~ mean_hz~ mean_conf~ rate~", "candidates",
+    """_u AS (SELECT * REPLACE (CASE WHEN cand_id % 17 = 0 THEN 0 ELSE frequency END AS frequency) FROM candidates),
+       result AS (SELECT track_id, method, count(*) AS n, avg((frequency > 0)::INT) AS voiced, avg(10000 + cand_id % 7000) AS mean_dur_us, min(frequency) AS min_hz, max(frequency) AS max_hz, avg(frequency) AS mean_hz,
                   avg(confidence) AS mean_conf, CASE WHEN max(t_us) > min(t_us) THEN count(*) / ((max(t_us) - min(t_us)) / 1e6) END AS rate
-                  FROM candidates GROUP BY ALL)""",
+                  FROM _u GROUP BY ALL)""",
 )
 register(
     "detector_sets", lambda spark, sf: vote.method_sets(src.notes(spark, sf), "pyin", "cqt"),

@@ -103,7 +103,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def notes_big(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").selectExpr(
-        "l_partkey as track_id", "(datediff(l_shipdate, date'1970-01-01') % 500) * 20000L as start_us",
+        "l_partkey as track_id", "(datediff(l_shipdate, date'1970-01-01') % 500) * 500000L as start_us",
         "cast(10000 + l_quantity * 4000 as bigint) as dur_us", "cast(40 + floor(l_extendedprice) % 49 as int) as midi",
         "l_orderkey", "l_linenumber", "l_extendedprice",
     )
