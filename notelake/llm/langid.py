@@ -312,7 +312,9 @@ def train(docs: DataFrame, per_language: int = 600, window: int = 600, text: str
     shares = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(int(1_000_000 * min(1.0, 1.2 * per_language / n)) + 1))])
     chosen = rows.filter(F.pmod("h", F.lit(1_000_000)) < shares[F.col("lang")])
     start = F.pmod(F.shiftright("h", 20), F.greatest(F.col("n") - window, F.lit(0)) + 1) + 1
-    sample = chosen.select("lang", F.substring("text", start.cast("int"), F.lit(window)).alias("text")).limit(4 * per_language * len(counts)).collect()
+    # copies of one text are all chosen or none: one of them is enough, so no group of copies fills the sample
+    parts = chosen.select("lang", "h", F.substring("text", start.cast("int"), F.lit(window)).alias("text")).dropDuplicates(["lang", "h"])
+    sample = parts.select("lang", "text").limit(4 * per_language * len(counts)).collect()
     return fit([(r["lang"], r["text"]) for r in sample])
 
 
