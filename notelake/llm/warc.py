@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from notelake.llm.common import small_batches, stored, text_or_empty
 
 ROLL_BYTES = 8_000_000
+SAMPLED = 200_000  # keys that the driver sees; more shards than that grow beyond ``shard_rows`` instead
 DATE = "2024-01-01T00:00:00Z"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space for URLs
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -82,9 +83,9 @@ def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _bounds(keys: DataFrame, shards: int) -> list[int]:
-    """Keys at which shards begin: quantiles of a sample that depends on the keys only (about 64 keys a shard)."""
+    """Keys at which shards begin: quantiles of a sample that depends on the keys only (about 64 keys a shard, SAMPLED at most)."""
     n = keys.count()
-    step = max(1, n // (64 * shards))
+    step = max(1, n // min(64 * shards, SAMPLED))
     picked = keys.filter(F.pmod(F.xxhash64("page_id"), F.lit(step)) == 0).filter("page_id is not null")
     found = sorted(r[0] for r in picked.distinct().collect())
     return sorted({found[len(found) * i // shards] for i in range(1, shards)}) if found else []
