@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notelake.operators.timeline import BLOCK_ROWS, following, group_anchored, halo, running
+from notelake.operators.timeline import BLOCK_ROWS, following, group_anchored, halo, running, slice_window
 
 HOP_US = 23_220
 
@@ -156,6 +156,47 @@ def legato_notes(
     return out.select("track_id", F.col("onset").alias("frame"), F.col("end").alias("stop"), "midi", (F.col("c") * F.col("onset_conf")).alias("confidence"))
 
 
+def note_offsets(
+    onsets: DataFrame, frames: DataFrame, min_frames: int = 4, max_ring: int = 172, window: int = 5, spread: float = 2.0,
+    decay: float = 0.1, floor: float = 0.01, width: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Where each onset's note ends: (track_id, onset_id, frame, offset_frame, method, confidence).
+
+    ``onsets`` has track_id, onset_id and frame, ``frames`` one row per frame with rms and pitch (in semitones, 0 without one).
+    A note ends at the earliest of: level under ``decay`` of its peak or under ``floor``; a pitch that is gone or spreads over more than
+    ``spread`` semitones within ``window`` frames; the next onset; ``max_ring`` frames. Nothing ends it within ``min_frames``. An
+    onset reads at most ``max_ring`` frames, so the rows of one onset are bounded.
+    """
+    heard = F.when(F.col("pitch") > 0, F.col("pitch"))
+    near = slice_window(["track_id"], "frame").rowsBetween(0, window - 1)
+    f = halo(frames.select("track_id", "frame", "rms", "pitch"), "frame", width, after=window - 1)
+    f = f.withColumn("loose", (F.count(heard).over(near) < window // 2) | F.coalesce(F.stddev_pop(heard).over(near) > spread, F.lit(False)))
+    f = f.filter("_own").select("track_id", F.col("frame").alias("at"), "rms", (F.col("pitch") > 0).alias("heard"), "loose")
+    ends = frames.groupBy("track_id").agg(F.max("frame").alias("last"))
+    rows = running(onsets.select("track_id", "frame", "onset_id"), ["frame", "onset_id"], width, nxt=following("frame"))
+    rows = rows.withColumn("nxt", F.col("nxt.frame")).join(ends, "track_id")
+    stop = F.least(F.col("last"), F.col("frame") + max_ring, F.coalesce(F.col("nxt") + max_ring // 2, F.col("last")))
+    rows = rows.withColumn("stop", stop)
+    late = rows.filter("frame > last").select("track_id", "onset_id", "frame", (F.col("frame") + 5).alias("offset_frame"), F.lit("fallback").alias("method"), F.lit(0.3).alias("confidence"))
+    note = ["track_id", "onset_id", "frame", "nxt", "last", "stop"]
+    reach = rows.filter("frame <= last").withColumn("at", F.explode(F.sequence("frame", "stop"))).join(f, ["track_id", "at"])
+    i = F.col("at") - F.col("frame")
+    reach = reach.withColumn("peak", F.max(F.when(i < 10, F.col("rms"))).over(Window.partitionBy("track_id", "onset_id")))
+    quiet = (i >= min_frames) & ((F.col("rms") < F.col("peak") * decay) | (F.col("rms") < floor))
+    loose = (i >= min_frames) & (F.col("at") <= F.col("stop") - window) & F.col("loose")
+    found = reach.groupBy(*note, "peak").agg(
+        F.bool_or("heard").alias("heard"), F.min(F.when(quiet, F.col("at"))).alias("quiet"), F.min(F.when(loose, F.col("at"))).alias("loose"))
+    reasons = [("energy_decay", F.col("quiet"), 0.8), ("pitch_change", F.when(F.col("heard"), F.col("loose")), 0.7), ("next_onset", F.col("nxt"), 0.6),
+               ("max_ring", F.least(F.col("frame") + max_ring, F.col("last")), 0.4)]
+    options = F.array(*[F.struct(at.alias("at"), F.lit(n).alias("n"), F.lit(name).alias("method"), F.lit(c).alias("c")) for n, (name, at, c) in enumerate(reasons)])
+    first = F.array_min(F.filter(options, lambda x: x["at"] >= F.col("frame") + min_frames))
+    least = F.struct((F.col("frame") + min_frames).alias("at"), F.lit(9).alias("n"), F.lit("min_duration").alias("method"), F.lit(0.5).alias("c"))
+    silent = F.struct((F.col("frame") + min_frames).alias("at"), F.lit(9).alias("n"), F.lit("silence").alias("method"), F.lit(0.7).alias("c"))
+    found = found.withColumn("end", F.when(F.col("peak") < floor, silent).otherwise(F.coalesce(first, least)))
+    out = found.select("track_id", "onset_id", "frame", F.col("end.at").alias("offset_frame"), F.col("end.method").alias("method"), F.col("end.c").alias("confidence"))
+    return out.unionByName(late)
+
+
 def pitch_trend(frames: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per note (``keys``): slope in semitones per second, spread, total change and turns of direction of its frames."""
     keys = list(keys)

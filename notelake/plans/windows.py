@@ -276,3 +276,28 @@ register(
         CASE WHEN tap THEN CASE WHEN leg THEN 0.8 ELSE 0.6 END WHEN t4 IN ('hammer_on', 'pull_off') THEN CASE WHEN ns = string THEN 0.9 ELSE 0.7 END WHEN t4 = 'bend' THEN 0.5
              WHEN t4 IN ('slide_up', 'slide_down') THEN 0.8 WHEN t4 = 'tremolo' THEN least(1.0, rate / 15) ELSE 0 END AS confidence FROM _t5)""", recursive=True,
 )
+
+
+def _offsets(spark, sf):
+    f = src.frames(spark, sf).withColumn("rms", F.expr("confidence * (60 - frame % 60) / 60D")).withColumn("pitch", F.expr("cast(midi as double)"))
+    return win.note_offsets(src.onset_frames(spark, sf, 30).withColumnRenamed("event_id", "onset_id"), f, spread=2.05, width=FRAME_SLICE)
+
+
+register(
+    "note_offsets", _offsets, "track_id onset_id offset_frame method$ confidence~", "frames",
+    """_f AS (SELECT track_id, frame, confidence * (60 - frame % 60) / 60e0 AS rms, midi::DOUBLE AS pitch FROM frames),
+    _w AS (SELECT *, count(*) FILTER (pitch > 0) OVER w AS nv, stddev_pop(CASE WHEN pitch > 0 THEN pitch END) OVER w AS sd FROM _f
+           WINDOW w AS (PARTITION BY track_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+    _n AS (SELECT track_id, max(frame) AS last FROM _f GROUP BY ALL),
+    _o AS (SELECT track_id, event_id AS onset_id, frame AS fr, lead(frame) OVER (PARTITION BY track_id ORDER BY frame) AS nxt FROM frames WHERE event_id % 30 = 0),
+    _s AS (SELECT *, least(last, fr + 172, coalesce(nxt + 86, last)) AS stop FROM _o JOIN _n USING (track_id)),
+    _j AS (SELECT s.*, frame - fr AS i, rms, pitch, nv, sd FROM _s s JOIN _w w ON w.track_id = s.track_id AND w.frame BETWEEN fr AND stop),
+    _p AS (SELECT *, max(rms) FILTER (i < 10) OVER (PARTITION BY onset_id) AS peak FROM _j),
+    _a AS (SELECT track_id, onset_id, fr, nxt, last, max(peak) AS peak, bool_or(pitch > 0) AS heard, min(fr + i) FILTER (i >= 4 AND (rms < peak * 0.1e0 OR rms < 0.01e0)) AS e,
+                  min(fr + i) FILTER (i >= 4 AND fr + i <= stop - 5 AND (nv < 2 OR sd > 2.05)) AS p FROM _p GROUP BY ALL),
+    _b AS (SELECT track_id, onset_id, fr, peak, e, CASE WHEN heard THEN p END AS p, CASE WHEN nxt >= fr + 4 THEN nxt END AS x, CASE WHEN least(fr + 172, last) >= fr + 4 THEN least(fr + 172, last) END AS r FROM _a),
+    _c AS (SELECT *, least(e, p, x, r) AS best FROM _b),
+    result AS (SELECT track_id, onset_id, CASE WHEN peak < 0.01e0 OR best IS NULL THEN fr + 4 ELSE best END AS offset_frame,
+               CASE WHEN peak < 0.01e0 THEN 'silence' WHEN best IS NULL THEN 'min_duration' WHEN best = e THEN 'energy_decay' WHEN best = p THEN 'pitch_change' WHEN best = x THEN 'next_onset' ELSE 'max_ring' END AS method,
+               CASE WHEN peak < 0.01e0 THEN 0.7 WHEN best IS NULL THEN 0.5 WHEN best = e THEN 0.8 WHEN best = p THEN 0.7 WHEN best = x THEN 0.6 ELSE 0.4 END AS confidence FROM _c)""",
+)

@@ -74,9 +74,9 @@ def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def onset_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The onsets that go with ``frames``: one event in six."""
-    return frames(spark, sf_dir).filter("event_id % 6 = 0")
+def onset_frames(spark: SparkSession, sf_dir: str, every: int = 6) -> DataFrame:
+    """The onsets that go with ``frames``: one event in six, or fewer."""
+    return frames(spark, sf_dir).filter(f"event_id % {every} = 0")
 
 
 def onset_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
