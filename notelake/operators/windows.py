@@ -206,3 +206,16 @@ def pitch_trend(frames: DataFrame, keys: Sequence[str]) -> DataFrame:
     return moving.groupBy(*keys).agg(
         F.count("*").alias("n"), F.regr_slope("pitch", F.col("t_us") / 1e6).alias("slope"), F.stddev_pop("pitch").alias("std"),
         (F.max_by("pitch", "frame") - F.min_by("pitch", "frame")).alias("change"), F.sum("turn").alias("turns"))
+
+
+def dive_bombs(trend: DataFrame) -> DataFrame:
+    """Rows of ``pitch_trend`` (with ``dur_s``, the length in seconds) that fall steeply, far and without turning back.
+
+    Adds drop (semitones) and confidence, which blends steepness (15 semitones a second count full), drop (an octave counts full)
+    and smoothness; rows over 0.6 are kept.
+    """
+    drop = F.abs("slope") * F.col("dur_s")
+    smooth = 1 - F.least(F.lit(1.0), F.col("turns") / F.greatest(F.lit(2), F.floor(F.col("dur_s") * 3)))
+    blend = 0.3 * F.least(F.lit(1.0), F.abs("slope") / 15.0) + 0.35 * F.least(F.lit(1.0), drop / 12.0) + 0.35 * smooth
+    rows = trend.withColumn("drop", drop).withColumn("smooth", smooth).withColumn("confidence", blend)
+    return rows.filter("slope <= -3 and drop >= 4 and smooth >= 0.5 and confidence > 0.6").drop("smooth")

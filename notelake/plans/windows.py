@@ -108,16 +108,24 @@ register(
             FROM _lf o JOIN frames f ON f.track_id = o.track_id AND f.midi > 0 AND f.frame >= o.frame AND f.frame < least(o.frame + 10, e) GROUP BY o.track_id, o.frame),
     result AS (SELECT *, c * oc AS confidence FROM _lg WHERE midi BETWEEN 40 AND 88)""", recursive=True,
 )
-register(
-    "pitch_trend",
-    lambda spark, sf: win.pitch_trend(src.frames(spark, sf).filter("is_voiced").withColumn("note", F.expr("frame div 8")).withColumn("pitch", F.col("midi").cast("double")),
-                                      ["track_id", "note"]).filter("n >= 3"),
-    "track_id note n slope~ std~ change~ turns", "frames",
-    """_p AS (SELECT track_id, frame // 8 AS note, frame, t_us, midi, sign(midi - lag(midi) OVER w) AS d FROM frames WHERE is_voiced
+
+
+def _trend(spark, sf):
+    f = src.frames(spark, sf).filter("is_voiced").withColumn("note", F.expr("frame div 8")).withColumn("pitch", F.col("midi").cast("double"))
+    return win.pitch_trend(f, ["track_id", "note"]).filter("n >= 3")
+
+
+_TREND = """_p AS (SELECT track_id, frame // 8 AS note, frame, t_us, midi, sign(midi - lag(midi) OVER w) AS d FROM frames WHERE is_voiced
               WINDOW w AS (PARTITION BY track_id, frame // 8 ORDER BY frame)),
        _t AS (SELECT *, coalesce(d * lag(d) OVER (PARTITION BY track_id, note ORDER BY frame) < 0, false) AS turn FROM _p),
-       result AS (SELECT track_id, note, count(*) AS n, regr_slope(midi, t_us / 1e6) AS slope, stddev_pop(midi) AS std, arg_max(midi, frame) - arg_min(midi, frame) AS change,
-                  sum(turn::INT) AS turns FROM _t GROUP BY ALL HAVING count(*) >= 3)""",
+       trend AS (SELECT track_id, note, count(*) AS n, regr_slope(midi, t_us / 1e6) AS slope, stddev_pop(midi) AS std, arg_max(midi, frame) - arg_min(midi, frame) AS change,
+                  sum(turn::INT) AS turns FROM _t GROUP BY ALL HAVING count(*) >= 3)"""
+register("pitch_trend", _trend, "track_id note n slope~ std~ change~ turns", "frames", _TREND + ", result AS (SELECT * FROM trend)")
+register(
+    "dive_bombs", lambda spark, sf: win.dive_bombs(_trend(spark, sf).withColumn("dur_s", F.lit(8 * 0.02322))), "track_id note drop~ confidence~", "frames",
+    _TREND + """, _d AS (SELECT *, abs(slope) * (8 * 0.02322e0) AS dr, 1 - least(1.0, turns / 2.0) AS smooth FROM trend),
+    result AS (SELECT track_id, note, dr AS drop, 0.3e0 * least(1.0, abs(slope) / 15.0) + 0.35e0 * least(1.0, dr / 12.0) + 0.35e0 * smooth AS confidence FROM _d
+               WHERE slope <= -3 AND dr >= 4 AND smooth >= 0.5 AND 0.3e0 * least(1.0, abs(slope) / 15.0) + 0.35e0 * least(1.0, dr / 12.0) + 0.35e0 * smooth > 0.6)""",
 )
 
 # --- techniques -------------------------------------------------------------------------------------------------
