@@ -6,11 +6,10 @@ positions and offers ``step + random`` at each; a step cannot improve on an earl
 positions have a value. Signatures are cut into BANDS bands of ROWS positions; classes that agree in a band share a bucket. Two
 sets with a similarity of 0.8 miss each other in all bands with a probability of about 1e-7, more similar ones still less.
 
-Buckets are compared without listing their pairs. First each class meets the smallest class of its buckets, and links that hold
-on the full sets are grouped; then the smallest class of each bucket that is not yet in one group. A bucket whose members are all in one group
-is done. In what remains, up to FAR members outside the largest group of the bucket meet every member of other groups and
-leave the bucket; this goes on until no bucket holds two groups, so no link inside a bucket is lost and no pair list is
-longer than FAR times the members. Pairs whose set sizes or signatures rule the similarity out are dropped before texts move.
+Buckets are compared without listing their pairs. First each class meets the pivot of each of its buckets, and links that
+hold on the full sets are grouped. A bucket whose members are all in one group is done. In the others, members outside the
+bucket's largest group look for partners of other groups by exact prefix filtering, so no link inside a bucket is lost. Pairs whose
+set sizes or signatures rule the similarity out are dropped before texts move.
 Links are grouped by union-find inside partitions, then by label rounds with pointer jumping over the remaining forest.
 """
 
@@ -31,7 +30,6 @@ from notelake.llm.exact_dedup import filter_bits, flagged, positions_of
 
 BANDS, ROWS = 40, 5
 SIZE = BANDS * ROWS
-FAR = 64
 #: Share of equal signature bytes under which a pair is not read: six standard deviations under 0.8 for 200 positions.
 PLAUSIBLE = 0.62
 CHUNK_SHINGLES, CHUNK_DOCS = 60_000, 400
@@ -258,18 +256,6 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _relabel(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Members with the labels that their groups get when ``links`` between classes join them."""
-    if links.isEmpty():
-        return members
-    names = members.select("cls", "label").distinct()
-    ends = links.join(names.select(F.col("cls").alias("a"), F.col("label").alias("la")), "a")
-    ends = ends.join(names.select(F.col("cls").alias("b"), F.col("label").alias("lb")), "b").filter("la != lb")
-    found = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
-    found = found.select(F.col("id").alias("label"), F.col("label").alias("joined"))
-    return members.join(found, "label", "left").withColumn("label", F.coalesce("joined", "label")).drop("joined")
-
-
 def _unfinished(members: DataFrame) -> DataFrame:
     """Members of buckets that hold more than one group."""
     mixed = members.groupBy("band").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low != _high").select("band")
@@ -282,43 +268,82 @@ def class_labels(signs: DataFrame, docs: DataFrame, words: int = 4, percent: int
         F.min(F.struct("doc_id", "tkey")).alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     rows = reps.select("cls", "n", F.explode("bands").alias("band"))
     in_bucket = W.partitionBy("band").orderBy("cls")
-    rows = rows.withColumn("pivot", F.first("cls").over(in_bucket)).withColumn("pivot_n", F.first("n").over(in_bucket))
-    rows = rows.withColumn("after", F.lead("cls").over(in_bucket)).filter("pivot != cls or after is not null")
-    members = stored(rows.select("band", "cls", "n", "pivot", "pivot_n"))
+    rows = rows.withColumn("before", F.lag("n").over(in_bucket)).withColumn("after", F.lead("n").over(in_bucket))
+    met = stored(rows.filter("before is not null or after is not null").select("band", "cls", "n"))
+    # the pivot of a bucket is its member with the most company over all bands, which lies in the middle of its group
+    company = met.groupBy("cls").agg(F.count("*").alias("company"))
+    middle = W.partitionBy("band").orderBy(F.col("company").desc(), "cls")
+    members = met.join(company, "cls")
+    members = members.withColumn("pivot", F.first("cls").over(middle)).withColumn("pivot_n", F.first("n").over(middle))
+    members = stored(members.select("band", "cls", "n", "pivot", "pivot_n"))
     fit = f"least(n, pivot_n) * 100 >= {percent} * greatest(n, pivot_n)"
     near = members.filter("cls != pivot").filter(fit)
     classes = _class_texts(signs, docs, members.select("cls").distinct(), text, doc_id)
 
-    first = near.groupBy(F.col("cls").alias("a")).agg(F.min("pivot").alias("b"))
-    links = stored(_verified(first, classes, words, percent))
-    tested = first
-    all_links = links
-    members = members.withColumn("label", F.col("cls"))
-    members = stored(_unfinished(_relabel(members, links)))
-
-    heads = members.filter("cls = pivot").select("band", F.col("label").alias("pivot_label"))
-    second = members.filter("cls != pivot").filter(fit).join(heads, "band").filter("label != pivot_label")
-    second = second.select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    second = stored(_plausible(second, classes))
-    links = stored(_verified(second, classes, words, percent))
-    all_links = all_links.unionByName(links)
-    members = stored(_unfinished(_relabel(members, links).select("band", "cls", "n", "label")))
-
-    while not members.isEmpty():
-        groups = members.groupBy("band", "label").agg(F.count("*").alias("size"))
-        largest = groups.groupBy("band").agg(F.max(F.struct("size", "label")).getField("label").alias("largest"))
-        outside = members.join(largest, "band").filter("label != largest")
-        place = F.row_number().over(W.partitionBy("band").orderBy("cls"))
-        far = stored(outside.withColumn("place", place).filter(F.col("place") <= FAR).select("band", "cls", "n", "label"))
-        fit = F.least(F.col("m.n"), F.col("f.n")) * 100 >= percent * F.greatest(F.col("m.n"), F.col("f.n"))
-        pairs = members.alias("m").join(far.alias("f"), (F.col("m.band") == F.col("f.band")) & (F.col("m.label") != F.col("f.label")) & fit)
-        pairs = pairs.select(F.least("m.cls", "f.cls").alias("b"), F.greatest("m.cls", "f.cls").alias("a")).distinct()
-        pairs = stored(_plausible(pairs.join(tested.unionByName(second), ["a", "b"], "left_anti"), classes))
-        links = stored(_verified(pairs, classes, words, percent))
-        all_links = all_links.unionByName(links)
-        rest = members.join(far.select("band", "cls"), ["band", "cls"], "left_anti")
-        members = stored(_unfinished(_relabel(rest, links)))
-    return components(all_links).select(F.col("id").alias("cls"), "label")
+    tested = stored(near.select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct())
+    links = stored(_verified(tested, classes, words, percent))
+    labels = components(links)
+    names = labels.withColumnRenamed("id", "cls")
+    members = members.select("band", "cls", "n").join(names, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    members = stored(_unfinished(members))
+    if members.isEmpty():
+        return names
+    pairs = stored(_plausible(_prefix_pairs(members, classes, words, percent).join(tested, ["a", "b"], "left_anti"), classes))
+    links = stored(_verified(pairs, classes, words, percent))
+    if links.isEmpty():
+        return names
+    # the groups of the first comparison are stars already, the later links join some of them
+    ends = names.select(F.col("cls").alias("a"), F.col("label").alias("b")).filter("a != b")
+    return components(ends.unionByName(links)).withColumnRenamed("id", "cls")
+
+
+def _prefix_pairs(members: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of different groups that may still be linked, found by exact prefix filtering.
+
+    Sets of sizes n and m are linked only if they share t = percent * (n + m) / (100 + percent) shingles. With all shingles in
+    one order, rarest first, they then share one among the first n - t + 1 of the one and the first m - t + 1 of the other. Of a
+    pair in a bucket at least one member is outside the largest group of that bucket, so only such members seek partners. What
+    sets them apart from the group are rare shingles, which come first, so a large group is not compared member by member.
+    """
+    sizes = members.groupBy("band", "label").agg(F.count("*").alias("size"), F.min("n").alias("least"))
+    buckets = sizes.groupBy("band").agg(F.max(F.struct("size", "label")).getField("label").alias("largest"), F.min("least").alias("least"))
+    ids = members.join(buckets, "band").groupBy("cls").agg(
+        F.first("n").alias("n"), F.first("label").alias("label"), F.max(F.col("label") != F.col("largest")).alias("far"), F.min("least").alias("least"))
+    ids = stored(ids.withColumn("least", F.greatest("least", F.ceil(percent * F.col("n") / 100))).withColumn("id", F.monotonically_increasing_id()))
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            keys, parts, held = [], [], 0
+
+            def out():
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(parts).view(np.int64))], names=["id", "shingle"])
+
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                parts.append(shingle_set(text.as_py(), hashes, words))
+                keys.append(np.full(len(parts[-1]), key, np.int64))
+                held += len(parts[-1])
+                if held >= CHUNK_SHINGLES:
+                    yield out()
+                    keys, parts, held = [], [], 0
+            if held:
+                yield out()
+
+    rows = classes.select("cls", "text").join(ids, "cls").select("id", "text").mapInArrow(explode, "id long, shingle long")
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    rows = rows.join(shared, "shingle")  # shingles of one class only come first in its order, but find no partner
+    by_class = W.partitionBy("id")
+    rows = rows.withColumn("place", F.row_number().over(by_class.orderBy("df", "shingle"))).withColumn("kept", F.count("*").over(by_class))
+    common = lambda n, m: F.ceil(percent * (n + m) / (100 + percent))
+    rows = rows.join(ids, "id").withColumn("place", F.col("place") + F.col("n") - F.col("kept"))
+    prefix = stored(rows.filter(F.col("place") <= F.col("n") - common(F.col("n"), F.col("least")) + 1).select("shingle", "cls", "n", "label", "far", "place"))
+    u, v = prefix.filter("far").alias("u"), prefix.alias("v")
+    t = common(F.col("u.n"), F.col("v.n"))
+    meet = (F.col("u.shingle") == F.col("v.shingle")) & (F.col("u.label") != F.col("v.label"))
+    fit = F.least("u.n", "v.n") * 100 >= percent * F.greatest("u.n", "v.n")
+    reach = (F.col("u.place") <= F.col("u.n") - t + 1) & (F.col("v.place") <= F.col("v.n") - t + 1)
+    pairs = u.join(v, meet & fit & reach)
+    return pairs.select(F.greatest("u.cls", "v.cls").alias("a"), F.least("u.cls", "v.cls").alias("b")).distinct()
 
 
 def _class_texts(signs: DataFrame, docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> DataFrame:

@@ -96,11 +96,11 @@ def test_near_copies_chains_and_shared_passages(spark):
     check(spark, rows)
 
 
-def test_far_members_meet_in_several_rounds(spark, monkeypatch):
-    monkeypatch.setattr(nd, "FAR", 2)
+def test_groups_at_the_threshold(spark):
     rng = random.Random(4)
     base = [f"b{i}" for i in range(100)]
-    check(spark, list(enumerate(variants(rng, base, 40, 0.05))), words=5)
+    few = [" ".join(w if rng.random() > 0.06 else rng.choice("xyz") for w in base) for _ in range(60)]  # changes that copies share
+    check(spark, list(enumerate(few + variants(rng, base, 40, 0.05))), words=5)
 
 
 def test_edges(spark, edge_docs, no_docs):
