@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notelake.operators.theory import literal_table
-from notelake.operators.timeline import SLICE_US, Run, running
+from notelake.operators.timeline import BLOCK_ROWS, SLICE_US, Run, row_halo, running, slice_window
 
 # Licks as (name, direction, semitones from the first note).
 LICKS = [
@@ -103,3 +104,38 @@ def similar_patterns(heads: DataFrame, threshold: float = 0.6) -> DataFrame:
     scored = F.transform(table, lambda p: F.struct(p["ord"].alias("ord"), p["name"].alias("pattern"), score(p).alias("score")))
     rows = heads.withColumn("ps", scored)
     return rows.select(*[c for c in heads.columns if c != "intervals"], F.inline("ps")).filter(F.col("score") >= threshold)
+
+
+def repeated_riffs(
+    notes: DataFrame, shortest: int = 3, longest: int = 16, least: int = 2, percent: int = 10, width: int = SLICE_US, block: int = BLOCK_ROWS
+) -> DataFrame:
+    """Note sequences that come back: (track_id, first, length, n, occurrences), first being the note's position in the track.
+
+    A later sequence that does not overlap the first one counts as an occurrence if its intervals are equal and each of its steps
+    takes the same time within ``percent`` (steps of no time in the first one fit any). Of sequences with the same occurrence
+    times (to 10 ms) the shortest, then earliest one stays. Sequences meet by their intervals and, split further, by the time of their
+    first step on a logarithmic scale, so a frequent interval pattern is no single key.
+    """
+    reach = slice_window(["track_id"], "rn").rowsBetween(0, longest - 1)
+    rows = row_halo(notes.select("track_id", "note_id", "start_us", "midi"), ["start_us", "note_id"], 0, longest - 1, width, block=block)
+    rows = rows.withColumn("ms", F.collect_list("midi").over(reach)).withColumn("ts", F.collect_list("start_us").over(reach)).filter("_own")
+    sizes = rows.groupBy("track_id").agg(F.count("*").alias("n_track"))
+    rows = rows.select("track_id", "rn", "start_us", "ms", "ts").join(sizes, "track_id")
+    top = F.least(F.lit(longest), F.size("ms"), F.floor(F.col("n_track") / 2).cast("int"))
+    rows = rows.filter((F.col("n_track") >= shortest * least) & (top >= shortest)).withColumn("length", F.explode(F.sequence(F.lit(shortest), top)))
+    pairs = lambda c: F.zip_with(F.slice(c, 1, F.col("length") - 1), F.slice(c, 2, F.col("length") - 1), lambda a, b: b - a)
+    grams = rows.select("track_id", "rn", "start_us", "length", F.concat_ws(",", pairs(F.col("ms")).cast("array<string>")).alias("intervals"), pairs(F.col("ts")).alias("steps"))
+    step = F.col("steps")[0]
+    scale = F.when(step > 0, F.floor(F.ln(step) / math.log(1 + percent / 100)))
+    grams = grams.withColumn("pace", scale.cast("bigint"))
+    # a first step of no time fits any pace, other paces fit their own and the neighbouring ones
+    b = grams.select("track_id", "length", "intervals", F.col("rn").alias("b_rn"), F.col("start_us").alias("b_us"), F.col("steps").alias("b_steps"), F.explode(
+        F.array_distinct(F.concat(F.array(F.lit(-9).cast("bigint")), F.when(F.col("pace").isNotNull(), F.sequence(F.col("pace") - 2, F.col("pace") + 2)).otherwise(F.array())))).alias("pace"))
+    a = grams.withColumn("pace", F.coalesce("pace", F.lit(-9).cast("bigint")))
+    fits = F.forall(F.arrays_zip(F.col("steps").alias("a"), F.col("b_steps").alias("b")), lambda x: (x["a"] <= 0) | (F.abs(x["b"] - x["a"]) * 100 <= x["a"] * percent))
+    hits = a.join(b, ["track_id", "length", "intervals", "pace"]).filter((F.col("b_rn") >= F.col("rn") + F.col("length")) & fits)
+    found = hits.groupBy("track_id", "rn", "start_us", "length").agg(F.array_sort(F.collect_list(F.struct("b_rn", "b_us"))).alias("later"))
+    times = F.concat(F.array("start_us"), F.transform("later", lambda x: x["b_us"]))
+    found = found.select("track_id", F.col("rn").alias("first"), "length", F.transform(times, lambda t: F.round(t / 1e6, 2)).alias("occurrences"), (F.size("later") + 1).alias("n"))
+    same = Window.partitionBy("track_id", "occurrences").orderBy("length", "first")
+    return found.filter(F.col("n") >= least).withColumn("_place", F.row_number().over(same)).filter("_place = 1").select("track_id", "first", "length", "n", "occurrences")

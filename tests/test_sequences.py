@@ -117,3 +117,22 @@ def test_decoder_slices_equal_one_plain_pass(spark):
         got = sorted(dec.decode_hmm(df, priors, model, width=width).collect(), key=lambda r: r.frame)
         assert [r.midi - 40 for r in got] == path.tolist()
         assert {r.first for r in got} == {0} and got[0].log_p == pytest.approx(total)
+
+
+def test_riffs_equal_a_plain_search(spark):
+    rng = random.Random(9)
+    tune = [(i, t, 60 + rng.choice([0, 2, 4])) for i, t in enumerate(sorted(rng.choices(range(0, 60_000_000, 500_000), k=70)))]
+    df = spark.createDataFrame([(1, i, t, m) for i, t, m in tune], "track_id long, note_id long, start_us long, midi int")
+    want, seen = [], set()
+    for length in range(3, 9):
+        for a in range(len(tune) - length + 1):
+            steps = lambda k, n=length: [(tune[k + i + 1][2] - tune[k + i][2], tune[k + i + 1][1] - tune[k + i][1]) for i in range(n - 1)]
+            found = [a] + [b for b in range(a + length, len(tune) - length + 1) if all(
+                p == q and (t <= 0 or abs(u - t) * 10 <= t) for (p, t), (q, u) in zip(steps(a), steps(b), strict=True))]
+            times = tuple(tune[k][1] for k in found)
+            if len(found) > 1 and times not in seen:
+                seen.add(times)
+                want.append((a, length, len(found)))
+    from notelake.operators.sequence import repeated_riffs
+    got = repeated_riffs(df, 3, 8, block=16, width=7_000_000).collect()
+    assert want and sorted((r["first"], r["length"], r["n"]) for r in got) == sorted(want)
