@@ -106,7 +106,10 @@ def tokenized_pieces(
 
 
 def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
-    """Bin patterns (lengths from the start of the bin on) and how often each is used, for ``counts[length]`` documents."""
+    """Bin patterns (lengths from the start of the bin on) and how often each is used, for ``counts[length]`` documents.
+
+    Documents of at most a sixth of the capacity do not replace others: they stay behind as filler for later bins.
+    """
     left = {size: n for size, n in counts.items() if n > 0}
     if any(not 0 < size <= capacity for size in left):
         raise ValueError("lengths must lie between 1 and the capacity")
@@ -126,16 +129,19 @@ def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[list[int],
             n = min(gap // size, left[size] - used[size])
             used[size] += n
             gap -= n * size
+        peak = Counter(used)
         while gap:
             smallest = min(size for size, n in used.items() if n)
-            pair = _tightest_pair(sizes, left, used, smallest, gap + smallest)
+            pair = _tightest_pair(sizes[bisect.bisect_right(sizes, capacity // 6):], left, used, smallest, gap + smallest)
             if not pair:
                 break
             used[smallest] -= 1
             used.update(pair)
             gap += smallest - sum(pair)
+            peak |= used
         used = +used
-        times = min(left[size] // n for size, n in used.items())
+        # the same steps lead to the same bin as long as everything that was held on the way is there
+        times = min((left[size] - peak[size]) // n + 1 for size, n in used.items())
         bins.append((sorted(used.elements(), reverse=True), times))
         for size, n in used.items():
             left[size] -= n * times

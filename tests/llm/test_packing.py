@@ -28,7 +28,7 @@ def one_by_one(counts, capacity):
             gap -= max(fits)
         while gap:
             small = min(bin_)
-            pairs = [(a + b, a) for a in left for b in left if a <= b and left[a] > (a == b) and left[b] and small < a + b <= gap + small]
+            pairs = [(a + b, a) for a in left for b in left if capacity // 6 < a <= b and left[a] > (a == b) and left[b] and small < a + b <= gap + small]
             if not pairs:
                 break
             total, a = max(pairs)

@@ -4,7 +4,7 @@ from collections import Counter
 
 import corpus_pipeline
 from notelake.llm import langid
-from tests_llm_brute import near_groups, word_count
+from tests_llm_brute import first_fit_decreasing, near_groups, word_count
 
 SF = "/root/testdata/sf0.001"
 
@@ -46,7 +46,7 @@ def test_stages(spark):
     used = Counter()
     for r in five:
         used[r.sequence_id] += r.length
-    assert max(used.values()) <= 1024 and len(used) <= 1.02 * sum(used.values()) / 1024 + 1
+    assert max(used.values()) <= 1024 and len(used) <= 1.02 * first_fit_decreasing([r.length for r in five], 1024)
 
 
 def test_empty_documents(spark):
