@@ -50,7 +50,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     logs = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     os.environ["PYSPARK_SUBMIT_ARGS"] = (
-        f"--conf spark.eventLog.enabled=true --conf spark.eventLog.dir=file://{logs} --conf spark.eventLog.rolling.enabled=false pyspark-shell")
+        f"--conf spark.eventLog.enabled=true --conf spark.eventLog.dir=file://{logs} --conf spark.eventLog.rolling.enabled=false --conf spark.eventLog.compress=false pyspark-shell")
     spark = build_session(f"local[{cpus}]", int(cpus) if cpus.isdigit() else 8)
     spark.sparkContext.setLogLevel("ERROR")
     names = [n for n in HEADLINE if n in QUERIES]
