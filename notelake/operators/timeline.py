@@ -81,7 +81,7 @@ def running(
 ) -> DataFrame:
     """Running values along each track in ``order`` (first entry is the slicing axis). Adds one column per run.
 
-    ``drop`` names columns needed for the runs only.
+    ``drop`` names columns needed for the runs only. Rows without a track or a place have no position in any track and are left out.
 
     Reuses ``_s`` when the rows are sliced already, so no further shuffle of the rows is needed.
     """
@@ -95,7 +95,6 @@ def running(
     # one shuffle serves both the rows and the summaries: the summary names every column and both sides ask for a
     # known track and place, so neither is pruned or filtered differently and the exchange is reused
     for c in part:
-        df = df.withColumn(c, F.coalesce(F.col(c), F.raise_error(F.lit(f"null {c if c != '_s' else order[0]}: rows need a track and a place")).cast(df.schema[c].dataType)))
         df = df.filter(F.col(c).isNotNull())
     df = df.repartition(*part)
     whole = F.bit_xor(F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind])).alias("_rows")
