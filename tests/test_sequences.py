@@ -136,3 +136,25 @@ def test_riffs_equal_a_plain_search(spark):
     from notelake.operators.sequence import repeated_riffs
     got = repeated_riffs(df, 3, 8, block=16, width=7_000_000).collect()
     assert want and sorted((r["first"], r["length"], r["n"]) for r in got) == sorted(want)
+
+
+def test_riffs_of_3_to_16_notes_equal_a_plain_search(spark):
+    rng = random.Random(11)
+    tune = [(500_000 * i, 60 + rng.choice([0, 2, 4])) for i in range(20)]
+    tune = tune + [(t + 15_000_000, m) for t, m in tune] + [(40_000_000 + 700_000 * i, 60 + i % 2) for i in range(40)]
+    df = spark.createDataFrame([(1, i, t, m) for i, (t, m) in enumerate(tune)], "track_id long, note_id long, start_us long, midi int")
+    best = {}
+    for length in range(3, 17):
+        for a in range(len(tune) - length + 1):
+            steps = lambda k, n=length: [(tune[k + i + 1][1] - tune[k + i][1], tune[k + i + 1][0] - tune[k + i][0]) for i in range(n - 1)]
+            found = [a] + [b for b in range(a + length, len(tune) - length + 1) if all(
+                p == q and (t <= 0 or abs(u - t) * 10 <= t) for (p, t), (q, u) in zip(steps(a), steps(b), strict=True))]
+            if len(found) > 1:
+                best.setdefault(tuple(tune[k][0] for k in found), (a, length, len(found)))
+    import notelake.plans.shapes  # noqa: F401 - registers the query
+    from notelake.operators.sequence import repeated_riffs
+    from notelake.plans.registry import ORACLE, QUERIES
+    got = repeated_riffs(df, block=16, width=7_000_000).collect()
+    assert {n for _, n, _ in best.values()} == set(range(3, 17)) and sorted((r["first"], r["length"], r["n"]) for r in got) == sorted(best.values())
+    found = {r["length"] for r in QUERIES["repeated_riffs_3_16"](spark, "/root/testdata/sf0.001").select("length").distinct().collect()}
+    assert "repeated_riffs_3_16" in ORACLE and 3 in found
