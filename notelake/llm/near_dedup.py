@@ -359,11 +359,12 @@ def _class_texts(signs: DataFrame, docs: DataFrame, wanted: DataFrame, text: str
 
 
 def near_groups(docs: DataFrame, words: int = 4, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and cls for every row of ``docs``.
+    """doc_id, n_shingles, component_id, kept, cls, tkey and label for every row of ``docs``; other columns are ignored.
 
     ``component_id`` is the smallest id among the rows that links of ``percent`` percent similarity reach, the row itself
     included; null ids are passed over (a group without any id has a null one) and rows that repeat an id are kept or not
-    together. Texts that are null or have no words are linked with nothing. An empty table gives an empty result.
+    together. ``label`` names the group itself, whatever the ids of its rows, and is null for rows that have no partner. Texts that are null or
+    have no words are linked with nothing. Very long texts are read whole. An empty table gives an empty result.
     """
     signs = stored(signed(docs, words, text, doc_id))
     labels = class_labels(signs, docs, words, percent, text, doc_id)
@@ -371,14 +372,22 @@ def near_groups(docs: DataFrame, words: int = 4, percent: int = 80, text: str =
     classes = classes.join(labels, "cls", "left").filter("size > 1 or label is not null").withColumn("label", F.coalesce("label", "cls"))
     classes = stored(classes)
     lowest = classes.groupBy("label").agg(F.min("low").alias("component_id"))
-    classes = stored(classes.join(lowest, "label").select("cls", "component_id", "size"))
-    rows = join_groups(signs.select("doc_id", "n_shingles", "cls"), classes, "cls", "size", signs.count())
+    classes = stored(classes.join(lowest, "label").select("cls", "component_id", "size", "label"))
+    rows = join_groups(signs.select("doc_id", "n_shingles", "cls", "tkey"), classes, "cls", "size", signs.count())
     component = F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "cls")
+    return rows.select(
+        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "cls", "tkey", "label")
 
 
 def distinct_documents(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` without those of which another document of their group stays; rows without an id stay."""
-    gone = near_groups(docs, words, percent, text, doc_id).filter("not kept and doc_id is not null")
-    gone = gone.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+    """One row of each group stays: that with the smallest id (a row without an id only where no row has one), then the smallest
+    text hash. Rows without a partner all stay, whatever ids they share with others. Rows equal in id and text count as one choice and stay or go
+    together, so exact copies should be taken out before. The columns of ``docs`` are kept.
+    """
+    marked = stored(near_groups(docs, words, percent, text, doc_id).filter("label is not null").select("label", "doc_id", "tkey"))
+    first = marked.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")).alias("first"))
+    chosen = first.select(F.col("first.doc_id").alias("_id"), F.col("first.tkey").alias("_tkey"), F.lit(True).alias("_chosen"))
+    gone = marked.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_tkey")).distinct()
+    gone = gone.join(chosen.alias("c"), gone["_id"].eqNullSafe(F.col("c._id")) & (gone["_tkey"] == F.col("c._tkey")), "left_anti")
+    rows = docs.withColumn("_key", F.xxhash64(F.col(text)))
+    return rows.join(gone, rows[doc_id].eqNullSafe(gone["_id"]) & (rows["_key"] == gone["_tkey"]), "left_anti").select(*docs.columns)

@@ -4,7 +4,8 @@ Lengths are whole numbers from 1 to the capacity, so the whole corpus is describ
 rows, whatever its size. Best-two-fit runs once over that histogram in the driver and yields bin patterns with the number of
 times each is used: fill a bin greedily with the largest lengths that fit, then replace its smallest document with two
 unpacked ones that fit the expanded gap more tightly. A pattern repeats while its lengths last, which is what packing bin by
-bin would do. The rows then find their place by their rank within their length: a distributed prefix count, and a join with the
+bin would do. The plan is made for several lengths up to which documents are saved as filler and the one with the fewest bins
+is taken. The rows then find their place by their rank within their length: a distributed prefix count, and a join with the
 table of patterns, whose size depends on the capacity only. So documents from all partitions share bins and no rows pass
 through the driver.
 """
@@ -33,20 +34,27 @@ class Encoder:
     """Token ids of the byte-level BPE vocabulary that the ``tokenizers`` file ``path`` holds.
 
     The same vocabulary as ranks (``<name>.tiktoken`` beside it) gives the same ids several times faster; texts that hold one
-    of the special strings go to ``tokenizers`` itself, which maps these to their ids. Tests hold both against each other.
+    of the special strings go to ``tokenizers`` itself, which maps these to their ids. Tests hold both against each other. Where
+    there is no such rank file, ``tokenizers`` does all; a path to a rank file alone has no special strings.
     """
 
     def __init__(self, path: str):
         import base64
+        import os
         import re
 
         import tiktoken
         from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
-        self.special = re.compile("|".join(re.escape(t.content) for t in self.slow.get_added_tokens_decoder().values()) or r"(?!)")
-        with open(path.removesuffix(".json") + ".tiktoken", "rb") as lines:
+        self.slow, self.full, self.special = None, None, None
+        ranks_path = path if path.endswith(".tiktoken") else path.removesuffix(".json") + ".tiktoken"
+        if path != ranks_path:
+            self.slow = Tokenizer.from_file(path)
+            self.special = re.compile("|".join(re.escape(t.content) for t in self.slow.get_added_tokens_decoder().values()) or r"(?!)")
+        if not os.path.exists(ranks_path):
+            return
+        with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
         self.full = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         # Without two blanks in a row the look-ahead of the pattern never decides, and without it the split is faster.
@@ -55,7 +63,7 @@ class Encoder:
         self.blanks = re.compile(r"\s\s")
 
     def __call__(self, text: str) -> list[int]:
-        if self.special.search(text):
+        if self.full is None or (self.special and self.special.search(text)):
             return self.slow.encode(text, add_special_tokens=False).ids
         return (self.full if self.blanks.search(text) else self.plain).encode_ordinary(text)
 
@@ -105,10 +113,16 @@ def tokenized_pieces(
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, schema)
 
 
-def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+def fewest_bins(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """The best-two-fit plan with the fewest bins among those that save documents up to some length as filler for later bins."""
+    plans = [best_two_fit(counts, capacity, filler) for filler in sorted({0, *(capacity // d for d in (64, 32, 16, 12, 8, 6, 5, 4))})]
+    return min(plans, key=lambda bins: sum(times for _, times in bins))
+
+
+def best_two_fit(counts: dict[int, int], capacity: int, filler: int = 0) -> list[tuple[list[int], int]]:
     """Bin patterns (lengths from the start of the bin on) and how often each is used, for ``counts[length]`` documents.
 
-    Documents of at most a sixth of the capacity do not replace others: they stay behind as filler for later bins.
+    Documents of any length above ``filler`` replace others.
     """
     left = {size: n for size, n in counts.items() if n > 0}
     if any(not 0 < size <= capacity for size in left):
@@ -132,7 +146,7 @@ def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[list[int],
         peak = Counter(used)
         while gap:
             smallest = min(size for size, n in used.items() if n)
-            pair = _tightest_pair(sizes[bisect.bisect_right(sizes, capacity // 6):], left, used, smallest, gap + smallest)
+            pair = _tightest_pair(sizes[bisect.bisect_right(sizes, filler):], left, used, smallest, gap + smallest)
             if not pair:
                 break
             used[smallest] -= 1
@@ -205,7 +219,7 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     spark = pieces.sparkSession
     pieces = checkpointed(pieces.drop("sequence_id", "offset"))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
-    slots = pattern_slots(best_two_fit(counts, capacity))
+    slots = pattern_slots(fewest_bins(counts, capacity))
     schema = "length long, _from long, _to long, _each long, _sequence long, _places array<long>"
     slots_df = F.broadcast(spark.createDataFrame(slots, schema))  # as many rows as the capacity allows patterns
     ranked = _ranked(pieces, sum(counts.values()))

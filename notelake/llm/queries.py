@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelake.llm import chat, exact_dedup, langid, maxscore, mixing, near_dedup, packing, pii, rollups, warc
-from notelake.llm.common import scratch, stored, table
+from notelake.llm.common import scratch, stored, table, text_or_empty
 
-TOKENIZERS = {"byte_bpe_50k": path("byte_bpe_50k.json")}
+#: The tokenizer versions that token totals are kept by, the older one first.
+TOKENIZERS = {"byte_bpe_50k": path("byte_bpe_50k.json"), "byte_bpe_multi_50k": path("byte_bpe_multi_50k.tiktoken")}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -67,24 +68,30 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_token_rollups")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after three batches: all documents enter; those labelled toxic leave; texts with blanks at an end are trimmed and counted anew.
+    """Totals after four batches: all documents enter under the first vocabulary; those labelled toxic leave; texts with blanks at an
+    end are trimmed and counted anew; documents in other languages than English move to the second vocabulary.
 
-    The first batch is sent twice, which changes nothing.
+    The first batch is sent twice, which changes nothing. Images before and after a change come from one row, so null and repeated
+    ids do no harm; ids serve for the labels only.
     """
-    blank = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    docs = docs.withColumn("trimmed", F.regexp_replace("text", blank, ""))
-    counted = rollups.token_counts(docs.drop("trimmed"), TOKENIZERS)
-    counted = stored(counted)
-    toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
-    anew = rollups.token_counts(docs.filter("trimmed != text").select("doc_id", "source", "lang", F.col("trimmed").alias("text")), TOKENIZERS)
-    anew = anew.join(toxic, "doc_id", "left_anti")
+    trimmed = F.btrim("text", F.lit("\x20\t\n\x0b\x0c\r"))
+    abroad = ~F.col("lang").eqNullSafe(F.lit("en"))
+    docs = docs.withColumn("trimmed", F.when(trimmed != F.col("text"), trimmed)).withColumn("moved", F.when(abroad, F.coalesce("trimmed", text_or_empty())))
+    first, second = TOKENIZERS
+    counted = rollups.with_counts(docs.withColumn("text", text_or_empty()), {
+        "tokens": ("text", TOKENIZERS[first]), "after_trim": ("trimmed", TOKENIZERS[first]), "after_move": ("moved", TOKENIZERS[second])})
+    toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id", F.lit(True).alias("toxic")).distinct()
+    counted = stored(counted.join(toxic, "doc_id", "left").drop("doc_id").withColumns({"first": F.lit(first), "second": F.lit(second)}))
+    clean = counted.filter("toxic is null")
+    image = lambda version, tokens, name: rollups.image(version=version, tokens=tokens).alias(name)
     rollup = rollups.Rollup(spark, scratch(spark, "rollup"))
     for batch in ("load", "load"):
-        rollup.commit(batch, rollups.inserts(counted))
-    rollup.commit("toxic", rollups.deletes(counted.join(toxic, "doc_id", "left_semi")))
-    old = counted.select("doc_id", "version", rollups.image().alias("before"))
-    rollup.commit("trimmed", anew.select("doc_id", "version", rollups.image().alias("after")).join(old, ["doc_id", "version"]).select("before", "after"))
+        rollup.commit(batch, rollups.inserts(counted.withColumnRenamed("first", "version")))
+    rollup.commit("toxic", rollups.deletes(counted.filter("toxic").withColumnRenamed("first", "version")))
+    rollup.commit("trimmed", clean.filter("after_trim is not null").select(image("first", "tokens", "before"), image("first", "after_trim", "after")))
+    now = clean.withColumn("now", F.coalesce("after_trim", "tokens"))
+    rollup.commit("moved", now.filter("after_move is not null").select(image("first", "now", "before"), image("second", "after_move", "after")))
     rollup.compact()
     return rollup.totals()
 

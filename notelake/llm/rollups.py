@@ -27,28 +27,42 @@ IMAGE = "source string, lang string, version string, tokens long"
 TOTALS = "source string, lang string, version string, docs long, tokens long"
 
 
-def token_counts(docs: DataFrame, versions: dict[str, str], text: str = "text") -> DataFrame:
-    """``docs`` with ``version`` and ``tokens``, one row for each tokenizer version (name to the path of its vocabulary).
+def with_counts(rows: DataFrame, wanted: dict[str, tuple[str, str]]) -> DataFrame:
+    """``rows`` without the counted text columns and with one long column per entry: name to (text column, path of the vocabulary).
 
-    Null texts have no tokens. Columns named version or tokens are replaced.
+    Several texts of one row, or one text under several vocabularies, are counted in one pass, so that a change's images before
+    and after it come from the same row and no join by id is needed. A null text has a null count, an empty one 0. Very long texts
+    are counted whole, repeated rows each for itself, an empty table gives an empty result, columns named like a count are replaced.
     """
-    small_batches(docs.sparkSession)
-    held = docs.drop("version", "tokens")
-    names = list(versions)
+    small_batches(rows.sparkSession)
+    texts = list(dict.fromkeys(text for text, _ in wanted.values()))
+    others = [c for c in rows.columns if c not in texts and c not in wanted]
+    paths = list(dict.fromkeys(path for _, path in wanted.values()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoders = [Encoder(versions[name]) for name in names]
+        encoders = {path: Encoder(path) for path in paths}
         for batch in batches:
-            rest = batch.select(batch.schema.names[:-1])
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            lists = [[len(e(t)) if t else 0 for e in encoders] for t in texts]
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(lists, pa.list_(pa.int64()))], names=[*rest.schema.names, "_counts"])
+            columns = {text: batch.column(len(others) + i).to_pylist() for i, text in enumerate(texts)}
+            counts = [pa.array([None if t is None else len(encoders[path](t)) if t else 0 for t in columns[text]], pa.int64())
+                      for text, path in wanted.values()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(others)], *counts], names=[*others, *wanted])
 
+    schema = T.StructType([*[rows.schema[c] for c in others], *[T.StructField(name, T.LongType()) for name in wanted]])
+    return rows.select(*others, *[F.col(t).cast("string").alias(t) for t in texts]).mapInArrow(count, schema)
+
+
+def token_counts(docs: DataFrame, versions: dict[str, str], text: str = "text") -> DataFrame:
+    """``docs`` with ``version`` and ``tokens``, one row for each tokenizer version (name to the path of its vocabulary).
+
+    Null and empty texts have no tokens. Very long texts are counted whole and repeated rows each for itself. Columns named version
+    or tokens are replaced. An empty table gives an empty result.
+    """
+    names = [f"_count_{i}" for i in range(len(versions))]
+    held = docs.drop("version", "tokens")
+    counted = with_counts(held, {n: (text, path) for n, path in zip(names, versions.values(), strict=True)})
     others = [c for c in held.columns if c != text]
-    schema = T.StructType([*[held.schema[c] for c in others], T.StructField("_counts", T.ArrayType(T.LongType()))])
-    counted = held.select(*others, text).mapInArrow(count, schema)
-    each = F.explode(F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("version"), F.col("_counts").alias("tokens")))
-    return counted.select(*others, each.alias("_c")).select(*others, F.col("_c.version").alias("version"), F.col("_c.tokens").alias("tokens"))
+    each = F.array(*[F.struct(F.lit(v).alias("version"), F.coalesce(n, F.lit(0)).alias("tokens")) for v, n in zip(versions, names, strict=True)])
+    return counted.select(*others, F.explode(each).alias("_c")).select(*others, F.col("_c.version").alias("version"), F.col("_c.tokens").alias("tokens"))
 
 
 def image(source: str = "source", lang: str = "lang", version: str = "version", tokens: str = "tokens") -> Column:
@@ -57,10 +71,12 @@ def image(source: str = "source", lang: str = "lang", version: str = "version",
 
 
 def inserts(counted: DataFrame) -> DataFrame:
+    """Changes that add every row of ``counted`` (source, lang, version, tokens); further columns are ignored, repeated rows count each."""
     return counted.select(F.lit(None).cast(f"struct<{IMAGE.replace(' ', ':').replace(',:', ',')}>").alias("before"), image().alias("after"))
 
 
 def deletes(counted: DataFrame) -> DataFrame:
+    """Changes that take every row of ``counted`` out; the rows must have been added before, else totals fall below zero."""
     return counted.select(image().alias("before"), F.lit(None).cast(f"struct<{IMAGE.replace(' ', ':').replace(',:', ',')}>").alias("after"))
 
 
@@ -104,7 +120,10 @@ class Rollup:
         return {r[0] for r in self.spark.read.parquet(f"{self.folder}/{fold}/ids").collect()} if fold else set()
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
-        """Apply a batch once; False if its id has been applied before."""
+        """Apply a batch once; False if its id has been applied before.
+
+        One writer at a time: two sessions that commit the same id at once could both write it. An empty batch counts as applied.
+        """
         if not re.fullmatch(r"[A-Za-z0-9_-]+", batch_id):
             raise ValueError("a batch id holds letters, digits, - and _")
         if self._committed(f"batch={batch_id}") or batch_id in self._folded():

@@ -119,3 +119,13 @@ def test_components_of_paths_and_stars(spark):
     links = spark.createDataFrame(rows, "a binary, b binary").repartition(40)
     got = {int.from_bytes(r.id, "big"): int.from_bytes(r.label, "big") for r in nd.components(links).collect()}
     assert got == {i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(50)} | {3000: 3000, 3001: 3000}
+
+
+def test_one_row_of_each_group_stays(spark):
+    base = " ".join(f"b{i}" for i in range(60))
+    other = " ".join(f"o{i}" for i in range(60))
+    rows = [(1, base), (2, base + " x"), (2, other), (None, "a" + other.replace("o", "q")), (None, "a" + other.replace("o", "q") + " y"),
+            (7, "alone"), (7, "lonely too"), (None, None), (None, ""), (3, None), (9, base + " z")]
+    kept = Counter(tuple(r) for r in nd.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert sum(kept[r] for r in rows[3:5]) == 1
+    assert kept - Counter(rows[3:5]) == Counter([rows[0], rows[2], *rows[5:10]])

@@ -28,7 +28,7 @@ def one_by_one(counts, capacity):
             gap -= max(fits)
         while gap:
             small = min(bin_)
-            pairs = [(a + b, a) for a in left for b in left if capacity // 6 < a <= b and left[a] > (a == b) and left[b] and small < a + b <= gap + small]
+            pairs = [(a + b, a) for a in left for b in left if a <= b and left[a] > (a == b) and left[b] and small < a + b <= gap + small]
             if not pairs:
                 break
             total, a = max(pairs)
@@ -62,6 +62,12 @@ def test_replacement_fits_more_tightly():
         packing.best_two_fit({11: 1}, 10)
 
 
+def test_short_documents_replace_too():
+    counts = {n: 53 for n in range(100, 171)}
+    bins = packing.fewest_bins(counts, 1024)
+    assert sum(times for _, times in bins) <= 1.02 * sum(n * size for size, n in counts.items()) / 1024
+
+
 def check(df, rows, capacity=1024):
     pieces = packing.tokenized_pieces(df, VOCABULARY, capacity, 2).withColumn("crc", F.crc32("ids"))
     got = packing.pack(pieces.drop("ids"), capacity).collect()

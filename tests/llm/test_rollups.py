@@ -72,16 +72,49 @@ def test_counts_of_edge_documents(edge_docs, no_docs):
     assert rollups.token_counts(no_docs, versions).count() == 0
 
 
+def recount(docs, toxic):
+    """Totals of the final state: toxic documents gone, texts trimmed, all but English ones under the second vocabulary."""
+    import base64
+
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    first = Tokenizer.from_file(TOKENIZERS["byte_bpe_50k"])
+    with open(TOKENIZERS["byte_bpe_multi_50k"], "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    second = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    out, tokens = Counter(), Counter()
+    for r in docs:
+        if r.doc_id is not None and r.doc_id in toxic:
+            continue
+        key = (r.source, r.lang, "byte_bpe_50k" if r.lang == "en" else "byte_bpe_multi_50k")
+        text = (r.text or "").strip(" \t\n\x0b\x0c\r")
+        out[key] += 1
+        tokens[key] += len(first.encode(text, add_special_tokens=False).ids if r.lang == "en" else second.encode_ordinary(text))
+    return {(*k, out[k], tokens[k]) for k in out}
+
+
 def test_query_equals_a_full_recount(spark):
     sf = "/root/testdata/sf0.001"
-    tokenizer = Tokenizer.from_file(TOKENIZERS["byte_bpe_50k"])
     toxic = {r[0] for r in table(spark, sf, "labels").filter("toxic = 1").select("doc_id").collect()}
-    docs, tokens = Counter(), Counter()
-    for r in table(spark, sf, "documents").collect():
-        if r.doc_id in toxic:
-            continue
-        key = (r.source, r.lang, "byte_bpe_50k")
-        docs[key] += 1
-        tokens[key] += len(tokenizer.encode((r.text or "").strip(" \t\n\x0b\x0c\r"), add_special_tokens=False).ids)
     got = {tuple(r) for r in QUERIES["op4_token_rollups"](spark, sf).collect()}
-    assert got == {(*k, docs[k], tokens[k]) for k in docs}
+    assert got == recount(table(spark, sf, "documents").collect(), toxic)
+
+
+def test_query_with_null_and_repeated_ids(spark, edge_docs, tmp_path):
+    more = spark.createDataFrame([(3, "  trimmed  ", "en", "a"), (3, "  trimmed  ", "en", "a"), (3, "other\n", "fr", "a"), (None, " x ", None, None), (2, "toxic ", "en", "a")],
+                                 "doc_id long, text string, lang string, source string")
+    docs = edge_docs.select(*more.columns).unionByName(more)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(2, 1), (2, 1), (3, 0), (None, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert {tuple(r) for r in QUERIES["op4_token_rollups"](spark, str(tmp_path)).collect()} == recount(docs.collect(), {2})
+
+
+def test_counts_of_several_texts(spark, edge_docs, no_docs):
+    wanted = {"n": ("text", TOKENIZERS["byte_bpe_50k"]), "row": ("kept", TOKENIZERS["byte_bpe_multi_50k"]), "m": ("text", path("word_bpe_49k.json"))}
+    got = rollups.with_counts(edge_docs, wanted)
+    assert got.columns == ["doc_id", "lang", "source", "n_chars", "n", "row", "m"] and got.count() == edge_docs.count()
+    assert got.filter("doc_id = 2").first()["n"] is None and got.filter("doc_id = 1").first()["n"] == 0 and got.filter("doc_id = 3").first()["m"] == 3
+    assert rollups.with_counts(no_docs, wanted).count() == 0
+    clash = rollups.token_counts(edge_docs.withColumnRenamed("row", "tokens").withColumnRenamed("kept", "version"), {"v": TOKENIZERS["byte_bpe_50k"]})
+    assert {r.version for r in clash.collect()} == {"v"}

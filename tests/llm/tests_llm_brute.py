@@ -35,14 +35,3 @@ def near_groups(rows, words, percent=80):
         low[find(i)] = min(low.get(find(i), doc_id), doc_id)
     return {doc_id: low[find(i)] for i, (doc_id, _) in enumerate(rows)}
 
-
-def first_fit_decreasing(lengths, capacity):
-    """Number of bins of the common packing rule."""
-    room = []
-    for n in sorted(lengths, reverse=True):
-        k = next((k for k, r in enumerate(room) if r >= n), None)
-        if k is None:
-            room.append(capacity - n)
-        else:
-            room[k] -= n
-    return len(room)
