@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from public_tokenizers import path
+from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.llm import chat, exact_dedup, langid, maxscore, mixing, near_dedup, packing, pii, rollups, warc
+from notelake.llm import byte_bpe, chat, exact_dedup, langid, maxscore, mixing, near_dedup, packing, pii, rollups, warc
 from notelake.llm.common import scratch, stored, table, text_or_empty
 
 #: The tokenizer versions that token totals are kept by, the older one first.
@@ -144,3 +144,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), 4, 80).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op13_byte_bpe")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = path("byte_bpe_multi_50k.tiktoken")
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, PATTERN)
+    return byte_bpe.decode(encoded, vocabulary).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
