@@ -8,7 +8,7 @@ from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.llm import byte_bpe, chat, exact_dedup, langid, maxscore, mixing, near_dedup, packing, pii, rollups, warc
+from notelake.llm import byte_bpe, chat, collocations, exact_dedup, langid, maxscore, mixing, near_dedup, packing, pii, rollups, warc
 from notelake.llm.common import scratch, stored, table, text_or_empty
 
 #: The tokenizer versions that token totals are kept by, the older one first.
@@ -152,3 +152,27 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, PATTERN)
     return byte_bpe.decode(encoded, vocabulary).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op12_collocations", r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, ws, unnest(range(1, 6)) AS k FROM w),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM (
+        SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM g) GROUP BY ALL),
+n AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 100),
+i AS (SELECT lang, inner_phrase, max(a) AS inside FROM (
+        SELECT lang, a, unnest(flatten(list_transform(range(2, k), lambda m: list_transform(range(1, k - m + 2), lambda j: array_to_string(ws[j:j + m - 1], ' '))))) AS inner_phrase
+        FROM c) GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN i ON i.lang = c.lang AND i.inner_phrase = c.phrase WHERE inside IS NULL OR 100 * inside < 100 * a),
+cuts AS (SELECT *, array_to_string(ws[1:cut], ' ') AS x, array_to_string(ws[cut + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept)),
+s AS (SELECT cuts.lang, cuts.phrase, cuts.a, l.a AS l, r.a AS r, CAST(n.n AS BIGINT) AS n, cut,
+             CAST((1000::HUGEINT * cuts.a * CAST(n.n AS HUGEINT)) // (l.a::HUGEINT * r.a) AS BIGINT) AS score
+      FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = x JOIN f r ON r.lang = cuts.lang AND r.phrase = y JOIN n ON n.lang = cuts.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b
+QUALIFY rank <= 2000""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), 100, 5, 2000, 100)
