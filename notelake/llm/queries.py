@@ -8,7 +8,7 @@ from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.llm import byte_bpe, chat, collocations, exact_dedup, langid, maxscore, mixing, near_dedup, packing, pii, rollups, warc
+from notelake.llm import byte_bpe, chat, collocations, exact_dedup, langid, maxscore, mixing, near_dedup, packing, pii, repair, rollups, warc
 from notelake.llm.common import scratch, stored, table, text_or_empty
 
 #: The tokenizer versions that token totals are kept by, the older one first.
@@ -176,3 +176,63 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 QUALIFY rank <= 2000""")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"), 100, 5, 2000, 100)
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns with one of five faults, chosen by a checksum of conversation and turn; nulls of role, text and key become one space."""
+    known = turns.select("conv_id", "turn", *[F.coalesce(F.col(c), F.lit(" ")).alias(c) for c in ("role", "text")])
+    shown = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    fault = F.crc32(F.concat(shown[0], F.lit(":"), shown[1])) % 20
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    rows = known.withColumn("fault", fault).filter("fault != 0").withColumns({"text": text, "role": F.when(F.col("fault") == 4, "user").otherwise(F.col("role"))})
+    return rows.withColumn("_copy", F.explode(F.expr("sequence(1, if(fault = 3, 2, 1))"))).drop("_copy", "fault")
+
+
+@query("op11_conversation_repair", r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, range(0, 8)), lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+               coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+bad AS (SELECT src.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+                                      lambda c, b: xor(c >> 8, t[1 + xor(c & 255, b)])), 4294967295) % 20 AS fault FROM src, crc),
+rows_after AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+         CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM bad)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, rtrim(text, E'\x20\t\n\x0b\x0c\r') AS stripped FROM rows_after),
+f AS (SELECT *, stripped = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS dup,
+             right(stripped, 1) NOT IN ('.', '!', '?') AS cut, left(role, 1) AS ini, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS ini0 FROM o),
+g AS (SELECT *, blank OR dup AS gone, CASE WHEN cut THEN 5 ELSE 0 END AS pen FROM f),
+counts AS (
+  SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup AND NOT blank) AS duplicate,
+         count(*) FILTER (cut AND NOT blank AND NOT dup) AS truncated, count(*) FILTER (ini0 IS NOT NULL AND ini0 || ini NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM g GROUP BY conv_id),
+dp AS (
+  SELECT conv_id, n AS i, {'c': 0, 'a': '', 'o': []::VARCHAR[]} AS v0, {'c': 10, 'a': 'II', 'o': ['user:', 'assistant:']} AS v1, {'c': 5, 'a': 'I', 'o': ['assistant:']} AS v2,
+         {'c': 0, 'a': '', 'o': []::VARCHAR[]} AS v3 FROM counts
+  UNION ALL
+  SELECT conv_id, i, list_sort([w0, {'c': w2.c + 5, 'a': 'I' || w2.a, 'o': list_prepend('user:', w2.o)}, {'c': w3.c + 10, 'a': 'II' || w3.a, 'o': ['user:', 'assistant:'] || w3.o}])[1],
+         list_sort([w1, {'c': w2.c + 5, 'a': 'I' || w2.a, 'o': list_prepend('user:', w2.o)}, {'c': w3.c + 10, 'a': 'II' || w3.a, 'o': ['user:', 'assistant:'] || w3.o}])[1],
+         list_sort([w2, {'c': w3.c + 5, 'a': 'I' || w3.a, 'o': list_prepend('assistant:', w3.o)}])[1], list_sort([w3, {'c': w2.c + 5, 'a': 'I' || w2.a, 'o': list_prepend('user:', w2.o)}])[1]
+  FROM (
+    SELECT r.conv_id, r.i - 1 AS i,
+      list_sort([{'c': v0.c + 2, 'a': 'D' || v0.a, 'o': v0.o}, {'c': v1.c + pen + CASE WHEN gone OR ini <> 's' THEN 100000000 ELSE 0 END, 'a': 'K' || v1.a, 'o': list_prepend(role || ':' || text, v1.o)},
+        {'c': v2.c + pen + CASE WHEN gone OR ini <> 'u' THEN 100000000 ELSE 0 END, 'a': 'K' || v2.a, 'o': list_prepend(role || ':' || text, v2.o)},
+        {'c': v2.c + pen + CASE WHEN gone THEN 100000000 ELSE 1 END, 'a': 'R' || v2.a, 'o': list_prepend('user:' || text, v2.o)}])[1] AS w0,
+      list_sort([{'c': v1.c + 2, 'a': 'D' || v1.a, 'o': v1.o}, {'c': v2.c + pen + CASE WHEN gone OR ini <> 'u' THEN 100000000 ELSE 0 END, 'a': 'K' || v2.a, 'o': list_prepend(role || ':' || text, v2.o)},
+        {'c': v2.c + pen + CASE WHEN gone THEN 100000000 ELSE 1 END, 'a': 'R' || v2.a, 'o': list_prepend('user:' || text, v2.o)}])[1] AS w1,
+      list_sort([{'c': v2.c + 2, 'a': 'D' || v2.a, 'o': v2.o}, {'c': v3.c + pen + CASE WHEN gone OR ini <> 'a' THEN 100000000 ELSE 0 END, 'a': 'K' || v3.a, 'o': list_prepend(role || ':' || text, v3.o)},
+        {'c': v3.c + pen + CASE WHEN gone THEN 100000000 ELSE 1 END, 'a': 'R' || v3.a, 'o': list_prepend('assistant:' || text, v3.o)}])[1] AS w2,
+      list_sort([{'c': v3.c + 2, 'a': 'D' || v3.a, 'o': v3.o}, {'c': v2.c + pen + CASE WHEN gone OR ini <> 'u' THEN 100000000 ELSE 0 END, 'a': 'K' || v2.a, 'o': list_prepend(role || ':' || text, v2.o)},
+        {'c': v2.c + pen + CASE WHEN gone THEN 100000000 ELSE 1 END, 'a': 'R' || v2.a, 'o': list_prepend('user:' || text, v2.o)}])[1] AS w3
+    FROM dp r JOIN g ON g.conv_id IS NOT DISTINCT FROM r.conv_id AND g.i = r.i)),
+best AS (SELECT c.*, CAST(v0.c AS BIGINT) AS cost, v0.a AS audit, sha256(array_to_string(v0.o, chr(10))) AS h FROM dp JOIN counts c ON c.conv_id IS NOT DISTINCT FROM dp.conv_id WHERE i = 0)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM a.conv_id""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = repair.report(damaged(turns)).withColumnRenamed("conv_id", "_id")
+    every = turns.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("_id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
