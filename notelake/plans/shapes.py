@@ -232,24 +232,7 @@ def _melody(spark, sf):
 
 
 register(
-    "repeated_riffs", lambda spark, sf: sq.repeated_riffs(_melody(spark, sf), 4, 8, width=NOTE_SLICE).withColumn(
-        "occurrences", F.array_join(F.transform("occurrences", lambda x: (F.round(x * 100)).cast("bigint").cast("string")), ",")),
-    "track_id first length n occurrences$", "notes",
-    """_m AS (SELECT track_id, note_id, start_us // 500000 * 500000 AS t, 60 + midi % 3 AS m FROM notes),
-    _r AS (SELECT *, row_number() OVER w - 1 AS rn, list(m) OVER (w ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS ms, list(t) OVER (w ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS ts,
-                  count(*) OVER (PARTITION BY track_id) AS nt FROM _m WINDOW w AS (PARTITION BY track_id ORDER BY t, note_id)),
-    _l AS (SELECT track_id, rn, t, l, ms, ts FROM _r, range(4, 9) g(l) WHERE l <= len(ms) AND l <= nt // 2 AND nt >= 8),
-    _g AS (SELECT track_id, rn, t, l, list_transform(range(1, l), lambda i: ms[i + 1] - ms[i]) AS d, list_transform(range(1, l), lambda i: ts[i + 1] - ts[i]) AS s FROM _l),
-    _h AS (SELECT a.track_id, a.rn, a.l, a.t, b.rn AS brn, b.t AS bt FROM _g a JOIN _g b ON a.track_id = b.track_id AND a.l = b.l AND a.d = b.d AND b.rn >= a.rn + a.l
-           WHERE len(list_filter(range(1, a.l), lambda i: a.s[i] > 0 AND abs(b.s[i] - a.s[i]) * 10 > a.s[i])) = 0),
-    _o AS (SELECT track_id, rn AS first, l AS length, count(*) + 1 AS n,
-                  CAST(CAST(round(min(t) / 1e4) AS BIGINT) AS VARCHAR) || ',' || string_agg(CAST(CAST(round(bt / 1e4) AS BIGINT) AS VARCHAR), ',' ORDER BY brn) AS occurrences FROM _h GROUP BY ALL),
-    result AS (SELECT * FROM _o QUALIFY row_number() OVER (PARTITION BY track_id, occurrences ORDER BY length, first) = 1)""",
-)
-
-# the whole range of lengths; the query above stays as it was
-register(
-    "repeated_riffs_3_16", lambda spark, sf: sq.repeated_riffs(_melody(spark, sf), 3, 16, width=NOTE_SLICE).withColumn(
+    "repeated_riffs", lambda spark, sf: sq.repeated_riffs(_melody(spark, sf), 3, 16, width=NOTE_SLICE).withColumn(
         "occurrences", F.array_join(F.transform("occurrences", lambda x: (F.round(x * 100)).cast("bigint").cast("string")), ",")),
     "track_id first length n occurrences$", "notes",
     """_m AS (SELECT track_id, note_id, start_us // 500000 * 500000 AS t, 60 + midi % 3 AS m FROM notes),

@@ -288,7 +288,7 @@ register(
 
 def _offsets(spark, sf):
     f = src.frames(spark, sf).withColumn("rms", F.expr("confidence * (60 - frame % 60) / 60D")).withColumn("pitch", F.expr("cast(midi as double)"))
-    return win.note_offsets(src.onset_frames(spark, sf, 30).withColumnRenamed("event_id", "onset_id"), f, spread=2.05, width=FRAME_SLICE)
+    return win.note_offsets(src.onset_frames(spark, sf).withColumnRenamed("event_id", "onset_id"), f, spread=2.05, width=FRAME_SLICE)
 
 
 register(
@@ -297,7 +297,7 @@ register(
     _w AS (SELECT *, count(*) FILTER (pitch > 0) OVER w AS nv, stddev_pop(CASE WHEN pitch > 0 THEN pitch END) OVER w AS sd FROM _f
            WINDOW w AS (PARTITION BY track_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
     _n AS (SELECT track_id, max(frame) AS last FROM _f GROUP BY ALL),
-    _o AS (SELECT track_id, event_id AS onset_id, frame AS fr, lead(frame) OVER (PARTITION BY track_id ORDER BY frame) AS nxt FROM frames WHERE event_id % 30 = 0),
+    _o AS (SELECT track_id, event_id AS onset_id, frame AS fr, lead(frame) OVER (PARTITION BY track_id ORDER BY frame) AS nxt FROM frames WHERE event_id % 6 = 0),
     _s AS (SELECT *, least(last, fr + 172, coalesce(nxt + 86, last)) AS stop FROM _o JOIN _n USING (track_id)),
     _j AS (SELECT s.*, frame - fr AS i, rms, pitch, nv, sd FROM _s s JOIN _w w ON w.track_id = s.track_id AND w.frame BETWEEN fr AND stop),
     _p AS (SELECT *, max(rms) FILTER (i < 10) OVER (PARTITION BY onset_id) AS peak FROM _j),

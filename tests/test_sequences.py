@@ -156,5 +156,5 @@ def test_riffs_of_3_to_16_notes_equal_a_plain_search(spark):
     from notelake.plans.registry import ORACLE, QUERIES
     got = repeated_riffs(df, block=16, width=7_000_000).collect()
     assert {n for _, n, _ in best.values()} == set(range(3, 17)) and sorted((r["first"], r["length"], r["n"]) for r in got) == sorted(best.values())
-    found = {r["length"] for r in QUERIES["repeated_riffs_3_16"](spark, "/root/testdata/sf0.001").select("length").distinct().collect()}
-    assert "repeated_riffs_3_16" in ORACLE and 3 in found
+    found = {r["length"] for r in QUERIES["repeated_riffs"](spark, "/root/testdata/sf0.001").select("length").distinct().collect()}
+    assert "repeated_riffs" in ORACLE and 3 in found
