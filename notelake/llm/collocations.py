@@ -35,6 +35,7 @@ BLOCK = 300_000
 WORDS_IN_BLOCK = 500_000
 DIGIT_BITS = 11
 CHUNK = 1 << 18  # positions in one array
+VECTOR = 4096  # phrases in one vector of counts
 PROPOSED = 1 << 21  # positions that are reduced to distinct proposals at once
 BREAK = b"."
 #: Piece separators become the break, a tab becomes a blank.
@@ -263,7 +264,10 @@ class DoubleArray:
 
 
 def _marked(arrays: DataFrame, phrases: np.ndarray, first_id: int, digits: int, k: int, end: bool) -> DataFrame:
-    """One pass with one trie: the arrays with the phrases of ``k`` words noted, and rows (phrase, n) with the shards' counts."""
+    """One pass with one trie: the arrays with the phrases of ``k`` words noted, and rows (phrase, counts) with the shards' counts.
+
+    A shard hands in its bincounts as vectors of ``VECTOR`` phrases from ``phrase`` on, not as a row per phrase.
+    """
     shared = arrays.sparkSession.sparkContext.broadcast(DoubleArray(phrases, digits))
     size = len(phrases)
 
@@ -285,13 +289,37 @@ def _marked(arrays: DataFrame, phrases: np.ndarray, first_id: int, digits: int,
                     if not ids.any():
                         continue
                 out = _chunk(ids, longest)
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names=["ids", "longest", "phrase", "n"])
-        hit = np.flatnonzero(total)
-        if len(hit):
-            none = pa.nulls(len(hit), pa.binary())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(hit + first_id, pa.int64()), pa.array(total[hit], pa.int64())], names=["ids", "longest", "phrase", "n"])
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary())], names=["ids", "longest", "phrase", "counts"])
+        for low in range(0, size, VECTOR):
+            part = total[low:low + VECTOR]
+            if part.any():
+                none = pa.nulls(1, pa.binary())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array([low + first_id], pa.int64()), pa.array([part.tobytes()], pa.binary())], names=["ids", "longest", "phrase", "counts"])
+
+    return stored(arrays.select("ids", "longest").mapInArrow(mark, "ids binary, longest binary, phrase long, counts binary"))
+
+
+def _summed(shards: DataFrame) -> DataFrame:
+    """(id, a) from the shards' vectors; those of the same phrases are streamed and added up, however many shards there are."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(at + np.arange(len(total))), pa.array(total)], names=["id", "a"])
+
+        for batch in batches:
+            for phrase, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if phrase != at:
+                    if total is not None:
+                        yield out()
+                    at, total = phrase, 0
+                total = total + np.frombuffer(counts.as_py(), np.int64)
+        if total is not None:
+            yield out()
 
-    return stored(arrays.select("ids", "longest").mapInArrow(mark, "ids binary, longest binary, phrase long, n long"))
+    rows = shards.filter("phrase is not null").select("phrase", "counts").repartition("phrase").sortWithinPartitions("phrase")
+    return rows.mapInArrow(add, "id long, a long")
 
 
 def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -318,7 +346,7 @@ def phrase_counts(docs: DataFrame, least: int = 100, longest: int = 5, text: str
             block = candidates.filter((F.col("id") >= low) & (F.col("id") < low + BLOCK)).orderBy("id").select("key").toPandas()["key"]  # a block
             phrases = np.frombuffer(b"".join(block), ">i4").reshape(-1, k).astype(np.int64)
             passed = _marked(arrays, phrases, low, digits, k, low + BLOCK >= n)
-            counts.append(passed.filter("phrase is not null").groupBy(F.col("phrase").alias("id")).agg(F.sum("n").alias("a")))
+            counts.append(_summed(passed))
             arrays = passed.filter("phrase is null").select("ids", "longest")
         level = counts[0]
         for more in counts[1:]:
