@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from notelake.functions.dims import method_weight
-from notelake.operators.timeline import SLICE_US, group_gap, interval_groups, sliced
+from notelake.operators.timeline import SLICE_US, group_gap, interval_groups, range_join, sliced
 from notelake.session import checkpointed
 
 
@@ -91,3 +91,60 @@ def consensus_notes(
         F.bround(F.sum(F.col("midi") * w) / F.sum(w)).cast("int").alias("midi"), (F.sum(F.col("start_us") * w) / F.sum(w)).alias("start_us"),
         (F.sum(end * w) / F.sum(w)).alias("end_us"))
     return out.filter((F.col("votes") >= min_votes) | ((F.col("n") == 1) & (F.col("confidence") > lone)))
+
+
+def agreement_groups(
+    notes: DataFrame, order: Sequence[str], tol_us: int = 50_000, semitones: int = 1, width: int = SLICE_US
+) -> DataFrame:
+    """(track_id, note_id, group): each note with the id of the group it joins, methods coming in ``order``, notes of a method in time order.
+
+    A note joins the group found first whose first note is within ``tol_us`` and ``semitones``; where there is none it founds one. So a note founds a
+    group just when no earlier founder is near. Founders of earlier methods are met by a range join; within a method only founders of the last
+    ``tol_us`` matter, at most one for each pitch, so what is left is folded over islands of that method. Notes of methods not in ``order`` are left out.
+    """
+    key = ["track_id", "note_id"]
+    rows = notes.select(*key, "start_us", F.col("midi").cast("int").alias("midi"), "method")
+    rows = rows.withColumn("rank", F.element_at(F.create_map(*[x for i, m in enumerate(order) for x in (F.lit(m), F.lit(i))]), F.col("method"))).filter("rank is not null")
+    rows = checkpointed(rows.drop("method"))
+    founder = lambda df: df.select("track_id", F.col("note_id").alias("group"), F.col("start_us").alias("f_us"), F.col("midi").alias("f_midi"), F.col("rank").alias("f_rank"))
+
+    def near(some: DataFrame, founders: DataFrame) -> DataFrame:
+        return range_join(some, founder(founders), "start_us", "f_us", tol_us, tol_us).filter(F.abs(F.col("midi") - F.col("f_midi")) <= semitones)
+
+    kind = "struct<r: array<struct<s: bigint, m: int>>>"
+    free = f"not exists(coalesce(acc.state.r, array()), q -> x.s - q.s <= {tol_us} and abs(x.m - q.m) <= {semitones})"
+    held = f"filter(coalesce(acc.state.r, cast(array() as array<struct<s: bigint, m: int>>)), q -> x.s - q.s <= {tol_us})"
+    fold = (
+        "aggregate(xs, named_struct('state', state, 'out', cast(array() as array<struct<id: bigint>>)), (acc, x) -> named_struct("
+        f"'state', cast(named_struct('r', if({free}, concat({held}, array(named_struct('s', x.s, 'm', x.m))), {held})) as {kind}), "
+        f"'out', if({free}, concat(acc.out, array(named_struct('id', x.id))), acc.out)))"
+    )
+    item = [F.col("start_us").alias("s"), F.col("note_id").alias("id"), F.col("midi").alias("m")]
+    founders = rows.limit(0)
+    for rank in range(len(order)):
+        mine = rows.filter(F.col("rank") == rank)
+        if rank:
+            mine = mine.join(near(mine, founders).select(*key).distinct(), key, "left_anti")
+        islands = group_gap(mine, tol_us, "start_us", "note_id", width)
+        found = fold_islands(islands, item, kind, fold, "cast(array() as array<struct<id: bigint>>)", width)
+        found = mine.join(found.select("track_id", F.col("id").alias("note_id")), key, "left_semi")
+        founders = checkpointed(founders.unionByName(found))
+    # only founders that were there when the note came
+    place = F.struct("f_rank", "f_us", "group")
+    joined = near(rows, founders).filter(place <= F.struct(F.col("rank").alias("f_rank"), F.col("start_us").alias("f_us"), F.col("note_id").alias("group")))
+    return joined.groupBy(*key).agg(F.min(place).getField("group").alias("group"))
+
+
+def method_agreement(
+    notes: DataFrame, order: Sequence[str], tol_us: int = 50_000, semitones: int = 1, width: int = SLICE_US
+) -> DataFrame:
+    """(track_id, group, start_us, midi, n_methods, methods): the groups of ``agreement_groups`` with the methods that agree on them, sorted and comma-joined."""
+    groups = agreement_groups(notes, order, tol_us, semitones, width)
+    members = groups.join(notes.select("track_id", "note_id", "method"), ["track_id", "note_id"]).groupBy("track_id", "group").agg(F.array_sort(F.collect_set("method")).alias("names"))
+    first = notes.select("track_id", F.col("note_id").alias("group"), "start_us", "midi")
+    return members.join(first, ["track_id", "group"]).select("track_id", "group", "start_us", "midi", F.size("names").alias("n_methods"), F.array_join("names", ", ").alias("methods"))
+
+
+def agreement_counts(agreed: DataFrame) -> DataFrame:
+    """How many groups of a track each number of methods agrees on."""
+    return agreed.groupBy("track_id", "n_methods").agg(F.count("*").alias("n_groups"))

@@ -60,12 +60,12 @@ def own_range(entries: list[dict]) -> tuple[int, int]:
 @dataclass(frozen=True)
 class Rule:
     """A greedy choice: ``options`` lists what item i of a slice may become, ``choose`` gives the index of the one taken after ``before``
-    (an option of item i - 1, None for the first item of a track), ``emit`` the output rows.
+    (an option of item i - 1, None for the first item of a track), ``emit`` the output rows of item i from its option and the one before.
     """
 
     options: Callable[[list[dict], int], list]
     choose: Callable[[list[dict], int, Any], int]
-    emit: Callable[[list[dict], int, Any], list[tuple]]
+    emit: Callable[[list[dict], int, Any, Any], list[tuple]]
 
 
 def choose_along(pieces: DataFrame, rule: Rule, schema: T.StructType) -> DataFrame:
@@ -100,8 +100,8 @@ def choose_along(pieces: DataFrame, rule: Rule, schema: T.StructType) -> DataFra
             for (track, _, items, first, end), k in zip(read(batch.select([0, 1, 2])), batch.column(3).to_pylist(), strict=True):
                 state = rule.options(items, first - 1)[k] if first else None
                 for i in range(first, end):
-                    state = rule.options(items, i)[rule.choose(items, i, state)]
-                    out += [(track, *row) for row in rule.emit(items, i, state)]
+                    before, state = state, rule.options(items, i)[rule.choose(items, i, state)]
+                    out += [(track, *row) for row in rule.emit(items, i, state, before)]
             if out:
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True)) for row in out], schema=batch_schema)
 

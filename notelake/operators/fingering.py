@@ -138,7 +138,7 @@ def resolve_chords(
         costs = [score(o) for o in mine]
         return costs.index(min(costs))
 
-    def emit(items: list[dict], i: int, option: list[tuple[int, Position]]) -> list[tuple]:
+    def emit(items: list[dict], i: int, option: list[tuple[int, Position]], before: object) -> list[tuple]:
         return [(items[i]["notes"][k]["note_id"], *p) for k, p in option]
 
     groups = chord_groups(notes, tol, width)
@@ -356,7 +356,7 @@ def smooth_positions(
                 best, least = k, cost(p)
         return best
 
-    def emit(items: list[dict], i: int, option: Position) -> list[tuple]:
+    def emit(items: list[dict], i: int, option: Position, before: Position | None) -> list[tuple]:
         return [(items[i]["note_id"], *option, option != (items[i]["string"], items[i]["fret"]))]
 
     schema = T.StructType([*_placed_schema(tabs), T.StructField("moved", T.BooleanType())])
@@ -411,9 +411,76 @@ def prefer_lower_frets(
                 best, most = k, score
         return best
 
-    def emit(items: list[dict], i: int, option: Position) -> list[tuple]:
+    def emit(items: list[dict], i: int, option: Position, before: Position | None) -> list[tuple]:
         return [(items[i]["note_id"], *option)]
 
     rows = tabs.select("track_id", "start_us", "note_id", *[F.col(c).cast("int").alias(c) for c in ("midi", "string", "fret")])
     pieces = blocks(rows, ["start_us", "note_id"], block, around, max(around, 1), width)
     return tabs.drop("string", "fret").join(choose_along(pieces, Rule(options, choose, emit), _placed_schema(tabs)), ["track_id", "note_id"])
+
+
+# --- string choice from spectra ----------------------------------------------------------------------------------
+# Centroid and bandwidth of each open string in Hz, brightness of the attack against the sustain, weights.
+CENTROID_HZ = [(200, 600), (300, 800), (400, 1000), (600, 1400), (800, 1800), (1000, 2500)]
+BANDWIDTH_HZ = [(100, 400), (150, 500), (200, 600), (300, 800), (400, 1000), (500, 1200)]
+ATTACK_RATIO = [1.3, 1.25, 1.2, 1.15, 1.1, 1.05]
+WEIGHTS = {"centroid": 0.35, "bandwidth": 0.15, "attack": 0.20, "context": 0.30}
+
+
+def _spectral_score(item: dict, place: Position) -> float:
+    """How well a note's mean spectrum fits a place; a note without spectrum scores nothing here."""
+    string, fret = place
+    if item["centroid"] is None or string >= len(CENTROID_HZ):
+        return 0.0
+
+    def fit(value: float, bounds: tuple[int, int], factor: float) -> float:
+        low, high = bounds[0] * factor, bounds[1] * factor
+        return float(np.exp(-0.5 * ((value - (low + high) / 2) / (high - low)) ** 2))
+
+    ratio = item["attack"] / item["sustain"] if item["sustain"] > 0 else 1.0
+    return (WEIGHTS["centroid"] * fit(item["centroid"], CENTROID_HZ[string], 1 + fret * 0.02)
+            + WEIGHTS["bandwidth"] * fit(item["bandwidth"], BANDWIDTH_HZ[string], 1 - fret * 0.01)
+            + WEIGHTS["attack"] * float(np.exp(-2.0 * (ratio - ATTACK_RATIO[string]) ** 2)))
+
+
+def _ease(place: Position, before: Position | None) -> float:
+    score = 1.1 if place[1] <= 5 else 1.0 if place[1] <= 12 else 0.85
+    if before is not None:
+        along, across = abs(place[1] - before[1]), abs(place[0] - before[0])
+        score *= 0.7 if along > 5 else 0.85 if along > 3 else 1.0
+        score *= 0.8 if across > 2 else 0.9 if across > 1 else 1.0
+    return score
+
+
+def score_strings(
+    notes: DataFrame, shapes: DataFrame, tuning: str | Sequence[int] = "standard", width: int = SLICE_US, block: int = BLOCK
+) -> DataFrame:
+    """(track_id, note_id, string, fret, confidence, method) of every note, by its spectrum and by ease of play after the last sure choice.
+
+    ``shapes`` (track_id, note_id, centroid, bandwidth, attack, sustain) comes from ``spectral.note_shape``. Each place of a note is weighed by centroid,
+    bandwidth and attack ratio, which shift with the fret, and by ease after the place before; the margin over the second best gives the confidence. A choice
+    of confidence above 0.5 becomes the place before. Notes with one place are ``unique`` (0.95), notes outside the range ``none`` (string and fret -1).
+    """
+    opens = tuning_notes(tuning)
+    anywhere: list[Position | None] = [None, *[(s, f) for s in range(len(opens)) for f in range(NUM_FRETS + 1)]]
+    index = {p: k for k, p in enumerate(anywhere)}
+
+    def predict(item: dict, before: Position | None) -> tuple[int, int, float, str]:
+        found = places(item["midi"], opens)
+        if len(found) <= 1:
+            return (*found[0], 0.95, "unique") if found else (-1, -1, 0.0, "none")
+        scores = [_spectral_score(item, p) + WEIGHTS["context"] * _ease(p, before) for p in found]
+        best, second = sorted(scores, reverse=True)[:2]
+        return (*found[scores.index(best)], max(0.3, min(0.95, 0.5 + (best - second) * 2)), "spectral")
+
+    def choose(items: list[dict], i: int, before: Position | None) -> int:
+        string, fret, confidence, _ = predict(items[i], before)
+        return index[string, fret] if confidence > 0.5 else index[before]  # the last sure place is kept
+
+    def emit(items: list[dict], i: int, option: Position | None, before: Position | None) -> list[tuple]:
+        return [(items[i]["note_id"], *predict(items[i], before))]
+
+    looks = shapes.select("track_id", "note_id", *[F.col(c).cast("double").alias(c) for c in ("centroid", "bandwidth", "attack", "sustain")])
+    rows = notes.select("track_id", "start_us", "note_id", F.col("midi").cast("int").alias("midi")).join(looks, ["track_id", "note_id"], "left")
+    schema = T.StructType([*_placed_schema(notes), T.StructField("confidence", T.DoubleType()), T.StructField("method", T.StringType())])
+    return choose_along(blocks(rows, ["start_us", "note_id"], block, 1, 0, width), Rule(lambda items, i: anywhere, choose, emit), schema)

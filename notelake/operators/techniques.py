@@ -149,21 +149,66 @@ def bends(curves: DataFrame, least: float = 0.3) -> DataFrame:
         "track_id", "note_id", "bend", (F.col("fret") + F.bround("bend")).cast("int").alias("target_fret"), F.least(F.lit(1.0), F.col("bend") / 2).alias("confidence"))
 
 
+def trills(curves: DataFrame, notes: DataFrame, width: int = 4096) -> DataFrame:
+    """Notes of a quarter second or more that alternate fast between two pitch centres 0.8 to 3.5 semitones apart.
+
+    ``curves``: (track_id, note_id, frame, pitch) with pitch 0 where there is none; ``notes``: (track_id, note_id, dur_us, fret). The centres are the two highest tops of the
+    note's histogram of quarter semitones, smoothed by a Gaussian of half a bin mirrored at its ends; tops reach a quarter of the highest, an even top counts
+    once and one at an end not at all, of equal tops the later ones count. The curve crosses its mean 10 to 35 times a second. Histograms
+    and crossings are counted over frames in any number of tasks; a note is held only as its histogram, which the range of pitches bounds.
+    """
+    key = ["track_id", "note_id"]
+    voiced = curves.filter("pitch > 0").select(*key, "frame", F.col("pitch").cast("double").alias("pitch"))
+    stats = voiced.groupBy(*key).agg(F.count("*").alias("n"), F.min("pitch").alias("low"), F.max("pitch").alias("high"), F.avg("pitch").alias("mean"))
+    stats = stats.filter("n >= 15 and high > low").withColumn("n_bins", F.greatest(F.floor((F.col("high") - F.col("low")) / 0.25).cast("int") + 1, F.lit(4)))
+    stats = checkpointed(stats.join(notes.filter("dur_us >= 250000").select(*key, "dur_us", "fret"), key))
+    rows = voiced.join(stats.select(*key, "low", "high", "mean", "n_bins"), key)
+    place = F.least(F.floor((F.col("pitch") - F.col("low")) / (F.col("high") - F.col("low")) * F.col("n_bins")).cast("int"), F.col("n_bins") - 1)
+    bins = rows.groupBy(*key, place.alias("bin")).agg(F.count("*").alias("c")).groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("held"))
+    side = running(rows.withColumn("side", F.signum(F.round(F.col("pitch") - F.col("mean"), 9))).select(*key, "frame", "side"), ["frame"], width, key, before=previous("side"))
+    crossed = side.groupBy(*key).agg(F.count_if(F.col("side") != F.col("before.side")).alias("crossings"))
+    found = stats.join(bins, key).join(crossed, key)
+    found = found.withColumn("h", F.transform(F.sequence(F.lit(0), F.col("n_bins") - 1), lambda i: F.coalesce(F.try_element_at("held", i), F.lit(0)).cast("double")))
+    raw = [math.exp(-2.0 * k * k) for k in range(-2, 3)]
+    n = F.col("n_bins")
+
+    def mirrored(i: Column) -> Column:
+        m = F.pmod(i, 2 * n)
+        return F.get("h", F.when(m >= n, 2 * n - 1 - m).otherwise(m).cast("int"))
+
+    # to 9 places, so sums taken in another order do not decide between equals
+    found = found.withColumn("s", F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.round(sum((mirrored(i + k - 2) * (w / sum(raw)) for k, w in enumerate(raw)), F.lit(0.0)), 9)))
+    at = lambda i: F.get("s", i.cast("int"))
+    higher = F.filter(F.sequence(F.lit(1), n - 2), lambda i: (at(i) > at(i - 1)) & (at(i) >= 0.25 * F.array_max("s")))
+    # where an even stretch that begins at i ends, and whether it falls there
+    end = lambda i: F.coalesce(F.array_min(F.filter(F.sequence(F.lit(0), n - 1), lambda j: (j > i) & (at(j) != at(i)))), n)
+    tops = F.transform(F.filter(higher, lambda i: (end(i) < n) & (at(end(i)) < at(i))), lambda i: F.struct(at(i).alias("height"), F.floor((i + end(i) - 1) / 2).cast("int").alias("bin")))
+    found = found.withColumn("tops", F.slice(F.reverse(F.array_sort(tops)), 1, 2)).filter(F.size("tops") == 2)
+    interval = F.abs(F.get("tops", F.lit(0))["bin"] - F.get("tops", F.lit(1))["bin"]) * (F.col("high") - F.col("low")) / n
+    rate = F.col("crossings") / (F.col("dur_us") / 1e6)
+    return found.withColumns({"interval": interval, "rate": rate}).filter(F.round("interval", 9).between(0.8, 3.5) & F.col("rate").between(10, 35)).select(
+        *key, "interval", "rate", (F.col("fret") + F.bround(F.round("interval", 9)).cast("int")).alias("target_fret"), F.least(F.lit(1.0), F.col("rate") / 20).alias("confidence"))
+
+
 def annotate_techniques(
-    tabs: DataFrame, bend_rows: DataFrame, min_fret: int = 10, min_interval: int = 7, width: int = SLICE_US
+    tabs: DataFrame, bend_rows: DataFrame, min_fret: int = 10, min_interval: int = 7, width: int = SLICE_US, trill_rows: DataFrame | None = None
 ) -> DataFrame:
-    """One technique per note, by precedence: hammer or pull, bend, slide, tremolo on notes still free; a tap may
+    """One technique per note, by precedence: hammer or pull, bend, slide, trill, tremolo on notes still free; a tap may
     replace a hammer or pull.
 
-    ``tabs`` carry string, fret, is_legato, end_pitch and attack_strength; ``bend_rows`` come from ``bends``.
+    ``tabs`` carry string, fret, is_legato, end_pitch and attack_strength; ``bend_rows`` come from ``bends``, ``trill_rows`` from ``trills``.
     """
     keys = ["track_id", "note_id"]
     named = lambda df, n: df.select(*keys, F.struct("technique", "target_fret", "confidence").alias(n))
     bent = bend_rows.select(*keys, F.lit("bend").alias("technique"), "target_fret", "confidence")
+    steps = [hammer_pull(tabs, width=width), bent, slides(tabs, width=width)]
+    if trill_rows is not None:
+        steps.append(trill_rows.select(*keys, F.lit("trill").alias("technique"), "target_fret", "confidence"))
+    names = [f"t{i}" for i in range(1, len(steps) + 1)]
     rows = tabs
-    for df, n in ((hammer_pull(tabs, width=width), "t1"), (bent, "t2"), (slides(tabs, width=width), "t3")):
+    for df, n in zip(steps, names, strict=True):
         rows = rows.join(named(df, n), keys, "left")
-    rows = checkpointed(rows.withColumn("t", F.coalesce("t1", "t2", "t3")).drop("t1", "t2", "t3"))
+    rows = checkpointed(rows.withColumn("t", F.coalesce(*names)).drop(*names))
     shake = tremolo_notes(rows, width=width, skip=F.col("t").isNotNull()).select(
         *keys, F.struct(F.lit("tremolo").alias("technique"), F.lit(None).cast("int").alias("target_fret"), F.least(F.lit(1.0), F.col("rate") / 15).alias("confidence")).alias("t4"))
     rows = rows.join(shake, keys, "left").withColumn("t", F.coalesce("t", "t4")).drop("t4")

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from notelake.functions.dims import TUNINGS
+from notelake.operators import chained as ch
 from notelake.operators import fingering as fing
+from notelake.operators import spectral as sp
+from notelake.operators import techniques as tq
 from notelake.plans.registry import register
 from notelake.plans.segment import NOTE_SLICE
+from notelake.plans.spectral import _spec
 from notelake.plans.tabs import STATIC, _static
 from notelake.plans.theory import _values
 from notelake.sources import adapters as src
@@ -65,3 +69,50 @@ register(
     STATIC + "," + OPTIONS + "," + _sweep("tabs", "sweep1") + "," + _sweep("sweep1", "sweep2") + "," + _sweep("sweep2", "sweep3")
     + ", result AS (SELECT * FROM sweep3)", recursive=True,
 )
+
+
+def _strings(spark, sf):
+    """Notes of six frames each, with the spectra scaled into the range of strings."""
+    spec = _spec(spark, sf)
+    notes = spec.filter("frame % 6 = 0").selectExpr(
+        "track_id", "frame as note_id", "frame as first_frame", "6L as n_frames", "frame * 23220 as start_us", "cast(38 + frame * 7 % 50 as int) as midi")
+    return fing.score_strings(notes, sp.note_shape(sp.spectral_shape(spec, 25.0), notes))
+
+
+# these three are held against plain loops in tests/test_fingering.py and tests/test_sequences.py
+register("score_strings", _strings, "track_id note_id string fret confidence~ method$")
+register("method_agreement", lambda spark, sf: ch.method_agreement(src.notes_dense(spark, sf), sorted(src.METHODS.values()), width=NOTE_SLICE),
+         "track_id group start_us midi n_methods methods$")
+register("agreement_counts", lambda spark, sf: ch.agreement_counts(ch.method_agreement(src.notes_dense(spark, sf), sorted(src.METHODS.values()), width=NOTE_SLICE)),
+         "track_id n_methods n_groups")
+
+
+def _trills(spark, sf):
+    """Notes of 32 frames that go between two pitches at a pace set by their number."""
+    frames = src.frames(spark, sf).selectExpr(
+        "track_id", "frame div 32 as note_id", "frame", "if(is_voiced, 60 + if(frame div (1 + (frame div 32) % 3) % 2 = 0, 0D, 1 + (frame div 32) % 4 * 0.75D) + (event_id % 5) / 50D + case frame % 8 when 1 then -1.2D when 6 then 1.2D else 0D end, 0D) as pitch")
+    notes = frames.select("track_id", "note_id").distinct().selectExpr("track_id", "note_id", "32 * 23220L as dur_us", "cast(5 as int) as fret")
+    return tq.trills(frames, notes)
+
+
+register(
+    "trills", _trills, "track_id note_id interval~ rate~ target_fret confidence~", "frames",
+    """_v AS (SELECT track_id, frame // 32 AS note_id, frame, 60 + (CASE WHEN frame // (1 + (frame // 32) % 3) % 2 = 0 THEN 0e0 ELSE 1 + (frame // 32) % 4 * 0.75e0 END) + (event_id % 5) / 50e0 + CASE frame % 8 WHEN 1 THEN -1.2e0 WHEN 6 THEN 1.2e0 ELSE 0e0 END AS p FROM frames WHERE is_voiced),
+    _st AS (SELECT track_id, note_id, count(*) AS n, min(p) AS lo, max(p) AS hi, avg(p) AS mean FROM _v GROUP BY ALL HAVING count(*) >= 15 AND max(p) > min(p)),
+    _nb AS (SELECT *, greatest(CAST(floor((hi - lo) / 0.25e0) AS INT) + 1, 4) AS nb FROM _st),
+    _hi AS (SELECT track_id, note_id, least(CAST(floor((p - lo) / (hi - lo) * nb) AS INT), nb - 1) AS bin, count(*) AS c FROM _v JOIN _nb USING (track_id, note_id) GROUP BY ALL),
+    _hb AS (SELECT _nb.track_id, _nb.note_id, nb, b AS bin, coalesce(c, 0) AS c FROM _nb JOIN range(0, 600) r(b) ON b < nb LEFT JOIN _hi ON _hi.track_id = _nb.track_id AND _hi.note_id = _nb.note_id AND _hi.bin = b),
+    _k AS (SELECT k, exp(-2e0 * k * k) / sum(exp(-2e0 * k * k)) OVER () AS w FROM range(-2, 3) q(k)),
+    _m AS (SELECT track_id, note_id, nb, bin, w, (bin + k + 4 * nb) % (2 * nb) AS m FROM _hb, _k),
+    _s AS (SELECT _m.track_id, _m.note_id, _m.bin, any_value(_m.nb) AS nb, round(sum(w * o.c), 9) AS s FROM _m JOIN _hb o ON o.track_id = _m.track_id AND o.note_id = _m.note_id
+             AND o.bin = CASE WHEN m >= _m.nb THEN 2 * _m.nb - 1 - m ELSE m END GROUP BY _m.track_id, _m.note_id, _m.bin),
+    _e AS (SELECT *, CASE WHEN s = lag(s) OVER w THEN 0 ELSE 1 END AS fresh, max(s) OVER (PARTITION BY track_id, note_id) AS top FROM _s WINDOW w AS (PARTITION BY track_id, note_id ORDER BY bin)),
+    _r AS (SELECT *, sum(fresh) OVER (PARTITION BY track_id, note_id ORDER BY bin) AS g FROM _e),
+    _p AS (SELECT track_id, note_id, g, any_value(s) AS s, any_value(top) AS top, (min(bin) + max(bin)) // 2 AS mid FROM _r GROUP BY ALL),
+    _q AS (SELECT *, s > lag(s) OVER w AND s > lead(s) OVER w AS peak FROM _p WINDOW w AS (PARTITION BY track_id, note_id ORDER BY g)),
+    _t AS (SELECT track_id, note_id, list(mid ORDER BY s DESC, mid DESC) AS mids FROM _q WHERE peak AND s >= 0.25e0 * top GROUP BY ALL HAVING count(*) >= 2),
+    _z AS (SELECT track_id, note_id, frame, sign(round(p - mean, 9)) AS z FROM _v JOIN _nb USING (track_id, note_id)),
+    _y AS (SELECT track_id, note_id, count(*) FILTER (z <> b) AS x FROM (SELECT *, lag(z) OVER (PARTITION BY track_id, note_id ORDER BY frame) AS b FROM _z) GROUP BY ALL),
+    _a AS (SELECT track_id, note_id, abs(mids[1] - mids[2]) * (hi - lo) / nb AS interval, x / (32 * 23220 / 1e6) AS rate FROM _t JOIN _nb USING (track_id, note_id) JOIN _y USING (track_id, note_id)),
+    result AS (SELECT *, 5 + CAST(round_even(round(interval, 9), 0) AS INT) AS target_fret, least(1.0, rate / 20) AS confidence FROM _a WHERE round(interval, 9) BETWEEN 0.8e0 AND 3.5e0 AND rate BETWEEN 10 AND 35)""",
+)
