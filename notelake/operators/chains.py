@@ -13,10 +13,12 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from notelake.operators.timeline import SLICE_US, halo, row_index
 from notelake.session import checkpointed
@@ -105,7 +107,91 @@ def choose_along(pieces: DataFrame, rule: Rule, schema: T.StructType) -> DataFra
             if out:
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True)) for row in out], schema=batch_schema)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     batch_schema = to_arrow_schema(schema)
     return entered.mapInArrow(emit, schema)
+
+
+@dataclass(frozen=True)
+class Path:
+    """A cheapest path: ``prepare`` makes what is known of each item, ``first`` gives the costs (1 x candidates) of a track's first item,
+    ``after`` those (candidates before x candidates) of item i, as whole numbers, ``emit`` the output rows of item i with candidate k.
+    """
+
+    prepare: Callable[[list[dict]], list]
+    first: Callable[[list], np.ndarray]
+    after: Callable[[list, int], np.ndarray]
+    emit: Callable[[list[dict], list, int, int], list[tuple]]
+
+
+def cheapest_along(pieces: DataFrame, path: Path, schema: T.StructType) -> DataFrame:
+    """Rows of ``path.emit`` along the cheapest path of every track of ``pieces`` (from ``blocks``).
+
+    Costs are whole numbers, so they add up alike however the path is cut. Of equal paths the one with the earlier candidates, from
+    its end on, is taken.
+    """
+    key = [pieces.schema["track_id"], T.StructField("n", T.LongType())]
+
+    def read(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for track, entries in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            first, end = own_range(entries)
+            items = [e["item"] for e in entries]
+            yield track, items, path.prepare(items), first, end
+
+    def steps(known: list, first: int, end: int) -> Iterator[np.ndarray]:
+        for i in range(first, end):
+            yield path.after(known, i) if i else path.first(known)
+
+    def costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for _, _, known, first, end in read(batch):
+                table = None
+                for step in steps(known, first, end):
+                    table = step if table is None else np.stack([(row[:, None] + step).min(axis=0) for row in table])
+                found.append(table.tolist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.list_(pa.list_(pa.int64())))], names=["track_id", "n", "table"])
+
+    tables = checkpointed(pieces.mapInArrow(costs, T.StructType([*key, T.StructField("table", T.ArrayType(T.ArrayType(T.LongType())))])))
+    reached = compose(tables, MIN_PLUS)  # a track's first table has one row, so each has after that
+    entry = reached.select("track_id", (F.col("n") + 1).alias("n"), F.col("table")[0].alias("entry"))
+    size = reached.groupBy("track_id").agg(F.max("n").alias("end"))
+    entered = pieces.join(entry, ["track_id", "n"], "left").join(size, "track_id").select("track_id", "n", "items", "entry", (F.col("n") == F.col("end")).alias("last"))
+    entered = checkpointed(entered)
+
+    def ways(known: list, first: int, end: int, entry: list[int] | None) -> tuple[list[np.ndarray], np.ndarray]:
+        """For each own item the best candidate before each of its candidates, and the costs at the end."""
+        back, v = [], None if entry is None else np.array(entry)
+        for step in steps(known, first, end):
+            total = step if v is None else v[:, None] + step
+            back.append(total.argmin(axis=0))
+            v = total.min(axis=0)
+        return back, v
+
+    def backward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for (_, _, known, first, end), entry, last in zip(read(batch), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                back, v = ways(known, first, end, entry)
+                state = np.arange(len(v)) if not last else np.array([int(v.argmin())])
+                for step in reversed(back):
+                    state = step[state]
+                found.append(state.tolist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.list_(pa.int32()))], names=["track_id", "n", "table"])
+
+    tables = checkpointed(entered.mapInArrow(backward, T.StructType([*key, T.StructField("table", T.ArrayType(T.IntegerType()))])))
+    left = compose(tables, THEN, reverse=True).select("track_id", (F.col("n") - 1).alias("n"), F.col("table")[0].alias("exit"))
+    arrow_schema = to_arrow_schema(schema)
+
+    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for (track, items, known, first, end), entry, state in zip(read(batch), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                back, v = ways(known, first, end, entry)
+                state = int(v.argmin()) if state is None else state
+                for i in range(end - 1, first - 1, -1):
+                    out += [(track, *row) for row in path.emit(items, known, i, state)]
+                    state = int(back[i - first][state])
+            if out:
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True)) for row in out], schema=arrow_schema)
+
+    return entered.drop("last").join(left, ["track_id", "n"], "left").mapInArrow(trace, schema)

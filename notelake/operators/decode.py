@@ -6,12 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from notelake.operators.chains import Path, blocks, cheapest_along
 from notelake.operators.segment import mark_groups
 from notelake.operators.theory import HIGH, LOW
-from notelake.operators.timeline import BLOCK_ROWS, SLICE_US, Run, row_index, running
+from notelake.operators.timeline import BLOCK_ROWS, SLICE_US, Run, row_halo, row_index, running, slice_window
 from notelake.session import checkpointed
 
 STATES = np.arange(LOW, HIGH + 1)
@@ -178,3 +180,104 @@ def refine_notes(
     rows = row_index(notes, ["start_us", "note_id"], width, name="frame")
     path = decode_hmm(rows, priors, transitions, max_gap).select("track_id", "frame", F.col("midi").alias("new_midi"))
     return rows.join(path, ["track_id", "frame"]).withColumn("changed", F.col("new_midi") != F.col("midi")).drop("frame")
+
+
+# --- decoding over candidates and silence -------------------------------------------------------------------------
+#: States are pitches and 0 for silence; costs are whole multiples of this.
+UNIT = 1e-6
+VOICING = 0.5
+SILENCE = 1.0
+
+
+def jump_cost(semitones: np.ndarray) -> np.ndarray:
+    """What a change of pitch from one frame to the next costs."""
+    d = np.abs(semitones)
+    # fixed values: the bounds of each range of intervals, the cost at its start and the slope
+    return np.select(
+        [d == 0, d <= 2, d <= 5, d <= 7, d <= 12, d <= 24],
+        [0.0, 0.5, 1.0 + 0.2 * (d - 2), 2.0 + 0.3 * (d - 5), 3.0 + 0.5 * (d - 7), 6.0 + 1.0 * (d - 12)], 30.0)
+
+
+class Reachable:
+    """The states that a frame's candidates reach, in order, and what each costs by itself."""
+
+    def __init__(self, item: dict, low: int, high: int):
+        cost: dict[int, float] = {}
+        for c in item["cands"]:
+            voiced = bool(c["is_voiced"]) and c["midi"] is not None and c["midi"] > 0
+            state = int(min(high, max(low, np.rint(c["midi"])))) if voiced else 0
+            own = -float(np.log(min(0.99, max(0.01, c["confidence"] or 0.0)))) if c["is_voiced"] else SILENCE
+            cost[state] = min(own, cost.get(state, own))
+        self.states = np.array(sorted(cost))
+        self.cost = np.array([cost[s] for s in sorted(cost)])
+
+    def after(self, before: Reachable) -> np.ndarray:
+        a, b = before.states[:, None], self.states[None, :]
+        step = np.where((a == 0) & (b == 0), 0.0, np.where((a == 0) | (b == 0), VOICING, jump_cost(a - b)))
+        return np.rint((step + self.cost) / UNIT).astype(np.int64)
+
+    def first(self) -> np.ndarray:
+        return np.rint(self.cost[None, :] / UNIT).astype(np.int64)
+
+
+def decode_with_silence(candidates: DataFrame, low: int = LOW, high: int = HIGH, width: int = BLOCK_ROWS, block: int = BLOCK_ROWS) -> DataFrame:
+    """(track_id, frame, midi, frequency, confidence, is_voiced): the most likely way through pitches and silence of every track.
+
+    ``candidates``: (track_id, frame, midi, frequency, confidence, is_voiced), any number for a frame. Only the states of a frame's own candidates can be reached in it, so
+    what a slice does is a table between the states of two frames. A frame without voiced candidates is silent, one without any row does not exist, and
+    its neighbours follow each other. A frame takes frequency and confidence of its surest candidate within half a semitone, or 0.5 and the
+    state's own frequency. The lower state wins ties, silence first.
+    """
+    cand = F.struct((-F.coalesce(F.col("confidence"), F.lit(0.0))).alias("o"), F.col("midi").cast("double").alias("midi"), F.col("frequency").cast("double").alias("frequency"),
+                    F.col("confidence").cast("double").alias("confidence"), "is_voiced")
+    frames = candidates.groupBy("track_id", "frame").agg(F.array_sort(F.collect_list(cand)).alias("cands"))
+
+    def emit(items: list[dict], known: list[Reachable], i: int, k: int) -> list[tuple]:
+        state, frame = int(known[i].states[k]), items[i]["frame"]
+        if not state:
+            return [(frame, 0, 0.0, 0.0, False)]
+        for c in items[i]["cands"]:
+            if c["is_voiced"] and c["midi"] is not None and abs(c["midi"] - state) <= 0.5:
+                return [(frame, state, c["frequency"], c["confidence"], True)]
+        return [(frame, state, 440.0 * 2 ** ((state - 69) / 12), 0.5, True)]
+
+    path = Path(
+        prepare=lambda items: [Reachable(item, low, high) for item in items], first=lambda known: known[0].first(),
+        after=lambda known, i: known[i].after(known[i - 1]), emit=emit)
+    schema = T.StructType([
+        candidates.schema["track_id"], candidates.schema["frame"], T.StructField("midi", T.IntegerType()), T.StructField("frequency", T.DoubleType()),
+        T.StructField("confidence", T.DoubleType()), T.StructField("is_voiced", T.BooleanType())])
+    return cheapest_along(blocks(frames, ["frame"], block, 1, 0, width), path, schema)
+
+
+def smooth_path(path: DataFrame, gap_frames: int = 3, width: int = BLOCK_ROWS) -> DataFrame:
+    """``path`` with gaps of at most ``gap_frames`` frames closed by a line in midi, then smoothed and put back to semitones.
+
+    Gaps at the start of a track stay. The Gaussian of one frame runs over the voiced frames alone, as if they were next to each other, mirrored at both ends; a track with three of them
+    or fewer is not smoothed. Adds ``filled``.
+    """
+    voiced = F.when(F.col("is_voiced"), F.struct("frame", F.col("midi").cast("double").alias("midi")))
+    rows = running(path.withColumn("_v", voiced), ["frame"], width, drop=["_v"], a=Run("last", F.col("_v"), inclusive=False), b=Run("last", F.col("_v"), inclusive=False, reverse=True))
+    gap = F.col("b.frame") - F.col("a.frame") - 1
+    fill = F.coalesce(~F.col("is_voiced") & (gap <= gap_frames), F.lit(False))
+    t = (F.col("frame") - F.col("a.frame")) / (gap + 1)
+    line = F.col("a.midi") + t * (F.col("b.midi") - F.col("a.midi"))
+    rows = rows.withColumn("filled", fill).withColumn("m", F.when(fill, line).otherwise(F.col("midi").cast("double"))).drop("a", "b")
+    rows = checkpointed(rows.withColumn("is_voiced", F.col("is_voiced") | F.col("filled")))
+
+    reach = 4
+    sung = row_halo(rows.filter("is_voiced").select("track_id", "frame", "m"), ["frame"], reach, reach, width)
+    count = rows.filter("is_voiced").groupBy("track_id").agg(F.count("*").alias("n"))
+    near = slice_window(["track_id"], "rn").rowsBetween(-reach, reach)
+    sung = sung.withColumn("xs", F.collect_list("m").over(near)).withColumn("lo", F.min("rn").over(near)).filter("_own").join(count, "track_id")
+    weights = np.exp(-0.5 * np.arange(-reach, reach + 1) ** 2)
+
+    def mirrored(k: int) -> Column:
+        m = F.pmod(F.col("rn") + k, 2 * F.col("n"))
+        return F.get("xs", (F.when(m >= F.col("n"), 2 * F.col("n") - 1 - m).otherwise(m) - F.col("lo")).cast("int"))
+
+    smooth = sum((mirrored(k - reach) * float(w / weights.sum()) for k, w in enumerate(weights)), F.lit(0.0))
+    sung = sung.select("track_id", "frame", F.bround(F.round(F.when(F.col("n") > 3, smooth).otherwise(F.col("m")), 9)).cast("int").alias("smooth"))
+    rows = rows.join(sung, ["track_id", "frame"], "left").drop("m")
+    hz = F.lit(440.0) * F.pow(F.lit(2.0), (F.col("smooth") - 69) / 12.0)
+    return rows.withColumn("midi", F.coalesce("smooth", F.lit(0))).withColumn("frequency", F.when(F.col("is_voiced"), hz).otherwise(0.0)).drop("smooth")

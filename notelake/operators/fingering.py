@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notelake.functions.dims import NUM_FRETS, tuning_notes
-from notelake.operators.chains import MIN_PLUS, THEN, Rule, blocks, choose_along, compose, own_range
+from notelake.operators.chains import Path, Rule, blocks, cheapest_along, choose_along
 from notelake.operators.timeline import SLICE_US, group_anchored
 from notelake.session import checkpointed
 
@@ -237,77 +236,14 @@ def optimal_fingering(
     """
     opens = tuning_notes(tuning)
     pieces = blocks(chord_groups(notes, tol, width), ["t_us"], block, 1, AHEAD, width)
-    track = pieces.schema["track_id"]
-    key = [track, T.StructField("n", T.LongType())]
-    long_array = T.ArrayType(T.LongType())
-
-    def read(batch: pa.RecordBatch) -> Iterator[tuple]:
-        for t, entries in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            first, end = own_range(entries)
-            yield t, [e["item"] for e in entries], [Group(e["item"], opens) for e in entries], first, end
-
-    def steps(groups: list[Group], first: int, end: int) -> Iterator[np.ndarray]:
-        for i in range(first, end):
-            yield groups[i].after(groups[i - 1], groups[i + 1:]) if i else groups[0].first()
-
-    def costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for _, _, groups, first, end in read(batch):
-                table = None
-                for step in steps(groups, first, end):
-                    table = step if table is None else np.stack([(row[:, None] + step).min(axis=0) for row in table])
-                found.append(table.tolist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.list_(pa.list_(pa.int64())))], names=["track_id", "n", "table"])
-
-    tables = checkpointed(pieces.mapInArrow(costs, T.StructType([*key, T.StructField("table", T.ArrayType(long_array))])))
-    reached = compose(tables, MIN_PLUS)  # a track's first table has one row, so each has after that
-    entry = reached.select("track_id", (F.col("n") + 1).alias("n"), F.col("table")[0].alias("entry"))
-    size = reached.groupBy("track_id").agg(F.max("n").alias("end"))
-    entered = pieces.join(entry, ["track_id", "n"], "left").join(size, "track_id").select("track_id", "n", "items", "entry", (F.col("n") == F.col("end")).alias("last"))
-    entered = checkpointed(entered)
-
-    def ways(groups: list[Group], first: int, end: int, entry: list[int] | None) -> tuple[list[np.ndarray], np.ndarray]:
-        """For each own group the best candidate before each of its candidates, and the costs at the end."""
-        back, v = [], None if entry is None else np.array(entry)
-        for step in steps(groups, first, end):
-            total = step if v is None else v[:, None] + step
-            back.append(total.argmin(axis=0))
-            v = total.min(axis=0)
-        return back, v
-
-    def backward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for (_, _, groups, first, end), entry, last in zip(read(batch), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                back, v = ways(groups, first, end, entry)
-                state = np.arange(len(v)) if not last else np.array([int(v.argmin())])
-                for step in reversed(back):
-                    state = step[state]
-                found.append(state.tolist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.list_(pa.int32()))], names=["track_id", "n", "table"])
-
-    tables = checkpointed(entered.mapInArrow(backward, T.StructType([*key, T.StructField("table", T.ArrayType(T.IntegerType()))])))
-    left = compose(tables, THEN, reverse=True).select("track_id", (F.col("n") - 1).alias("n"), F.col("table")[0].alias("exit"))
-    out_schema = _placed_schema(notes)
-
-    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for (t, items, groups, first, end), entry, state in zip(read(batch), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                back, v = ways(groups, first, end, entry)
-                state = int(v.argmin()) if state is None else state
-                for i in range(end - 1, first - 1, -1):
-                    out += [(t, items[i]["notes"][k]["note_id"], *p) for k, p in groups[i].candidates[state].items()]
-                    state = int(back[i - first][state])
-            if out:
-                yield pa.RecordBatch.from_pylist([dict(zip(out_schema.names, row, strict=True)) for row in out], schema=arrow_schema)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow_schema = to_arrow_schema(out_schema)
-    placed = entered.drop("last").join(left, ["track_id", "n"], "left").mapInArrow(trace, out_schema)
-    return notes.join(placed, ["track_id", "note_id"])
+
+    def emit(items: list[dict], groups: list[Group], i: int, k: int) -> list[tuple]:
+        return [(items[i]["notes"][note]["note_id"], *p) for note, p in groups[i].candidates[k].items()]
+
+    path = Path(
+        prepare=lambda items: [Group(item, opens) for item in items], first=lambda groups: groups[0].first(),
+        after=lambda groups, i: groups[i].after(groups[i - 1], groups[i + 1:]), emit=emit)
+    return notes.join(cheapest_along(pieces, path, _placed_schema(notes)), ["track_id", "note_id"])
 
 
 # --- changes to given tabs ---------------------------------------------------------------------------------------

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from notelake.functions.dims import TUNINGS
 from notelake.operators import chained as ch
+from notelake.operators import decode as dec
 from notelake.operators import fingering as fing
 from notelake.operators import spectral as sp
 from notelake.operators import techniques as tq
 from notelake.plans.registry import register
-from notelake.plans.segment import NOTE_SLICE
+from notelake.plans.segment import FRAME_SLICE, NOTE_SLICE
 from notelake.plans.spectral import _spec
 from notelake.plans.tabs import STATIC, _static
 from notelake.plans.theory import _values
@@ -116,3 +117,15 @@ register(
     _a AS (SELECT track_id, note_id, abs(mids[1] - mids[2]) * (hi - lo) / nb AS interval, x / (32 * 23220 / 1e6) AS rate FROM _t JOIN _nb USING (track_id, note_id) JOIN _y USING (track_id, note_id)),
     result AS (SELECT *, 5 + CAST(round_even(round(interval, 9), 0) AS INT) AS target_fret, least(1.0, rate / 20) AS confidence FROM _a WHERE round(interval, 9) BETWEEN 0.8e0 AND 3.5e0 AND rate BETWEEN 10 AND 35)""",
 )
+
+
+def _with_silence(spark, sf):
+    """Frames with a second candidate an octave off; one frame in seventeen is unvoiced, some have silence as a second choice."""
+    frames = src.frames(spark, sf)
+    one = frames.selectExpr("track_id", "frame", "midi + (event_id % 7 - 3) / 10D as midi", "440D * pow(2D, (midi - 69) / 12D) as frequency", "confidence", "is_voiced")
+    two = frames.filter("is_voiced").selectExpr(
+        "track_id", "frame", "midi + 12D * (event_id % 3 - 1) as midi", "440D * pow(2D, (midi - 69) / 12D + event_id % 3 - 1) as frequency", "1 - confidence as confidence", "event_id % 5 <> 0 as is_voiced")
+    return dec.smooth_path(dec.decode_with_silence(one.unionByName(two), width=FRAME_SLICE), width=FRAME_SLICE)
+
+
+register("decode_with_silence", _with_silence, "track_id frame midi frequency~ confidence~ is_voiced! filled!")
