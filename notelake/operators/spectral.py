@@ -313,16 +313,37 @@ def peak_pick(
             return peaks.drop("kept")
 
 
+def array_peaks(xs: Column) -> Column:
+    """Local maxima of an array as an array of struct(m, i), i from 1, in one pass.
+
+    An even top counts once, in its middle; a value at an end, or an even stretch that reaches it, is none. This is the rule of ``peak_pick``.
+    """
+    none = F.array().cast("array<struct<m:double,i:int>>")
+    start = F.struct(F.lit(None).cast("double").alias("x"), F.lit(0).alias("since"), F.lit(False).alias("rising"), F.lit(0).alias("i"), none.alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        i, same = s["i"] + 1, F.coalesce(s["x"] == x, F.lit(False))
+        top = F.struct(s["x"].alias("m"), F.floor((s["since"] + s["i"]) / 2).cast("int").alias("i"))
+        falls = s["rising"] & F.coalesce(x < s["x"], F.lit(False))
+        return F.struct(
+            x.cast("double").alias("x"), F.when(same, s["since"]).otherwise(i).alias("since"), F.when(same, s["rising"]).otherwise(F.coalesce(x > s["x"], F.lit(False))).alias("rising"),
+            i.alias("i"), F.when(falls, F.concat(s["out"], F.array(top))).otherwise(s["out"]).alias("out"))
+
+    return F.aggregate(xs, start, step, lambda s: s["out"])
+
+
+def spaced(peaks: Column, distance: int) -> Column:
+    """Peaks from the highest down (of equals the later one first), without those nearer than ``distance`` to a kept one."""
+    ranked = F.sort_array(peaks, asc=False)
+    return F.aggregate(ranked, F.slice(ranked, 1, 0), lambda acc, p: F.when(
+        F.exists(acc, lambda q: F.abs(q["i"] - p["i"]) < distance), acc).otherwise(F.concat(acc, F.array(p))))
+
+
 def frame_peaks(mags: Column, height: float, distance: int) -> Column:
     """Peaks inside one spectrum as an array of struct(m, i): relative height, greedy spacing from the highest down."""
     top = F.array_max(mags)
-    rel = F.transform(mags, lambda x: x / top)
-    at = lambda i: F.get(rel, i - 1)
-    inner = F.filter(F.sequence(F.lit(2), F.size(mags) - 1), lambda i: (at(i) > at(i - 1)) & (at(i) > at(i + 1)) & (at(i) >= height))
-    ranked = F.sort_array(F.transform(inner, lambda i: F.struct(at(i).alias("m"), i.alias("i"))), asc=False)
-    none = F.slice(ranked, 1, 0)
-    kept = F.aggregate(ranked, none, lambda acc, p: F.when(F.exists(acc, lambda q: F.abs(q["i"] - p["i"]) < distance), acc).otherwise(F.concat(acc, F.array(p))))
-    return F.when((top >= EPS) & (F.size(mags) >= 3), kept).otherwise(none)
+    peaks = F.filter(array_peaks(F.transform(mags, lambda x: x / top)), lambda p: p["m"] >= height)
+    return F.when((top >= EPS) & (F.size(mags) >= 3), spaced(peaks, distance)).otherwise(F.array().cast("array<struct<m:double,i:int>>"))
 
 
 def polyphony(spec: DataFrame, low_bin: int, high_bin: int, height: float = 0.2, distance: int = 5) -> DataFrame:
@@ -347,6 +368,29 @@ def spectral_candidates(
         "track_id", "frame", "pos", "c.midi", F.col("c.hz").alias("frequency"), F.col("c.m").alias("confidence"))
 
 
+def level_candidates(
+    spec: DataFrame, low_hz: float = 75.0, high_hz: float = 1400.0, threshold: float = -40.0, top: int = 5, distance: int = 3, hz_step: float = 175.0
+) -> DataFrame:
+    """Per frame the strongest peaks by level: (track_id, frame, pos, frequency, level, confidence).
+
+    Levels are decibels below the loudest bin of the track, at least -80. Bins in range and above ``threshold`` are looked at as if they were next to each
+    other; peaks keep ``distance`` of them apart, and two bins or fewer are all peaks. The confidence is the level's place between the threshold and the frame's loudest bin.
+    """
+    loudest = spec.groupBy("track_id").agg(F.max(F.array_max("mags")).alias("_ref"))
+    level = lambda x: F.greatest(F.lit(-80.0), 20 * F.log10(F.greatest(x, F.lit(1e-5)) / F.greatest("_ref", F.lit(1e-5))))
+    rows = spec.join(loudest, "track_id").withColumn("db", F.transform("mags", level)).withColumn("loud", F.array_max("db"))
+    hz = lambda i: i * hz_step
+    held = F.filter(F.transform("db", lambda x, i: F.struct(x.alias("m"), i.cast("int").alias("bin"))), lambda p: hz(p["bin"]).between(low_hz, high_hz) & (p["m"] >= threshold))
+    rows = rows.withColumn("held", held)
+    every = F.transform("held", lambda p, i: F.struct(p["m"].cast("double").alias("m"), (i + 1).cast("int").alias("i")))
+    peaks = F.when(F.size("held") > 2, spaced(array_peaks(F.col("held.m")), distance)).otherwise(F.sort_array(every, asc=False))
+    rows = rows.withColumn("ps", F.slice(peaks, 1, top)).select("track_id", "frame", "held", "loud", F.posexplode("ps").alias("pos", "p"))
+    share = (F.col("p.m") - threshold) / (F.col("loud") - threshold + 1e-6)
+    return rows.select(
+        "track_id", "frame", "pos", hz(F.get("held", F.col("p.i") - 1)["bin"]).alias("frequency"), F.col("p.m").alias("level"),
+        F.least(F.lit(1.0), F.greatest(F.lit(0.0), share)).alias("confidence"))
+
+
 def quality_metrics(bins: DataFrame, samples: DataFrame, flatness: DataFrame, flux: DataFrame) -> DataFrame:
     """DC offset, dynamic range, flatness, energy share in the guitar band and transient clarity per track."""
     dc = samples.groupBy("track_id").agg(F.abs(F.avg("x")).alias("dc_offset"))

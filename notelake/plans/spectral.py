@@ -164,8 +164,41 @@ register(
     _fin AS (SELECT track_id, unnest(arg_max(kept, rn)) AS frame FROM _wk GROUP BY track_id),
     result AS (SELECT p.* FROM _pk p JOIN _fin USING (track_id, frame))""", recursive=True,
 )
-register("polyphony", lambda spark, sf: sp.polyphony(_spec(spark, sf), 1, 9), "track_id frame n")
-register("spectral_candidates", lambda spark, sf: sp.spectral_candidates(_spec(spark, sf), 75, 5000), "track_id frame pos midi frequency~ confidence~")
+def spaced_sql(distance: int, value: str = "m", place: str = "i") -> str:
+    """Kept places of a group's peaks, from the highest down, as a list of one-element lists."""
+    ranked = f"list_transform(list({place} ORDER BY {value} DESC, {place} DESC), lambda x: [x])"
+    return f"list_reduce({ranked}, lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: abs(k - x[1]) < {distance})) > 0 THEN acc ELSE acc || x END)"
+
+
+register(
+    "polyphony", lambda spark, sf: sp.polyphony(_spec(spark, sf), 1, 9), "track_id frame n", "bins",
+    f"""_r AS (SELECT track_id, frame, bin, mag / max(mag) OVER (PARTITION BY track_id, frame) AS m FROM bins WHERE bin BETWEEN 1 AND 8),
+    _l AS (SELECT *, lag(m) OVER w AS a, lead(m) OVER w AS b FROM _r WINDOW w AS (PARTITION BY track_id, frame ORDER BY bin)),
+    _k AS (SELECT track_id, frame, least(6, len({spaced_sql(5, "m", "bin")})) AS n FROM _l WHERE m > a AND m > b AND m >= 0.2e0 GROUP BY track_id, frame),
+    result AS (SELECT f.track_id, f.frame, coalesce(n, 0) AS n FROM (SELECT DISTINCT track_id, frame FROM bins) f LEFT JOIN _k USING (track_id, frame))""",
+)
+register(
+    "spectral_candidates", lambda spark, sf: sp.spectral_candidates(_spec(spark, sf), 75, 5000), "track_id frame pos midi frequency~ confidence~", "bins",
+    """_r AS (SELECT track_id, frame, bin, hz, mag / max(mag) OVER (PARTITION BY track_id, frame) AS m FROM bins WHERE bin BETWEEN 0 AND 28),
+    _l AS (SELECT *, lag(m) OVER w AS a, lead(m) OVER w AS b FROM _r WINDOW w AS (PARTITION BY track_id, frame ORDER BY bin)),
+    _p AS (SELECT *, CAST(round_even(69 + 12 * log2(hz / 440), 0) AS INT) AS midi, row_number() OVER (PARTITION BY track_id, frame ORDER BY m DESC, bin DESC) AS rk FROM _l WHERE m > a AND m > b AND m >= 0.1e0),
+    _k AS (SELECT track_id, frame, list_reduce(list_transform(list({'p': midi, 'hz': hz, 'm': m} ORDER BY rk), lambda x: [x]), lambda acc, x:
+             CASE WHEN len(list_filter(acc, lambda k: x[1].p - k.p IN (0, 12, 19, 24))) > 0 THEN acc ELSE acc || x END) AS ks FROM _p WHERE rk <= 12 GROUP BY track_id, frame),
+    _u AS (SELECT track_id, frame, generate_subscripts(ks, 1) AS j, ks FROM _k),
+    result AS (SELECT track_id, frame, j - 1 AS pos, ks[j].p AS midi, ks[j].hz AS frequency, ks[j].m AS confidence FROM _u)""",
+)
+register(
+    "level_candidates", lambda spark, sf: sp.level_candidates(_spec(spark, sf), 75, 8000), "track_id frame pos frequency~ level~ confidence~", "bins",
+    f"""_t AS (SELECT track_id, max(mag) AS ref FROM bins GROUP BY ALL),
+    _d AS (SELECT track_id, frame, bin, hz, greatest(-80, 20 * log10(greatest(mag, 1e-5) / greatest(ref, 1e-5))) AS m FROM bins JOIN _t USING (track_id)),
+    _x AS (SELECT *, max(m) OVER (PARTITION BY track_id, frame) AS loud FROM _d),
+    _h AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY track_id, frame) AS n, lag(m) OVER w AS a, lead(m) OVER w AS b FROM _x WHERE hz BETWEEN 75 AND 8000 AND m >= -40
+           WINDOW w AS (PARTITION BY track_id, frame ORDER BY bin)),
+    _k AS (SELECT track_id, frame, flatten([{spaced_sql(3)}]) AS ks FROM _h WHERE n > 2 AND m > a AND m > b GROUP BY track_id, frame),
+    _q AS (SELECT _h.* FROM _h LEFT JOIN _k USING (track_id, frame) WHERE n <= 2 OR list_contains(ks, i)),
+    result AS (SELECT track_id, frame, row_number() OVER (PARTITION BY track_id, frame ORDER BY m DESC, i DESC) - 1 AS pos, hz AS frequency, m AS level,
+                      least(1.0, greatest(0.0, (m + 40) / (loud + 40 + 1e-6))) AS confidence FROM _q QUALIFY pos < 5)""",
+)
 register(
     "quality_metrics", lambda spark, sf: sp.quality_metrics(src.bins(spark, sf), src.samples(spark, sf), _shape(spark, sf), sp.spectral_flux(_spec(spark, sf), FRAME_SLICE)),
     "track_id dc_offset~ dynamic_range~ flatness~ guitar_pct~ clarity~", "bins samples",
@@ -198,7 +231,18 @@ def _features(spark, sf):
     return sp.distortion_features(src.bins(spark, sf), src.samples(spark, sf), _shape(spark, sf), STEP)
 
 
-register("distortion_features", _features, "track_id bass_clarity~ density~ mid_ratio~ fizz~ crest~ intermod~")
+register(
+    "distortion_features", _features, "track_id bass_clarity~ density~ mid_ratio~ fizz~ crest~ intermod~", "bins samples",
+    BAND_SQL + "," + CREST_SQL + "," + SHAPE_SQL + f""",
+    _bs AS (SELECT track_id, m / (sum(m) OVER (PARTITION BY track_id) + 1e-10) AS p, m FROM _mean WHERE hz BETWEEN 80 AND 250),
+    _en AS (SELECT track_id, CASE WHEN max(m) < 1e-10 THEN 0.5 ELSE greatest(0.0, least(1.0, 0.6 * (1 - -sum(p * ln(p + 1e-10)) / (ln(count(*)) + 1e-10)))) END AS bass_clarity FROM _bs GROUP BY track_id),
+    _r AS (SELECT track_id, bin, m / max(m) OVER (PARTITION BY track_id) AS m FROM _mean WHERE hz BETWEEN 100 AND 5000),
+    _l AS (SELECT *, lag(m) OVER w AS a, lead(m) OVER w AS b FROM _r WINDOW w AS (PARTITION BY track_id ORDER BY bin)),
+    _k AS (SELECT track_id, len({spaced_sql(5, "m", "bin")}) AS n FROM _l WHERE m > a AND m > b AND m >= 0.05e0 GROUP BY track_id),
+    _f AS (SELECT track_id, avg(flatness) AS intermod FROM shape GROUP BY track_id),
+    result AS (SELECT track_id, bass_clarity, greatest(0.0, least(1.0, (coalesce(n, 0) - 10) / 30.0)) AS density, mid_ratio, fizz, crest, intermod
+               FROM bands JOIN crest USING (track_id) JOIN _en USING (track_id) JOIN _f USING (track_id) LEFT JOIN _k USING (track_id))""",
+)
 
 
 def _ladder_sql(kind):

@@ -94,6 +94,30 @@ def test_frame_peaks_and_candidates(spark):
     assert [(r.midi, r.frequency) for r in got] == [(55, 200.0), (83, 1000.0)]
 
 
+def plain_peaks(xs):
+    out, i = [], 1
+    while i < len(xs) - 1:
+        j = i
+        while j + 1 < len(xs) and xs[j + 1] == xs[i]:
+            j += 1
+        if xs[i - 1] < xs[i] and j + 1 < len(xs) and xs[j + 1] < xs[i]:
+            out.append(((i + j) // 2 + 1, xs[i]))
+        i = j + 1
+    return out
+
+
+def test_even_tops_count_once(spark):
+    rng = random.Random(3)
+    lists = [[float(rng.randrange(4)) for _ in range(rng.randrange(12))] for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(lists)), "k long, xs array<double>").repartition(3)
+    got = {r.k: [(p.i, p.m) for p in r.ps] for r in df.select("k", sp.array_peaks(F.col("xs")).alias("ps")).collect()}
+    assert got == {k: plain_peaks(xs) for k, xs in enumerate(lists)}
+    spec = spark.createDataFrame([(1, 0, [0.0, 1.0, 1.0, 1.0, 0.0, 0.5, 0.0]), (1, 1, [0.0, 0.0, 1e-4, 0.9, 0.0, 0.0, 0.0])], "track_id long, frame long, mags array<double>")
+    assert {r.frame: r.n for r in sp.polyphony(spec, 0, 7, 0.2, 2).collect()} == {0: 2, 1: 1}
+    rows = [(r.frame, r.frequency, round(r.level, 3), round(r.confidence, 3)) for r in sp.level_candidates(spec, 50, 1000, hz_step=100.0).orderBy("frame", "pos").collect()]
+    assert rows == [(1, 300.0, -0.915, 1.0)]  # in frame 0 the bins above the threshold begin with the even top, which is no peak then
+
+
 def test_key_scale_and_text(spark):
     scale = [(1, i, i * 100, 100, m) for i, m in enumerate([60, 62, 64, 65, 67, 69, 71, 60, 67, 64])]
     flat = [(2, 100 + i, i, 100, 60 + i) for i in range(12)]
