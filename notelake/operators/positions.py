@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from notelake.functions.dims import NUM_FRETS, tuning_notes
+from notelake.operators.theory import in_scale
 from notelake.operators.timeline import SLICE_US, Run, previous, running, sliced
 
 # Note and rest lengths in beats, in order of preference.
@@ -153,6 +154,32 @@ def compare_assignments(a: DataFrame, b: DataFrame) -> DataFrame:
         F.count_if(F.col("pa").isNull() | F.col("pb").isNull()).alias("one_sided"))
 
 
+def assignment_differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row per note that two assignments place differently: both positions, and ``side`` (a or b) where only that one has one."""
+    keys = ["track_id", "note_id"]
+    l = a.select(*keys, F.col("string").alias("a_string"), F.col("fret").alias("a_fret"))
+    r = b.select(*keys, F.col("string").alias("b_string"), F.col("fret").alias("b_fret"))
+    rows = l.join(r, keys, "full")
+    same = (F.col("a_string") == F.col("b_string")) & (F.col("a_fret") == F.col("b_fret"))
+    side = F.when(F.col("b_string").isNull(), "a").when(F.col("a_string").isNull(), "b")
+    return rows.filter(~F.coalesce(same, F.lit(False))).withColumn("side", side)
+
+
+def compare_note_runs(a: DataFrame, b: DataFrame, keys: DataFrame) -> DataFrame:
+    """Per track of either run: number of notes, lowest and highest pitch, mean confidence and notes outside the scale of the track's key.
+
+    ``keys``: (track_id, root, mode), major or natural minor; tracks without a key have null counts outside.
+    """
+    def stats(notes: DataFrame, p: str) -> DataFrame:
+        rows = notes.select("track_id", "midi", "confidence").join(keys.select("track_id", "root", "mode"), "track_id", "left")
+        fits = F.when(F.col("mode") == "major", in_scale(F.col("midi"), F.col("root"), "major")).otherwise(in_scale(F.col("midi"), F.col("root"), "natural_minor"))
+        outside = F.sum(F.when(F.col("root").isNotNull(), (~fits).cast("bigint")))
+        return rows.groupBy("track_id").agg(
+            F.count("*").alias(f"{p}_n"), F.min("midi").alias(f"{p}_low"), F.max("midi").alias(f"{p}_high"), F.avg("confidence").alias(f"{p}_confidence"), outside.alias(f"{p}_outside"))
+
+    return stats(a, "a").join(stats(b, "b"), "track_id", "full")
+
+
 def fingering_stats(tabs: DataFrame, width: int = SLICE_US) -> DataFrame:
     rows = running(tabs, ["start_us", "note_id"], width, prev=previous("string", "fret"))
     jump = F.when((F.col("fret") > 0) & (F.col("prev.fret") > 0), F.abs(F.col("fret") - F.col("prev.fret")))

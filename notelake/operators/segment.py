@@ -115,6 +115,25 @@ def merge_adjacent_same_pitch(notes: DataFrame, gap_us: int = 30_000, width: int
              "confidence", "n")
 
 
+def merge_consecutive(notes: DataFrame, gap_us: int = 50_000, semitones: int = 1, width: int = SLICE_US) -> DataFrame:
+    """A note within ``semitones`` of the *first* of the running note, at most ``gap_us`` after the end of the one before, prolongs it.
+
+    The end is set to that of the last note, even where an earlier one lasts longer; the pitch is the first one's, the confidence the highest. Notes come in order
+    of start, pitch and id. Whether a gap parts two notes depends on these two alone, so gaps become gaps in the numbering and the rest is a drift run.
+    """
+    order = ["start_us", "midi", "note_id"]
+    rows = notes.select("track_id", *order, (F.col("start_us") + F.col("dur_us")).alias("end_us"), "confidence")
+    rows = running(rows, order, width, prev=previous("end_us"))
+    gap = F.coalesce(F.col("start_us") - F.col("prev.end_us") > gap_us, F.lit(False)).cast("bigint")
+    rows = checkpointed(running(rows.withColumn("gap", gap), order, width, drop=["prev"], place=Run("sum", 1 + F.col("gap"))))
+    runs = drift_runs(rows.select("track_id", F.col("place").alias("frame"), "midi"), semitones)
+    rows = rows.join(runs.select("track_id", F.col("frame").alias("place"), "run_frame"), ["track_id", "place"])
+    first = lambda c: F.min_by(c, "place").alias(c)
+    return rows.groupBy("track_id", "run_frame").agg(
+        first("midi"), first("start_us"), first("note_id"), F.max_by("end_us", "place").alias("end_us"), F.max("confidence").alias("confidence"), F.count("*").alias("n")
+    ).drop("run_frame")
+
+
 def label_runs(
     windows: DataFrame, min_dur_us: int, window_us: int, width: int = SLICE_US
 ) -> DataFrame:

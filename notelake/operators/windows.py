@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notelake.operators.timeline import BLOCK_ROWS, following, group_anchored, halo, running, slice_window
+from notelake.operators.timeline import BLOCK_ROWS, following, group_anchored, halo, range_join, running, slice_window
 
 HOP_US = 23_220
 
@@ -57,7 +57,7 @@ def continuity_check(
 
 
 def fill_gaps(frames: DataFrame, max_gap: int = 3, mode: str = "constant", width: int = BLOCK_ROWS) -> DataFrame:
-    """Short invalid stretches between pitches at most two semitones apart: their mean, or a line in Hz.
+    """Short invalid stretches between pitches at most two semitones apart: their mean, a line in Hz (``linear``) or in midi (``midi``).
 
     ``frames``: one row per frame with midi and is_valid.
     """
@@ -77,7 +77,12 @@ def fill_gaps(frames: DataFrame, max_gap: int = 3, mode: str = "constant", width
             "is_valid", F.col("is_valid") | F.col("filled")).withColumn(
             "confidence", F.when(F.col("filled"), 0.5).otherwise(F.col("confidence"))).drop("a", "b")
     t = (F.col("frame") - F.col("a.frame")) / (gap + 1)
-    line = hz(F.col("a.midi")) * (1 - t) + hz(F.col("b.midi")) * t
+    if mode == "midi":
+        line = hz(F.col("a.midi") + (F.col("b.midi") - F.col("a.midi")) * t)
+    elif mode == "linear":
+        line = hz(F.col("a.midi")) * (1 - t) + hz(F.col("b.midi")) * t
+    else:
+        raise ValueError(f"unknown mode {mode!r}")
     return rows.withColumn("frequency", F.when(F.col("filled"), line).otherwise(own)).withColumn(
         "confidence", F.when(F.col("filled"), 0.3).otherwise(F.col("confidence"))).drop("a", "b")
 
@@ -138,6 +143,23 @@ def legato_onsets(
     return group_anchored(cands, min_frames, "frame", width, strict=True).filter("frame = anchor_t").drop("anchor_t")
 
 
+def legato_jumps(
+    frames: DataFrame, onsets: DataFrame, least: float = 1.5, quiet: float = 0.3, apart: int = 5, width: int = BLOCK_ROWS
+) -> DataFrame:
+    """Frames in which the pitch jumps by ``least`` semitones without an attack (``energy`` below ``quiet``) and no onset is nearer than ``apart`` frames.
+
+    ``frames``: (track_id, frame, midi, energy), ``onsets``: (track_id, frame). A track's first and last frame are none. Only jumps meet the onsets.
+    """
+    n = frames.groupBy("track_id").agg((F.max("frame") + 1).alias("n"))
+    rows = halo(frames.select("track_id", "frame", "midi", "energy"), "frame", width, before=1)
+    jump = F.abs(F.col("midi") - F.lag("midi").over(slice_window(["track_id"], "frame")))
+    rows = rows.withColumn("jump", jump).filter("_own").filter((F.col("jump") >= least) & (F.col("energy") < quiet)).join(n, "track_id")
+    rows = rows.filter(F.col("frame").between(1, F.col("n") - 2)).select("track_id", "frame", F.lit(0.6).alias("confidence"), F.col("energy").alias("attack_strength"))
+    marks = onsets.select("track_id", F.col("frame").alias("o_frame"))
+    near = range_join(rows, marks, "frame", "o_frame", apart - 1, apart - 1).select("track_id", "frame").distinct()
+    return rows.join(near, ["track_id", "frame"], "left_anti")
+
+
 def legato_notes(
     onsets: DataFrame, frames: DataFrame, min_frames: int = 3, max_frames: int = 80, low: int = 40, high: int = 88, width: int = BLOCK_ROWS
 ) -> DataFrame:

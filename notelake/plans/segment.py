@@ -279,3 +279,13 @@ register(
        result AS (SELECT track_id, string, [40, 45, 50, 55, 59, 64][string + 1] + c - 1 AS midi, frame * 23220 AS start_us,
                   (least(coalesce(nx, nf), frame + 50, nf) - frame) * 23220 AS dur_us, onset AS confidence FROM _l WHERE c > 0)""",
 )
+
+register(
+    "merge_consecutive", lambda spark, sf: seg.merge_consecutive(src.notes_dense(spark, sf), 20_000, 1, NOTE_SLICE), "track_id note_id midi start_us end_us confidence~ n", "notes_dense",
+    """_o AS (SELECT *, start_us + dur_us AS end_us, row_number() OVER (PARTITION BY track_id ORDER BY start_us, midi, note_id) AS rn FROM notes_dense),
+    _g AS (SELECT track_id, rn, midi AS a, rn AS g, end_us FROM _o WHERE rn = 1
+           UNION ALL SELECT o.track_id, o.rn, CASE WHEN b THEN o.midi ELSE x.a END, CASE WHEN b THEN o.rn ELSE x.g END, o.end_us
+           FROM _g x JOIN _o o ON o.track_id = x.track_id AND o.rn = x.rn + 1, LATERAL (SELECT abs(o.midi - x.a) > 1 OR o.start_us - x.end_us > 20000 AS b)),
+    result AS (SELECT o.track_id, arg_min(note_id, o.rn) AS note_id, arg_min(midi, o.rn) AS midi, min(start_us) AS start_us, arg_max(o.end_us, o.rn) AS end_us, max(confidence) AS confidence, count(*) AS n
+               FROM _o o JOIN _g x USING (track_id, rn) GROUP BY o.track_id, x.g)""", recursive=True,
+)

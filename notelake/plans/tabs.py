@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from notelake.operators import difficulty as dif
 from notelake.operators import positions as pos
+from notelake.operators import theory as th
 from notelake.plans.registry import register
 from notelake.plans.segment import NOTE_SLICE
-from notelake.plans.theory import STATIC_SQL, _values
-from notelake.functions.dims import TUNINGS
+from notelake.plans.theory import STATIC_SQL, _values, key_sql
+from notelake.functions.dims import SCALES, TUNINGS
 from notelake.sources import adapters as src
 
 STATIC = STATIC_SQL.format(source="notes")
@@ -67,6 +68,30 @@ register(
 )
 
 
+register(
+    "assignment_differences", lambda spark, sf: pos.assignment_differences(_basic(spark, sf), _basic(spark, sf, "heuristic").filter("note_id % 50 <> 0")).withColumn("side", F.coalesce("side", F.lit("-"))),
+    "track_id note_id a_string a_fret b_string b_fret side$", "notes",
+    BASIC + "," + assign_sql("notes", _NEAR_HEUR, "heur") + """, result AS (SELECT a.track_id, a.note_id, a.string AS a_string, a.fret AS a_fret, b.string AS b_string, b.fret AS b_fret,
+        CASE WHEN b.string IS NULL THEN 'a' ELSE '-' END AS side
+        FROM basic a LEFT JOIN (SELECT * FROM heur WHERE note_id % 50 <> 0) b USING (track_id, note_id) WHERE a.string IS DISTINCT FROM b.string OR a.fret IS DISTINCT FROM b.fret)""", recursive=True,
+)
+
+
+def _runs(spark, sf):
+    notes = src.notes(spark, sf)
+    return pos.compare_note_runs(notes, notes.filter("confidence >= 0.5"), th.detect_key(notes))
+
+
+register(
+    "compare_note_runs", _runs, "track_id a_n a_low a_high a_confidence~ a_outside b_n b_low b_high b_confidence~ b_outside", "notes",
+    key_sql("notes", "dur_us") + f""",
+    _sn AS (SELECT n.*, NOT list_contains(CASE WHEN mode = 'major' THEN {SCALES['major']} ELSE {SCALES['natural_minor']} END, (midi - root + 24) % 12) AS outside FROM notes n JOIN _key USING (track_id)),
+    _sa AS (SELECT track_id, count(*) AS a_n, min(midi) AS a_low, max(midi) AS a_high, avg(confidence) AS a_confidence, count(*) FILTER (outside) AS a_outside FROM _sn GROUP BY track_id),
+    _sb AS (SELECT track_id, count(*) AS b_n, min(midi) AS b_low, max(midi) AS b_high, avg(confidence) AS b_confidence, count(*) FILTER (outside) AS b_outside FROM _sn WHERE confidence >= 0.5 GROUP BY track_id),
+    result AS (SELECT * FROM _sa FULL JOIN _sb USING (track_id))""",
+)
+
+
 def fingering_sql(source: str, prefix: str) -> str:
     return f"""(SELECT track_id, coalesce(avg(fret) FILTER (fret > 0), 0) AS {prefix}_avg_fret, max(fret) AS {prefix}_max_fret,
         count(*) FILTER (fret = 0) AS {prefix}_open_strings, coalesce(avg(abs(fret - pf)) FILTER (fret > 0 AND pf > 0), 0) AS {prefix}_avg_fret_jump,

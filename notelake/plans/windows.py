@@ -61,6 +61,12 @@ register(
         CASE WHEN filled THEN 440 * pow(2, (am - 69) / 12.0) * (1 - (frame - a) / (b - a)) + 440 * pow(2, (bm - 69) / 12.0) * ((frame - a) / (b - a))
              WHEN new_midi > 0 THEN 440 * pow(2, (new_midi - 69) / 12.0) ELSE 0 END AS frequency FROM _fc)""",
 )
+register(
+    "fill_gaps_midi", lambda spark, sf: win.fill_gaps(_gappy(spark, sf), 5, "midi", FRAME_SLICE), "track_id frame frequency~ confidence~ filled!", "frames",
+    _FILL.format(gap=5) + """, result AS (SELECT track_id, frame, filled, CASE WHEN filled THEN 0.3 ELSE new_conf END AS confidence,
+        CASE WHEN filled THEN 440 * pow(2, (am + (bm - am) * ((frame - a) / (b - a)) - 69) / 12.0)
+             WHEN new_midi > 0 THEN 440 * pow(2, (new_midi - 69) / 12.0) ELSE 0 END AS frequency FROM _fc)""",
+)
 register(
     "note_density",
     lambda spark, sf: win.note_density(src.frames(spark, sf), src.onset_frames(spark, sf), 20, width=FRAME_SLICE),
@@ -110,6 +116,20 @@ register(
 )
 
 
+def _jumps(spark, sf):
+    f = src.frames(spark, sf).withColumn("energy", F.expr("(event_id % 10) / 10D"))
+    return win.legato_jumps(f, f.filter("event_id % 6 = 0"), width=FRAME_SLICE)
+
+
+register(
+    "legato_jumps", _jumps, "track_id frame confidence~ attack_strength~", "frames",
+    """_n AS (SELECT track_id, max(frame) + 1 AS n FROM frames GROUP BY ALL),
+    _j AS (SELECT *, (event_id % 10) / 10 AS energy, abs(midi - lag(midi) OVER (PARTITION BY track_id ORDER BY frame)) AS jump FROM frames),
+    result AS (SELECT track_id, frame, 0.6 AS confidence, energy AS attack_strength FROM _j JOIN _n USING (track_id) WHERE jump >= 1.5 AND energy < 0.3 AND frame BETWEEN 1 AND n - 2
+               AND NOT EXISTS (SELECT 1 FROM frames o WHERE o.track_id = _j.track_id AND o.event_id % 6 = 0 AND abs(o.frame - _j.frame) < 5))""",
+)
+
+
 def _trend(spark, sf):
     f = src.frames(spark, sf).filter("is_voiced").withColumn("note", F.expr("frame div 8")).withColumn("pitch", F.col("midi").cast("double"))
     return win.pitch_trend(f, ["track_id", "note"]).filter("n >= 3")
@@ -260,7 +280,8 @@ register(
 def _annotated_all(spark, sf):
     tabs = _tabs(spark, sf)
     bent = tabs.filter("note_id % 13 = 0").select("track_id", "note_id", (F.col("fret") + 2).alias("target_fret"), F.lit(0.5).alias("confidence"))
-    return tq.annotate_techniques(tabs.withColumn("midi", F.expr("55 + midi % 16")), bent, width=NOTE_SLICE)
+    shaken = tabs.filter("note_id % 17 = 0").select("track_id", "note_id", (F.col("fret") + 1).alias("target_fret"), F.lit(0.7).alias("confidence"))
+    return tq.annotate_techniques(tabs.withColumn("midi", F.expr("55 + midi % 16")), bent, width=NOTE_SLICE, trill_rows=shaken)
 
 
 register(
@@ -268,7 +289,7 @@ register(
     _TAB.replace("FROM tabs)", "FROM (SELECT * REPLACE (55 + midi % 16 AS midi), midi AS midi0 FROM tabs))").replace("THEN midi + (note_id % 5 - 1)", "THEN midi0 + (note_id % 5 - 1)") + """,
     _t3 AS (SELECT *, CASE WHEN nl AND gap <= 150000 AND d > 0 THEN 'hammer_on' WHEN nl AND gap <= 150000 AND d < 0 THEN 'pull_off' WHEN note_id % 13 = 0 THEN 'bend'
         WHEN ns = string AND gap <= 80000 AND abs(d) BETWEEN 2 AND 12 AND NOT nl AND CASE WHEN ep IS NULL THEN dur_us < 200000 WHEN d > 0 THEN ep BETWEEN midi AND nm + 0.5 ELSE ep BETWEEN nm - 0.5 AND midi END
-        THEN CASE WHEN d > 0 THEN 'slide_up' ELSE 'slide_down' END END AS t FROM tn),
+        THEN CASE WHEN d > 0 THEN 'slide_up' ELSE 'slide_down' END WHEN note_id % 17 = 0 THEN 'trill' END AS t FROM tn),
     _o AS (SELECT *, start_us + dur_us AS end_us, row_number() OVER (PARTITION BY track_id ORDER BY start_us, note_id) AS rn FROM _t3),
     _g AS (SELECT track_id, rn, midi AS a, rn AS g, end_us, dur_us, t FROM _o WHERE rn = 1
            UNION ALL SELECT o.track_id, o.rn, CASE WHEN b THEN o.midi ELSE x.a END, CASE WHEN b THEN o.rn ELSE x.g END, o.end_us, o.dur_us, o.t
@@ -280,8 +301,8 @@ register(
     _t5 AS (SELECT *, coalesce((t4 IS NULL OR t4 IN ('hammer_on', 'pull_off')) AND nm IS NOT NULL AND fret >= 10 AND (att < 0.5 OR leg)
               AND (midi - nm >= 7 OR coalesce(midi - lag(midi) OVER (PARTITION BY track_id ORDER BY start_us, note_id) >= 7, false)), false) AS tap FROM _t4),
     result AS (SELECT note_id, CASE WHEN tap THEN 'tap' ELSE coalesce(t4, 'none') END AS technique,
-        CASE WHEN tap THEN nf WHEN t4 IN ('hammer_on', 'pull_off', 'slide_up', 'slide_down') THEN nf WHEN t4 = 'bend' THEN fret + 2 ELSE -1 END AS target_fret,
-        CASE WHEN tap THEN CASE WHEN leg THEN 0.8 ELSE 0.6 END WHEN t4 IN ('hammer_on', 'pull_off') THEN CASE WHEN ns = string THEN 0.9 ELSE 0.7 END WHEN t4 = 'bend' THEN 0.5
+        CASE WHEN tap THEN nf WHEN t4 IN ('hammer_on', 'pull_off', 'slide_up', 'slide_down') THEN nf WHEN t4 = 'bend' THEN fret + 2 WHEN t4 = 'trill' THEN fret + 1 ELSE -1 END AS target_fret,
+        CASE WHEN tap THEN CASE WHEN leg THEN 0.8 ELSE 0.6 END WHEN t4 IN ('hammer_on', 'pull_off') THEN CASE WHEN ns = string THEN 0.9 ELSE 0.7 END WHEN t4 = 'bend' THEN 0.5 WHEN t4 = 'trill' THEN 0.7
              WHEN t4 IN ('slide_up', 'slide_down') THEN 0.8 WHEN t4 = 'tremolo' THEN least(1.0, rate / 15) ELSE 0 END AS confidence FROM _t5)""", recursive=True,
 )
 
