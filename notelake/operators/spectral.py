@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from notelake.functions.dims import tuning_notes
 from notelake.operators.segment import mark_groups
 from notelake.operators.timeline import BLOCK_ROWS, Run, following, group_quantile, halo, previous, running, slice_window
 from notelake.session import checkpointed
@@ -212,9 +213,13 @@ def mean_spectra(spec: DataFrame, width: int = BLOCK_ROWS) -> DataFrame:
 
 
 def octave_correct(
-    notes: DataFrame, spec: DataFrame, min_hz: float = 73.0, max_hz: float = 1400.0, hz_step: float = 175.0, width: int = BLOCK_ROWS
+    notes: DataFrame, spec: DataFrame, min_hz: float = 73.0, max_hz: float = 1400.0, hz_step: float = 175.0, width: int = BLOCK_ROWS,
+    tuning: str | Sequence[int] | None = None,
 ) -> DataFrame:
-    """Notes (track_id, note_id, frame, hz) checked against half, third and double their frequency by harmonic support."""
+    """Notes (track_id, note_id, frame, hz) checked against half, third and double their frequency by harmonic support.
+
+    With a ``tuning``, a note does not move down to a pitch below its lowest string, and is not tried at another fraction then.
+    """
     rows = notes.join(mean_spectra(spec, width), ["track_id", "frame"])
     m, hz = F.col("mags"), F.col("hz")
     tones = {"own": hz, "half": hz / 2, "third": hz / 3, "twice": hz * 2}
@@ -230,6 +235,10 @@ def octave_correct(
     take_half = F.coalesce(F.col("half_score") > F.col("own") + 0.15, F.lit(False))
     rows = rows.withColumn("take_half", take_half).withColumn("best", F.when(F.col("take_half"), F.col("half_score")).otherwise(F.col("own")))
     take_third = (hz / 3 >= min_hz) & (F.col("third") > F.col("best") + 0.2)
+    if tuning is not None:
+        low = F.bround(69 + 12 * F.log2(F.when(take_third, hz / 3).otherwise(hz / 2) / 440.0)) < min(tuning_notes(tuning))
+        rows = rows.withColumn("third_now", take_third & ~low).withColumn("take_half", F.col("take_half") & ~take_third & ~low)
+        take_third = F.col("third_now")
     up = (hz * 2 <= max_hz) & (hz < 100) & (F.col("twice") >= F.col("own") - 0.1) & (up_energy / (energy + EPS) > 0.3)
     fixed = F.when(take_third, hz / 3).when(F.col("take_half"), hz / 2).when(up, hz * 2).otherwise(hz)
     move = F.when(take_third, "third").when(F.col("take_half"), "half").when(up, "double").otherwise("keep")

@@ -118,6 +118,12 @@ register(
     "octave_correct", lambda spark, sf: sp.octave_correct(_tones(spark, sf), _spec(spark, sf), 73, 1400, STEP, FRAME_SLICE), "track_id note_id score~ fixed_hz~ move$", "bins",
     OCT_SQL + """, result AS (SELECT track_id, frame AS note_id, os AS score, move, CASE move WHEN 'third' THEN hz / 3 WHEN 'half' THEN hz / 2 WHEN 'double' THEN hz * 2 ELSE hz END AS fixed_hz FROM _o3)""",
 )
+register(
+    "octave_correct_tuning", lambda spark, sf: sp.octave_correct(_tones(spark, sf), _spec(spark, sf), 20, 1400, STEP, FRAME_SLICE, "standard"), "track_id note_id score~ fixed_hz~ move$", "bins",
+    OCT_SQL.replace("hz / 2 >= 73", "hz / 2 >= 20").replace("hz / 3 >= 73", "hz / 3 >= 20").replace("FROM _o2)", """FROM (
+        SELECT * REPLACE (tt AND NOT low AS tt, th AND NOT tt AND NOT low AS th) FROM (SELECT *, round_even(69 + 12 * log2(CASE WHEN tt THEN hz / 3 ELSE hz / 2 END / 440), 0) < 40 AS low FROM _o2)))""")
+    + """, result AS (SELECT track_id, frame AS note_id, os AS score, move, CASE move WHEN 'third' THEN hz / 3 WHEN 'half' THEN hz / 2 WHEN 'double' THEN hz * 2 ELSE hz END AS fixed_hz FROM _o3)""",
+)
 
 
 def region_sql(f):

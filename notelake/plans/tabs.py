@@ -69,9 +69,9 @@ register(
 
 
 register(
-    "assignment_differences", lambda spark, sf: pos.assignment_differences(_basic(spark, sf), _basic(spark, sf, "heuristic").filter("note_id % 50 <> 0")).withColumn("side", F.coalesce("side", F.lit("-"))),
+    "assignment_differences", lambda spark, sf: pos.assignment_differences(_basic(spark, sf), _basic(spark, sf, "heuristic").filter("note_id % 50 <> 0")).fillna({"side": "-", "b_string": -1, "b_fret": -1}),
     "track_id note_id a_string a_fret b_string b_fret side$", "notes",
-    BASIC + "," + assign_sql("notes", _NEAR_HEUR, "heur") + """, result AS (SELECT a.track_id, a.note_id, a.string AS a_string, a.fret AS a_fret, b.string AS b_string, b.fret AS b_fret,
+    BASIC + "," + assign_sql("notes", _NEAR_HEUR, "heur") + """, result AS (SELECT a.track_id, a.note_id, a.string AS a_string, a.fret AS a_fret, coalesce(b.string, -1) AS b_string, coalesce(b.fret, -1) AS b_fret,
         CASE WHEN b.string IS NULL THEN 'a' ELSE '-' END AS side
         FROM basic a LEFT JOIN (SELECT * FROM heur WHERE note_id % 50 <> 0) b USING (track_id, note_id) WHERE a.string IS DISTINCT FROM b.string OR a.fret IS DISTINCT FROM b.fret)""", recursive=True,
 )
