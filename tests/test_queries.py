@@ -17,7 +17,8 @@ NAMES = [
     "ensemble_notes", "vote_onsets", "frames_to_notes_exact", "frames_to_notes_drift", "merge_same_pitch", "legato_runs", "tremolo_sections",
     "match_truth", "note_metrics", "detect_key", "constrain_to_key", "identify_chords", "triplets", "assign_positions", "difficulty_report",
     "fill_gaps", "legato_notes", "tap_patterns", "timeline", "tab_grid", "sustained_uncovered", "drop_harmonics", "spectral_shape",
-    "octave_correct", "quality_metrics", "stream_phrases", "note_offsets", "coalesce_detectors", "before_after_quality",
+    "octave_correct", "octave_correct_tuning", "prefer_lower_frets", "smooth_positions", "trills", "level_candidates", "distortion_features", "merge_consecutive",
+    "compare_note_runs", "legato_jumps", "annotate_techniques", "quality_metrics", "stream_phrases", "note_offsets", "coalesce_detectors", "before_after_quality",
 ]
 
 
