@@ -148,6 +148,62 @@ def resolve_chords(
     return notes.join(placed, ["track_id", "note_id"])
 
 
+# --- single notes one after the other ----------------------------------------------------------------------------
+# Preferred strings, fret range and pull towards upper frets of each kind of section.
+SECTIONS = {
+    "solo": ((3, 4, 5), 5, 22, 0.7),
+    "rhythm": ((0, 1, 2, 3, 4, 5), 0, 12, 0.0),
+    "mixed": ((0, 1, 2, 3, 4, 5), 0, 22, 0.3),
+}
+
+
+def _near_score(place: Position, before: Position | None) -> float:
+    score = place[1] * 0.1
+    if before is not None:
+        score += abs(place[1] - before[1]) * 0.5 + abs(place[0] - before[0]) * 0.2
+    return -(score + (place[1] - 12) * 0.3 if place[1] > 12 else score)
+
+
+def _section_score(place: Position, before: Position | None, section: str) -> float:
+    strings, low, high, upward = SECTIONS[section]
+    string, fret = place
+    score = 5.0 if string in strings else 0.0
+    if upward > 0:
+        score += (fret - low) / (high - low + 1) * upward * 4.0 if fret >= low else 0.0
+    else:
+        score += (12 - fret) * 0.1 if fret <= 12 else 0.0
+    score += 2.0 if low <= fret <= high else 0.0
+    if before is not None:
+        along, across = abs(fret - before[1]), abs(string - before[0])
+        score += 2.0 - along * 0.3 if along <= 3 else -along * 0.2
+        score += 1.0 if across <= 1 else -across * 0.5
+    return score
+
+
+def place_notes(
+    notes: DataFrame, policy: str = "near", tuning: str | Sequence[int] = "standard", width: int = SLICE_US, block: int = BLOCK
+) -> DataFrame:
+    """(string, fret) of every playable note in order of start and id, each weighed against the place taken by the note before.
+
+    ``near`` wants low frets and short ways, the first of equal places wins; ``solo``, ``rhythm`` and ``mixed`` want the strings and frets of such a section, the highest string of
+    equal places wins. Notes outside the range are left out and do not count as the note before.
+    """
+    opens = tuning_notes(tuning)
+    if policy != "near" and policy not in SECTIONS:
+        raise ValueError(f"unknown policy {policy!r}")
+
+    def choose(items: list[dict], i: int, before: Position | None) -> int:
+        mine = places(items[i]["midi"], opens)
+        if policy == "near":
+            return max(range(len(mine)), key=lambda k: (round(_near_score(mine[k], before), 9), -k))
+        return max(range(len(mine)), key=lambda k: (round(_section_score(mine[k], before, policy), 9), mine[k]))
+
+    rule = Rule(lambda items, i: places(items[i]["midi"], opens), choose, lambda items, i, place, before: [(items[i]["note_id"], *place)])
+    rows = notes.select("track_id", "start_us", "note_id", F.col("midi").cast("int").alias("midi"))
+    rows = rows.filter(F.exists(F.array(*[F.lit(m) for m in opens]), lambda m: (F.col("midi") - m).between(0, NUM_FRETS)))
+    return notes.join(choose_along(blocks(rows, ["start_us", "note_id"], block, 1, 0, width), rule, _placed_schema(notes)), ["track_id", "note_id"])
+
+
 # --- the cheapest path over all groups ---------------------------------------------------------------------------
 def _note_cost(string, fret, last_string, last_fret, hand, gap_us: int) -> np.ndarray:
     """Cost of a place after the last one (string -1: none) with the hand at a fret (-1: nowhere); arrays broadcast."""

@@ -23,6 +23,28 @@ OPTIONS = f"""_tn AS (SELECT * FROM {_values(list(enumerate(TUNINGS['standard'])
     _op AS (SELECT note_id, list({{'s': string, 'f': midi - open}} ORDER BY string) AS os FROM notes JOIN _tn ON midi - open BETWEEN 0 AND 24 GROUP BY note_id)"""
 
 
+_NEAR = "-(o.f * 1e-1 + {step}) - (CASE WHEN o.f > 12 THEN (o.f - 12) * 3e-1 ELSE 0e0 END)"
+_NEAR_STEP = "(abs(o.f - q.before.f) * 5e-1 + abs(o.s - q.before.s) * 2e-1)"
+_SOLO = "(CASE WHEN o.s >= 3 THEN 5e0 ELSE 0e0 END) + (CASE WHEN o.f >= 5 THEN (o.f - 5) / 18e0 * 7e-1 * 4e0 ELSE 0e0 END) + (CASE WHEN o.f BETWEEN 5 AND 22 THEN 2e0 ELSE 0e0 END) + {step}"
+_SOLO_STEP = """(CASE WHEN abs(o.f - q.before.f) <= 3 THEN 2e0 - abs(o.f - q.before.f) * 3e-1 ELSE -abs(o.f - q.before.f) * 2e-1 END)
+    + (CASE WHEN abs(o.s - q.before.s) <= 1 THEN 1e0 ELSE -abs(o.s - q.before.s) * 5e-1 END)"""
+
+
+def _place_sql(score: str, step: str, better: str) -> str:
+    """CTE ``result``: one note after the other; scores to 9 places, so sums taken in another order do not decide between equals."""
+    best = lambda how: (f"list_reduce(list_transform(q.os, lambda o: {{'c': round({score.format(step=how)}, 9), 's': o.s, 'f': o.f}}), "
+                        f"lambda a, b: CASE WHEN b.c {better} a.c THEN b ELSE a END)")
+    return f"""_pl AS (SELECT track_id, note_id, os, row_number() OVER (PARTITION BY track_id ORDER BY start_us, note_id) AS rn FROM notes JOIN _op USING (note_id)),
+    _pr AS (SELECT q.track_id, q.rn, q.note_id, {best('0e0')} AS p FROM _pl q WHERE rn = 1
+            UNION ALL SELECT q.track_id, q.rn, q.note_id, {best(step)} FROM (SELECT l.*, r.p AS before FROM _pr r JOIN _pl l ON l.track_id = r.track_id AND l.rn = r.rn + 1) q),
+    result AS (SELECT track_id, note_id, p.s AS string, p.f AS fret FROM _pr)"""
+
+
+for _policy, _sql in (("near", _place_sql(_NEAR, _NEAR_STEP, ">")), ("solo", _place_sql(_SOLO, _SOLO_STEP, ">="))):
+    register(f"place_notes_{_policy}", lambda spark, sf, policy=_policy: fing.place_notes(src.notes(spark, sf), policy, width=NOTE_SLICE),
+             "track_id note_id string fret", "notes", OPTIONS + "," + _sql, recursive=True)
+
+
 def _far(a: str, b: str, gap: str) -> str:
     return f"({a} > 0 AND {b} > 0 AND (({gap} < 50000 AND abs({b} - {a}) > 5) OR (abs({b} - {a}) > 12 AND {gap} < 100000)))"
 

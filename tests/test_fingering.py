@@ -191,6 +191,32 @@ def test_cheapest_path_over_all_paths(spark):
         assert whole(taken) == least, track
 
 
+@pytest.mark.parametrize("block", [3, 64])
+@pytest.mark.parametrize("policy", ["near", "solo", "rhythm", "mixed"])
+def test_single_notes_by_policy(spark, block, policy):
+    rows, want = made(7, n=80, chords=False), {}
+    for track in {r[0] for r in rows}:
+        before = None
+        for _, note, _, midi in sorted((r for r in rows if r[0] == track), key=lambda r: (r[2], r[1])):
+            scored = []
+            for string, fret in places(midi):
+                far, across = (abs(fret - before[1]), abs(string - before[0])) if before else (None, None)
+                if policy == "near":
+                    score = -(fret * 0.1 + (far * 0.5 + across * 0.2 if before else 0) + max(fret - 12, 0) * 0.3)
+                    tie = -string
+                else:
+                    strings, low, high, up = {"solo": ([3, 4, 5], 5, 22, 0.7), "rhythm": (range(6), 0, 12, 0), "mixed": (range(6), 0, 22, 0.3)}[policy]
+                    score = 5 * (string in strings) + 2 * (low <= fret <= high)
+                    score += max(fret - low, 0) / (high - low + 1) * up * 4 if up else max(12 - fret, 0) * 0.1
+                    if before:
+                        score += (2 - far * 0.3 if far <= 3 else -far * 0.2) + (1 if across <= 1 else -across * 0.5)
+                    tie = string
+                scored.append((round(score, 9), tie, (string, fret)))
+            if scored:
+                before = want[note] = max(scored)[2]
+    assert found(fing.place_notes(spark.createDataFrame(rows, NOTES).repartition(3), policy, width=500_000, block=block)) == want
+
+
 def tabbed(seed):
     rng = random.Random(seed)
     return [(*r, *rng.choice(places(r[3]))) for r in made(seed, n=120, chords=False) if places(r[3])]
