@@ -21,7 +21,7 @@ HEADLINE = [
     "match_truth", "note_metrics", "leaderboard_by_category", "detect_key", "constrain_to_key", "transition_model", "identify_chords",
     "assign_positions", "difficulty_report", "difficult_passages", "median_smooth", "fast_regions", "legato_onsets", "overlapping_notes",
     "pitch_at_onset", "attack_vs_sustain", "spectral_flux", "spectral_shape", "octave_correct", "peak_pick_spaced", "timeline", "tab_grid",
-    "repeated_riffs", "note_offsets", "big_merge_same_pitch", "big_phrases", "big_interval_stats", "big_detect_key", "big_speed", "big_drop_harmonics",
+    "repeated_riffs", "note_offsets", "optimal_fingering", "prefer_lower_frets", "big_merge_same_pitch", "big_phrases", "big_interval_stats", "big_detect_key", "big_speed", "big_drop_harmonics",
 ]
 
 
