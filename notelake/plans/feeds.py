@@ -13,6 +13,7 @@ from notelake.plans.registry import register
 from notelake.plans.segment import NOTE_SLICE
 from notelake.plans.tabs import _annotated, _static, _windows
 from notelake.plans.theory import CHORDS_SQL, _chords
+from notelake.plans.voting import NOTES_SQL
 from notelake.plans.windows import _BEATS, _extents
 from notelake.session import checkpoint_dir
 from notelake.sources import adapters as src
@@ -56,10 +57,20 @@ register(
     _LIVE + """, _w AS (SELECT track_id, us // 864000000000 * 864000000000 AS w_start, midi % 12 AS pc FROM _n),
     result AS (SELECT track_id, w_start, """ + " || ',' || ".join(f"count(*) FILTER (pc = {i})" for i in range(12)) + " AS hist FROM _w GROUP BY track_id, w_start)",
 )
+def _live_consensus(spark, sf):
+    """Candidates as a feed that ends; its notes in the time of the candidates."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    rows = src.candidates_of(live.file_stream(spark, sf, "events.parquet"))
+    feed = rows.select("track_id", F.timestamp_micros(F.col("t_us") + src.EPOCH_US).alias("ts"), "midi", "confidence", "frequency", "method")
+    end = live.EndMark(feed)
+    notes = live.drain(live.stream_consensus(end.stream, delay="50 milliseconds"), "append", end.set)
+    return notes.withColumns({c: F.col(c) - src.EPOCH_US for c in ("start_us", "end_us")})
+
+
 register(
-    "stream_consensus",
-    lambda spark, sf: live.drain(live.stream_consensus(_live(spark, sf).withColumn("midi", F.expr("cast(52 + midi % 3 as int)")), 129_600_000, "1 hour"), "append"),
-    "track_id anchor_us midi votes confidence~ n",
+    "stream_consensus", _live_consensus,
+    "track_id midi start_us end_us confidence~ frequency~ votes pitch_spread~ n_merged", "candidates",
+    NOTES_SQL + ", result AS (SELECT * FROM ensemble)", recursive=True,
 )
 
 

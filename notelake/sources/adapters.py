@@ -22,14 +22,21 @@ def _method() -> str:
     return "case event_type " + " ".join(f"when '{k}' then '{v}'" for k, v in METHODS.items()) + " end"
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    return events.withColumn("e_us", F.expr(f"unix_micros(cast(ts as timestamp)) - {EPOCH_US}"))
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").withColumn(
-        "e_us", F.expr(f"unix_micros(cast(ts as timestamp)) - {EPOCH_US}")
-    )
+    return _timed(table(spark, sf_dir, "events"))
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).selectExpr(
+    return candidates_of(table(spark, sf_dir, "events"))
+
+
+def candidates_of(events: DataFrame) -> DataFrame:
+    """Candidates from events, a table or a stream."""
+    return _timed(events).selectExpr(
         "user_id as track_id", "event_id as cand_id", "e_us div 4320000 as t_us",
         "cast(52 + floor(value) % 3 as int) as midi", "cast(get_json_object(props, '$.k') as int) as k",
         "cast((1 + event_id % 100) / 100 as double) as confidence", f"{_method()} as method",

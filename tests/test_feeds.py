@@ -2,6 +2,9 @@
 
 import json
 import os
+import random
+import time
+import uuid
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -11,6 +14,7 @@ from notelake.session import checkpoint_dir
 from notelake.sources import readers, writers
 from notelake.streaming import live
 
+EPOCH = 1_704_067_200_000_000
 DATA = os.path.join(os.path.dirname(os.path.abspath(__file__)), "data")
 
 
@@ -60,20 +64,52 @@ def test_failing_detector_is_isolated(spark):
     assert sorted((r.method, r.error is None) for r in rows) == [("bad", False), ("copy", True)]
 
 
-def test_streaming_consensus_equals_batch_for_closed_groups(spark):
-    rows = []
-    for i in range(400):
-        t = (i * 7919) % 20_000_000
-        rows.append((1 + i % 2, t, 60 + i % 3, ["pyin", "yin", "cqt"][i % 5 % 3], 0.9))
-    pdf = pd.DataFrame(rows, columns=["track_id", "t_us", "midi", "method", "confidence"])
-    df = spark.createDataFrame(pdf).withColumn("midi", F.col("midi").cast("int")).withColumn("cand_id", F.monotonically_increasing_id())
-    df = df.withColumn("ts", F.timestamp_micros(F.col("t_us") + 1_704_067_200_000_000))
-    folder = f"{checkpoint_dir(spark)}/feed"
-    df.write.mode("overwrite").parquet(folder)
-    out = live.drain(live.stream_consensus(live.file_stream(spark, folder, "*.parquet"), 100_000, "1 second"), "append").collect()
-    got = {(r.track_id, r.anchor_us - 1_704_067_200_000_000, r.midi): (r.votes, round(r.confidence, 9)) for r in out}
-    spread = df.withColumn("frequency", F.lit(1.0) * F.pow(F.lit(3.0), F.col("midi").cast("double")))  # far apart, so pitches stay single
-    batch = vote.consensus(vote.pitch_clusters(spread, 100_000))
-    edge = max(r[1] for r in rows) - 1_000_000 - 100_000
-    want = {(r.track_id, r.anchor_t, r.midi): (r.votes, round(r.confidence, 9)) for r in batch.collect() if r.anchor_t < edge - 1000}
-    assert want and {k: v for k, v in got.items() if k[1] < edge - 1000} == want
+def _fed(spark, rows, files, delay):
+    """Notes and late rows of a feed that arrives file by file (rows of several files each in its own order)."""
+    folder = f"{checkpoint_dir(spark)}/feed-{uuid.uuid4().hex}"
+    schema = "track_id long, cand_id long, t_us long, midi int, method string, confidence double, frequency double"
+    for i in range(files):
+        part = spark.createDataFrame(rows[i * len(rows) // files:(i + 1) * len(rows) // files], schema)
+        part.withColumn("ts", F.timestamp_micros(F.col("t_us") + EPOCH)).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(0.02)  # files are read by time of writing
+    feed = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    end = live.EndMark(feed)
+    out, late = live.replay(live.stream_consensus(end.stream, delay=delay), "append", end.set)
+    return _notes(out.collect(), EPOCH), late
+
+
+def _notes(rows, shift=0):
+    return sorted((r.track_id, r.midi, r.start_us - shift, r.end_us - shift, r.votes, r.n_merged, ",".join(r.methods), round(r.confidence, 7),
+                   round(r.frequency, 6), round(r.pitch_spread, 6)) for r in rows)
+
+
+def _feed_rows(n, seed=5):
+    rng, rows = random.Random(seed), []
+    for i in range(n):
+        midi = 60 + rng.choice([0, 1, 1, 2, 5])
+        cents = rng.uniform(-60, 60)
+        rows.append((1 + i % 2, i, rng.randrange(n * 3_000), midi, rng.choice(["pyin", "yin", "cqt", "hps"]), rng.uniform(0.5, 1.0), 440 * 2 ** ((midi - 69 + cents / 100) / 12)))
+    return sorted(rows, key=lambda r: r[2])
+
+
+def test_streaming_consensus_equals_batch(spark):
+    rows = _feed_rows(3000)
+    schema = "track_id long, cand_id long, t_us long, midi int, method string, confidence double, frequency double"
+    want = _notes(vote.ensemble_notes(spark.createDataFrame(rows, schema)).collect())
+    rng = random.Random(6)  # arrival out of order within half a second
+    arrived = sorted(rows, key=lambda r: r[2] + rng.randrange(500_000))
+    got, late = _fed(spark, arrived, 6, "2 seconds")
+    assert len(want) > 100 and max(n[5] for n in want) > 1 and got == want and late == 0
+
+
+def test_streaming_consensus_counts_late_rows_and_skips_nulls(spark):
+    rows = _feed_rows(400)
+    schema = "track_id long, cand_id long, t_us long, midi int, method string, confidence double, frequency double"
+    want = _notes(vote.ensemble_notes(spark.createDataFrame(rows, schema)).collect())
+    nulls = [(None, 1, 5_000, 60, "pyin", 0.9, 261.0), (1, 2, 5_000, None, "pyin", 0.9, 261.0), (1, 3, 5_000, 60, None, 0.9, 261.0),
+             (1, 4, 5_000, 60, "pyin", None, 261.0), (1, 5, 5_000, 60, "pyin", 0.9, None)]
+    late = [(1, 900 + i, 1_000 * i, 61, "yin", 0.9, 277.0) for i in range(100)]
+    assert _fed(spark, nulls + rows, 2, "1 second")[0] == want
+    got, dropped = _fed(spark, rows + late, 5, "100 milliseconds")  # the last file holds the late rows only
+    assert got == want and dropped == 100
+    assert _fed(spark, [], 1, "1 second") == ([], 0)
