@@ -7,22 +7,28 @@ from pyspark.sql import functions as F
 
 from notelake.operators.sequence import library
 from notelake.operators.theory import literal_table
-from notelake.operators.timeline import BLOCK_ROWS, SLICE_US, row_halo
+from notelake.operators.timeline import BLOCK_ROWS, SLICE_US, Run, halo, row_index, running
 from notelake.session import checkpointed
 
 
 def lick_matches(
-    notes: DataFrame, threshold: float = 0.7, off: int = 1, min_len: int = 4, width: int = SLICE_US, block: int = BLOCK_ROWS
+    notes: DataFrame, threshold: float = 0.7, off: int = 1, min_len: int = 4, width: int = SLICE_US, block: int = BLOCK_ROWS,
+    within: str | None = None,
 ) -> DataFrame:
     """Every start and lick where enough of the lick is heard in the notes from there on (its length and two more).
 
-    Each lick note takes the nearest note not yet taken within ``off`` semitones. ``first``/``last`` are note numbers
-    (``last`` exclusive); licks are short, so a start looks at a fixed number of notes.
+    Each lick note takes the nearest note not yet taken within ``off`` semitones; ``missing`` are the pitches of those that none
+    is heard for. ``first``/``last`` are note numbers (``last`` exclusive); licks are short, so a start looks at a fixed number of
+    notes. With ``within`` (a column of consecutive notes, such as a phrase) it looks no further than its end, and the column is kept.
+    Notes that already carry their number ``rn`` are not numbered again.
     """
+    group = [within] if within else []
     licks = [(i, name, steps) for i, (name, steps) in enumerate(library()) if len(steps) >= min_len]
     reach = max(len(steps) for _, _, steps in licks) + 2
-    rows = row_halo(notes.select("track_id", "note_id", "start_us", "midi"), ["start_us", "note_id"], 0, reach - 1, width, block=block)
-    ahead = Window.partitionBy("track_id", "_s").orderBy("rn").rowsBetween(0, reach - 1)
+    if "rn" not in notes.columns:
+        notes = row_index(notes.select("track_id", "note_id", "start_us", "midi", *group), ["start_us", "note_id"], width)
+    rows = halo(notes.select("track_id", "note_id", "start_us", "midi", "rn", *group), "rn", block, 0, reach - 1)
+    ahead = Window.partitionBy("track_id", "_s", *group).orderBy("rn").rowsBetween(0, reach - 1)
     rows = rows.withColumn("ms", F.collect_list("midi").over(ahead)).filter("_own").filter(F.size("ms") >= min_len)
     rows = rows.withColumn("ds", F.expr("transform(ms, m -> cast(m - midi as int))"))
     near = f"filter(transform(slice(ds, 1, size(p.steps) + 2), (d, i) -> struct(abs(d - s) as err, i)), z -> z.err <= {off} and not array_contains(acc, z.i))"
@@ -30,14 +36,15 @@ def lick_matches(
     placed = f"array_distinct(transform(q.taken, t -> array_position(transform(p.steps, s -> abs(ds[t] - s) <= {off}), true)))"
     rows = rows.withColumn("lib", literal_table("ord name steps", licks))
     scored = rows.select(
-        "track_id", "rn", "note_id", "midi", "ms", "ds", F.expr(f"inline(transform(lib, p -> struct(p, {taken} as taken)))"))
+        "track_id", *group, "rn", "note_id", "midi", "ms", "ds", F.expr(f"inline(transform(lib, p -> struct(p, {taken} as taken)))"))
     scored = scored.withColumn("score", F.expr("size(taken) / size(p.steps)")).filter(F.col("score") >= threshold)
-    scored = scored.withColumn("q", F.struct("taken")).withColumn("n_placed", F.size(F.expr(placed)))
-    share = 1 - F.col("n_placed") / F.size("p.steps")
+    scored = scored.withColumn("q", F.struct("taken")).withColumn("placed", F.expr(placed))
+    share = 1 - F.size("placed") / F.size("p.steps")
+    missing = F.expr("transform(array_except(sequence(1, size(p.steps)), cast(placed as array<int>)), i -> midi + p.steps[i - 1])")
     return scored.select(
-        "track_id", F.col("rn").alias("first"), (F.col("rn") + F.least(F.size("p.steps") + 2, F.size("ms"))).alias("last"), F.col("midi").alias("root"),
+        "track_id", *group, F.col("rn").alias("first"), (F.col("rn") + F.least(F.size("p.steps") + 2, F.size("ms"))).alias("last"), F.col("midi").alias("root"),
         F.col("p.ord").alias("ord"), F.col("p.name").alias("lick"), F.col("p.steps").alias("steps"), "score",
-        (F.col("score") * (1 - share * 0.3)).alias("confidence"))
+        (F.col("score") * (1 - share * 0.3)).alias("confidence"), missing.alias("missing"))
 
 
 def resolve_overlaps(matches: DataFrame) -> DataFrame:
@@ -81,3 +88,60 @@ def lick_annotations(matches: DataFrame, numbered: DataFrame) -> DataFrame:
     a = n.select("track_id", F.col("rn").alias("first"), "start_us")
     b = n.select("track_id", (F.col("rn") + 1).alias("last"), "end_us")
     return matches.join(a, ["track_id", "first"]).join(b, ["track_id", "last"]).select("track_id", "lick", "start_us", "end_us", "score", "confidence")
+
+
+def numbered_phrases(notes: DataFrame, gap_us: int = 150_000, width: int = SLICE_US) -> DataFrame:
+    """Notes with their number ``rn`` in the track and ``phrase``, the number of the first note of their phrase.
+
+    A phrase ends where the next note starts more than ``gap_us`` after the end of the note before it.
+    """
+    end = F.col("start_us") + F.coalesce("dur_us", F.lit(0))
+    order = ["start_us", "note_id"]
+    rows = running(notes, order, width, rn=Run("sum", F.lit(1).cast("bigint")), _end=Run("last", end, inclusive=False))
+    rows = rows.withColumn("rn", (F.col("rn") - 1).cast("bigint"))
+    opens = F.col("_end").isNull() | (F.col("start_us") - F.col("_end") > gap_us)
+    return running(rows, order, width, drop=["_end"], phrase=Run("last", F.when(opens, F.col("rn"))))
+
+
+def phrase_licks(
+    phrases: DataFrame, threshold: float = 0.7, off: int = 1, min_len: int = 4, least: int = 4, width: int = SLICE_US, block: int = BLOCK_ROWS
+) -> DataFrame:
+    """The surest lick of every phrase of ``least`` notes and more that holds one; earlier starts and licks first among equals.
+
+    Takes the notes of ``numbered_phrases``. Besides the match there are ``n_notes``, ``start_us`` and ``end_us`` of the phrase.
+    Phrases are only aggregated, so one may be as long as a track.
+    """
+    found = lick_matches(phrases, threshold, off, min_len, width, block, within="phrase")
+    rank = F.struct(F.round("confidence", 9), -F.col("first"), -F.col("ord"))
+    row = F.struct("first", "last", "root", "ord", "lick", "steps", "score", "confidence", "missing")
+    best = found.groupBy("track_id", "phrase").agg(F.max_by(row, rank).alias("m"))
+    end = F.col("start_us") + F.coalesce("dur_us", F.lit(0))
+    spans = phrases.groupBy("track_id", "phrase").agg(F.count("*").alias("n_notes"), F.min("start_us").alias("start_us"), F.max_by(end, "rn").alias("end_us"))
+    return spans.filter(F.col("n_notes") >= least).join(best, ["track_id", "phrase"]).select("track_id", "phrase", "n_notes", "start_us", "end_us", "m.*")
+
+
+def corrected_phrases(phrases: DataFrame, licks: DataFrame) -> DataFrame:
+    """All notes, those an exact octave off the note that their phrase's lick has at their place moved there with 0.9 of their confidence.
+
+    Places count from the start of the phrase. ``lick`` names the lick of a moved note. Only the first notes of a phrase, as many
+    as its lick has, are looked up, by their number.
+    """
+    want = licks.select("track_id", "phrase", "n_notes", "root", "lick", F.posexplode("steps").alias("pos", "step")).filter(F.col("pos") < F.col("n_notes"))
+    want = want.select("track_id", (F.col("phrase") + F.col("pos")).alias("rn"), (F.col("root") + F.col("step")).alias("_want"), F.col("lick").alias("_lick"))
+    off = F.coalesce(F.abs(F.col("midi") - F.col("_want")) == 12, F.lit(False))
+    rows = phrases.join(want, ["track_id", "rn"], "left").withColumn("_off", off)
+    return rows.withColumns({
+        "midi": F.when(F.col("_off"), F.col("_want")).otherwise(F.col("midi")),
+        "confidence": F.when(F.col("_off"), F.col("confidence") * 0.9).otherwise(F.col("confidence")),
+        "lick": F.when(F.col("_off"), F.col("_lick"))}).drop("_off", "_want", "_lick")
+
+
+def lick_coverage(corrected: DataFrame, licks: DataFrame) -> DataFrame:
+    """Per track: notes, phrases with a lick, corrections (moved notes, and one for each phrase with missing notes), share of notes in such phrases."""
+    notes = corrected.groupBy("track_id").agg(F.count("*").alias("n_notes"), F.count("lick").alias("n_moved"))
+    found = licks.groupBy("track_id").agg(
+        F.count("*").alias("n_licks"), F.count_if(F.size("missing") > 0).alias("n_lacking"), F.sum("n_notes").alias("n_covered"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return notes.join(found, "track_id", "left").select(
+        "track_id", "n_notes", zero("n_licks").alias("n_licks"), (F.col("n_moved") + zero("n_lacking")).alias("n_corrections"),
+        (zero("n_covered") / F.col("n_notes")).alias("coverage"))

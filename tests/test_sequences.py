@@ -58,6 +58,61 @@ def test_licks(spark):
     assert sorted(got) == sorted(kept) and kept
 
 
+def surest_lick(midi, threshold=0.7):
+    """(confidence, start, number, steps, score, missing) of the best lick in one phrase by plain loops."""
+    best = None
+    for start in range(len(midi) - 3):
+        for o, (_, steps) in enumerate(library()):
+            if len(steps) < 4:
+                continue
+            heard = [m - midi[start] for m in midi[start:start + len(steps) + 2]]
+            hits = []
+            for p in steps:
+                near = min(((abs(d - p), i) for i, d in enumerate(heard) if abs(d - p) <= 1 and i not in hits), default=None)
+                if near:
+                    hits.append(near[1])
+            if len(hits) / len(steps) >= threshold:
+                places = {next(k for k, p in enumerate(steps) if abs(heard[i] - p) <= 1) for i in hits}
+                lacks = [midi[start] + p for k, p in enumerate(steps) if k not in places]
+                score = len(hits) / len(steps)
+                found = (round(score * (1 - len(lacks) / len(steps) * 0.3), 9), -start, -o, steps, score, lacks)
+                best = max(best, found, key=lambda x: x[:3]) if best else found
+    return best
+
+
+@pytest.mark.parametrize("width,block", [(1000, 16), (10**7, 4096)])
+def test_licks_by_phrase_equal_plain_loops(spark, width, block):
+    rows = [r[:4] + (r[4] + (12 if r[1] % 6 == 4 else 0),) + r[5:] for r in melody(7)]
+    at = max(r[2] + r[3] for r in rows) + 500
+    rows += [(1, 1000 + i, at + 100 * i, 90, m, 0.5) for i, m in enumerate([60, 63, 77, 67, 70, 72])]  # the third note an octave up
+    parts, end = [], None
+    for n, r in enumerate(rows):
+        if end is None or r[2] - end > 60:
+            parts.append((n, []))
+        parts[-1][1].append(r)
+        end = r[2] + r[3]
+    want, moved = [], {r[1]: (r[4], r[5]) for r in rows}
+    for first, part in parts:
+        best = surest_lick([r[4] for r in part]) if len(part) >= 4 else None
+        if best:
+            _, start, o, steps, score, lacks = best
+            root = part[-start][4]
+            want.append((first, len(part), part[0][2], part[-1][2] + part[-1][3], first - start, -o, round(score, 9), lacks))
+            for r, p in zip(part, steps, strict=False):
+                if abs(r[4] - (root + p)) == 12:
+                    moved[r[1]] = (root + p, r[5] * 0.9)
+    phrases = lk.numbered_phrases(spark.createDataFrame(rows, SCHEMA), 60, width)
+    licks = lk.phrase_licks(phrases, width=width, block=block)
+    got = [(r["phrase"], r["n_notes"], r["start_us"], r["end_us"], r["first"], r["ord"], round(r["score"], 9), r["missing"]) for r in licks.collect()]
+    assert len(want) > 3 and sorted(got) == sorted(want)
+    corrected = lk.corrected_phrases(phrases, licks)
+    out = {r["note_id"]: (r["midi"], r["confidence"]) for r in corrected.collect()}
+    assert out == moved and any(moved[r[1]][0] != r[4] for r in rows)
+    total = lk.lick_coverage(corrected, licks).collect()
+    changes = sum(moved[r[1]][0] != r[4] for r in rows) + sum(bool(w[7]) for w in want)
+    assert [tuple(r)[:4] for r in total] == [(1, len(rows), len(want), changes)] and total[0]["coverage"] == pytest.approx(sum(w[1] for w in want) / len(rows))
+
+
 @pytest.mark.parametrize("width", [400, 3000, 10**6])
 def test_overlap_folds_do_not_depend_on_slices(spark, width):
     rows = melody(4, 120)
