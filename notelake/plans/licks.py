@@ -19,7 +19,7 @@ def _melody(spark, sf):
 
 
 def _matches(spark, sf):
-    return lk.resolve_overlaps(lk.lick_matches(_melody(spark, sf), 0.85, width=NOTE_SLICE, block=64))
+    return lk.resolve_overlaps(lk.lick_matches(_melody(spark, sf), 0.85, width=NOTE_SLICE, block=64, undominated=True))
 
 
 def _numbered(spark, sf):
