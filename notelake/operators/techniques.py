@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from notelake.functions.dims import NUM_FRETS, tuning_notes
 from notelake.operators.segment import tremolo_notes
@@ -149,6 +153,36 @@ def bends(curves: DataFrame, least: float = 0.3) -> DataFrame:
         "track_id", "note_id", "bend", (F.col("fret") + F.bround("bend")).cast("int").alias("target_fret"), F.least(F.lit(1.0), F.col("bend") / 2).alias("confidence"))
 
 
+def _two_tops(n: int, bins: list[int], counts: list[int]) -> tuple[int, int] | None:
+    """Bins of the two highest tops of a smoothed histogram of ``n`` bins, if there are two."""
+    h = np.zeros(n)
+    for k, c in zip(bins, counts, strict=True):
+        if 0 <= k < n:
+            h[k] = c
+    raw, s, at = [math.exp(-2.0 * k * k) for k in range(-2, 3)], np.zeros(n), np.arange(n)
+    for k, w in enumerate(raw):
+        m = (at + k - 2) % (2 * n)
+        s = s + h[np.where(m >= n, 2 * n - 1 - m, m)] * (w / sum(raw))
+    s = np.round(s, 9)  # so sums taken in another order do not decide between equals
+    # even stretches: where each begins, and the next one after it
+    begin = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    height, end = s[begin], np.r_[begin[1:], n]
+    is_top = np.zeros(len(begin), bool)
+    is_top[1:-1] = (height[1:-1] > height[:-2]) & (height[1:-1] > height[2:]) & (height[1:-1] >= 0.25 * s.max())
+    tops = sorted(zip(height[is_top].tolist(), ((begin + end - 1) // 2)[is_top].tolist(), strict=True), reverse=True)
+    return (tops[0][1], tops[1][1]) if len(tops) > 1 else None
+
+
+def _highest_tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of notes with the columns ``n_bins``, ``bins`` and ``counts`` at their end; the notes with two tops, the bins of these instead of the histogram."""
+    for batch in batches:
+        found = [_two_tops(*(c[i].as_py() for c in batch.columns[-3:])) for i in range(batch.num_rows)]
+        rows = [i for i, tops in enumerate(found) if tops]
+        kept = batch.take(pa.array(rows, pa.int64()))
+        tops = [pa.array([found[i][k] for i in rows], pa.int32()) for k in range(2)]
+        yield pa.RecordBatch.from_arrays([*kept.columns[:-2], *tops], names=[*batch.schema.names[:-2], "top", "second"])
+
+
 def trills(curves: DataFrame, notes: DataFrame, width: int = 4096) -> DataFrame:
     """Notes of a quarter second or more that alternate fast between two pitch centres 0.8 to 3.5 semitones apart.
 
@@ -167,24 +201,11 @@ def trills(curves: DataFrame, notes: DataFrame, width: int = 4096) -> DataFrame:
     bins = rows.groupBy(*key, place.alias("bin")).agg(F.count("*").alias("c")).groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("bin", "c"))).alias("held"))
     side = running(rows.withColumn("side", F.signum(F.round(F.col("pitch") - F.col("mean"), 9))).select(*key, "frame", "side"), ["frame"], width, key, before=previous("side"))
     crossed = side.groupBy(*key).agg(F.count_if(F.col("side") != F.col("before.side")).alias("crossings"))
-    found = stats.join(bins, key).join(crossed, key)
-    found = found.withColumn("h", F.transform(F.sequence(F.lit(0), F.col("n_bins") - 1), lambda i: F.coalesce(F.try_element_at("held", i), F.lit(0)).cast("double")))
-    raw = [math.exp(-2.0 * k * k) for k in range(-2, 3)]
-    n = F.col("n_bins")
-
-    def mirrored(i: Column) -> Column:
-        m = F.pmod(i, 2 * n)
-        return F.get("h", F.when(m >= n, 2 * n - 1 - m).otherwise(m).cast("int"))
-
-    # to 9 places, so sums taken in another order do not decide between equals
-    found = found.withColumn("s", F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.round(sum((mirrored(i + k - 2) * (w / sum(raw)) for k, w in enumerate(raw)), F.lit(0.0)), 9)))
-    at = lambda i: F.get("s", i.cast("int"))
-    higher = F.filter(F.sequence(F.lit(1), n - 2), lambda i: (at(i) > at(i - 1)) & (at(i) >= 0.25 * F.array_max("s")))
-    # where an even stretch that begins at i ends, and whether it falls there
-    end = lambda i: F.coalesce(F.array_min(F.filter(F.sequence(F.lit(0), n - 1), lambda j: (j > i) & (at(j) != at(i)))), n)
-    tops = F.transform(F.filter(higher, lambda i: (end(i) < n) & (at(end(i)) < at(i))), lambda i: F.struct(at(i).alias("height"), F.floor((i + end(i) - 1) / 2).cast("int").alias("bin")))
-    found = found.withColumn("tops", F.slice(F.reverse(F.array_sort(tops)), 1, 2)).filter(F.size("tops") == 2)
-    interval = F.abs(F.get("tops", F.lit(0))["bin"] - F.get("tops", F.lit(1))["bin"]) * (F.col("high") - F.col("low")) / n
+    found = stats.join(bins, key).join(crossed, key).select(
+        *key, "dur_us", "fret", "low", "high", "crossings", "n_bins", F.map_keys("held").alias("bins"), F.map_values("held").alias("counts"))
+    tops = [T.StructField(c, T.IntegerType()) for c in ("top", "second")]
+    found = found.mapInArrow(_highest_tops, T.StructType([*found.schema.fields[:-2], *tops]))
+    interval = F.abs(F.col("top") - F.col("second")) * (F.col("high") - F.col("low")) / F.col("n_bins")
     rate = F.col("crossings") / (F.col("dur_us") / 1e6)
     return found.withColumns({"interval": interval, "rate": rate}).filter(F.round("interval", 9).between(0.8, 3.5) & F.col("rate").between(10, 35)).select(
         *key, "interval", "rate", (F.col("fret") + F.bround(F.round("interval", 9)).cast("int")).alias("target_fret"), F.least(F.lit(1.0), F.col("rate") / 20).alias("confidence"))
