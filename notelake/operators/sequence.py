@@ -113,8 +113,8 @@ def repeated_riffs(
 
     A later sequence that does not overlap the first one counts as an occurrence if its intervals are equal and each of its steps
     takes the same time within ``percent`` (steps of no time in the first one fit any). Of sequences with the same occurrence
-    times (to 10 ms) the shortest, then earliest one stays. Sequences meet by their intervals and, split further, by the time of their
-    first step on a logarithmic scale, so a frequent interval pattern is no single key.
+    times (to 10 ms) the shortest, then earliest one stays. Sequences meet once, by the intervals of their first ``shortest`` notes and, split further, by the
+    time of their first step on a logarithmic scale, so a frequent interval pattern is no single key.
     """
     reach = slice_window(["track_id"], "rn").rowsBetween(0, longest - 1)
     rows = row_halo(notes.select("track_id", "note_id", "start_us", "midi"), ["start_us", "note_id"], 0, longest - 1, width, block=block)
@@ -122,18 +122,27 @@ def repeated_riffs(
     sizes = rows.groupBy("track_id").agg(F.count("*").alias("n_track"))
     rows = rows.select("track_id", "rn", "start_us", "ms", "ts").join(sizes, "track_id")
     top = F.least(F.lit(longest), F.size("ms"), F.floor(F.col("n_track") / 2).cast("int"))
-    rows = rows.filter((F.col("n_track") >= shortest * least) & (top >= shortest)).withColumn("length", F.explode(F.sequence(F.lit(shortest), top)))
-    pairs = lambda c: F.zip_with(F.slice(c, 1, F.col("length") - 1), F.slice(c, 2, F.col("length") - 1), lambda a, b: b - a)
-    grams = rows.select("track_id", "rn", "start_us", "length", F.concat_ws(",", pairs(F.col("ms")).cast("array<string>")).alias("intervals"), pairs(F.col("ts")).alias("steps"))
-    step = F.col("steps")[0]
-    scale = F.when(step > 0, F.floor(F.ln(step) / math.log(1 + percent / 100)))
-    grams = grams.withColumn("pace", scale.cast("bigint"))
-    # a first step of no time fits any pace, other paces fit their own and the neighbouring ones
-    b = grams.select("track_id", "length", "intervals", F.col("rn").alias("b_rn"), F.col("start_us").alias("b_us"), F.col("steps").alias("b_steps"), F.explode(
-        F.array_distinct(F.concat(F.array(F.lit(-9).cast("bigint")), F.when(F.col("pace").isNotNull(), F.sequence(F.col("pace") - 2, F.col("pace") + 2)).otherwise(F.array())))).alias("pace"))
-    a = grams.withColumn("pace", F.coalesce("pace", F.lit(-9).cast("bigint")))
-    fits = F.forall(F.arrays_zip(F.col("steps").alias("a"), F.col("b_steps").alias("b")), lambda x: (x["a"] <= 0) | (F.abs(x["b"] - x["a"]) * 100 <= x["a"] * percent))
-    hits = a.join(b, ["track_id", "length", "intervals", "pace"]).filter((F.col("b_rn") >= F.col("rn") + F.col("length")) & fits)
+    rows = rows.withColumn("top", top).filter((F.col("n_track") >= shortest * least) & (F.col("top") >= shortest))
+    pairs = lambda c: F.zip_with(F.slice(c, 1, F.col("top") - 1), F.slice(c, 2, F.col("top") - 1), lambda a, b: b - a)
+    grams = rows.select("track_id", "rn", "start_us", "top", pairs(F.col("ms")).alias("leaps"), pairs(F.col("ts")).alias("steps"))
+    grams = grams.withColumn("intervals", F.concat_ws(",", F.slice("leaps", 1, shortest - 1).cast("array<string>")))
+    # a first step of no time fits any pace, other paces fit those that the bounds around them fall into
+    step, any_pace = F.col("steps")[0], F.lit(-9).cast("bigint")
+    bounded = F.col("steps")[0] > 0 if percent < 100 else F.lit(False)
+    pace = lambda x: F.floor(F.ln(x) / (4 * math.log(1 + percent / 100)))
+    paces = F.when(bounded, F.sequence(pace(step / (1 + percent / 100) * (1 - 1e-9)), pace(step / max(1 - percent / 100, 1e-3) * (1 + 1e-9)))).otherwise(F.array())
+    b = grams.select("track_id", "intervals", F.col("rn").alias("b_rn"), F.col("start_us").alias("b_us"), F.col("top").alias("b_top"), F.col("leaps").alias("b_leaps"),
+                     F.col("steps").alias("b_steps"), F.explode(F.array_distinct(F.concat(F.array(any_pace), paces.cast("array<bigint>")))).alias("pace"))
+    a = grams.withColumn("pace", F.coalesce(F.when(bounded, pace(step)).cast("bigint"), any_pace))
+    # sequences that agree do so from their start on: pairs meet once, with the shortest ones, and each agrees up to some length
+    fits = F.transform(F.arrays_zip("leaps", "b_leaps", "steps", "b_steps"), lambda x: (x["leaps"] == x["b_leaps"]) & (
+        (x["steps"] <= 0) | (F.abs(x["b_steps"] - x["steps"]) * 100 <= x["steps"] * percent)))
+    # the copies of b are many more than the size of its files says, so it must not be broadcast
+    met = a.join(b.hint("merge"), ["track_id", "intervals", "pace"]).filter(F.col("b_rn") >= F.col("rn") + shortest)
+    agree = F.array_position(fits, F.lit(False)).cast("bigint")
+    agree = F.least(F.when(agree > 0, agree).otherwise(F.lit(longest)), "top", "b_top", F.col("b_rn") - F.col("rn"))
+    hits = met.select("track_id", "rn", "start_us", "b_rn", "b_us", agree.alias("agree")).filter(F.col("agree") >= shortest)
+    hits = hits.withColumn("length", F.explode(F.sequence(F.lit(shortest), F.col("agree").cast("int"))))
     found = hits.groupBy("track_id", "rn", "start_us", "length").agg(F.array_sort(F.collect_list(F.struct("b_rn", "b_us"))).alias("later"))
     times = F.concat(F.array("start_us"), F.transform("later", lambda x: x["b_us"]))
     found = found.select("track_id", F.col("rn").alias("first"), "length", F.transform(times, lambda t: F.round(t / 1e6, 2)).alias("occurrences"), (F.size("later") + 1).alias("n"))

@@ -213,3 +213,10 @@ def test_riffs_of_3_to_16_notes_equal_a_plain_search(spark):
     assert {n for _, n, _ in best.values()} == set(range(3, 17)) and sorted((r["first"], r["length"], r["n"]) for r in got) == sorted(best.values())
     found = {r["length"] for r in QUERIES["repeated_riffs"](spark, "/root/testdata/sf0.001").select("length").distinct().collect()}
     assert "repeated_riffs" in ORACLE and 3 in found
+
+
+def test_riffs_meet_once_and_are_not_broadcast(spark):
+    from notelake.operators.sequence import repeated_riffs
+    df = spark.createDataFrame([(1, i, 500_000 * i, 60 + i % 3) for i in range(30)], "track_id long, note_id long, start_us long, midi int")
+    plan = repeated_riffs(df, 3, 16)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan  # the copies of the later sequences: their files say little of their number
