@@ -23,6 +23,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from notelake.operators.timeline import SLICE_US, halo, row_index
 from notelake.session import checkpointed
 
+#: About as many rows leave a task at once.
+OUT_ROWS = 10_000
+
 #: How two neighbouring tables ``a`` and ``b`` combine, as SQL: functions as arrays of indices, costs as matrices.
 THEN = "transform(a, x -> element_at(b, x + 1))"
 MIN_PLUS = "transform(a, x -> transform(sequence(0, size(b[0]) - 1), j -> array_min(zip_with(x, b, (c, y) -> c + y[j]))))"
@@ -53,6 +56,16 @@ def blocks(items: DataFrame, order: Sequence[str], block: int, before: int, afte
     return checkpointed(pieces.filter(F.exists("items", lambda e: e["own"])))
 
 
+def rows_of(batch: pa.RecordBatch) -> Iterator[list]:
+    """The rows of a batch, one at a time: a row is a whole slice, so those of a batch as Python values would take many times the memory of the batch."""
+    for i in range(batch.num_rows):
+        yield [c[i].as_py() for c in batch.columns]
+
+
+def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
 def own_range(entries: list[dict]) -> tuple[int, int]:
     """First and one past the last place of a slice's own entries."""
     own = [i for i, e in enumerate(entries) if e["own"]]
@@ -75,14 +88,14 @@ def choose_along(pieces: DataFrame, rule: Rule, schema: T.StructType) -> DataFra
     key = T.StructType([pieces.schema["track_id"], T.StructField("n", T.LongType())])
 
     def read(batch: pa.RecordBatch) -> Iterator[tuple]:
-        for track, n, entries in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for track, _, entries, *_ in rows_of(batch):
             first, end = own_range(entries)
-            yield track, n, [e["item"] for e in entries], first, end
+            yield track, [e["item"] for e in entries], first, end
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for _, _, items, first, end in read(batch):
+            for _, items, first, end in read(batch):
                 states = rule.options(items, first - 1) if first else [None]
                 exits = list(range(len(states)))
                 for i in range(first, end):
@@ -99,15 +112,18 @@ def choose_along(pieces: DataFrame, rule: Rule, schema: T.StructType) -> DataFra
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for (track, _, items, first, end), k in zip(read(batch.select([0, 1, 2])), batch.column(3).to_pylist(), strict=True):
+            for (track, items, first, end), k in zip(read(batch), batch.column(3).to_pylist(), strict=True):
                 state = rule.options(items, first - 1)[k] if first else None
                 for i in range(first, end):
                     before, state = state, rule.options(items, i)[rule.choose(items, i, state)]
                     out += [(track, *row) for row in rule.emit(items, i, state, before)]
+                if len(out) >= OUT_ROWS:
+                    yield batch_of(out, arrow_schema)
+                    out = []
             if out:
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True)) for row in out], schema=batch_schema)
+                yield batch_of(out, arrow_schema)
 
-    batch_schema = to_arrow_schema(schema)
+    arrow_schema = to_arrow_schema(schema)
     return entered.mapInArrow(emit, schema)
 
 
@@ -132,7 +148,7 @@ def cheapest_along(pieces: DataFrame, path: Path, schema: T.StructType) -> DataF
     key = [pieces.schema["track_id"], T.StructField("n", T.LongType())]
 
     def read(batch: pa.RecordBatch) -> Iterator[tuple]:
-        for track, entries in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for track, _, entries, *_ in rows_of(batch):
             first, end = own_range(entries)
             items = [e["item"] for e in entries]
             yield track, items, path.prepare(items), first, end
@@ -191,7 +207,10 @@ def cheapest_along(pieces: DataFrame, path: Path, schema: T.StructType) -> DataF
                 for i in range(end - 1, first - 1, -1):
                     out += [(track, *row) for row in path.emit(items, known, i, state)]
                     state = int(back[i - first][state])
+                if len(out) >= OUT_ROWS:
+                    yield batch_of(out, arrow_schema)
+                    out = []
             if out:
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True)) for row in out], schema=arrow_schema)
+                yield batch_of(out, arrow_schema)
 
     return entered.drop("last").join(left, ["track_id", "n"], "left").mapInArrow(trace, schema)

@@ -302,3 +302,12 @@ def test_empty_tracks(spark):
     assert fing.optimal_fingering(spark.createDataFrame([], NOTES)).count() == 0
     assert fing.smooth_positions(spark.createDataFrame([], TABS)).count() == 0
     assert fing.prefer_lower_frets(spark.createDataFrame([], TABS)).count() == 0
+
+
+def test_a_batch_of_slices_is_read_slice_by_slice():
+    import pyarrow as pa
+
+    from notelake.operators.chains import rows_of
+    batch = pa.RecordBatch.from_pydict({"track_id": [1, 2], "n": [0, 0], "items": [[{"rn": 0}], [{"rn": 0}, {"rn": 1}]]})
+    rows = rows_of(batch)
+    assert next(rows) == [1, 0, [{"rn": 0}]] and next(rows)[2] == [{"rn": 0}, {"rn": 1}] and next(rows, None) is None
