@@ -47,7 +47,7 @@ WIDE = [
     (r"(?<![0-9A-Za-z])[+(]?[0-9](?:[\x20().\/-]{0,2}+[0-9]){8,}+", [CARD, PHONE]),
 ]
 PRECISION = 0.98
-SAMPLE = 20_000
+BALANCE = 20_000
 #: How lists of four numbers are written; an address in this spelling stands among the negatives, and so does a phone number of
 #: digits only that no hint word precedes.
 LIST = ", "
@@ -195,29 +195,31 @@ def _seen(spans: DataFrame) -> DataFrame:
     return spans.withColumn("seen", F.coalesce(behind > F.col("start"), F.lit(False)) | F.coalesce(ahead < F.col("end"), F.lit(False)))
 
 
-def fit(spans: DataFrame, sample: int = SAMPLE, seed: int = 1):
-    """(model, {kind: threshold}) from about ``sample`` wide candidates chosen by a hash; None where they are all alike."""
+def fit(spans: DataFrame, balance: int = BALANCE, seed: int = 1):
+    """(model, {kind: threshold}) from all wide candidates; None where they are all alike.
+
+    Candidates with equal features are one row with their number. In training those of a label and kind weigh ``balance`` / 8 candidates together at most.
+    """
     known = spans.filter((F.col("gen") >= len(BASE)) & F.when(F.col("planted"), F.col("possible")).otherwise(~F.col("seen"))).withColumn("label", (F.col("planted") & ~F.col("contrast")).cast("double"))
-    sizes = {(r["label"], r["kind"]): r["count"] for r in known.groupBy("label", "kind").count().collect()}
+    weight = F.when(~F.col("planted") & F.col("possible"), UNLABELLED).otherwise(1.0)
+    place = F.pmod(F.xxhash64("doc_id", "tkey", "start"), F.lit(2))  # all spellings of one span on one side
+    same = ["kind", "label", "possible", "weight", "place", *FEATURES]
+    alike = known.withColumns({"weight": weight, "place": place}).groupBy(*same).agg(F.count("*").alias("stands_for"))
+    chosen = stored(alike.sortWithinPartitions(*same))
+    sizes = {(r["label"], r["kind"]): r["n"] for r in chosen.groupBy("label", "kind").agg(F.sum("stands_for").alias("n")).collect()}
     if len({label for label, _ in sizes}) < 2:
         return None
-    h = F.pmod(F.xxhash64("doc_id", "tkey", "start", "end", "gen", "kind", *FEATURES), F.lit(1_000_000))
-    share = F.lit(0)
+    share = F.lit(0.0)
     for (label, kind), n in sizes.items():
-        share = F.when((F.col("label") == label) & (F.col("kind") == kind), F.lit(int(1_000_000 * min(1.0, sample / 2 / len(KINDS) / n)) + 1)).otherwise(share)
-    weight = F.when(~F.col("planted") & F.col("possible"), UNLABELLED).otherwise(1.0)
-    place = F.pmod(F.xxhash64("doc_id", "tkey", "start"), F.lit(2))  # all spellings of one span on one side
-    chosen = known.withColumns({"h": h, "share": share}).filter("h < share").select(
-        "kind", "label", "possible", weight.alias("weight"), (1_000_000 / F.col("share")).alias("stands_for"), place.alias("place"), *FEATURES)
-    chosen = stored(chosen.coalesce(4))
+        share = F.when((F.col("label") == label) & (F.col("kind") == kind), F.lit(min(1.0, balance / 2 / len(KINDS) / n))).otherwise(share)
+    chosen = chosen.withColumn("stands", F.col("weight") * F.col("stands_for")).withColumn("weight", F.col("stands") * share)
     trees = GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight", maxIter=16, maxDepth=5, stepSize=0.3, seed=seed, maxBins=64, cacheNodeIds=False)
     train, calibrate = chosen.filter("place != 0"), chosen.filter("place = 0 and possible")  # only these can be added
     if train.select("label").distinct().count() < 2:
         return None
     model = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), trees]).fit(train)
-    stands = F.col("weight") * F.col("stands_for")
     bins = _scored(calibrate, model).groupBy("kind", F.floor(F.col("score") * 100).alias("bin")).agg(
-        F.sum(F.col("label") * stands).alias("hits"), F.sum(stands).alias("n")).collect()
+        F.sum(F.col("label") * F.col("stands")).alias("hits"), F.sum("stands").alias("n")).collect()
     limits = {}
     for kind in range(len(KINDS)):
         hits = n = 0.0
