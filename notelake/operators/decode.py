@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,12 +60,64 @@ def viterbi(log_prior: np.ndarray, log_trans: np.ndarray, log_emit: np.ndarray)
 
 def _table(log_trans: np.ndarray, log_emit: np.ndarray) -> np.ndarray:
     """Best score from each state before the rows to each state at their end."""
-    table = log_trans + log_emit[0]
+    table, into = log_trans + log_emit[0], np.ascontiguousarray(log_trans.T)
     for emit in log_emit[1:]:
-        table = (table[:, :, None] + log_trans[None, :, :]).max(axis=1) + emit
+        table = (table[:, None, :] + into).max(axis=2) + emit
     return table
 
 
+#: Slices worked on side by side, and the rows they may hold together.
+SIDE = 64
+SIDE_ROWS = 20_000
+
+
+def _doubles(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _side_by_side(batch: pa.RecordBatch, log_trans: np.ndarray, entry: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """What ``_steps`` gives, for slices of like length at once: their places in ``batch`` (longest first), lengths, predecessors (row, slice, state) and final scores.
+
+    A slice with a ``prior`` starts its path, and its first row has no predecessors; the others are entered with the scores in column ``entry``.
+    """
+    into = np.ascontiguousarray(log_trans.T)
+    sizes = np.diff(batch.column("hz").offsets.to_numpy())
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    hz, conf, prior = _doubles(batch.column("hz")), _doubles(batch.column("confidence")), batch.column("prior")
+    order = np.argsort(-sizes, kind="stable")
+    at = 0
+    while at < len(order):
+        some = order[at:at + max(1, min(SIDE, SIDE_ROWS // max(1, int(sizes[order[at]]))))]
+        at += len(some)
+        lengths = sizes[some]
+        emits = _emission(*[np.concatenate([x[begin[i]:begin[i + 1]] for i in some]) for x in (hz, conf)])
+        rows = np.cumsum(lengths) - lengths
+        starts = np.array([prior[int(i)].is_valid for i in some])
+        v = np.stack([
+            np.log(np.maximum(np.asarray(prior[int(i)].as_py(), dtype=float), 1e-10)) if new else np.asarray(batch.column(entry)[int(i)].as_py(), dtype=float)
+            for i, new in zip(some, starts, strict=True)])
+        back = np.zeros((lengths[0], len(some), len(STATES)), dtype=np.int64)
+        for t in range(lengths[0]):
+            n = int((lengths > t).sum())
+            scores = v[:n, None, :] + into
+            back[t, :n] = scores.argmax(axis=2)
+            best = np.take_along_axis(scores, back[t, :n, :, None], 2)[:, :, 0]
+            if t == 0:
+                best = np.where(starts[:, None], v, best)
+            v[:n] = best + emits[rows[:n] + t]
+        yield some, lengths, back, v
+
+
+def _back_through(back: np.ndarray, lengths: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """States at every row (row, slice, way) of the ways that end in ``last`` (slice, way), and those before the first row."""
+    path, state = np.zeros((len(back), *last.shape), dtype=np.int64), last.astype(np.int64)
+    for t in range(len(back) - 1, -1, -1):
+        n = int((lengths > t).sum())
+        path[t, :n] = state[:n]
+        state[:n] = np.take_along_axis(back[t, :n], state[:n], 1)
+    return path, state
+
+
 def _chained(rows: DataFrame, fold, schema: str, ascending: bool) -> DataFrame:
     """``fold`` over the slices of each path in order, streaming: one slice summary in memory at a time."""
     placed = rows.repartition("track_id", "first").sortWithinPartitions("track_id", "first", F.col("s") if ascending else F.col("s").desc())
@@ -112,33 +165,33 @@ def decode_hmm(
     path = ["track_id", "first"]
     ends = rows.groupBy(*path).agg(F.min("s").alias("s_first"), F.max("s").alias("s_last"))
     prior = priors.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("midi", "p"))).alias("ps")).select("track_id", F.col("ps.p").alias("prior"))
-    slices = rows.join(ends.join(prior, "track_id"), path)
     key = [*path, "s"]
-
-    def emission(pdf: pd.DataFrame) -> np.ndarray:
-        return _emission(pdf["hz"].to_numpy(), pdf["confidence"].to_numpy())
-
-    def start(pdf: pd.DataFrame) -> np.ndarray:
-        return np.log(np.maximum(np.asarray(pdf["prior"].iloc[0], dtype=float), 1e-10))
-
-    def lead(pdf: pd.DataFrame) -> tuple[pd.DataFrame, bool]:
-        pdf = pdf.sort_values("frame")
-        return pdf, bool(pdf["s"].iloc[0] == pdf["s_first"].iloc[0])
-
-    def inside(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """Predecessors from the second row on (from the first in later slices), and the final scores."""
-        emit = emission(pdf)
-        if pdf["s"].iloc[0] == pdf["s_first"].iloc[0]:
-            return _steps(start(pdf) + emit[0], log_trans, emit[1:])
-        return _steps(np.asarray(pdf["value"].iloc[0], dtype=float), log_trans, emit)
-
-    def tabulate(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, is_first = lead(pdf)
-        if pdf["s"].iloc[0] == pdf["s_last"].iloc[0]:
-            table = np.empty(0)  # nothing follows
-        else:
-            table = inside(pdf)[1] if is_first else _table(log_trans, emission(pdf)).ravel()
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in key}, "table": [table]})
+    # a slice is one row; those of a task are worked on side by side
+    slices = rows.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("frame", "hz", "confidence"))).alias("o")).join(ends.join(prior, "track_id"), path)
+    slices = slices.select(
+        *key, "s_last", (F.col("s_first") == F.col("s_last")).alias("alone"), F.when(F.col("s") == F.col("s_first"), F.col("prior")).alias("prior"),
+        F.col("o.frame").alias("frames"), F.col("o.hz").alias("hz"), F.col("o.confidence").alias("confidence"))
+    parts = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = checkpointed(slices.repartition(parts, *key))
+    alone, long = slices.filter("alone"), slices.filter("not alone")
+    names = "track_id long, first long, s long"
+
+    def keyed(batch: pa.RecordBatch, values: list, kind: pa.DataType, name: str) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*[batch.column(k) for k in key], pa.array(values, kind)], names=[*key, name])
+
+    def tabulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table: list = [[]] * batch.num_rows  # nothing follows the last slice
+            onward = batch.column("s").to_numpy() < batch.column("s_last").to_numpy()
+            starts = batch.column("prior").is_valid().to_numpy(zero_copy_only=False)
+            first = np.flatnonzero(onward & starts)
+            for some, _, _, v in _side_by_side(batch.take(pa.array(first)), log_trans, "prior"):
+                for i, scores in zip(first[some], v, strict=True):
+                    table[i] = scores
+            for i in np.flatnonzero(onward & ~starts):
+                one = batch.slice(i, 1)
+                table[i] = _table(log_trans, _emission(_doubles(one.column("hz")), _doubles(one.column("confidence")))).ravel()
+            yield keyed(batch, table, pa.list_(pa.float64()), "table")
 
     def forward(state, row):
         table = np.asarray(row.table, dtype=float)
@@ -146,31 +199,50 @@ def decode_hmm(
             return state, None
         return state, table if state is None else (state[:, None] + table.reshape(len(STATES), -1)).max(axis=0)
 
-    tables = slices.groupBy(*key).applyInPandas(tabulate, "track_id long, first long, s long, table array<double>")
-    entering = checkpointed(_chained(tables, forward, "track_id long, first long, s long, value array<double>", True))
-    known = slices.join(entering, key)
-
-    def origins(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, _ = lead(pdf)
-        back, v = inside(pdf)
-        came = np.arange(len(STATES))
-        for step in back[::-1]:
-            came = step[came]
-        final = pdf["s"].iloc[0] == pdf["s_last"].iloc[0]
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in key}, "came": [came], "best": [int(v.argmax()) if final else -1], "log_p": [float(v.max()) if final else None]})
-
-    found = checkpointed(known.groupBy(*key).applyInPandas(origins, "track_id long, first long, s long, came array<int>, best int, log_p double"))
-    leaving = _chained(found, lambda state, row: ((row.best if state is None else state), int(row.came[row.best if state is None else state])),
-                       "track_id long, first long, s long, value int", False).withColumnRenamed("value", "leaves")
-    total = found.filter(F.col("log_p").isNotNull()).select(*path, "log_p")
+    tables = long.mapInArrow(tabulate, f"{names}, table array<double>")
+    entering = checkpointed(_chained(tables, forward, f"{names}, value array<double>", True))
+    known = long.join(entering, key)
 
-    def trace(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, is_first = lead(pdf)
-        states = _trace(inside(pdf)[0], int(pdf["leaves"].iloc[0]))
-        return pd.DataFrame({"track_id": pdf["track_id"], "frame": pdf["frame"], "first": pdf["first"], "midi": (states if is_first else states[1:]) + LOW})
+    def origins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            came: list = [[]] * batch.num_rows
+            best, log_p = [-1] * batch.num_rows, [None] * batch.num_rows
+            final = batch.column("s").to_numpy() == batch.column("s_last").to_numpy()
+            for some, lengths, back, v in _side_by_side(batch, log_trans, "value"):
+                before = _back_through(back, lengths, np.tile(np.arange(len(STATES)), (len(some), 1)))[1]
+                for i, states, scores in zip(some, before, v, strict=True):
+                    came[i] = states
+                    if final[i]:
+                        best[i], log_p[i] = int(scores.argmax()), float(scores.max())
+            out = keyed(batch, came, pa.list_(pa.int32()), "came").append_column("best", pa.array(best, pa.int32()))
+            yield out.append_column("log_p", pa.array(log_p, pa.float64(), from_pandas=True))
+
+    # no slice comes before a first one
+    found = checkpointed(known.filter("prior is null").mapInArrow(origins, f"{names}, came array<int>, best int, log_p double"))
+    chain = found.unionByName(known.filter("prior is not null").select(*key), allowMissingColumns=True)
+    leaving = _chained(chain, lambda state, row: ((row.best if state is None else state), (int(row.came[int(row.best if state is None else state)]) if row.came is not None else None)),
+                       f"{names}, value int", False).withColumnRenamed("value", "leaves")
+    total = found.filter(F.col("log_p").isNotNull()).select(*path, "log_p")
 
-    traced = known.join(leaving, key).groupBy(*key).applyInPandas(trace, "track_id long, frame long, first long, midi int")
-    return traced.join(total, path).select("track_id", "frame", "first", "midi", "log_p")
+    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = "leaves" not in batch.schema.names
+            track, first = (batch.column(k).to_numpy() for k in path)
+            frame = batch.column("frames").flatten().to_numpy()
+            begin = np.concatenate([[0], np.cumsum(np.diff(batch.column("frames").offsets.to_numpy()))])
+            for some, lengths, back, v in _side_by_side(batch, log_trans, "prior" if whole else "value"):
+                last = v.argmax(axis=1) if whole else batch.column("leaves").to_numpy()[some]
+                states = _back_through(back, lengths, last[:, None])[0][:, :, 0].T[np.arange(len(back)) < lengths[:, None]]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.repeat(track[some], lengths)), pa.array(np.concatenate([frame[begin[i]:begin[i + 1]] for i in some])),
+                    pa.array(np.repeat(first[some], lengths)), pa.array((states + LOW).astype(np.int32)),
+                    pa.array(np.repeat(v.max(axis=1), lengths) if whole else np.full(int(lengths.sum()), np.nan), from_pandas=True)],
+                    names=["track_id", "frame", "first", "midi", "log_p"])
+
+    schema = "track_id long, frame long, first long, midi int, log_p double"
+    plain = alone.mapInArrow(trace, schema).filter(F.col("log_p").isNotNull())
+    traced = known.join(leaving, key).mapInArrow(trace, schema).drop("log_p")
+    return plain.unionByName(traced.join(total, path).select("track_id", "frame", "first", "midi", "log_p"))
 
 
 def refine_notes(

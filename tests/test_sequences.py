@@ -174,6 +174,28 @@ def test_decoder_slices_equal_one_plain_pass(spark):
         assert {r.first for r in got} == {0} and got[0].log_p == pytest.approx(total)
 
 
+def test_decoder_works_on_many_tracks_in_few_calls(spark):
+    """Tracks of one slice are decoded side by side: no grouped call per slice, and each gets the path of one plain pass; others may be of any length."""
+    rng = np.random.default_rng(6)
+    sizes = {k: int(n) for k, n in enumerate([1, 7, 7, 3, 90, 33, 64, 65, *rng.integers(1, 60, 90)])}
+    rows = [(k, f, float(440 * 2 ** rng.normal(0, 1)), float(rng.random())) for k, n in sizes.items() for f in range(n)]
+    trans = rng.random((49, 49)) ** 4
+    df = spark.createDataFrame(rows, "track_id long, frame long, hz double, confidence double").repartition(3)
+    prior = {k: rng.random(49) for k in sizes}
+    priors = spark.createDataFrame([(k, m + 40, float(p)) for k, ps in prior.items() for m, p in enumerate(ps)], "track_id long, midi int, p double")
+    model = spark.createDataFrame([(a + 40, b + 40, float(trans[a, b])) for a in range(49) for b in range(49)], "a int, b int, p double")
+    out = dec.decode_hmm(df, priors, model, width=32)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {}
+    for r in sorted(out.collect(), key=lambda r: (r.track_id, r.frame)):
+        got.setdefault(r.track_id, []).append((r.midi - 40, r.log_p))
+    for k in sizes:
+        mine = [r for r in rows if r[0] == k]
+        emit = dec._emission(np.array([r[2] for r in mine]), np.array([r[3] for r in mine]))
+        path, total = dec.viterbi(np.log(prior[k]), np.log(np.maximum(trans, 1e-10)), emit)
+        assert [m for m, _ in got[k]] == path.tolist() and got[k][0][1] == pytest.approx(total)
+
+
 def test_riffs_equal_a_plain_search(spark):
     rng = random.Random(9)
     tune = [(i, t, 60 + rng.choice([0, 2, 4])) for i, t in enumerate(sorted(rng.choices(range(0, 60_000_000, 500_000), k=70)))]
