@@ -167,11 +167,13 @@ def cheapest_along(pieces: DataFrame, path: Path, schema: T.StructType) -> DataF
                 found.append(table.tolist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.list_(pa.list_(pa.int64())))], names=["track_id", "n", "table"])
 
-    tables = checkpointed(pieces.mapInArrow(costs, T.StructType([*key, T.StructField("table", T.ArrayType(T.ArrayType(T.LongType())))])))
+    # a slice's costs matter to those after it, its ways back to those before it: a track of one slice needs neither
+    size = pieces.groupBy("track_id").agg(F.max("n").alias("end"))
+    pieces = pieces.join(size, "track_id").select("track_id", "n", "items", "end")
+    tables = checkpointed(pieces.filter("n < end").mapInArrow(costs, T.StructType([*key, T.StructField("table", T.ArrayType(T.ArrayType(T.LongType())))])))
     reached = compose(tables, MIN_PLUS)  # a track's first table has one row, so each has after that
     entry = reached.select("track_id", (F.col("n") + 1).alias("n"), F.col("table")[0].alias("entry"))
-    size = reached.groupBy("track_id").agg(F.max("n").alias("end"))
-    entered = pieces.join(entry, ["track_id", "n"], "left").join(size, "track_id").select("track_id", "n", "items", "entry", (F.col("n") == F.col("end")).alias("last"))
+    entered = pieces.join(entry, ["track_id", "n"], "left").select("track_id", "n", "items", "entry", (F.col("n") == F.col("end")).alias("last"))
     entered = checkpointed(entered)
 
     def ways(known: list, first: int, end: int, entry: list[int] | None) -> tuple[list[np.ndarray], np.ndarray]:
@@ -194,7 +196,7 @@ def cheapest_along(pieces: DataFrame, path: Path, schema: T.StructType) -> DataF
                 found.append(state.tolist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.list_(pa.int32()))], names=["track_id", "n", "table"])
 
-    tables = checkpointed(entered.mapInArrow(backward, T.StructType([*key, T.StructField("table", T.ArrayType(T.IntegerType()))])))
+    tables = checkpointed(entered.filter("n > 0").mapInArrow(backward, T.StructType([*key, T.StructField("table", T.ArrayType(T.IntegerType()))])))
     left = compose(tables, THEN, reverse=True).select("track_id", (F.col("n") - 1).alias("n"), F.col("table")[0].alias("exit"))
     arrow_schema = to_arrow_schema(schema)
 

@@ -179,6 +179,22 @@ def test_cheapest_path(spark, block):
     assert found(fing.optimal_fingering(spark.createDataFrame(rows, NOTES).repartition(3), width=500_000, block=block)) == plain_path(rows)
 
 
+def test_a_track_of_one_slice_is_gone_through_once(spark, monkeypatch):
+    """No table of costs or ways is made for tracks of one slice, and none for slices whose table nothing reads."""
+    from notelake.operators import chains
+
+    plain, sizes = chains.compose, []
+
+    def watched(tables, *rest, **named):
+        sizes.append(sorted((r.track_id, r.n) for r in tables.collect()))
+        return plain(tables, *rest, **named)
+
+    monkeypatch.setattr(chains, "compose", watched)
+    rows = [(0, k, 100_000 * k, 45 + k) for k in range(3)] + [(1, 10 + k, 100_000 * k, 45 + k) for k in range(9)]
+    assert found(fing.optimal_fingering(spark.createDataFrame(rows, NOTES), block=4)) == plain_path(rows)
+    assert sizes == [[(1, 0), (1, 1)], [(1, 1), (1, 2)]]
+
+
 def test_cheapest_path_over_all_paths(spark):
     rows = made(3, tracks=6, n=4)
     got = found(fing.optimal_fingering(spark.createDataFrame(rows, NOTES), block=2))
