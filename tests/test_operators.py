@@ -39,6 +39,34 @@ def test_matching_is_the_greedy_one(spark):
     assert len(rows) + mt.unmatched(truth, got, ["track_id", "truth_id"]).count() == len(tru)
 
 
+def test_sweep_meets_notes_once_and_copies_only_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    cuts = [0.2, 0.5, 0.8]
+    det = [(1 + i % 2, i, rng.randrange(3000), 100, 60 + i % 2, rng.choice([0.1, 0.3, 0.6, 0.9, None]), rng.choice(["a", "b", None])) for i in range(160)]
+    tru = [(1 + i % 2, i, rng.randrange(3000), 100, 60 + i % 2) for i in range(90)]
+    seen = []
+    plain = mt.range_join
+
+    def watched(left, right, *rest, **named):
+        seen.append((left.count(), right.count()))
+        return plain(left, right, *rest, **named)
+
+    monkeypatch.setattr(mt, "range_join", watched)
+    truth = spark.createDataFrame(tru, NOTES).withColumnRenamed("note_id", "truth_id")
+    detected = spark.createDataFrame(det, NOTES + ", confidence double, method string")
+    got = {(r.method, r.cut): (r.n_truth, r.n_det, r.tp) for r in mt.sweep_best(truth, detected, cuts, 50).collect()}
+    want = {}
+    for method in "ab":
+        for cut in cuts:
+            mine, used = [d for d in det if d[6] == method and d[5] is not None and d[5] >= cut], set()
+            for track, _, s, _, m in sorted(tru, key=lambda r: (r[2], r[1])):
+                best = min(((abs(d[2] - s), d[2], d[1]) for d in mine if d[0] == track and d[4] == m and abs(d[2] - s) <= 50 and d[1] not in used), default=None)
+                used |= {best[2]} if best else set()
+            want[method, cut] = (len(tru), len(mine), len(used))
+    assert got == want and seen == [(len(tru), len(det))]
+    assert mt.sweep_best(truth.limit(0), detected, cuts).count() == 0
+
+
 @pytest.mark.parametrize("policy", ["basic", "heuristic"])
 def test_positions_do_not_depend_on_slices(spark, policy):
     rows = notes(5)
