@@ -92,18 +92,23 @@ def note_density(
 ) -> DataFrame:
     """Onsets per second in a centred window of frames, averaged over five frames mirrored at the ends; fast and slow flags."""
     half = window // 2
-    ends = frames.groupBy("track_id").agg((F.max("frame") + 1).alias("n"))
-    marked = onsets.select("track_id", "frame").distinct().withColumn("hit", F.lit(1))
-    rows = frames.select("track_id", "frame").join(marked, ["track_id", "frame"], "left").na.fill(0, ["hit"]).join(ends, "track_id")
-    rows = halo(rows, "frame", width, before=half, after=half)
+    # frames, onsets and the end of each track meet in one shuffle, in slices that reach far enough for both windows
+    kind = lambda df, k, frame="frame", n="cast(null as bigint)": df.selectExpr("track_id", f"cast({frame} as bigint) as frame", f"{k} as kind", f"{n} as n")
+    ends = frames.groupBy("track_id").agg((F.max("frame") + 1).cast("bigint").alias("n"))
+    rows = kind(frames, 0).unionByName(kind(onsets, 1)).unionByName(kind(ends, 2, "n - 1", "n")).filter("track_id is not null")
+    # a fixed number of partitions, so none is merged with others into one large task
+    parts = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = halo(rows, "frame", width, before=half + 2, after=half + 2).repartition(parts, "track_id", "_s")
+    # the end is known in the slices it reaches; elsewhere it changes nothing
+    rows = rows.withColumn("hit", F.max(F.when(F.col("kind") < 2, F.col("kind"))).over(_near(0, 0)))
+    rows = rows.withColumn("n", F.max("n").over(Window.partitionBy("track_id", "_s"))).filter("kind = 0").drop("kind")
     length = F.least(F.col("n"), F.col("frame") + half) - F.greatest(F.lit(0), F.col("frame") - half)
-    raw = F.sum("hit").over(_near(-half, half - 1)) / (length * hop_us / 1e6)
-    rows = rows.withColumn("raw", raw).filter("_own").drop("_s", "_own", "hit")
+    rows = rows.withColumn("raw", F.sum("hit").over(_near(-half, half - 1)) / (length * hop_us / 1e6))
     # two mirrored frames on either end
-    head = rows.filter("frame < 2").withColumn("frame", -1 - F.col("frame"))
-    tail = rows.filter("frame >= n - 2").withColumn("frame", 2 * F.col("n") - 1 - F.col("frame"))
-    wide = halo(rows.unionByName(head).unionByName(tail), "frame", width, before=2, after=2)
-    wide = wide.withColumn("density", F.avg("raw").over(_near(-2, 2))).filter("_own and frame >= 0 and frame < n")
+    head = F.when(F.col("frame") < 2, -1 - F.col("frame"))
+    tail = F.when(F.col("frame") >= F.col("n") - 2, 2 * F.col("n") - 1 - F.col("frame"))
+    wide = rows.withColumn("frame", F.explode(F.array_compact(F.array(F.col("frame"), head, tail))))
+    wide = wide.withColumn("density", F.avg("raw").over(_near(-2, 2))).filter("_own and frame >= 0 and (n is null or frame < n)")
     return wide.select("track_id", "frame", "density", (F.col("density") > fast).alias("is_fast"), (F.col("density") < slow).alias("is_slow"))
 
 

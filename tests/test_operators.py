@@ -67,6 +67,28 @@ def test_sweep_meets_notes_once_and_copies_only_pairs(spark, monkeypatch):
     assert mt.sweep_best(truth.limit(0), detected, cuts).count() == 0
 
 
+def test_density_needs_no_join_and_no_large_task(spark):
+    from notelake.operators import windows as win
+    rng = random.Random(4)
+    sizes = {1: 1, 2: 2, 3: 9, 4: 70, 5: 131}
+    frames = [(k, f) for k, n in sizes.items() for f in range(n) if n < 20 or f % 13 != 7]
+    onsets = [r for r in frames if rng.random() < 0.4] + [(4, 7), (9, 1), (3, 2), (3, 2), (None, 1), (4, None)]
+    schema = "track_id long, frame long"
+    out = win.note_density(spark.createDataFrame(frames, schema), spark.createDataFrame(onsets, schema), 8, width=16)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Repartition" in plan
+    got = {(r.track_id, r.frame): r.density for r in out.collect()}
+    want = {}
+    for k, n in sizes.items():
+        mine = [f for t, f in frames if t == k]
+        raw = {f: sum((k, g) in onsets for g in mine if f - 4 <= g <= f + 3) / ((min(n, f + 4) - max(0, f - 4)) * 0.02322) for f in mine}
+        slots = [(f, raw[f]) for f in mine] + [(-1 - f, raw[f]) for f in mine if f < 2] + [(2 * n - 1 - f, raw[f]) for f in mine if f >= n - 2]
+        for f in mine:
+            near = [x for g, x in slots if abs(g - f) <= 2]
+            want[k, f] = sum(near) / len(near)
+    assert got == pytest.approx(want)
+
+
 @pytest.mark.parametrize("policy", ["basic", "heuristic"])
 def test_positions_do_not_depend_on_slices(spark, policy):
     rows = notes(5)
