@@ -115,10 +115,11 @@ def overlapping_notes(notes: DataFrame, apart: int = 2, width: int = 500_000) ->
 def drop_harmonics(notes: DataFrame, tol_us: int = 50_000, width: int = SLICE_US) -> DataFrame:
     """Notes of an anchored group that lie a harmonic interval above a lower one of it are dropped."""
     rows = group_anchored(notes, tol_us, "start_us", width, strict=True)
-    up = F.array(*[F.lit(h) for h in HARMONICS])
-    bad = rows.select("track_id", "anchor_t", "midi").distinct().withColumn("h", F.explode(up)).select(
-        "track_id", "anchor_t", (F.col("midi") + F.col("h")).alias("midi")).distinct()
-    return rows.join(bad, ["track_id", "anchor_t", "midi"], "left_anti")
+    # a group is shorter than a slice: its pitches meet its rows in one shuffle
+    group = Window.partitionBy("track_id", "anchor_t")
+    below = F.array(*[F.col("midi") - h for h in HARMONICS])
+    high = F.coalesce(F.arrays_overlap(F.collect_set("midi").over(group), below), F.lit(False))
+    return rows.withColumn("_high", high).filter("not _high").drop("_high")
 
 
 def dedupe_against(new: DataFrame, existing: DataFrame, within_ms: int = 50) -> DataFrame:

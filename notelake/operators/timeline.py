@@ -187,18 +187,20 @@ def anchor_times(
     def step(a: str, x: str) -> str:
         return f"({x} - {a} {'>=' if strict else '>'} {tol})"
 
-    pieces = sliced(df.select(*keys, F.col(t).alias("_t")), "_t", width).groupBy(*part).agg(
-        F.array_sort(F.collect_set("_t")).alias("ts")
-    )
-    ends = pieces.select(*part, F.expr("ts[0]").alias("first"), F.expr("element_at(ts, -1)").alias("last"))
-    track = Window.partitionBy(*keys).orderBy("_s")
-    apart = step("_before", "first")
-    ends = ends.withColumn("_before", F.lag("last").over(track))
-    ends = ends.withColumn("linked", F.expr(f"not coalesce({apart}, true)")).drop("_before", "last")
-    ends = ends.withColumn("run", F.last(F.when(~F.col("linked"), F.col("_s")), True).over(track))
-    ends = ends.withColumn("onward", F.coalesce(F.lead("linked").over(track), F.lit(False)))
-    # only slices that touch a neighbour need a table of exits
-    ends = pieces.join(ends.filter("linked or onward"), part)
+    # times within reach of a border are also sent over it, so a slice knows by itself whether it touches its neighbours
+    times = halo(df.select(*keys, F.col(t).alias("_t")), "_t", width, before=tol, after=tol)
+    pieces = times.groupBy(*part).agg(F.array_sort(F.collect_set(F.when(F.col("_own"), F.col("_t")))).alias("ts"), *[
+        f(F.when(~F.col("_own") & out, F.col("_t"))).alias(name)
+        for f, out, name in ((F.max, F.col("_t") < F.col("_s") * width, "_before"), (F.min, F.col("_t") >= (F.col("_s") + 1) * width, "_after"))
+    ]).filter("size(ts) > 0")
+    apart = lambda a, b: F.expr(f"not coalesce({step(a, b)}, true)")
+    pieces = pieces.withColumn("first", F.expr("ts[0]")).withColumn("linked", apart("_before", "first")).withColumn(
+        "onward", apart("element_at(ts, -1)", "_after")).drop("_before", "_after")
+    # only slices that touch a neighbour need a table of exits, and a place in their chain
+    ends = pieces.filter("linked or onward")
+    chains = Window.partitionBy(*keys).orderBy("_s")
+    run = ends.select(*part, F.last(F.when(~F.col("linked"), F.col("_s")), True).over(chains).alias("run"))
+    ends = ends.join(run, part)
     leave = f"aggregate(ts, {{e}}, (a, x) -> if({step('a', 'x')}, x, a))"
     entries = (
         f"transform(concat(filter(ts, y -> y <= first + {tol}), "

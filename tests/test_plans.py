@@ -1,9 +1,11 @@
 """Properties of plans: what reaches the scan, and that no operator orders a whole track in one task."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
 
+from notelake.operators import joins as jn
 from notelake.operators import segment as seg
 from notelake.operators import timeline as tl
 
@@ -47,3 +49,34 @@ def test_row_windows_are_cut_into_slices(spark, tmp_path):
 def test_filters_reach_the_scan(spark, tmp_path):
     df = table(spark, str(tmp_path / "n")).filter("midi > 42")
     assert "GreaterThan(midi,42)" in plan(seg.phrases(df, 5, 1))
+
+
+def test_harmonics_meet_their_rows_in_one_shuffle(spark, tmp_path):
+    df = table(spark, str(tmp_path / "n"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        text = plan(jn.drop_harmonics(df, 300, 1000))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # rows meet their anchors once; pitches come from a window over a group and not from a second copy of the rows
+    assert "LeftAnti" not in text and text.count("payload") > 0
+    assert sum("payload" in line for line in text.splitlines() if "FileScan" in line) == 1
+    # slices know their neighbours by themselves: no window looks back or ahead over all slices of a track
+    assert "lag(" not in text and "lead(" not in text
+
+
+def test_harmonics_of_groups_over_slice_borders(spark):
+    rng = random.Random(11)
+    rows = [(t, i, rng.randrange(0, 400) * 25, rng.choice([40, 45, 52, 59, 64, 71, None])) for t in range(3) for i in range(160)]
+    df = spark.createDataFrame(rows, "track_id long, note_id long, start_us long, midi int").repartition(4)
+    want = set()
+    for track in range(3):
+        groups, anchor = {}, None
+        for _, i, t, m in sorted((r for r in rows if r[0] == track), key=lambda r: r[2]):
+            if anchor is None or t - anchor >= 100:
+                anchor = t
+            groups.setdefault(anchor, []).append((i, m))
+        want |= {(track, i) for g in groups.values() for i, m in g if m is None or not {m - h for h in jn.HARMONICS} & {x for _, x in g}}
+    for width in (10, 1000, 10_000_000):
+        assert {(r.track_id, r.note_id) for r in jn.drop_harmonics(df, 100, width).collect()} == want
+    assert len(want) < len(rows)
