@@ -93,11 +93,14 @@ def _documents(spark, sf):
     docs = writers.sync_documents(tabs, _chords(spark, sf), ex.beats(t, 480), ex.measures(t, 480), 480)
     path = f"{checkpoint_dir(spark)}/sync-{uuid.uuid4().hex}"
     writers.write_sync(docs, path)
-    count = lambda p: F.size(F.from_json(F.get_json_object("value", p), "array<string>"))
-    return spark.read.text(path).select(
-        F.get_json_object("value", "$.metadata.track_id").alias("track_id"), count("$.tab_data.notes").alias("n_notes"), count("$.timeline.events").alias("n_events"),
-        count("$.timeline.beats").alias("n_beats"), count("$.timeline.measures").alias("n_measures"), F.greatest(F.lit(0), F.coalesce(count("$.tab_data.chords"), F.lit(0))).alias("n_chords"),
-        F.get_json_object("value", "$.playback.note_starts[0]").cast("double").alias("first_start"))
+    # one pass over each document; what is only counted stays text
+    seen = F.from_json("value", """metadata struct<track_id: bigint>, tab_data struct<notes: array<string>, chords: array<string>>,
+        timeline struct<events: array<string>, beats: array<string>, measures: array<string>>, playback struct<note_starts: array<double>>""").alias("d")
+    count = lambda p: F.size(f"d.{p}")
+    return spark.read.text(path).select(seen).select(
+        "d.metadata.track_id", count("tab_data.notes").alias("n_notes"), count("timeline.events").alias("n_events"),
+        count("timeline.beats").alias("n_beats"), count("timeline.measures").alias("n_measures"), F.greatest(F.lit(0), F.coalesce(count("tab_data.chords"), F.lit(0))).alias("n_chords"),
+        F.get("d.playback.note_starts", F.lit(0)).alias("first_start"))
 
 
 register(

@@ -32,13 +32,14 @@ def sync_documents(
     s = lambda c, d=3: F.round(F.col(c) / 1e6, d)
     part = lambda c: (F.floor(F.col(c) / part_us) if part_us else F.lit(0)).cast("bigint").alias("part")
 
-    def before(a: Column, b: Column) -> Column:
-        ka, kb = F.struct(a["_t"], a["_o"]), F.struct(b["_t"], b["_o"])
-        return F.when(ka < kb, -1).when(ka > kb, 1).otherwise(0)
+    def in_order(xs: Column) -> Column:
+        # data of events cannot be compared, so their keys and places are sorted
+        keys = F.sort_array(F.transform(xs, lambda x, i: F.struct(x["_t"], x["_o"], i.alias("i"))))
+        return F.transform(keys, lambda k: F.get(xs, k["i"]).dropFields("_t", "_o"))
 
     def pack(df: DataFrame, t: str, tie: str, name: str, *fields) -> DataFrame:
         rows = df.select("track_id", part(t), F.struct(F.col(t).alias("_t"), F.col(tie).cast("bigint").alias("_o"), *fields).alias("x"))
-        return rows.groupBy("track_id", "part").agg(F.array_sort(F.collect_list("x"), before).alias(name))
+        return rows.groupBy("track_id", "part").agg(F.collect_list("x").alias("xs")).select("track_id", "part", in_order(F.col("xs")).alias(name))
 
     t = tabs.withColumn("end_us", F.col("start_us") + F.col("dur_us"))
     c = chords.withColumn("end_us", F.col("start_us") + F.col("dur_us"))
@@ -51,14 +52,13 @@ def sync_documents(
     out = notes
     for df in (chord, beat, bars, events):
         out = out.join(df, ["track_id", "part"], "full")
-    drop = lambda col: F.transform(col, lambda x: x.dropFields("_t", "_o"))
     out = out.join(span, "track_id", "left").fillna(0, ["total_notes"])
     document = F.struct(
         F.lit("1.0").alias("version"),
         F.struct(F.col("track_id"), s("dur").alias("duration"), F.lit(tempo).alias("tempo"), F.lit("4/4").alias("time_signature"), "total_notes",
                  F.round(F.col("total_notes") / (F.col("dur") / 1e6), 2).alias("avg_notes_per_second")).alias("metadata"),
-        F.struct(drop("events").alias("events"), drop("measures").alias("measures"), drop("beats").alias("beats")).alias("timeline"),
-        F.struct(drop("notes").alias("notes"), drop("chords").alias("chords")).alias("tab_data"),
+        F.struct("events", "measures", "beats").alias("timeline"),
+        F.struct("notes", "chords").alias("tab_data"),
         F.struct(F.col("notes.start").alias("note_starts"), F.col("notes.end").alias("note_ends"), F.col("notes.string").alias("note_strings"),
                  F.col("notes.fret").alias("note_frets"), F.col("beats.time").alias("beat_times")).alias("playback"),
     )

@@ -9,6 +9,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import functions as F
 
+from notelake.operators import export as ex
 from notelake.operators import voting as vote
 from notelake.session import checkpoint_dir
 from notelake.sources import readers, writers
@@ -113,3 +114,18 @@ def test_streaming_consensus_counts_late_rows_and_skips_nulls(spark):
     got, dropped = _fed(spark, rows + late, 5, "100 milliseconds")  # the last file holds the late rows only
     assert got == want and dropped == 100
     assert _fed(spark, [], 1, "1 second") == ([], 0)
+
+
+def test_documents_sort_their_rows_without_a_comparator(spark):
+    tabs = spark.createDataFrame([(1, n, (n * 37 % 11) * 1000, 500, 60, 1, n % 9, None) for n in range(40)],
+                                 "track_id long, note_id long, start_us long, dur_us long, midi int, string int, fret int, technique string").repartition(4)
+    chords = spark.createDataFrame([(1, 3000, 10, "C"), (1, 1000, 10, "D"), (2, 5000, 10, "E")], "track_id long, start_us long, dur_us long, name string")
+    ends = spark.createDataFrame([(1, 400_000), (2, 100_000)], "track_id long, dur_us long")
+    docs = writers.sync_documents(tabs, chords, ex.beats(ends, 480), ex.measures(ends, 480), 480)
+    got = {r.track_id: json.loads(r.document) for r in docs.collect()}
+    assert [x["id"] for x in got[1]["tab_data"]["notes"]] == sorted(range(40), key=lambda n: (n * 37 % 11, n))
+    assert [x["name"] for x in got[1]["tab_data"]["chords"]] == ["D", "C"] and [x["name"] for x in got[2]["tab_data"]["chords"]] == ["E"]
+    events = [(x["time"], x["type"] != "measure") for x in got[1]["timeline"]["events"]]
+    assert events == sorted(events) and set(got[1]["timeline"]["events"][0]) == {"time", "type", "data"}
+    text = docs._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array(" in text and "array_sort(" not in text
