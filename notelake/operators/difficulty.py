@@ -26,6 +26,13 @@ def fret_span(tabs: DataFrame, reach_us: int = 500_000, width: int = SLICE_US) -
     return rows.withColumn("span", span).filter("_own").drop("_s", "_own")
 
 
+def note_steps(tabs: DataFrame, width: int = SLICE_US) -> DataFrame:
+    """Notes with their ``span``, hand position ``place`` and ``prev``, the note before: what windows, speed and the report read, shuffled once."""
+    string = [c for c in tabs.columns if c == "string"]  # only the report needs it
+    rows = fret_span(tabs.select("track_id", "note_id", "start_us", "fret", *string), width=width).withColumn("place", hand_position(F.col("fret")))
+    return running(rows, ["start_us", "note_id"], width, prev=previous("start_us", "place", *string))
+
+
 def hopping(rows: DataFrame, window_us: int, t: str = "start_us") -> DataFrame:
     """Rows copied to the half-overlapping windows (from time 0) that hold them: adds ``win_us``."""
     step = window_us // 2
@@ -37,9 +44,10 @@ def _extent(tabs: DataFrame) -> DataFrame:
     return tabs.groupBy("track_id").agg((F.max("start_us") - F.min("start_us")).alias("total_us"))
 
 
-def speed(tabs: DataFrame, window_us: int = 1_000_000, min_gap_us: int = 20_000, width: int = SLICE_US) -> DataFrame:
-    """Fastest and mean rate between notes, and the best rate over half-overlapping windows."""
-    rows = running(tabs.select("track_id", "note_id", "start_us"), ["start_us", "note_id"], width, prev=previous("start_us"))
+def speed(tabs: DataFrame, window_us: int = 1_000_000, min_gap_us: int = 20_000, width: int = SLICE_US, steps: DataFrame | None = None) -> DataFrame:
+    """Fastest and mean rate between notes, and the best rate over half-overlapping windows; ``steps``: ``note_steps`` of the tabs, where they are there already."""
+    tabs = tabs if steps is None else steps
+    rows = running(tabs.select("track_id", "note_id", "start_us"), ["start_us", "note_id"], width, prev=previous("start_us")) if steps is None else steps
     gap = F.col("start_us") - F.col("prev.start_us")
     rate = F.when(gap >= min_gap_us, 1e6 / gap)
     flow = rows.groupBy("track_id").agg(F.max(rate).alias("max_nps"), F.avg(rate).alias("avg_nps"))
@@ -52,10 +60,10 @@ def speed(tabs: DataFrame, window_us: int = 1_000_000, min_gap_us: int = 20_000,
     return out.select("track_id", *[F.when(none, 0.0).otherwise(F.coalesce(c, F.lit(0.0))).alias(c) for c in ("max_nps", "avg_nps", "fastest_nps")])
 
 
-def window_scores(tabs: DataFrame, window_us: int = 2_000_000, width: int = SLICE_US) -> DataFrame:
-    """Windows of 3 notes and more that are hard by speed, stretch or position shifts."""
-    rows = fret_span(tabs, width=width).withColumn("place", hand_position(F.col("fret")))
-    rows = running(rows, ["start_us", "note_id"], width, prev=previous("start_us", "place"))
+def window_scores(tabs: DataFrame, window_us: int = 2_000_000, width: int = SLICE_US, steps: DataFrame | None = None) -> DataFrame:
+    """Windows of 3 notes and more that are hard by speed, stretch or position shifts; ``steps`` as in ``speed``."""
+    rows = note_steps(tabs, width) if steps is None else steps
+    tabs = tabs if steps is None else steps
     rows = rows.select("track_id", "start_us", "span", F.col("prev.start_us").alias("prev_us"), (F.col("place") != F.col("prev.place")).alias("moved"))
     wins = hopping(rows, window_us).groupBy("track_id", "win_us").agg(
         F.count("*").alias("n"), ((F.max("start_us") - F.min("start_us")) / 1e6).alias("len"), F.max("span").alias("max_span"),
@@ -125,15 +133,14 @@ def ladder(x: Column, low: float, mid: float, high: float, over: float) -> Colum
     )
 
 
-def difficulty_report(tabs: DataFrame, annotated: DataFrame, width: int = SLICE_US) -> DataFrame:
-    """One row per track: four ratings and the weighted score with its level."""
-    spans = fret_span(tabs, width=width).withColumn("place", hand_position(F.col("fret")))
-    rows = running(spans, ["start_us", "note_id"], width, prev=previous("place", "string"))
+def difficulty_report(tabs: DataFrame, annotated: DataFrame, width: int = SLICE_US, steps: DataFrame | None = None) -> DataFrame:
+    """One row per track: four ratings and the weighted score with its level; ``steps`` as in ``speed``."""
+    rows = note_steps(tabs, width) if steps is None else steps
     base = rows.groupBy("track_id").agg(
         F.count("*").alias("n"), F.max("fret").alias("max_fret"), F.max("span").alias("max_span"), F.avg("span").alias("avg_span"),
         F.countDistinct("place").alias("n_positions"), F.count_if(F.col("place") != F.col("prev.place")).alias("shifts"),
         F.count_if(F.col("string") != F.col("prev.string")).alias("string_changes"))
-    out = base.join(speed(tabs, width=width), "track_id").join(technique_stats(annotated), "track_id")
+    out = base.join(speed(tabs, width=width, steps=steps), "track_id").join(technique_stats(annotated), "track_id")
     rate = ladder(F.greatest("max_nps", "fastest_nps"), *NPS, 5.0)
     complexity = sum((F.col(t) * w for t, w in COMPLEXITY.items()), F.lit(0.0)) / F.greatest("n", F.lit(1)) * 100
     technique = F.least(F.lit(100.0), (F.col("density") * 2 + complexity) / 2)

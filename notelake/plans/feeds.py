@@ -11,11 +11,11 @@ from notelake.operators import export as ex
 from notelake.operators import positions as pos
 from notelake.plans.registry import register
 from notelake.plans.segment import NOTE_SLICE
-from notelake.plans.tabs import _annotated, _static, _windows
+from notelake.plans.tabs import _annotated, _static
 from notelake.plans.theory import CHORDS_SQL, _chords
 from notelake.plans.voting import NOTES_SQL
 from notelake.plans.windows import _BEATS, _extents
-from notelake.session import checkpoint_dir
+from notelake.session import checkpoint_dir, checkpointed
 from notelake.sources import adapters as src
 from notelake.sources import readers, writers
 from notelake.streaming import live
@@ -115,9 +115,11 @@ register(
 
 
 def _reports(spark, sf):
-    passages = dif.difficult_passages(_windows(spark, sf), width=NOTE_SLICE)
-    sections = dif.practice_sections(passages, dif.technique_stats(_annotated(spark, sf)))
-    docs = writers.report_documents(dif.difficulty_report(_static(spark, sf), _annotated(spark, sf), NOTE_SLICE), passages, sections)
+    tabs, annotated = _static(spark, sf), _annotated(spark, sf)
+    steps = checkpointed(dif.note_steps(tabs, NOTE_SLICE))  # read by the windows, the speed and the report
+    passages = dif.difficult_passages(dif.window_scores(tabs, width=NOTE_SLICE, steps=steps), width=NOTE_SLICE)
+    sections = dif.practice_sections(passages, dif.technique_stats(annotated))
+    docs = writers.report_documents(dif.difficulty_report(tabs, annotated, NOTE_SLICE, steps), passages, sections)
     return docs.select("track_id", F.get_json_object("document", "$.overall_rating").alias("level"), F.get_json_object("document", "$.metrics.total_notes").alias("n"))
 
 

@@ -9,6 +9,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import functions as F
 
+from notelake.operators import difficulty as dif
 from notelake.operators import export as ex
 from notelake.operators import voting as vote
 from notelake.session import checkpoint_dir
@@ -129,3 +130,21 @@ def test_documents_sort_their_rows_without_a_comparator(spark):
     assert events == sorted(events) and set(got[1]["timeline"]["events"][0]) == {"time", "type", "data"}
     text = docs._jdf.queryExecution().optimizedPlan().toString()
     assert "sort_array(" in text and "array_sort(" not in text
+
+
+def test_windows_speed_and_report_read_the_steps_once(spark):
+    rng = random.Random(3)
+    rows = [(n % 2, n, rng.randrange(0, 6_000_000), rng.randrange(6), rng.randrange(0, 20), "bend" if n % 5 == 0 else None) for n in range(150)] + [(None, 900, 5, 1, 1, None), (1, 901, None, 1, 1, None)]
+    tabs = spark.createDataFrame(rows, "track_id long, note_id long, start_us long, string int, fret int, technique string").repartition(4)
+    steps = dif.note_steps(tabs, 700_000).localCheckpoint()
+    both = [(dif.window_scores(tabs, width=700_000), dif.window_scores(tabs, width=700_000, steps=steps)), (dif.speed(tabs, width=700_000), dif.speed(tabs, width=700_000, steps=steps)),
+            (dif.difficulty_report(tabs, tabs, 700_000), dif.difficulty_report(tabs, tabs, 700_000, steps))]
+    plain = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    for alone, shared in both:
+        assert plain(alone) == plain(shared) and "Window" not in shared._jdf.queryExecution().optimizedPlan().toString()
+    # against a walk of each track
+    got = {r.track_id: r for r in both[2][1].collect()}
+    for track in (0, 1):
+        walk = sorted((s, n, st, fr) for t, n, s, st, fr, _ in rows if t == track and s is not None)
+        spans = [(lambda near: max(near) - min(near) if near else 0)([f for s, _, _, f in walk if abs(s - at) <= 500_000 and f > 0]) for at, *_ in walk]
+        assert (got[track].n, got[track].max_span, got[track].string_changes) == (len(walk), max(spans), sum(a[2] != b[2] for a, b in zip(walk, walk[1:])))
