@@ -93,19 +93,45 @@ def consensus_notes(
     return out.filter((F.col("votes") >= min_votes) | ((F.col("n") == 1) & (F.col("confidence") > lone)))
 
 
+def _short_groups(islands: DataFrame, tol_us: int, semitones: int) -> DataFrame:
+    """(track_id, note_id, group) of islands of few notes, each folded at once in the order in which its notes come."""
+    item = F.struct("rank", F.col("start_us").alias("s"), F.col("note_id").alias("id"), F.col("midi").alias("m"))
+    near = f"filter(acc.r, q -> abs(x.s - q.s) <= {tol_us} and abs(x.m - q.m) <= {semitones})"
+    fold = (
+        "aggregate(xs, named_struct('r', cast(array() as array<struct<s: bigint, m: int, id: bigint>>), 'out', cast(array() as array<struct<id: bigint, g: bigint>>)), "
+        f"(acc, x) -> transform(array(try_element_at({near}, 1).id), g -> named_struct("
+        "'r', if(g is null, concat(acc.r, array(named_struct('s', x.s, 'm', x.m, 'id', x.id))), acc.r), "
+        "'out', concat(acc.out, array(named_struct('id', x.id, 'g', coalesce(g, x.id))))))[0]).out"
+    )
+    pieces = islands.groupBy("track_id", "grp_t", "grp_id").agg(F.sort_array(F.collect_list(item)).alias("xs"))
+    return pieces.select("track_id", F.expr(f"inline({fold})").alias("note_id", "group"))
+
+
 def agreement_groups(
-    notes: DataFrame, order: Sequence[str], tol_us: int = 50_000, semitones: int = 1, width: int = SLICE_US
+    notes: DataFrame, order: Sequence[str], tol_us: int = 50_000, semitones: int = 1, width: int = SLICE_US, short: int = 256
 ) -> DataFrame:
     """(track_id, note_id, group): each note with the id of the group it joins, methods coming in ``order``, notes of a method in time order.
 
     A note joins the group found first whose first note is within ``tol_us`` and ``semitones``; where there is none it founds one. So a note founds a
     group just when no earlier founder is near. Founders of earlier methods are met by a range join; within a method only founders of the last
     ``tol_us`` matter, at most one for each pitch, so what is left is folded over islands of that method. Notes of methods not in ``order`` are left out.
+
+    No note is near one of another island of all methods, so islands of up to ``short`` notes are folded at once; only longer ones, and those with ids
+    or pitches that are missing or ids that come again, go method by method.
     """
     key = ["track_id", "note_id"]
     rows = notes.select(*key, "start_us", F.col("midi").cast("int").alias("midi"), "method")
     rows = rows.withColumn("rank", F.element_at(F.create_map(*[x for i, m in enumerate(order) for x in (F.lit(m), F.lit(i))]), F.col("method"))).filter("rank is not null")
-    rows = checkpointed(rows.drop("method"))
+    again = rows.groupBy(*key).agg(F.count("*").alias("_again")).filter("_again > 1")
+    rows = group_gap(rows.drop("method").join(again, key, "left"), tol_us, "start_us", "note_id", width)
+    rows = checkpointed(rows.withColumn("_odd", F.col("_again").isNotNull() | F.col("note_id").isNull() | F.col("midi").isNull()).drop("_again"))
+    island = ["track_id", "grp_t", "grp_id"]
+    sizes = rows.groupBy(*island).agg((F.max("_odd") | (F.count("*") > short)).alias("_long"))
+    rows = rows.join(sizes, [rows[c].eqNullSafe(sizes[c]) if c == "grp_id" else rows[c] == sizes[c] for c in island]).select(rows["*"], "_long").drop("_odd")
+    few = _short_groups(rows.filter("not _long"), tol_us, semitones)
+    rows = checkpointed(rows.filter("_long").select(*key, "start_us", "midi", "rank"))
+    if rows.isEmpty():
+        return few
     founder = lambda df: df.select("track_id", F.col("note_id").alias("group"), F.col("start_us").alias("f_us"), F.col("midi").alias("f_midi"), F.col("rank").alias("f_rank"))
 
     def near(some: DataFrame, founders: DataFrame) -> DataFrame:
@@ -132,7 +158,7 @@ def agreement_groups(
     # only founders that were there when the note came
     place = F.struct("f_rank", "f_us", "group")
     joined = near(rows, founders).filter(place <= F.struct(F.col("rank").alias("f_rank"), F.col("start_us").alias("f_us"), F.col("note_id").alias("group")))
-    return joined.groupBy(*key).agg(F.min(place).getField("group").alias("group"))
+    return few.unionByName(joined.groupBy(*key).agg(F.min(place).getField("group").alias("group")))
 
 
 def method_agreement(

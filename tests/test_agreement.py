@@ -141,6 +141,22 @@ def test_agreement_of_methods(spark, width):
     assert sum(r.n_groups for r in ch.agreement_counts(agreed).collect()) == len(names)
 
 
+def test_agreement_of_short_islands_is_that_of_the_rounds(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(n % 4, n, rng.randrange(0, 8_000_000) // 10_000 * 10_000, rng.choice([60, 60, 61, 62, 63]), rng.choice(["yin", "hps", "cqt"])) for n in range(400)]
+    odd = [(4, 1000 + n // 2 * (n % 3), 20_000 * n, 60 + n % 3 if n % 7 else None, ["yin", "hps"][n % 2]) for n in range(40)] + [(4, None, 5_000, 61, "yin"), (None, 7, 5, 60, "yin"), (5, 8, None, 60, "yin")]
+    kind = "track_id long, note_id long, start_us long, midi int, method string"
+    order = ["hps", "yin", "cqt"]
+    found = lambda df, **how: sorted(map(repr, ch.agreement_groups(df, order, width=700_000, **how).collect()))
+    every = spark.createDataFrame(rows + odd, kind).repartition(4)
+    assert found(every) == found(every, short=0) == found(every, short=20)
+    # where all islands are short there are no rounds
+    clean = spark.createDataFrame(rows, kind).repartition(4)
+    want = plain_groups(rows, order)
+    monkeypatch.setattr(ch, "fold_islands", None)
+    assert {r.note_id: r.group for r in ch.agreement_groups(clean, order, width=700_000).collect()} == want
+
+
 def test_trill_tops_of_a_wide_histogram():
     # 1200 quarter semitones: the tops are found in one go over the histogram, not by searching it anew from every bin
     assert tq._two_tops(1200, [10, 700, 1199], [9, 4, 10]) == (10, 700)  # the highest one, at the end, is no top
