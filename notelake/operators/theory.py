@@ -279,7 +279,8 @@ def identify_chords(notes: DataFrame, tol_us: int = 50_000, min_score: float = 0
     scored = F.transform(played, lambda t: F.struct(
         F.when(hit(t) >= 2, (hit(t) / t["size"]) * (hit(t) / F.col("n_pcs"))).otherwise(0.0).alias("score"), t["o"].alias("o"),
         t["root"].alias("root"), t["quality"].alias("quality")))
-    groups = groups.withColumn("b", F.array_max(scored)).filter(F.col("b.score") >= min_score)
+    # one element exploded: a filter on the column would be moved below it and score every template a second time
+    groups = groups.withColumn("b", F.explode(F.filter(F.array(F.array_max(scored)), lambda b: b["score"] >= min_score)))
     return groups.select(
         "track_id", F.col("anchor_t").alias("start_us"), "dur_us", "b.root", "b.quality",
         F.concat(pc_name(F.col("b.root")), F.col("b.quality")).alias("name"), (F.col("c") * F.col("b.score")).alias("confidence"), "n_notes",

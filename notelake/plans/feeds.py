@@ -90,7 +90,8 @@ register(
 def _documents(spark, sf):
     tabs = pos.static_position(src.notes_dense(spark, sf)).withColumn("technique", F.expr("if(note_id % 3 = 0, 'bend', null)"))
     t = _extents(spark, sf)
-    docs = writers.sync_documents(tabs, _chords(spark, sf), ex.beats(t, 480), ex.measures(t, 480), 480)
+    chords = checkpointed(_chords(spark, sf))  # read by the documents and by their events
+    docs = writers.sync_documents(tabs, chords, ex.beats(t, 480), ex.measures(t, 480), 480)
     path = f"{checkpoint_dir(spark)}/sync-{uuid.uuid4().hex}"
     writers.write_sync(docs, path)
     # one pass over each document; what is only counted stays text

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from notelake.operators import joins as jn
 from notelake.operators import segment as seg
+from notelake.operators import theory as th
 from notelake.operators import timeline as tl
 
 
@@ -80,3 +81,12 @@ def test_harmonics_of_groups_over_slice_borders(spark):
     for width in (10, 1000, 10_000_000):
         assert {(r.track_id, r.note_id) for r in jn.drop_harmonics(df, 100, width).collect()} == want
     assert len(want) < len(rows)
+
+
+def test_chord_templates_are_scored_once(spark, tmp_path):
+    df = table(spark, str(tmp_path / "n"))
+    found = th.identify_chords(df, 100, width=1000)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("array_max(") == 1
+    one = spark.createDataFrame([(1, n, t, 5, m, 0.5) for n, (t, m) in enumerate([(0, 60), (10, 64), (20, 67), (5000, 60), (5010, 60), (9000, 61)])],
+                                "track_id long, note_id long, start_us long, dur_us long, midi int, confidence double")
+    assert [(r.start_us, r.name, r.n_notes) for r in th.identify_chords(one, 100, width=1000).collect()] == [(0, "C", 3)]
