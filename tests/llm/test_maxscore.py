@@ -48,3 +48,33 @@ def test_pruning_keeps_the_best_of_any_shard():
             query = np.floor(rng.standard_t(2, 24) * 20)
             want = sorted(((-int(s), int(i)) for s, i in zip(shard @ query, ids, strict=True) if i != 2))[:5]
             assert maxscore.top_k(ids, shard, 2, query, 5) == [(-s, i) for s, i in want]
+
+
+def test_shards_and_queries_meet_without_joins_or_broadcasts(spark, monkeypatch):
+    """Blocks of queries used to be copied once per shard and broadcast, which the driver had to hold."""
+    for name, value in (("SHARD", 16), ("QUERIES", 4), ("HELD", 4000), ("GROUPS", 6)):
+        monkeypatch.setattr(maxscore, name, value, raising=False)
+    rng = random.Random(3)
+    rows = [(i, [rng.uniform(-2, 2) for _ in range(rng.choice([12, 12, 12, 7]))]) for i in range(700)]
+    rows += rows[::60] + [(5, None), (None, [1.0] * 12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    rows = [(r.vec_id, r.embedding) for r in df.collect()]
+    found = maxscore.nearest(df, 5, 10)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan
+    assert sorted(map(tuple, found.collect())) == brute(rows, 5, 10)
+
+
+def test_best_rise_from_shard_to_shard():
+    rng = np.random.default_rng(4)
+    for largest, width in ((3, 8), (200, 40), (60_000, 16)):  # many ties; single floats; doubles
+        vectors = rng.integers(-largest, largest + 1, (3000, width)).astype(np.float64)
+        vectors[1000:1400] = vectors[17]
+        ids = rng.permutation(3000) // 2  # every id twice
+        queries, query_ids = vectors[:600], ids[:600]
+        best = maxscore.Best(600, 5)
+        for a in range(0, 3000, 500):
+            maxscore.meet(ids[a:a + 500], vectors[a:a + 500], query_ids, queries, best)
+        for j in range(0, 600, 7):
+            want = sorted((-int(s), int(i)) for s, i in zip(vectors @ queries[j], ids, strict=True) if i != query_ids[j])[:5]
+            assert [(-int(s), int(i)) for s, i in zip(best.score[j], best.ids[j], strict=True)] == want
