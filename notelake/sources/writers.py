@@ -72,20 +72,30 @@ def write_sync(documents: DataFrame, path: str) -> None:
 
 
 def report_documents(report: DataFrame, passages: DataFrame, sections: DataFrame) -> DataFrame:
-    """Difficulty report per track as JSON: at most ten passages and seven sections, so a document stays small."""
-    r1 = lambda c, d=1: F.round(F.col(c), d).alias(c)
-    p = passages.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct(
-        "rank", F.round(F.col("start_us") / 1e6, 2).alias("start_time"), F.round(F.col("end_us") / 1e6, 2).alias("end_time"), "reason",
-        F.round("score", 2).alias("difficulty_score")))).alias("difficult_passages"))
-    q = sections.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("ord", "focus", "level", "tips"))).alias("practice_sections"))
+    """Difficulty report per track as JSON, which names its track: at most ten passages and seven sections, so a document stays small."""
+    r = lambda c, name, d=1: F.round(F.col(c), d).alias(name)
+    n = lambda c, name: F.col(c).alias(name)
+    span = [F.round(F.col("start_us") / 1e6, 2).alias("start_time"), F.round(F.col("end_us") / 1e6, 2).alias("end_time")]
+
+    def listed(df: DataFrame, order: str, name: str, *fields: str | Column) -> DataFrame:
+        xs = F.array_sort(F.collect_list(F.struct(order, *span, *fields)))
+        return df.groupBy("track_id").agg(F.transform(xs, lambda x: x.dropFields(order)).alias(name))
+
+    p = listed(passages, "rank", "difficult_passages", "reason", F.round("score", 2).alias("difficulty_score"))
+    q = listed(sections, "ord", "practice_sections", "focus", n("level", "difficulty"), F.filter(F.split("tips", ", "), lambda t: t != "").alias("tips"))
     rows = report.join(p, "track_id", "left").join(q, "track_id", "left")
     document = F.struct(
-        F.col("level").alias("overall_rating"), F.round("score", 1).alias("overall_score"),
-        F.struct(F.col("n").alias("total_notes"), "max_span", "max_fret", r1("avg_span", 2), r1("max_nps"), r1("avg_nps"), "n_positions", "string_changes", "shifts").alias("metrics"),
-        F.struct(r1("speed_rating"), r1("technique_rating"), r1("stretch_rating"), r1("position_rating")).alias("sub_ratings"),
-        "difficult_passages", "practice_sections")
+        "track_id", F.col("level").alias("overall_rating"), F.round("score", 1).alias("overall_score"),
+        F.struct(n("n", "total_notes"), n("max_span", "max_fret_span"), n("max_fret", "max_fret_used"), r("avg_span", "avg_fret_span", 2), r("max_nps", "max_notes_per_second"),
+                 r("avg_nps", "avg_notes_per_second"), n("n_positions", "unique_positions"), "string_changes", n("shifts", "position_changes")).alias("metrics"),
+        # harmonics and palm mutes are never counted, as in the method
+        F.struct(n("hammer_on", "hammer_ons"), n("pull_off", "pull_offs"), n("bend", "bends"), n("slide", "slides"), "vibrato", n("trill", "trills"), "tremolo",
+                 F.lit(0).alias("harmonics"), F.lit(0).alias("palm_mutes")).alias("techniques"),
+        F.struct(*[r(f"{x}_rating", x) for x in ("speed", "technique", "stretch", "position")]).alias("sub_ratings"),
+        *[F.coalesce(F.col(x), F.array()).alias(x) for x in ("difficult_passages", "practice_sections")])
     return rows.select("track_id", F.to_json(document).alias("document"))
 
 
 def write_report(documents: DataFrame, path: str) -> None:
+    """One JSON line per report."""
     documents.select(F.col("document").alias("value")).write.mode("overwrite").text(path)

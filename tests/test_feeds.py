@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from notelake.operators import difficulty as dif
 from notelake.operators import export as ex
 from notelake.operators import voting as vote
+from notelake.plans import feeds
 from notelake.session import checkpoint_dir
 from notelake.sources import readers, writers
 from notelake.streaming import live
@@ -148,3 +149,32 @@ def test_windows_speed_and_report_read_the_steps_once(spark):
         walk = sorted((s, n, st, fr) for t, n, s, st, fr, _ in rows if t == track and s is not None)
         spans = [(lambda near: max(near) - min(near) if near else 0)([f for s, _, _, f in walk if abs(s - at) <= 500_000 and f > 0]) for at, *_ in walk]
         assert (got[track].n, got[track].max_span, got[track].string_changes) == (len(walk), max(spans), sum(a[2] != b[2] for a, b in zip(walk, walk[1:])))
+
+
+def test_reports_are_written_whole_and_read_back(spark, monkeypatch):
+    """The query used to hand back its documents without the sink, and they left out techniques and the times of sections."""
+    used = ["bend"] * 4 + ["hammer_on"] * 3 + ["pull_off"] * 2 + ["slide", "harmonic", None]
+    rows = [(1, n, n * 90_000, n % 6, 14 * (n % 2) + 1, used[n % len(used)]) for n in range(48)]  # fast and wide
+    rows += [(2, 100 + n, n * 1_000_000, 2, 3, None) for n in range(5)]  # nothing hard
+    tabs = spark.createDataFrame(rows, "track_id long, note_id long, start_us long, string int, fret int, technique string").repartition(3)
+    monkeypatch.setattr(feeds, "_static", lambda spark, sf: tabs.drop("technique"))
+    monkeypatch.setattr(feeds, "_annotated", lambda spark, sf: tabs)
+    paths, write = [], writers.write_report
+    monkeypatch.setattr(writers, "write_report", lambda docs, path: (paths.append(path), write(docs, path)))
+    got = {r.track_id: r for r in feeds._reports(spark, "").collect()}
+    assert len(paths) == 1
+    docs = {d["track_id"]: d for d in (json.loads(r.value) for r in spark.read.text(paths[0]).collect())}
+    assert {t: (r.level, int(r.n)) for t, r in got.items()} == {t: (d["overall_rating"], d["metrics"]["total_notes"]) for t, d in docs.items()}
+    assert sorted(docs) == [1, 2] and (docs[1]["metrics"]["total_notes"], docs[2]["metrics"]["total_notes"]) == (48, 5)
+    for d in docs.values():
+        assert set(d) == {"track_id", "overall_rating", "overall_score", "metrics", "techniques", "sub_ratings", "difficult_passages", "practice_sections"}
+        assert set(d["metrics"]) == {"total_notes", "max_fret_span", "max_fret_used", "avg_fret_span", "max_notes_per_second", "avg_notes_per_second",
+                                     "unique_positions", "string_changes", "position_changes"}
+        assert set(d["sub_ratings"]) == {"speed", "technique", "stretch", "position"}
+    assert docs[1]["techniques"] == {"hammer_ons": 12, "pull_offs": 8, "bends": 16, "slides": 4, "vibrato": 0, "trills": 0, "tremolo": 0, "harmonics": 0, "palm_mutes": 0}
+    (passage,) = docs[1]["difficult_passages"]
+    assert (passage["start_time"], passage["end_time"], passage["difficulty_score"]) == (0.0, 6.0, 1.0) and set(passage) == {"start_time", "end_time", "reason", "difficulty_score"}
+    first, bends, legato = docs[1]["practice_sections"]
+    assert (first["start_time"], first["end_time"], first["difficulty"]) == (0.0, 6.0, "advanced") and first["focus"] == passage["reason"].split(";")[0]
+    assert {"finger stretches", "isolate the shift"} < set(first["tips"]) and (bends["start_time"], len(bends["tips"]), len(legato["tips"])) == (0.0, 3, 3)
+    assert docs[2]["difficult_passages"] == [] == docs[2]["practice_sections"]
