@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from notelake.llm.common import small_batches, stored
 
 SHARD, QUERIES, BATCH, STEP = 4096, 2048, 256, 8
-FEW, PROBE = 128, 32  # vectors of a shard for the first threshold; pairs are probed one by one where at most one in PROBE is left
+FEW, PROBE = 128, 1000  # vectors of a shard for the first threshold; probing a pair takes as long as so many terms in a product of matrices
 GROUPS, HELD = 32, 32 << 20  # groups of shards where there are few cores; bytes of queries that a task holds
 EXACT, SINGLE = 2.0**53, 2.0**24  # whole numbers up to here are exact as doubles and as single floats
 SIZES = ("i1", "i2", "i4", "f8")
@@ -79,7 +79,7 @@ def meet(ids: np.ndarray, shard: np.ndarray, query_ids: np.ndarray | None, queri
             threshold = np.maximum(threshold, np.partition(score, -k, axis=0)[-k])
         essential = min(int((least[part] + most >= threshold[:, None]).sum(axis=1).max()), width)
         for border in range(max(1, essential), width, STEP):
-            if (shard[few, :border] @ asked[:border] >= threshold - most[:, border]).mean() * PROBE <= 1:
+            if (shard[few, :border] @ asked[:border] >= threshold - most[:, border]).mean() * PROBE <= width - border:
                 break
         else:
             border = width
